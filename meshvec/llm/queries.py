@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meshvec.llm import chat, fingerprint, mixing
+from meshvec.llm import chat, extraction, fingerprint, media, mixing, neardup, packing, pii, quality, toxicity
 from meshvec.llm.common import table
 
 #: Target weights of the characters by source; all other sources share OTHER_WEIGHT.
@@ -27,8 +28,55 @@ def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_snapshots(table(spark, sf_dir, "conversations"))
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of the id as text, modulo divisor."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), size=1024, end_id=2)
+
+
+def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op5_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
+def op6_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_semi_markov_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.detect_pii(docs, pii.train_pii(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op10_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_poisson_mix, op2_order_minhash, op7_snapshot_collapse)}
+    every = (
+        op1_poisson_mix, op2_order_minhash, op3_best_two_fit, op4_parity_join, op5_media_sequences, op6_factorization_machine, op7_snapshot_collapse, op8_additive_model,
+        op9_semi_markov_crf, op10_tree_scoring,
+    )
+    return {f.__name__: f for f in every}
 
 
 _WEIGHTS_SQL = ", ".join(f"('{s}', {w})" for s, w in MIX_WEIGHTS.items())
