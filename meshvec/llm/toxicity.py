@@ -17,7 +17,7 @@ from meshvec.llm.common import cut, free_name
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Terms are words and the beginnings of longer words, hashed to this many bits.
-HASH_BITS, PREFIXES = 27, (4, 5)
+HASH_BITS, PREFIXES = 27, (3, 4, 5)
 #: Labelled documents to learn from, at most.
 MAX_TRAIN = 20_000
 #: Hashed terms that the machine keeps, at most, by their chi-squared value.
