@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,15 +14,8 @@ from pyspark.sql import functions as F
 #: Pieces that one packing task holds on average.
 SHARD_PIECES = 16384
 
-#: Words that a Python worker remembers; then it starts anew.
-CACHED_WORDS = 400_000
-
 #: The split pattern of the byte-level BPE vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same pattern for Python's re, equal to it on texts of PLAIN characters only.
-PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Basic Latin without the separators 1C-1F, and the letters of Latin-1 and Latin Extended.
-PLAIN = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]*")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -46,9 +38,8 @@ class Ids:
             spec = json.load(f)
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-        self.path, self.special, self.ranks, self.words = path, special, ranks, {}
+        self.path, self.special, self.exact = path, special, None
         self.encoder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = None
 
     @classmethod
     def of(cls, path: str) -> Ids:
@@ -62,19 +53,10 @@ class Ids:
                 from tokenizers import Tokenizer
 
                 self.exact = Tokenizer.from_file(self.path)
-            return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not PLAIN.fullmatch(text):
-            return np.asarray(self.encoder.encode_ordinary(text), "<u4").tobytes()
-        words, parts = self.words, PLAIN_PATTERN.findall(text)
-        try:
-            return b"".join(map(words.__getitem__, parts))
-        except KeyError:
-            if len(words) > CACHED_WORDS:
-                words.clear()
-            for w in set(parts) - words.keys():
-                rank = self.ranks.get(w.encode())
-                words[w] = np.asarray([rank] if rank is not None else self.encoder.encode_ordinary(w), "<u4").tobytes()
-            return b"".join(map(words.__getitem__, parts))
+            ids = self.exact.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.encoder.encode_ordinary(text)
+        return np.asarray(ids, "<u4").tobytes()
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
