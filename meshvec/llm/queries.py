@@ -33,10 +33,15 @@ def remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
-def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer_path() -> str:
+    """Where the vocabulary file lies, on the driver as on every executor."""
     import public_tokenizers
 
-    return packing.pack_documents(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), size=1024, end_id=2)
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, end_id=2)
 
 
 def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
