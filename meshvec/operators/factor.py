@@ -84,7 +84,9 @@ def randomized_svd(m: DataFrame, d: int, *, rounds: int = 7, seed: int = 3, over
     whose Gram matrix gives the small eigenproblem. M is partitioned by row
     once and its transpose by column; both are kept for all rounds.
     """
-    rows = cut(m.select("i", "j", "v"))
+    rows = cut(m.select("i", "j", "v").filter("v != 0"))
+    if rows.isEmpty():
+        return rows.select("i", F.array().cast("array<double>").alias("y")), np.zeros(0)
     turned = rows.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
     nodes = rows.select(F.col("j").alias("node")).distinct()
     width = min(d + oversample, max(1, nodes.count()))
@@ -105,11 +107,11 @@ def l2_normalize(panel: DataFrame) -> DataFrame:
 
 
 def embedding(m: DataFrame, nodes: DataFrame, d: int, *, rounds: int = 7, seed: int = 3, normalize: bool = True) -> DataFrame:
-    """node, vec: left singular vectors times the roots of singular values; nodes without cells get zeros."""
+    """node, vec: left singular vectors times the roots of singular values; nodes without cells, and directions beyond the rank, get zeros."""
     u, s = randomized_svd(m, d, rounds=rounds, seed=seed)
-    scaled = map_rows(u, np.diag(np.sqrt(s)))
+    scaled = map_rows(u, np.eye(len(s), d) * np.sqrt(s)[:, None])
     scaled = l2_normalize(scaled) if normalize else scaled
-    zeros = F.array(*[F.lit(0.0)] * len(s))
+    zeros = F.array(*[F.lit(0.0)] * d)
     return nodes.join(scaled, nodes["node"] == scaled["i"], "left").select("node", F.coalesce("y", zeros).alias("vec"))
 
 
