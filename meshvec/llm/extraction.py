@@ -35,7 +35,7 @@ def beside(node: Node) -> bool:
     if a.get("role", "").lower() in ROLES or a.get("aria-hidden") == "true" or "hidden" in a or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
     words = {w.lower() for w in WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-    if node.tag in KEPT_TAGS:
+    if node.tag in KEPT_TAGS or node.holds and node.tag != "article":  # a name such as has-sidebar on what wraps the article
         return False
     return bool(words & (COMMENTS if node.tag == "article" else BESIDE))
 
@@ -57,7 +57,7 @@ def scored(root: Node) -> tuple[dict[Node, float], dict[Node, tuple[int, int]]]:
         value = 1 + text.count(",") + text.count("、") + min(3.0, len(text) / 100)
         x: Node | None = owner.parent if owner.tag in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6") else owner
         share = 1
-        while x is not None and x.parent is not None:
+        while x is not None:
             points[x] = points.get(x, START.get(x.tag, 0.0)) + value / share
             x, share = x.parent, share + 1
 

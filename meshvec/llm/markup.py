@@ -20,10 +20,16 @@ SCOPE = frozenset("html body table td th caption button object template".split()
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    """An element; holds: an article or main element lies below it."""
+
+    __slots__ = ("tag", "attrs", "parent", "children", "holds")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.tag, self.attrs, self.parent, self.children, self.holds = tag, attrs, parent, [], False
+        if tag in ("article", "main"):
+            while parent is not None and not parent.holds:
+                parent.holds = True
+                parent = parent.parent
 
     def attributes(self) -> dict[str, str]:
         out: dict[str, str] = {}
