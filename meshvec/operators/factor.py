@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,20 +82,26 @@ def randomized_svd(m: DataFrame, d: int, *, rounds: int = 7, seed: int = 3, over
     A random panel is multiplied by M (M'M)^rounds, orthonormalized each round
     (the span is that of the plain power, without its loss of digits) and
     checkpointed, so the plan doesn't grow. B = Q'M is kept as the panel M'Q,
-    whose Gram matrix gives the small eigenproblem. M is partitioned by row
-    once and its transpose by column; both are kept for all rounds.
+    whose Gram matrix gives the small eigenproblem. M is dealt by column once
+    and its transpose by row, and both are persisted, so a multiplication
+    shuffles the panel and the partial sums but not M.
     """
-    rows = cut(m.select("i", "j", "v").filter("v != 0"))
-    if rows.isEmpty():
-        return rows.select("i", F.array().cast("array<double>").alias("y")), np.zeros(0)
-    turned = rows.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
-    nodes = rows.select(F.col("j").alias("node")).distinct()
+    spark = m.sparkSession
+    cells = cut(m.select("i", "j", "v").filter("v != 0"))
+    if cells.isEmpty():
+        return cells.select("i", F.array().cast("array<double>").alias("y")), np.zeros(0)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cells.repartition(parts, "j").persist(StorageLevel.MEMORY_AND_DISK)
+    turned = cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "v").repartition(parts, "j").persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = cells.select(F.col("j").alias("node")).distinct()
     width = min(d + oversample, max(1, nodes.count()))
     y, width = orthonormal(cut(panel_dot(rows, normal_panel(nodes, width, seed), width)), width)
     for _ in range(rounds):
         z, width = orthonormal(cut(panel_dot(turned, y, width)), width)
         y, width = orthonormal(cut(panel_dot(rows, z, width)), width)
     bt = cut(panel_dot(turned, y, width))
+    rows.unpersist()
+    turned.unpersist()
     values, vectors = np.linalg.eigh(gram(bt, width))
     order = np.argsort(values)[::-1][:d]
     return map_rows(y, vectors[:, order]), np.sqrt(np.maximum(values[order], 0))

@@ -30,7 +30,7 @@ def power_sum(x: DataFrame, window: int) -> DataFrame:
 def proximity(a: DataFrame, degree: DataFrame, vol: DataFrame, *, window: int = 1, negative: float = 1.0) -> DataFrame:
     """vol / (window * negative) * (X + ... + X^window) D^-1, before the logarithm. vol: one row.
 
-    Windows 1 and 2 are the reference forms; larger ones are an extension.
+    Windows 1 and 2 are the forms in use; larger ones are an extension.
     """
     sums = power_sum(row_normalized(a, degree), window)
     scaled = matrix.diag_right(sums, matrix.diagonal(degree), inverse=True)
