@@ -12,13 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshvec.llm.common import cut
 from meshvec.llm.markup import BLOCK, Node, parse
 
 #: A tile is 24 x 24 samples; a payload is one or more tiles, one below the other.
 SIDE, TILE = 24, 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-#: Parts into which each digest of the join is split, so one that many documents refer to isn't one task's.
-SALTS = 16
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 REFERENCE = "media:"
 
@@ -184,13 +183,12 @@ def read_payloads(media: DataFrame) -> DataFrame:
 def resolve(sequences: DataFrame, payloads: DataFrame) -> DataFrame:
     """The items of sequences as rows (id, position, kind, text, digest, caption) with the payload columns of their digest, null for texts and for unknown digests.
 
-    The join is dealt by digest and salt: references of one digest go to SALTS
-    tasks, to which its (small) payload row is copied.
+    payloads is a stored table (a checkpoint will do), so both sides of the
+    join are plain shuffles by digest, and Spark's adaptive skew join splits
+    the references of a digest that many documents share over several tasks.
     """
     rows = sequences.select("id", F.explode("items").alias("item")).select("id", "item.*")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "position"), F.lit(SALTS)))
-    copies = payloads.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, ["digest", "salt"], "left").drop("salt")
+    return rows.join(payloads, "digest", "left")
 
 
 def reference_html(text: Column, id_col: Column) -> Column:
@@ -206,5 +204,5 @@ def document_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     an empty table gives an empty result; further columns are not used.
     """
     pages = docs.select(F.col(id_col).cast("long").alias("id"), reference_html(F.col(text_col), F.col(id_col)).alias("html"))
-    found = resolve(parse_sequences(pages, id_col="id", html_col="html"), read_payloads(store_payloads(docs, data_col=text_col)))
+    found = resolve(parse_sequences(pages, id_col="id", html_col="html"), cut(read_payloads(store_payloads(docs, data_col=text_col))))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
