@@ -32,10 +32,10 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder."""
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Cut lineage with a checkpoint in the shared folder, of at most `files` files if given."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df if files is None else df.coalesce(files)).checkpoint()
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -21,7 +21,10 @@ BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
 WIDTH = 5
 #: Null ids become numbers from here on inside the join, by their text.
 NO_ID = 1 << 62
-SKETCH_BITS = 512
+LEAST_BITS = 512
+#: A checkpoint has no more files than one for so many documents (but LEAST_FILES are allowed): each file is a new process
+#: on file systems without native permissions, and a request on others.
+FILE_DOCS, LEAST_FILES = 5000, 24
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -147,24 +150,59 @@ def from_blob(blob: bytes) -> np.ndarray:
     return raw.reshape(-1).view(">u8").astype(np.uint64) >> np.uint64(64 - 8 * WIDTH)
 
 
+def width_of(n: int) -> int:
+    """Bits of the sketch of a set of n: a power of two of n or more."""
+    return max(LEAST_BITS, 1 << (n - 1).bit_length())
+
+
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS parities: each element flips one bit, so two sketches differ in at most as many bits as their sets in elements."""
-    bits = np.bincount((mix(elements) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+    """Parities as 64-bit words: each element flips one bit, so two sketches of one width differ in at most as many bits as their sets in elements."""
+    bits = np.bincount((mix(elements) & np.uint64(width_of(len(elements)) - 1)).astype(np.int64), minlength=width_of(len(elements))) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def block_links(ids: list[int], blobs: list[bytes], sides: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links that join the linked sets of a block pair: for each connected part, one link fewer than sets.
+def close_pairs(n: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, the later j) that sizes and sketches don't rule out, within a block or, with two sides, across two.
 
-    Sets of one block (all sides equal) or of two are compared. Sizes and the
-    Hamming distance of sketches rule pairs out in bulk; the rest are counted
-    exactly unless a chain of links joins them already.
+    A wider sketch is folded to the other's width first: its halves are XORed.
     """
-    sets = [from_blob(b) for b in blobs]
-    n = np.array([len(s) for s in sets])
-    sketches = np.stack([sketch(s) for s in sets])
-    side = np.array(sides)
-    root = list(range(len(ids)))
+    widths = np.array([len(s) for s in sketches])
+    across = bool(side.min() != side.max())
+    for w in np.unique(widths):
+        members = np.flatnonzero((widths == w) | (widths == 2 * w))
+        folded = np.stack([np.bitwise_xor.reduce(sketches[m].reshape(-1, w), axis=0) for m in members])
+        for a in range(len(members) - 1):
+            i = members[a]
+            later = np.arange(a + 1, len(members))
+            js = members[later]
+            fit = (np.minimum(n[js], n[i]) * 100 >= percent * np.maximum(n[js], n[i])) & ((widths[js] == w) | (widths[i] == w))
+            if across:
+                fit &= side[js] != side[i]
+            later = later[fit]
+            if len(later):
+                apart = np.bitwise_count(folded[later] ^ folded[a]).sum(1, dtype=np.int64)
+                js = members[later]
+                js = js[apart * (100 + percent) <= (n[js] + n[i]) * (100 - percent)]
+                if len(js):
+                    yield int(i), js
+
+
+def block_survivors(rows: list[tuple], percent: int) -> list[int]:
+    """Ids of rows (id, n, sketch, side) that have a close partner."""
+    alive = np.zeros(len(rows), bool)
+    for i, js in close_pairs(np.array([r[1] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[3] for r in rows]), percent):
+        alive[i] = alive[js] = True
+    return [rows[k][0] for k in np.flatnonzero(alive)]
+
+
+def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links among rows (id, blob, side) that join what is linked: one fewer than sets for each connected part.
+
+    Close pairs are counted exactly, unless a chain of links joins them already.
+    """
+    sets = [from_blob(r[1]) for r in rows]
+    n = np.array([len(x) for x in sets])
+    root = list(range(len(rows)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -172,24 +210,15 @@ def block_links(ids: list[int], blobs: list[bytes], sides: list[int], percent: i
             i = root[i]
         return i
 
-    out, two = [], bool(side.min() != side.max())
-    for i in range(len(ids) - 1):
-        rest = np.arange(i + 1, len(ids))
-        if two:
-            rest = rest[side[rest] != side[i]]
-        both = n[rest] + n[i]
-        rest = rest[(np.minimum(n[rest], n[i]) * 100 >= percent * np.maximum(n[rest], n[i]))]
-        if not len(rest):
-            continue
-        both = n[rest] + n[i]
-        apart = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(1, dtype=np.int64)
-        for j in rest[apart * (100 + percent) <= both * (100 - percent)].tolist():
+    out = []
+    for i, js in close_pairs(n, [sketch(x) for x in sets], np.array([r[2] for r in rows]), percent):
+        for j in js.tolist():
             a, b = find(i), find(j)
             if a != b:
                 same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * same >= percent * (int(n[i]) + int(n[j]) - same):
                     root[max(a, b)] = min(a, b)
-                    out.append((ids[i], ids[j]))
+                    out.append((rows[i][0], rows[j][0]))
     return out
 
 
@@ -217,95 +246,130 @@ def _signature_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "sig long, id long")
 
 
-def _set_rows(texts: DataFrame, words: int) -> DataFrame:
+def _set_rows(texts: DataFrame, words: int, name: str, form) -> DataFrame:
+    """id, n, and form(set) as bytes in a column called name, of texts."""
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                blobs = [as_blob(shingles(t, words)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["id", "blob"])
+                sets = [shingles(t, words) for t in part.column(1).to_pylist()]
+                columns = (part.column(0), [len(s) for s in sets], [form(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "n", name])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, blob binary")
+    return texts.select("id", "text").mapInArrow(run, f"id long, n long, {name} binary")
+
+
+def _blocks(groups: DataFrame, carried: DataFrame, name: str) -> DataFrame:
+    """groups (c, id) with carried (id, n, name: bytes), copied to the block pairs (b1, b2) of their group; side 1 is the second block's.
+
+    A group has as many blocks as its number of sets and its bytes ask for, so
+    each pair of blocks is bounded; groups of one set are left out. Sizes are
+    settled before the bytes join, which are then shuffled once for each copy.
+    """
+    sized = groups.join(carried.select("id", F.octet_length(name).alias("bytes")), "id")
+    sizes = sized.groupBy("c").agg(F.count(F.lit(1)).alias("g"), F.sum("bytes").alias("bytes")).filter("g > 1")
+    sizes = sizes.select("c", F.greatest(F.ceil(F.col("g") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("nb"))
+    placed = groups.join(sizes, "c").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb").cast("long")).cast("int"))
+    copies = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    pairs = copies.select("c", "id", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), (F.col("b") > F.col("o")).cast("int").alias("side"))
+    return pairs.join(carried, "id")
 
 
-def _verified(blocks: DataFrame, percent: int) -> DataFrame:
-    """blocks (c, b1, b2, side, id, blob), all rows of a (c, b1, b2) together in one partition: the links (u, v) found."""
+def _by_block(blocks: DataFrame, columns: list[str], judge, schema: pa.Schema, ddl: str) -> DataFrame:
+    """judge(rows) of each block pair, rows being tuples of the columns; what it returns are rows of schema."""
+    width = len(schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def done() -> pa.RecordBatch:
-            links = block_links([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], percent) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
+            found = judge(rows) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], schema.types[k]) for k in range(width)], schema=schema)
 
         for batch in batches:
-            c, b1, b2, side, ids, blobs = (batch.column(i).to_pylist() for i in range(6))
-            for i in range(batch.num_rows):
-                if (k := (c[i], b1[i], b2[i])) != key:
+            cells = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for row in zip(*cells, strict=True):
+                if row[:3] != key:
                     if rows:
                         yield done()
-                    key, rows = k, []
-                rows.append((ids[i], blobs[i], side[i]))
+                    key, rows = row[:3], []
+                rows.append(row[3:])
         if rows:
             yield done()
 
-    dealt = blocks.repartition("c", "b1", "b2").sortWithinPartitions("c", "b1", "b2", "id")
-    return dealt.select("c", "b1", "b2", "side", "id", "blob").mapInArrow(run, "u long, v long")
+    names = ["c", "b1", "b2", *columns]
+    return blocks.select(*names).repartition("c", "b1", "b2").sortWithinPartitions("c", "b1", "b2", "id").mapInArrow(run, ddl)
 
 
-def jaccard_links(docs: DataFrame, sets: DataFrame, *, words: int, percent: int) -> DataFrame:
+def _survivors(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The (c, id) of groups that have a close partner there. sketches: id, n, sketch."""
+    schema = pa.schema([("c", pa.int64()), ("id", pa.int64())])
+
+    def judge(rows: list[tuple]) -> list[tuple[int, int]]:
+        return [(rows[0][4], x) for x in block_survivors([r[:4] for r in rows], percent)]
+
+    # the group's number goes along as a column of its own
+    blocks = _blocks(groups, sketches, "sketch").withColumn("of", F.col("c"))
+    return _by_block(blocks, ["id", "n", "sketch", "side", "of"], judge, schema, "c long, id long").distinct()
+
+
+def _verified(groups: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join the linked members of each group. groups: c, id; blobs: id, n, blob."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    return _by_block(_blocks(groups, blobs, "blob"), ["id", "blob", "side"], lambda rows: block_links(rows, percent), schema, "u long, v long")
+
+
+def jaccard_links(docs: DataFrame, sets: DataFrame, *, words: int, percent: int, files: int) -> DataFrame:
     """Links (u, v) that connect exactly the documents that links of Jaccard similarity >= percent / 100 connect.
 
     docs: id, text. sets: the checkpointed shingle_sets of docs. Equal sets
     join through their smallest id at once; one text of each set goes on. It
     shows its signatures; sets under one signature meet in the group of the
-    smallest id among them. A group is compared in pairs of bounded blocks, so
-    a large one spreads over many tasks, and only a spanning set of links
-    leaves a task. The texts are shuffled once: signatures and shipped sets
-    come from the same exchange.
+    smallest id among them. Groups are compared in pairs of bounded blocks, so
+    a large one spreads over many tasks: first by sketches, which leaves those
+    with a close partner, then by whole sets. Only a spanning set of links
+    leaves a task. Steps end in checkpoints, after which the shuffles before
+    them are dropped.
     """
-    reps = sets.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    equal = sets.filter("n > 0").join(reps.select("key", "rep"), "key").filter("id != rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
-    texts = docs.select("id", "text").repartition("id")
-    chosen = reps.select(F.col("rep").alias("id")).distinct()
-    rows = _signature_rows(texts.join(chosen, "id", "left_semi"), words, percent)
-    met = rows.select("id", F.min("id").over(Window.partitionBy("sig")).alias("c"), F.max("id").over(Window.partitionBy("sig")).alias("last"))
-    groups = met.filter("c != last").select("c", "id").distinct()
-    sizes = reps.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"))
-    weights = groups.join(sizes, "id").groupBy("c").agg(F.count(F.lit(1)).alias("g"), F.sum(F.col("n") * WIDTH).alias("bytes"))
-    many = weights.filter("g > 1").select("c", F.greatest(F.ceil(F.col("g") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("nb"))
-    placed = groups.join(many, "c").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb").cast("long")).cast("int"))
-    blobs = _set_rows(texts.join(groups.select("id").distinct(), "id", "left_semi"), words)
-    full = placed.join(blobs, "id")
-    with_other = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    blocks = with_other.select("c", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), (F.col("b") > F.col("o")).cast("int").alias("side"), "id", "blob")
-    return _verified(blocks, percent).unionByName(equal).distinct()
-
-
-def connected(links: DataFrame) -> DataFrame:
-    """id, label: the smallest id of each linked document's connected part, by large-star and small-star rounds.
+    reps = sets.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"))
+    equal = sets.filter("n > 0").join(reps, "key").filter("id != rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    texts = docs.select("id", "text")
+    rows = _signature_rows(texts.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), words, percent)
+    bucket = Window.partitionBy("sig")
+    met = rows.select("id", F.min("id").over(bucket).alias("c"), F.max("id").over(bucket).alias("last"))
+    groups = cut(met.filter("c != last").select("c", "id").distinct(), files)
+    del rows, met
+    free_shuffles(docs)
+    sketches = cut(_set_rows(texts.join(groups.select("id").distinct(), "id", "left_semi"), words, "sketch", lambda s: sketch(s).tobytes()), files)
+    free_shuffles(docs)
+    alive = cut(_survivors(groups, sketches, percent), files)
+    free_shuffles(docs)
+    blobs = cut(_set_rows(texts.join(alive.select("id").distinct(), "id", "left_semi"), words, "blob", as_blob), files)
+    free_shuffles(docs)
+    return _verified(alive, blobs, percent).unionByName(equal).distinct()
 
-    A round moves every link to the smallest neighbour. Minima are aggregated
-    map-side before the shuffle, so a hub costs one row of each task.
-    """
-    edges = cut(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).filter("a < b").distinct())
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+def connected(links: DataFrame, files: int | None = None) -> DataFrame:
+    """id, label: the smallest id of each linked document's connected part, by large-star and small-star rounds.
 
-    before = state(edges)
+    A round moves every link to the smallest neighbour; it ends when each
+    document has one link, to one that has none of its own. Minima are
+    aggregated map-side before the shuffle, so a hub costs one row of each task.
+    """
+    edges = cut(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).filter("a < b").distinct(), files)
     while True:
+        seen = edges.select(F.col("b").alias("x"), F.lit(1).alias("low")).unionByName(edges.select(F.col("a").alias("x"), F.lit(None).cast("int").alias("low")).distinct())
+        if seen.groupBy("x").agg(F.count("low").alias("links"), F.count(F.lit(1)).alias("all")).filter("links > 1 or links = 1 and all > 1").isEmpty():
+            return edges.select(F.col("b").alias("id"), F.col("a").alias("label"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         pairs = large.join(least, "b")
         small = pairs.filter("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b"))
-        edges = cut(small.filter("a < b").distinct())
-        after = state(edges)
-        if after == before:
-            return edges.select(F.col("b").alias("id"), F.col("a").alias("label"))
-        before = after
+        edges = cut(small.filter("a < b").distinct(), files)
 
 
 def free_shuffles(df: DataFrame) -> None:
@@ -322,6 +386,16 @@ def _inner(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(_known(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
 
 
+def _labels(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The shingle_sets of docs, and (id, label) of the documents that have a smaller id in their group."""
+    files = max(LEAST_FILES, -(-docs.count() // FILE_DOCS))
+    inner = _inner(docs, id_col, text_col)
+    sets = cut(shingle_sets(inner, words), files)
+    labels = connected(jaccard_links(inner, sets, words=words, percent=percent, files=files), files)
+    free_shuffles(docs)
+    return sets, labels
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document.
 
@@ -336,10 +410,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     group that has an id, and stay null; an empty table gives an empty result;
     further columns are not used.
     """
-    inner = _inner(docs, id_col, text_col)
-    sets = cut(shingle_sets(inner, words))
-    labels = connected(jaccard_links(inner, sets, words=words, percent=percent))
-    free_shuffles(docs)
+    sets, labels = _labels(docs, words, percent, id_col, text_col)
     found = sets.join(labels, "id", "left").select("id", "n", F.coalesce("label", "id").alias("label"))
     named = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return found.select(named("id").alias("doc_id"), F.col("n").alias("n_shingles"), named("label").alias("component_id"))
@@ -350,10 +421,7 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80,
 
     Documents that link with nothing stay, rows without words among them with all their repeats.
     """
-    inner = _inner(docs, id_col, text_col)
-    sets = cut(shingle_sets(inner, words))
-    labels = connected(jaccard_links(inner, sets, words=words, percent=percent))
-    free_shuffles(docs)
+    _, labels = _labels(docs, words, percent, id_col, text_col)
     key, last = free_name(docs, "__id"), free_name(docs, "__last")
     kept = docs.withColumn(key, _known(id_col, text_col)).join(labels.select(F.col("id").alias(key)).distinct(), key, "left_anti")
     again = kept.withColumn(last, F.lag(text_col).over(Window.partitionBy(key).orderBy(text_col)))
