@@ -79,3 +79,21 @@ def protocol_square(spark: SparkSession, xa: DataFrame, xb: DataFrame, n: int, *
     w = matrix.add((1, matrix.dot(ra0, b1)), (1, matrix.dot(b0, ra1)), (1, matrix.dot(xa, xa)), (-1, t2))
     u = matrix.add((1, matrix.dot(a0, xb)), (1, matrix.dot(xb, a1)), (1, matrix.dot(xb, xb)), (1, w), (1, c))
     return matrix.add((1, u), (1, t), (1, t2))
+
+
+def masked_proximity(spark: SparkSession, xs: list[DataFrame], degree: DataFrame, vol: float, n: int, *, window: int = 1, negative: float = 1.0, size: int | None = None, seed: int = 31) -> DataFrame:
+    """The proximity of window 1 or 2 as two parties compute it under masks P and Q, demasked again.
+
+    xs: each party's X_p = D^-1 A_p with the degrees of the whole graph. A
+    party sends P X_p (D^-1 Q); for window 2 the square of the sum comes from
+    protocol_square. The masks leave no trace but rounding.
+    """
+    p, q = orthogonal_blocks(spark, n, seed, size), orthogonal_blocks(spark, n, seed + 1, size)
+    dq = matrix.diag_left(matrix.diagonal(degree), q, inverse=True)
+    sent = [mask(p, x, dq) for x in xs]
+    if window == 2:
+        sent.append(mask(p, protocol_square(spark, xs[0], xs[1], n, size=size, seed=seed + 2), dq))
+    elif window != 1:
+        raise ValueError("the protocol has windows 1 and 2")
+    m = matrix.add(*[(vol / (window * negative), s) for s in sent])
+    return demask(p, m, q)

@@ -366,6 +366,32 @@ def protocol_square(spark, sf_dir):
     return vals(masks.protocol_square(spark, own[0], own[1], 25).filter(F.abs("v") > 1e-9))
 
 
+def masked(spark: SparkSession, sf_dir: str, window: int) -> DataFrame:
+    tp = graphs.nation_trade(spark, sf_dir)
+    x = trade_x_by_party(tp)
+    own = [x.filter(F.col("party") == p).select("i", "j", "v") for p in (1, 2)]
+    vol = float(tp.agg(F.sum("v")).first()[0] or 0.0)
+    return vals(masks.masked_proximity(spark, own, trade_degree(tp), vol, 25, window=window, size=10).filter(F.abs("v") > 1e-8))
+
+
+@query(f"WITH {TRADE} SELECT x.i, x.j, round(vol * x.v / deg, 6) AS v FROM x JOIN d ON x.j = node CROSS JOIN vol")
+def masked_order1(spark, sf_dir):
+    return masked(spark, sf_dir, 1)
+
+
+@query(f"WITH {TRADE}, s AS (SELECT i, j, v FROM x UNION ALL SELECT a.i, b.j, sum(a.v * b.v) FROM x a JOIN x b ON a.j = b.i GROUP BY a.i, b.j), c AS (SELECT i, j, sum(v) AS v FROM s GROUP BY i, j) SELECT i, j, round(vol / 2 * c.v / deg, 6) AS v FROM c JOIN d ON j = node CROSS JOIN vol")
+def masked_window2(spark, sf_dir):
+    return masked(spark, sf_dir, 2)
+
+
+@query(f"WITH {TRADE} SELECT a.i, b.j, round(sum(a.v * b.v) / (max(l.deg) * max(r.deg)), 6) AS v FROM tp a JOIN tp b ON a.j = b.i AND a.party = 1 AND b.party = 1 JOIN d l ON l.node = a.i JOIN d r ON r.node = b.j GROUP BY a.i, b.j")
+def own_square(spark, sf_dir):
+    """One party's D^-1 A_p^2 D^-1 with the degrees of the whole graph."""
+    tp = graphs.nation_trade(spark, sf_dir)
+    own, d = tp.filter("party = 1").select("i", "j", "v"), matrix.diagonal(trade_degree(tp))
+    return vals(matrix.diag_right(matrix.diag_left(d, matrix.dot(own, own), inverse=True), d, inverse=True))
+
+
 # Path sampling.
 
 HELD = f"{PS}, {SPLIT}, ranked AS (SELECT src, dst, party, row_number() OVER (PARTITION BY party ORDER BY src, dst) - 1 AS e, count(*) OVER (PARTITION BY party) AS vol FROM split), counted AS (SELECT *, vol * {PER_EDGE} // ({WORKERS} * {PARTIES}) AS draws FROM ranked)"
