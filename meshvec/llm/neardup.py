@@ -22,6 +22,8 @@ WIDTH = 5
 #: Null ids become numbers from here on inside the join, by their text.
 NO_ID = 1 << 62
 LEAST_BITS = 512
+#: Signatures that HEAVY_LEAST or more of every HEAVY_SAMPLE-th document show, and of those the MAX_HEAVY most frequent, are dealt by document.
+HEAVY_SAMPLE, HEAVY_LEAST, MAX_HEAVY = 64, 64, 10_000
 #: A checkpoint has no more files than one for so many documents (but LEAST_FILES are allowed): each file is a new process
 #: on file systems without native permissions, and a request on others.
 FILE_DOCS, LEAST_FILES = 5000, 24
@@ -74,8 +76,9 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-# Sizes are cut into bands [starts[j], starts[j+1]) as wide as 1/t^2. A pair belongs to the level of its larger
-# set, so a set shows itself at its own level and, if it is large enough for that, at the next.
+# Sizes are cut into bands [starts[j], starts[j+1]) as wide as 1/t^2. A pair belongs to the level of its larger set, so a
+# set shows itself at its own level and, if it is large enough for that, at the next. Wider bands need fewer signatures,
+# but smaller parts, which more unlinked sets share.
 
 
 @lru_cache(maxsize=None)
@@ -121,7 +124,9 @@ def _salt(k: int) -> np.uint64:
 
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """The keys under which a set meets every set that may be linked with it: the parity words of its parts, by level."""
+    """The keys under which a set meets every set that may be linked with it: the parity words of its parts, by level. An empty set has none."""
+    if not len(elements):
+        return np.zeros(0, np.uint64)
     found = []
     for level in levels(percent, len(elements)):
         p, spare = parts(percent, level)
@@ -246,6 +251,26 @@ def _signature_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "sig long, id long")
 
 
+def _heavy_signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """sig, hub: frequent signatures by a sample of documents, and the smallest sampled id that shows each; at most MAX_HEAVY rows."""
+    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(HEAVY_SAMPLE)) == 0)
+    counts = _signature_rows(sample, words, percent).groupBy("sig").agg(F.count(F.lit(1)).alias("shown"), F.min("id").alias("hub"))
+    return counts.filter(F.col("shown") >= HEAVY_LEAST).orderBy(F.desc("shown"), "sig").limit(MAX_HEAVY).select("sig", "hub")
+
+
+def _meetings(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """c, id: the groups in which ids with a common signature meet; c is the smallest of them, or the hub of a heavy signature.
+
+    Heavy signatures need no look at their other rows, so these are dealt by
+    document; the rows of other signatures come together in one task each.
+    """
+    marked = rows.join(F.broadcast(heavy), "sig", "left")  # at most MAX_HEAVY rows
+    dealt = marked.withColumn("deal", F.when(F.col("hub").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "id")))
+    bucket = Window.partitionBy("deal")
+    met = dealt.select("id", "hub", F.min("id").over(bucket).alias("least"), F.max("id").over(bucket).alias("most"))
+    return met.filter("hub is not null or least != most").select(F.coalesce("hub", "least").alias("c"), "id").distinct()
+
+
 def _set_rows(texts: DataFrame, words: int, name: str, form) -> DataFrame:
     """id, n, and form(set) as bytes in a column called name, of texts."""
     kinds = [pa.int64(), pa.int64(), pa.binary()]
@@ -261,16 +286,18 @@ def _set_rows(texts: DataFrame, words: int, name: str, form) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, f"id long, n long, {name} binary")
 
 
-def _blocks(groups: DataFrame, carried: DataFrame, name: str) -> DataFrame:
+def _blocks(groups: DataFrame, carried: DataFrame, name: str, files: int) -> DataFrame:
     """groups (c, id) with carried (id, n, name: bytes), copied to the block pairs (b1, b2) of their group; side 1 is the second block's.
 
     A group has as many blocks as its number of sets and its bytes ask for, so
     each pair of blocks is bounded; groups of one set are left out. Sizes are
-    settled before the bytes join, which are then shuffled once for each copy.
+    settled before the bytes join, which are then shuffled once for each copy;
+    they are checkpointed, so that Spark can split the rows of a large group.
     """
     sized = groups.join(carried.select("id", F.octet_length(name).alias("bytes")), "id")
     sizes = sized.groupBy("c").agg(F.count(F.lit(1)).alias("g"), F.sum("bytes").alias("bytes")).filter("g > 1")
     sizes = sizes.select("c", F.greatest(F.ceil(F.col("g") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("nb"))
+    sizes = cut(sizes, files)
     placed = groups.join(sizes, "c").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb").cast("long")).cast("int"))
     copies = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     pairs = copies.select("c", "id", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), (F.col("b") > F.col("o")).cast("int").alias("side"))
@@ -303,7 +330,7 @@ def _by_block(blocks: DataFrame, columns: list[str], judge, schema: pa.Schema, d
     return blocks.select(*names).repartition("c", "b1", "b2").sortWithinPartitions("c", "b1", "b2", "id").mapInArrow(run, ddl)
 
 
-def _survivors(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _survivors(groups: DataFrame, sketches: DataFrame, percent: int, files: int) -> DataFrame:
     """The (c, id) of groups that have a close partner there. sketches: id, n, sketch."""
     schema = pa.schema([("c", pa.int64()), ("id", pa.int64())])
 
@@ -311,14 +338,14 @@ def _survivors(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFram
         return [(rows[0][4], x) for x in block_survivors([r[:4] for r in rows], percent)]
 
     # the group's number goes along as a column of its own
-    blocks = _blocks(groups, sketches, "sketch").withColumn("of", F.col("c"))
+    blocks = _blocks(groups, sketches, "sketch", files).withColumn("of", F.col("c"))
     return _by_block(blocks, ["id", "n", "sketch", "side", "of"], judge, schema, "c long, id long").distinct()
 
 
-def _verified(groups: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
+def _verified(groups: DataFrame, blobs: DataFrame, percent: int, files: int) -> DataFrame:
     """Links (u, v) that join the linked members of each group. groups: c, id; blobs: id, n, blob."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    return _by_block(_blocks(groups, blobs, "blob"), ["id", "blob", "side"], lambda rows: block_links(rows, percent), schema, "u long, v long")
+    return _by_block(_blocks(groups, blobs, "blob", files), ["id", "blob", "side"], lambda rows: block_links(rows, percent), schema, "u long, v long")
 
 
 def jaccard_links(docs: DataFrame, sets: DataFrame, *, words: int, percent: int, files: int) -> DataFrame:
@@ -326,8 +353,7 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, *, words: int, percent: int,
 
     docs: id, text. sets: the checkpointed shingle_sets of docs. Equal sets
     join through their smallest id at once; one text of each set goes on. It
-    shows its signatures; sets under one signature meet in the group of the
-    smallest id among them. Groups are compared in pairs of bounded blocks, so
+    shows its signatures; sets under one signature meet in a group. Groups are compared in pairs of bounded blocks, so
     a large one spreads over many tasks: first by sketches, which leaves those
     with a close partner, then by whole sets. Only a spanning set of links
     leaves a task. Steps end in checkpoints, after which the shuffles before
@@ -337,18 +363,16 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, *, words: int, percent: int,
     equal = sets.filter("n > 0").join(reps, "key").filter("id != rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     texts = docs.select("id", "text")
     rows = _signature_rows(texts.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), words, percent)
-    bucket = Window.partitionBy("sig")
-    met = rows.select("id", F.min("id").over(bucket).alias("c"), F.max("id").over(bucket).alias("last"))
-    groups = cut(met.filter("c != last").select("c", "id").distinct(), files)
-    del rows, met
+    groups = cut(_meetings(rows, _heavy_signatures(texts, words, percent)), files)
+    del rows
     free_shuffles(docs)
     sketches = cut(_set_rows(texts.join(groups.select("id").distinct(), "id", "left_semi"), words, "sketch", lambda s: sketch(s).tobytes()), files)
     free_shuffles(docs)
-    alive = cut(_survivors(groups, sketches, percent), files)
+    alive = cut(_survivors(groups, sketches, percent, files), files)
     free_shuffles(docs)
     blobs = cut(_set_rows(texts.join(alive.select("id").distinct(), "id", "left_semi"), words, "blob", as_blob), files)
     free_shuffles(docs)
-    return _verified(alive, blobs, percent).unionByName(equal).distinct()
+    return _verified(alive, blobs, percent, files).unionByName(equal).distinct()
 
 
 def connected(links: DataFrame, files: int | None = None) -> DataFrame:

@@ -237,3 +237,14 @@ def test_best_container_without_article():
 def test_deep_nesting_and_size():
     assert extraction.main_text("<div>" * 5000 + "<p>deep, text</p>") == "deep, text"
     assert len(extraction.main_text("<article>" + "<p>word, word</p>" * 50_000 + "</article>").split("\n")) == 50_000
+
+
+def test_heavy_signatures_are_dealt_by_document(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HEAVY_SAMPLE", 2)
+    monkeypatch.setattr(neardup, "HEAVY_LEAST", 3)
+    texts = families(6)
+    inner = neardup._inner(docs(spark, texts), "doc_id", "text")
+    assert neardup._heavy_signatures(inner, 4, 85).count() > 20
+    want = groups_of(sets_of(texts, 4), 85)
+    got = neardup.near_duplicates(docs(spark, texts), words=4, percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
