@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshvec.functions.columns import hash_mask, hash_normal
+from meshvec.functions.lineage import cut
 from meshvec.operators import matrix
 
 
@@ -72,6 +73,7 @@ def protocol_square(spark: SparkSession, xa: DataFrame, xb: DataFrame, n: int, *
     whose correction C it keeps; each party publishes X minus its masks, one
     forms W, the other U, and U + T + T' is the square whatever the masks are.
     """
+    xa, xb = cut(xa), cut(xb)
     ra0, ra1, rb0, rb1, t, t2 = (random_matrix(spark, n, seed + k, size) for k in range(6))
     c = matrix.add((1, matrix.dot(ra0, rb1)), (1, matrix.dot(rb0, ra1)), (-1, t))
     a0, a1 = matrix.add((1, xa), (-1, ra0)), matrix.add((1, xa), (-1, ra1))
@@ -89,7 +91,9 @@ def masked_proximity(spark: SparkSession, xs: list[DataFrame], degree: DataFrame
     protocol_square. The masks leave no trace but rounding.
     """
     p, q = orthogonal_blocks(spark, n, seed, size), orthogonal_blocks(spark, n, seed + 1, size)
-    dq = matrix.diag_left(matrix.diagonal(degree), q, inverse=True)
+    p, q = cut(p), cut(q)
+    dq = cut(matrix.diag_left(matrix.diagonal(degree), q, inverse=True))
+    xs = [cut(x) for x in xs]
     sent = [mask(p, x, dq) for x in xs]
     if window == 2:
         sent.append(mask(p, protocol_square(spark, xs[0], xs[1], n, size=size, seed=seed + 2), dq))

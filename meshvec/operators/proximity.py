@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshvec.functions.lineage import cut
 from meshvec.operators import matrix
 
 
@@ -19,10 +20,13 @@ def truncated_log(m: DataFrame) -> DataFrame:
 
 
 def power_sum(x: DataFrame, window: int) -> DataFrame:
-    """X + X^2 + ... + X^window."""
+    """X + X^2 + ... + X^window. X and its powers are checkpointed, since each serves twice."""
+    if window > 1:
+        x = cut(x)
     terms, power = [(1.0, x)], x
-    for _ in range(window - 1):
+    for k in range(2, window + 1):
         power = matrix.dot(power, x)
+        power = cut(power) if k < window else power
         terms.append((1.0, power))
     return x if window == 1 else matrix.add(*terms)
 
@@ -40,6 +44,7 @@ def proximity(a: DataFrame, degree: DataFrame, vol: DataFrame, *, window: int =
 
 def party_squares(x: DataFrame, parties: int) -> DataFrame:
     """(sum of X_p)^2 from what pairs of parties can compute: the squares of pair sums, less (parties - 2) own squares. x: i, j, v, party."""
+    x = cut(x)
     own = [x.filter(F.col("party") == p).select("i", "j", "v") for p in range(1, parties + 1)]
     terms = []
     for p in range(parties):
