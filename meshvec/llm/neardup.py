@@ -76,7 +76,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-# Sizes are cut into bands [starts[j], starts[j+1]) as wide as 1/t^2. A pair belongs to the level of its larger set, so a
+# Sizes are cut into bands [starts[j], starts[j+1]) as wide as 1/t. A pair belongs to the level of its larger set, so a
 # set shows itself at its own level and, if it is large enough for that, at the next. Wider bands need fewer signatures,
 # but smaller parts, which more unlinked sets share.
 
@@ -86,7 +86,7 @@ def _starts(percent: int, j: int) -> int:
     if j == 0:
         return 1
     a = _starts(percent, j - 1)
-    return a * 100 * 100 // (percent * percent) + 1
+    return a * 100 // percent + 1
 
 
 @lru_cache(maxsize=None)
