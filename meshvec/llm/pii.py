@@ -78,7 +78,8 @@ def base_spans(text: str) -> list[Span]:
 # The conditional random field.
 
 TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\W_]+|\s+|.", re.DOTALL)
-TRIGGER = re.compile(r"@|[0-9]{3,}|[A-Za-z0-9_]{16,}")
+#: @, and each run of letters and digits that has a digit: a candidate segment needs one of them.
+TRIGGER = re.compile(r"@|(?<![A-Za-z0-9_])[A-Za-z_]*+[0-9][A-Za-z0-9_]*")
 HAS_DIGIT = re.compile(r"[0-9]")
 #: Words before a value that name it as a secret.
 SECRET_WORDS = frozenset(("password", "passwd", "pwd", "pass", "token", "secret", "key", "apikey", "api_key", "access_key", "auth", "bearer", "credential"))
@@ -92,11 +93,9 @@ MAX_TRAIN_DOCS, MAX_TRAIN_WINDOWS = 4000, 500
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around everything that could begin personal data; the rest of the text can't hold an entity."""
+    """Stretches around every @ and every run with a digit; the rest of the text has no candidate segment."""
     found: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
-        if m.group() != "@" and not HAS_DIGIT.search(m.group()):
-            continue
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
         if found and a <= found[-1][1]:
             found[-1] = (found[-1][0], b)
@@ -133,7 +132,7 @@ def _features(s: str, tokens: list[str], i: int, j: int, named: bool) -> np.ndar
     f[6] = f[3] and len(d) == 16
     f[7] = (j - i) / MOST_TOKENS
     f[8] = len(d) / len(s)
-    f[9] = len(s) >= 12 and 0 < len(d) < len(s) and bool(re.fullmatch(r"[A-Za-z0-9_]+", s))
+    f[9] = len(s) >= 8 and 0 < len(d) < len(s) and bool(re.fullmatch(r"[A-Za-z0-9_]+", s))
     f[10] = f[9] and _entropy(s) > 2.5
     f[11] = named
     f[12] = named and f[9]
@@ -305,6 +304,9 @@ SEED_LINES = (
     "in 2024 about 123456 people read version 3.11.4 of chapter 99871234",
     "call +1 (415) 555-0199 4024007198964305 is the card of bob.ray@site.example.org",
     "order 20231105998877 shipped to room 1200 on line 445566778899",
+    "the login password=a7b2k9d4 is old and token: Qw4rT8yU1pL is new",
+    'with api_key = "m3n8b5v2c7x1" and secret: z9y8w7v6u5 in the file',
+    "model abc12de4 of part x9k2m7 and file draft_v2b came in box 12 on day 7",
 )
 
 

@@ -187,6 +187,26 @@ def test_model_adds_spans(model):
     assert pii.find_spans(clean, model) == ([], [])
 
 
+@pytest.mark.parametrize("before,secret,after", [("login password=", "a1b2c3d4e5f6", " now"), ("token: ", "Zx9kQ2mB7pL4w", " was given"), ('api_key = "', "k8f7d6s5a4q3", '" in it'), ("a pwd=", "h4j5k6l7", " of old")])
+def test_short_named_secrets_are_found(model, before, secret, after):
+    text = "plain words go before it, " * 5 + before + secret + after + ", and plain words go after it" * 5
+    base, added = pii.find_spans(text, model)
+    assert base == [] and [(k, text[a:b]) for k, a, b in added] == [("secret", secret)]
+    assert secret not in pii.mask_text(text, added)
+
+
+def test_unnamed_short_runs_stay(model):
+    assert pii.find_spans("the plane b747x200 left gate b12 at 10:45, with chapter 3 of v2 of abc4defg and 7 people", model) == ([], [])
+
+
+def test_windows_hold_every_candidate():
+    rng = random.Random(6)
+    for _ in range(300):
+        t = " ".join(rng.choice((*PIECES, "a1b2c3d4", "password=", "é9", "word_7", "long" * 8)) for _ in range(rng.randint(0, 40)))
+        held = pii.windows(t)
+        assert all(any(a <= i < b for a, b in held) for i, c in enumerate(t) if c in "@0123456789")
+
+
 def test_detect_and_mask(spark, model):
     rows = [(1, "to a.b@c.org now"), (2, None), (3, ""), (4, "é 10.0.0.1 é"), (4, "é 10.0.0.1 é"), (None, "4539578763621486"), (6, "plain " * 50_000)]
     d = docs(spark, rows)
