@@ -19,25 +19,78 @@ BESIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist disqus replies reply respond cookie cookies consent gdpr notice notices alert footer header masthead topbar menu nav navbar navigation newsletter pagination pager popup modal overlay promo promotion promoted related recommended recommendations share sharing sidebar sidebars aside social sponsor sponsored subscribe subscription toolbar widget widgets legal disclaimer copyright login signin signup register search trending hidden".split()
 )
 KEPT_TAGS = frozenset(("html", "body", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose names are judged part by part.
+BOX_TAGS = frozenset("div section ul ol dl center fieldset table tbody details search figure".split())
+#: Parts of a name that only say what kind of box it is.
+BOXES = frozenset("area bar block bottom box body btn button buttons column container content div form global group holder icon icons inner item items left line link links list main message outer page panel post posts primary rail right row section site slot stories story the this thread top unit wrap wrapper zone".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 WORDS = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 #: Points by which containers start.
 START = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "th": -5.0}
 
 
+def named(name: str, words: frozenset[str]) -> bool:
+    """Is a class or id as a whole such a word, or one with parts that only say what kind of box it is (cookie-notice, ad-slot-2)?"""
+    parts = [w.lower() for w in WORDS.findall(name)]
+    return any(w in words for w in parts) and all(w in words or w in BOXES or w.isdigit() for w in parts)
+
+
 def beside(node: Node) -> bool:
-    """Does an element stand beside the article, by its tag, role, or the words of its class and id?"""
-    if node.tag in APART:
+    """Does an element stand beside the article, by its tag, role, or names?
+
+    A word of a longer name (related-work, hidden-markov-models) says nothing
+    by itself: boxes that have one stand beside if half of their text or more
+    is links; headings, paragraphs, items and inline elements stay, and their
+    ids, which are slugs of their texts, are not looked at.
+    """
+    if node.tag in APART and not (node.tag == "form" and node.holds):
         return True
     if not node.attrs.strip():
         return False
     a = node.attributes()
-    if a.get("role", "").lower() in ROLES or a.get("aria-hidden") == "true" or "hidden" in a or re.search(r"display\s*:\s*none", a.get("style", "")):
+    role = a.get("role", "").lower()
+    if role in ROLES and not (role == "form" and node.holds) or a.get("aria-hidden") == "true" or "hidden" in a or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    words = {w.lower() for w in WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
     if node.tag in KEPT_TAGS or node.holds and node.tag != "article":  # a name such as has-sidebar on what wraps the article
         return False
-    return bool(words & (COMMENTS if node.tag == "article" else BESIDE))
+    classes, ident = a.get("class", "").split(), a.get("id", "")
+    if node.tag == "article":
+        return any(named(c, COMMENTS) for c in [*classes, ident])
+    if node.tag in HEADINGS:
+        return any(c.lower() in BESIDE - {"header"} for c in classes)
+    if node.tag not in BOX_TAGS:
+        return any(named(c, BESIDE) for c in classes)
+    section = node.tag == "section" or "section" in classes
+    if any(named(c, BESIDE) for c in (classes if section else [*classes, ident])):
+        return True
+    words = {w.lower() for w in WORDS.findall(f"{a.get('class', '')} {ident}")}
+    return bool(words & BESIDE) and linked(node)
+
+
+def linked(node: Node) -> bool:
+    """Is half of an element's text or more inside links? An element without text counts as linked."""
+    if node.share is None:
+        stack, sizes = [(node, iter(node.children))], {node: [0, 0]}
+        while stack:
+            x, rest = stack[-1]
+            child = next(rest, None)
+            if isinstance(child, str):
+                sizes[x][0] += len(child) - child.count(" ")
+            elif child is not None:
+                if child.share is None:
+                    sizes[child] = [0, 0]
+                    stack.append((child, iter(child.children)))
+                else:
+                    sizes[x] = [sizes[x][0] + child.share[0], sizes[x][1] + child.share[1]]
+            else:
+                stack.pop()
+                size, inside = sizes.pop(x)
+                x.share = (size, size if x.tag == "a" else inside)
+                if stack:
+                    up = sizes[stack[-1][0]]
+                    up[0], up[1] = up[0] + x.share[0], up[1] + x.share[1]
+    return 2 * node.share[1] >= node.share[0]
 
 
 def scored(root: Node) -> tuple[dict[Node, float], dict[Node, tuple[int, int]]]:

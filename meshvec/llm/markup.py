@@ -20,12 +20,12 @@ SCOPE = frozenset("html body table td th caption button object template".split()
 
 
 class Node:
-    """An element; holds: an article or main element lies below it."""
+    """An element; holds: an article or main element lies below it; share: characters and those in links, once counted."""
 
-    __slots__ = ("tag", "attrs", "parent", "children", "holds")
+    __slots__ = ("tag", "attrs", "parent", "children", "holds", "share")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children, self.holds = tag, attrs, parent, [], False
+        self.tag, self.attrs, self.parent, self.children, self.holds, self.share = tag, attrs, parent, [], False, None
         if tag in ("article", "main"):
             while parent is not None and not parent.holds:
                 parent.holds = True

@@ -234,6 +234,21 @@ def test_best_container_without_article():
     assert extraction.main_text(PAGE % body) == "\n".join(["Head", *(f"Paragraph {i}, with words, and more words in it." for i in range(5))])
 
 
+def test_slugs_of_headings_stay():
+    body = '<article id="comments-on-search"><h2 id="related-work">Related</h2><p class="legal-text">Legal, text.</p><section id="search-algorithms"><h3 id="search">Search</h3><p>Trees, and more.</p></section><div id="hidden-markov-models"><p>States <span id="share-of-x">and</span> <a id="notice-1" class="search-term" href=x>links</a>.</p></div>%s</article>'
+    beside = '<section class="comments"><p>Nice!</p></section><div class="related-posts"><p>Other, story</p></div><div class="more-related-reads"><a href=x>Other</a> <a href=y>story</a></div><div id="cookie-notice">Cookies, many</div><p class="ad">Buy!</p>'
+    assert extraction.main_text(PAGE % (body % beside)) == "Related\nLegal, text.\nSearch\nTrees, and more.\nStates and links."
+
+
+def test_form_around_the_page():
+    html = f'<html><body><form id="aspnetForm" role="form"><input><div class="menu">Menu</div>{ARTICLE}<form><p>Subscribe, now</p></form></form></body></html>'
+    assert extraction.main_text(html) == WANT
+
+
+def test_deep_boxes_are_counted_once():
+    assert extraction.main_text('<div class="x-search-y">' * 5000 + "<p>deep, text</p>") == "deep, text"
+
+
 def test_deep_nesting_and_size():
     assert extraction.main_text("<div>" * 5000 + "<p>deep, text</p>") == "deep, text"
     assert len(extraction.main_text("<article>" + "<p>word, word</p>" * 50_000 + "</article>").split("\n")) == 50_000
