@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +18,10 @@ SHARD_PIECES = 16384
 #: The split pattern of the byte-level BPE vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: tiktoken's split fails at runs of 1,000,000 white-space characters; long before that, texts take the other path.
+LONG_RUN = 100_000
+SPACES = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}")
+
 
 def _byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in the vocabulary file: printable Latin-1 as it is, the rest from U+0100 on."""
@@ -48,7 +53,7 @@ class Ids:
         return cls.kept[path]
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or len(text) >= LONG_RUN and SPACES.search(text):
             if self.exact is None:
                 from tokenizers import Tokenizer
 

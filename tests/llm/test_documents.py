@@ -63,6 +63,14 @@ def test_packing_edge_cases(spark):
     assert len({(r["sequence_id"], r["offset"]) for r in twice}) == 3
 
 
+def test_long_white_space_is_encoded():
+    from tokenizers import Tokenizer
+
+    ids, exact = packing.Ids.of(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
+    for text in (" " * 1_000_000 + "x", "a" + "\n" * 1_000_001 + " b", "a " + "\t " * 600_000, "é" + "\u3000" * 1_000_000 + "x", "a b\n" * 300_000, " " * 99_999 + "x" + " " * 99_999):
+        assert ids(text) == np.asarray(exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_best_two_fit():
     rng = random.Random(4)
     for n in (0, 1, 7, 3000):
