@@ -100,6 +100,18 @@ def test_sampling_tends_to_its_expectation(spark):
     assert abs(flipped.sum() / want.sum() - 0.5) < 1e-6
 
 
+def test_parties_walk_on_their_own_edges(spark):
+    rng = np.random.default_rng(3)
+    own = {p: {(i, (i + p) % 10) for i in range(10)} | {(int(i), int(j)) for i, j in rng.integers(0, 10, (12, 2)) if i != j} | {(0, 5)} for p in (1, 2)}
+    held = spark.createDataFrame([(i, j, p, 1.0) for p in own for i, j in sorted(own[p])], "src long, dst long, party int, w double")
+    got = walks.path_samples(held, window=3, per_edge=4000, workers=1, parties=2)
+    for p in own:
+        mine = matrix.to_dense(got.filter(F.col("party") == p).select("i", "j", "v"), 10)
+        want = matrix.to_dense(walks.expected_sparsifier(matrix.from_edges(held.filter(F.col("party") == p)), window=3, parties=2), 10)
+        assert np.abs(mine - want).sum() / want.sum() < 0.06
+        assert not mine[want == 0].any()
+
+
 def test_dead_ends_stay(spark):
     held = spark.createDataFrame([(0, 1, 1, 1.0)], "src long, dst long, party int, w double")
     rows = walks.path_samples(held, window=2, per_edge=64, workers=1, parties=1).collect()
