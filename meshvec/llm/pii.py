@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -146,35 +147,55 @@ def _features(s: str, tokens: list[str], i: int, j: int, named: bool) -> np.ndar
     return f
 
 
-def lattice(text: str, a: int, b: int) -> Lattice:
-    tokens = TOKEN.findall(text, a, b)
-    starts = [a]
-    for t in tokens:
-        starts.append(starts[-1] + len(t))
-    n = len(tokens)
-    solid = [not t.isspace() for t in tokens]
-    # names[i]: a word for a secret stands just before token i, but for a sign or quote
-    names, last = [False] * n, 99
-    for i, t in enumerate(tokens):
-        names[i] = last <= 2
-        last = 0 if t.lower() in SECRET_WORDS else last + (solid[i] if t not in "=:\"'" else 0) + (1 if "\n" in t else 0) + (1 if last == 0 and solid[i] and t not in "=:\"'" else 0)
-    outside = np.zeros((n, 4))
-    segments: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n + 1)]
-    for i, t in enumerate(tokens):
-        outside[i] = (1, solid[i], t == "@", bool(HAS_DIGIT.search(t)))
-        if not solid[i] or not (t[0].isascii() and (t[0].isalnum() or t[0] in "+_.%-(")):
-            continue
-        telling = False
-        for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
-            u = tokens[j - 1]
-            if "\n" in u:
+def columns(text: str, a: int, b: int) -> Iterator[tuple[int, tuple[bool, ...], list[tuple[int, np.ndarray]]]]:
+    """For each token of a window: its end, its outside features, and the candidate segments that end with it, as (first token, features).
+
+    Only the last MOST_TOKENS tokens and the two beside them are held.
+    """
+    held: deque[tuple[str, int, bool, bool, bool]] = deque(maxlen=MOST_TOKENS + 2)  # token, start, named, may begin, is telling
+    last, n = 99, 0
+
+    def ending(after: list[str]) -> list[tuple[int, np.ndarray]]:
+        found: list[tuple[int, np.ndarray]] = []
+        u, at = held[-1][:2]
+        if u.isspace() or not (u[-1].isalnum() or u[-1] in "_-"):
+            return found
+        telling, m = False, len(held)
+        tokens = [h[0] for h in held] + after
+        for back in range(1, min(m, MOST_TOKENS) + 1):
+            t, start, named, begins, tells = held[m - back]
+            if "\n" in t:
                 break
-            telling = telling or u == "@" or bool(HAS_DIGIT.search(u))
-            if telling and solid[j - 1] and (u[-1].isalnum() or u[-1] in "_-"):
-                s = text[starts[i] : starts[j]]
-                if len(s) >= 6:
-                    segments[j].append((i, _features(s, tokens, i, j, names[i])))
-    return Lattice(starts, outside, segments)
+            telling = telling or tells
+            if telling and begins and at + len(u) - start >= 6:
+                found.append((n - back, _features(text[start : at + len(u)], tokens, m - back, m, named)))
+        return found[::-1]
+
+    def column(after: list[str]) -> tuple[int, tuple[bool, ...], list[tuple[int, np.ndarray]]]:
+        t, start, _, _, tells = held[-1]
+        return start + len(t), (True, not t.isspace(), t == "@", tells and t != "@"), ending(after)
+
+    for match in TOKEN.finditer(text, a, b):
+        t = match.group()
+        if held:
+            yield column([t])
+        solid, sign = not t.isspace(), t in "=:\"'"
+        # named: a word for a secret stands just before the token, but for a sign or quote
+        held.append((t, match.start(), last <= 2, solid and t[0].isascii() and (t[0].isalnum() or t[0] in "+_.%-("), t == "@" or bool(HAS_DIGIT.search(t))))
+        last = 0 if t.lower() in SECRET_WORDS else last + (solid if not sign else 0) + ("\n" in t) + (last == 0 and solid and not sign)
+        n += 1
+    if held:
+        yield column([])
+
+
+def lattice(text: str, a: int, b: int) -> Lattice:
+    """All columns of a window at once, for learning."""
+    starts, outside, segments = [a], [], [[]]
+    for end, out, ending in columns(text, a, b):
+        starts.append(end)
+        outside.append(out)
+        segments.append(ending)
+    return Lattice(starts, np.array(outside, float).reshape(-1, 4), segments)
 
 
 @dataclass
@@ -185,29 +206,39 @@ class SpanModel:
     outside: np.ndarray
     after: np.ndarray
 
-    def decode(self, lat: Lattice) -> list[Span]:
-        """The best segmentation: for each token that could end a segment, over all kinds and starts within the bound."""
-        n, k = len(lat.outside), len(KINDS) + 1
-        best = np.full((n + 1, k), -np.inf)
+    def decode(self, text: str, a: int, b: int) -> list[Span]:
+        """The best segmentation of a window: for each token that could end a segment, over all kinds and starts within the bound.
+
+        Scores of the last MOST_TOKENS + 1 places are held; of the others only
+        two bytes a kind (how far back, from which kind) and the place's offset.
+        """
+        k, ring = len(KINDS) + 1, MOST_TOKENS + 1
+        best = np.full((ring, k), -np.inf)
         best[0, 0] = 0
-        back: list[list[tuple[int, int]]] = [[(0, 0)] * k for _ in range(n + 1)]
-        out = lat.outside @ self.outside
-        for j in range(1, n + 1):
-            before = best[j - 1] + self.after[:, 0]
+        far, kind_before, starts = array("B", bytes(k)), array("B", bytes(k)), array("q", [a])
+        n = 0
+        for end, out, ending in columns(text, a, b):
+            n += 1
+            here, far_here, before_here = np.full(k, -np.inf), [0] * k, [0] * k
+            before = best[(n - 1) % ring] + self.after[:, 0]
             y = int(np.argmax(before))
-            best[j, 0], back[j][0] = before[y] + out[j - 1], (j - 1, y)
-            for i, f in lat.segments[j]:
-                reach = best[i][:, None] + self.after[:, 1:]
+            here[0], far_here[0], before_here[0] = before[y] + np.dot(out, self.outside), 1, y
+            for i, f in ending:
+                reach = best[i % ring][:, None] + self.after[:, 1:]
                 ys = np.argmax(reach, 0)
                 score = reach[ys, np.arange(k - 1)] + f @ self.spans
-                for y in np.flatnonzero(score > best[j, 1:]):
-                    best[j, y + 1], back[j][y + 1] = score[y], (i, int(ys[y]))
-        found, j, y = [], n, int(np.argmax(best[n]))
+                for y in np.flatnonzero(score > here[1:]):
+                    here[y + 1], far_here[y + 1], before_here[y + 1] = score[y], n - i, int(ys[y])
+            best[n % ring] = here
+            far.extend(far_here)
+            kind_before.extend(before_here)
+            starts.append(end)
+        found, j, y = [], n, int(np.argmax(best[n % ring]))
         while j > 0:
-            i, before = back[j][y]
+            i = j - far[j * k + y]
             if y:
-                found.append((KINDS[y - 1], lat.starts[i], lat.starts[j]))
-            j, y = i, before
+                found.append((KINDS[y - 1], starts[i], starts[j]))
+            j, y = i, kind_before[j * k + y]
         return found[::-1]
 
 
@@ -350,11 +381,11 @@ def find_spans(text: str, model: SpanModel) -> tuple[list[Span], list[Span]]:
     taken = sorted((s, e) for _, s, e in base)
     added, i = [], 0
     for a, b in windows(text):
-        for kind, s, e in model.decode(lattice(text, a, b)):
+        for kind, s, e in model.decode(text, a, b):
             while i < len(taken) and taken[i][1] <= s:
                 i += 1
             # base spans of different kinds may overlap, so look at all that start before e
-            if not any(x < e and y > s for x, y in taken[max(0, i - 4) :][:12]):
+            if not any(x < e and y > s for x, y in taken[max(0, i - 4) : max(0, i - 4) + 12]):
                 added.append((kind, s, e))
     return base, added
 

@@ -207,6 +207,21 @@ def test_windows_hold_every_candidate():
         assert all(any(a <= i < b for a, b in held) for i, c in enumerate(t) if c in "@0123456789")
 
 
+def test_decoding_holds_few_columns():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    k = len(pii.KINDS) + 1
+    m = pii.SpanModel(rng.normal(0, 0.3, (pii.N_FEATURES, k - 1)), rng.normal(0, 0.3, 4), rng.normal(0, 0.3, (k, k)))
+    text = " ".join(str(1000 + i) for i in range(3000))
+    assert pii.windows(text) == [(0, len(text))]
+    tracemalloc.start()
+    m.decode(text, 0, len(text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(text)
+
+
 def test_detect_and_mask(spark, model):
     rows = [(1, "to a.b@c.org now"), (2, None), (3, ""), (4, "é 10.0.0.1 é"), (4, "é 10.0.0.1 é"), (None, "4539578763621486"), (6, "plain " * 50_000)]
     d = docs(spark, rows)
