@@ -61,14 +61,20 @@ def one_vs_rest(train: DataFrame, test: DataFrame, labels: list[int], *, c: floa
     return out
 
 
+#: Labels that classify takes at most, one model each.
+MAX_LABELS = 10_000
+
+
 def classify(vectors: DataFrame, truth: DataFrame, fractions: list[float], *, repeats: int = 1, seed: int = 0) -> DataFrame:
     """fraction, micro_f1, macro_f1, means over repeats of: split, train, take the k best labels, score.
 
     vectors: node, vec; truth: node, label. The labels must be few, since each
-    is one model.
+    is one model; more than MAX_LABELS raise an error.
     """
     spark: SparkSession = vectors.sparkSession
-    names = [r["label"] for r in truth.select("label").distinct().orderBy("label").limit(10_000).collect()]
+    names = [r["label"] for r in truth.select("label").distinct().orderBy("label").limit(MAX_LABELS + 1).collect()]
+    if len(names) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     sets = truth.groupBy("node").agg(F.collect_set("label").alias("labels"))
     data = cut(vectors.join(sets, "node"))
     rows = []

@@ -172,6 +172,13 @@ def test_metrics(spark):
     assert evaluate.macro_f1(counts).first()[0] == pytest.approx(4 / 9)
 
 
+def test_too_many_labels_raise(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "MAX_LABELS", 2)
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "node long, vec array<double>")
+    with pytest.raises(ValueError, match="more than 2 labels"):
+        evaluate.classify(vectors, spark.createDataFrame([(i, i % 3) for i in range(6)], "node long, label int"), [0.5])
+
+
 def test_streaming_degrees(spark, tmp_path):
     from meshvec.streaming.degrees import running_degrees
 
