@@ -26,6 +26,10 @@ BOX_TAGS = frozenset("div section ul ol dl center fieldset table tbody details s
 BOXES = frozenset("area bar block bottom box body btn button buttons column container content div form global group holder icon icons inner item items left line link links list main message outer page panel post posts primary rail right row section site slot stories story the this thread top unit wrap wrapper zone".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 WORDS = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
+#: Boxes that stand beside the article if they are lists of links, from so many links on.
+LIST_TAGS, LEAST_LINKS = frozenset("div section ul ol dl table center".split()), 3
+#: Characters that an element needs to prevail over its name.
+LEAST_PREVAILING = 250
 #: Points by which containers start.
 START = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "th": -5.0}
 
@@ -36,140 +40,160 @@ def named(name: str, words: frozenset[str]) -> bool:
     return any(w in words for w in parts) and all(w in words or w in BOXES or w.isdigit() for w in parts)
 
 
-def beside(node: Node) -> bool:
-    """Does an element stand beside the article, by its tag, role, or names?
+def beside(node: Node, total: int) -> bool:
+    """Does an element stand beside the article? total: the characters of the page's text.
 
-    A word of a longer name (related-work, hidden-markov-models) says nothing
-    by itself: boxes that have one stand beside if half of their text or more
-    is links; headings, paragraphs, items and inline elements stay, and their
-    ids, which are slugs of their texts, are not looked at.
+    By its tag or role alone, menus, forms and the like do. A name that only
+    says so (cookie-notice, ad-slot-2) counts unless the element holds more
+    than half of the page's text, and some of it (LEAST_PREVAILING), that is no
+    links: then it is what the page is about, or a wrapper of that. A word of a longer name (related-work,
+    hidden-markov-models) counts for boxes whose text is links for the most
+    part; headings, paragraphs, items and inline elements stay, and their ids,
+    which are slugs of their texts, are not looked at. Boxes that are lists of
+    links stand beside whatever their names are.
     """
+    return by_kind(node) or named_beside(node, total) or link_list(node)
+
+
+def apart(node: Node) -> bool:
+    """What scored found out."""
+    return node.apart
+
+
+def by_kind(node: Node) -> bool:
     if node.tag in APART and not (node.tag == "form" and node.holds):
         return True
     if not node.attrs.strip():
         return False
     a = node.attributes()
     role = a.get("role", "").lower()
-    if role in ROLES and not (role == "form" and node.holds) or a.get("aria-hidden") == "true" or "hidden" in a or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
-    if node.tag in KEPT_TAGS or node.holds and node.tag != "article":  # a name such as has-sidebar on what wraps the article
+    return role in ROLES and not (role == "form" and node.holds) or a.get("aria-hidden") == "true" or "hidden" in a or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
+
+
+def named_beside(node: Node, total: int) -> bool:
+    if not node.attrs.strip() or node.tag in KEPT_TAGS or node.holds and node.tag != "article":  # a name such as has-sidebar on what wraps the article
         return False
+    a = node.attributes()
     classes, ident = a.get("class", "").split(), a.get("id", "")
+    if any(named(c, COMMENTS) for c in ([*classes, ident] if node.tag in BOX_TAGS or node.tag == "article" else classes)):
+        return node.tag not in HEADINGS or any(c.lower() in COMMENTS for c in classes)
     if node.tag == "article":
-        return any(named(c, COMMENTS) for c in [*classes, ident])
+        return False
     if node.tag in HEADINGS:
         return any(c.lower() in BESIDE - {"header"} for c in classes)
     if node.tag not in BOX_TAGS:
         return any(named(c, BESIDE) for c in classes)
     section = node.tag == "section" or "section" in classes
     if any(named(c, BESIDE) for c in (classes if section else [*classes, ident])):
-        return True
+        return linked(node) or node.share[0] < LEAST_PREVAILING or 2 * node.share[0] <= total
     words = {w.lower() for w in WORDS.findall(f"{a.get('class', '')} {ident}")}
     return bool(words & BESIDE) and linked(node)
 
 
+def link_list(node: Node) -> bool:
+    """Is a box made of LEAST_LINKS links or more, which hold half of its text or more?"""
+    return node.tag in LIST_TAGS and linked(node) and node.share[2] >= LEAST_LINKS
+
+
+def measure(root: Node) -> None:
+    """Give every element its share: characters other than spaces, those inside links, and the number of links with text. What is apart by its kind counts nothing."""
+    stack = [(root, iter(root.children))]
+    root.share = [0, 0, 0]
+    while stack:
+        node, rest = stack[-1]
+        child = next(rest, None)
+        if isinstance(child, str):
+            node.share[0] += len(child) - child.count(" ")
+        elif child is not None:
+            child.share = [0, 0, 0]
+            if not by_kind(child):
+                stack.append((child, iter(child.children)))
+        else:
+            stack.pop()
+            if node.tag == "a" and node.share[0]:
+                node.share[1:] = node.share[0], max(1, node.share[2])
+            if stack:
+                up = stack[-1][0].share
+                for i in range(3):
+                    up[i] += node.share[i]
+
+
 def linked(node: Node) -> bool:
     """Is half of an element's text or more inside links? An element without text counts as linked."""
-    if node.share is None:
-        stack, sizes = [(node, iter(node.children))], {node: [0, 0]}
-        while stack:
-            x, rest = stack[-1]
-            child = next(rest, None)
-            if isinstance(child, str):
-                sizes[x][0] += len(child) - child.count(" ")
-            elif child is not None:
-                if child.share is None:
-                    sizes[child] = [0, 0]
-                    stack.append((child, iter(child.children)))
-                else:
-                    sizes[x] = [sizes[x][0] + child.share[0], sizes[x][1] + child.share[1]]
-            else:
-                stack.pop()
-                size, inside = sizes.pop(x)
-                x.share = (size, size if x.tag == "a" else inside)
-                if stack:
-                    up = sizes[stack[-1][0]]
-                    up[0], up[1] = up[0] + x.share[0], up[1] + x.share[1]
     return 2 * node.share[1] >= node.share[0]
 
 
-def scored(root: Node) -> tuple[dict[Node, float], dict[Node, tuple[int, int]]]:
-    """Points of containers, and of every element the characters below it and those inside links.
+def scored(root: Node) -> dict[Node, float]:
+    """Points of containers, discounted by the share of their text that is links.
 
     A paragraph is an element's run of own text and inline elements. It gives 1
-    point, 1 for each comma and up to 3 for its length; its container gets all
-    of them, the next ancestor half, and those above a third, a quarter, ...
+    point, 1 for each comma and up to 3 for its length to its container; every
+    container passes half of what it has got on to its parent, so a paragraph
+    counts half for the next ancestor, a quarter for the one above, and so on.
+    One pass from the leaves up: the work follows the size of the page, not its
+    depth.
     """
-    points: dict[Node, float] = {}
-    chars: dict[Node, list[int]] = {}
+    got: dict[Node, float] = {}
 
     def pay(owner: Node, text: str) -> None:
         text = " ".join(text.split())
-        if not text:
-            return
-        value = 1 + text.count(",") + text.count("、") + min(3.0, len(text) / 100)
-        x: Node | None = owner.parent if owner.tag in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6") else owner
-        share = 1
-        while x is not None:
-            points[x] = points.get(x, START.get(x.tag, 0.0)) + value / share
-            x, share = x.parent, share + 1
-
-    stack: list[tuple[Node, Iterator, bool]] = [(root, iter(root.children), False)]
+        if text:
+            to = owner.parent if owner.tag in ("p", "pre", *HEADINGS) and owner.parent is not None else owner
+            got[to] = got.get(to, 0.0) + 1 + text.count(",") + text.count("、") + min(3.0, len(text) / 100)
+
+    stack: list[tuple[Node, Iterator]] = [(root, iter(root.children))]
     runs: list[list[str]] = [[]]
-    chars[root] = [0, 0]
     while stack:
-        node, rest, linked = stack[-1]
+        node, rest = stack[-1]
         child = next(rest, None)
         if child is None:
             stack.pop()
             if node.tag in BLOCK or not stack:
                 pay(node, "".join(runs.pop()))
-            if stack:
-                for i in (0, 1):
-                    chars[stack[-1][0]][i] += chars[node][i]
+            if stack and node in got:
+                up = stack[-1][0]
+                got[up] = got.get(up, 0.0) + got[node] / 2
         elif isinstance(child, str):
             runs[-1].append(child)
-            size = len(child) - child.count(" ")
-            chars[node][0] += size
-            chars[node][1] += size if linked else 0
-        elif not beside(child):
-            chars[child] = [0, 0]
+        else:
+            child.apart = beside(child, root.share[0])
+            if child.apart:
+                continue
             if child.tag in BLOCK:
                 runs.append([])
-            stack.append((child, iter(child.children), linked or child.tag == "a"))
-    return points, {k: (v[0], v[1]) for k, v in chars.items()}
+            stack.append((child, iter(child.children)))
+    return {x: (p + START.get(x.tag, 0.0)) * (1 - x.share[1] / max(1, x.share[0])) for x, p in got.items()}
 
 
 def main_text(html: str | None) -> str:
-    """The blocks of the best container and its siblings, one a line; empty if a page has none."""
+    """The blocks of the best container and its siblings, one a line; empty if a page has none.
+
+    An article or main element around the best container is taken whole, but
+    for what stands beside the article inside it.
+    """
     if not html:
         return ""
     root = parse(html)
-    points, chars = scored(root)
+    measure(root)
+    points = scored(root)
     if not points:
         return ""
-
-    def density(x: Node) -> float:
-        return chars[x][1] / max(1, chars[x][0])
-
-    final = {x: p * (1 - density(x)) for x, p in points.items()}
-    best = max(final, key=final.__getitem__)
+    best = max(points, key=points.__getitem__)
     x: Node | None = best
     while x is not None and x.tag not in ("article", "main"):
         x = x.parent
     if x is not None:
         # the article that holds the best container; a best container around several articles stays as it is
-        return "\n".join(blocks(x, beside))
+        return "\n".join(blocks(x, apart))
     if best.parent is None or best.tag in ("body", "html"):
-        return "\n".join(blocks(best, beside))
+        return "\n".join(blocks(best, apart))
     out: list[str] = []
     for s in best.parent.children:
-        if isinstance(s, str) or beside(s) or s not in chars:
+        if isinstance(s, str) or apart(s):
             continue
-        long = s.tag in ("p", "pre", "blockquote") and density(s) < 0.25 and chars[s][0] > 0
-        heading = s.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if s is best or heading or long or final.get(s, 0.0) >= max(4.0, 0.2 * final[best]):
-            out += blocks(s, beside)
+        prose = s.tag in ("p", "pre", "blockquote") and 4 * s.share[1] < s.share[0]
+        if s is best or s.tag in HEADINGS or prose or points.get(s, 0.0) >= max(4.0, 0.2 * points[best]):
+            out += blocks(s, apart)
     return "\n".join(out)
 
 
@@ -179,8 +203,9 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     Paragraphs pass points for length and commas up to their ancestors,
     discounted by the share of link text; the container with most, or the
     article around it, is kept with its siblings of comparable score. Menus,
-    headers, footers, sidebars, notices, adverts, forms, scripts and reader
-    comments take no part.
+    headers, footers, sidebars, notices, adverts, forms, scripts, lists of
+    links and reader comments take no part. Time and memory follow the length
+    of a page.
 
     Defined cases: null or empty html gives an empty text; null ids and urls
     stay; repeated rows have a result each; unclosed and stray tags are mended;

@@ -257,6 +257,99 @@ def test_deep_boxes_are_counted_once():
     assert extraction.main_text('<div class="x-search-y">' * 5000 + "<p>deep, text</p>") == "deep, text"
 
 
+HARD_PAGES = {
+    "open tags": "<a " * 350_000, "open quotes": '<a href="' * 110_000, "open signs": "<!x" * 350_000, "nested": "<div>" * 200_000 + "t, x", "nested texts": "<div>t, x" * 100_000,
+    "cells": "<p><td>" + "<div>" * 190_000, "inline": "<b><i>" * 160_000 + "x", "stray ends": "<b>x</i>" * 120_000, "scripts": "</script" * 60_000 + "<script>" + "</script" * 60_000,
+    "quoted ends": '<a x=">"' * 120_000, "apostrophes": "<p class=it's>don't</p>" * 40_000, "names": '<div class="ad box">' * 40_000 + "x, y" * 100, "signs": "<" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", HARD_PAGES)
+def test_malformed_pages_take_linear_time(name):
+    import time
+
+    began = time.process_time()
+    extraction.main_text(HARD_PAGES[name])
+    assert time.process_time() - began < 8  # about 1 MB each; one to three seconds
+
+
+def test_quotes_and_ends_of_tags():
+    assert extraction.main_text('<article><p title="a > b" class=it\'s>one, don\'t<a href=/x/>two</a></p></article>') == "one, don'ttwo"
+    assert extraction.main_text("<article><p>one, two</p><p>three <b") == "one, two\nthree"
+
+
+def plain_scores(root):
+    """Every paragraph's points times 1/2 for each level, over all its ancestors one by one."""
+    total = {}
+
+    def below(node, runs, linked):
+        for c in node.children:
+            if isinstance(c, str):
+                runs[-1][1].append(c)
+            elif not c.apart:
+                if c.tag in extraction.BLOCK:
+                    runs.append((c, []))
+                    mine = runs[-1]
+                    below(c, runs, linked)
+                    runs.remove(mine)
+                    done.append(mine)
+                else:
+                    below(c, runs, linked)
+
+    done, first = [], (root, [])
+    below(root, [first], False)
+    for owner, texts in [*done, first]:
+        text = " ".join("".join(texts).split())
+        if text:
+            x, share = owner.parent if owner.tag in ("p", "pre", *extraction.HEADINGS) and owner.parent else owner, 1.0
+            while x is not None:
+                total[x] = total.get(x, 0) + share * (1 + text.count(",") + text.count("、") + min(3, len(text) / 100))
+                x, share = x.parent, share / 2
+    return {x: (p + extraction.START.get(x.tag, 0)) * (1 - x.share[1] / max(1, x.share[0])) for x, p in total.items()}
+
+
+def random_page(rng, article):
+    """A page and the text of its article."""
+    prose = lambda: ", ".join(f"word{rng.randrange(99)} and more words here" for _ in range(rng.randint(2, 9))) + "."
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/{i}>story {i} to read</a></li>" for i in range(n)) + "</ul>"
+    junk = [lambda: f'<div class="more-stories">{links(10)}</div>', lambda: f'<div class="ad">{prose()}</div>', lambda: f"<aside><p>{prose()}</p></aside>", lambda: f"<nav>{links(4)}</nav>", lambda: "<script>var a = '<p>x, y</p>';</script>", lambda: f'<section class="comments"><p>{prose()}</p></section>']
+    inside, want = [], []
+    for _ in range(rng.randint(6, 12)):
+        kind, text = rng.randrange(4), prose()
+        want.append(text)
+        inside.append((f"<p>{text}</p>", f"<p>{text[:9]}<b>{text[9:]}</b>", f"<h2 id='related-{kind}'>{text}</h2>", f"<p>{text[:-2]}<a href=x>{text[-2:]}</a></p>")[kind])
+        if rng.random() < 0.4:
+            inside.append(rng.choice(junk)())
+    wrapper = rng.choice(('<div class="content has-sidebar">', '<div class="social-content">', '<div id="register-of-deeds">', "<div>", "<main>"))
+    body = f"<{article}>" + "\n".join(inside) + f"</{article}>"
+    sides = [rng.choice(junk)() for _ in range(4)]
+    return f"<html><body><header>Top, of, page</header>{sides[0]}{wrapper}{sides[1]}{body}{sides[2]}</{wrapper[1:].split()[0].rstrip('>')}>{sides[3]}<footer>End, of, page</footer></body></html>", "\n".join(want)
+
+
+@pytest.mark.parametrize("article", ["article", "div", "section"])
+def test_random_pages(article):
+    rng = random.Random(12)
+    for _ in range(150):
+        html, want = random_page(rng, article)
+        assert extraction.main_text(html) == want
+        root = extraction.parse(html)
+        extraction.measure(root)
+        points = extraction.scored(root)
+        plain = plain_scores(root)
+        assert points.keys() == plain.keys() and all(abs(points[x] - plain[x]) < 1e-9 for x in plain)
+
+
+def test_names_do_not_lose_what_prevails():
+    text = "\n".join(f"<p>Paragraph {i}, with words, and more words in it.</p>" for i in range(12))
+    want = "\n".join(f"Paragraph {i}, with words, and more words in it." for i in range(12))
+    for wrapper in ('class="content has-sidebar"', 'class="social-content"', 'id="register-of-deeds"', 'class="search-content"'):
+        assert extraction.main_text(PAGE % f"<div {wrapper}>{text}</div>") == want
+    links = "".join(f"<li><a href=/{i}>Story {i}</a>" for i in range(10))
+    for box in (f"<ul>{links}</ul>", f'<div class="more-stories"><ul>{links}</ul></div>'):
+        assert extraction.main_text(PAGE % f"<main>{text}{box}</main>") == want
+    assert extraction.main_text(PAGE % f'<div class="post">{text}</div><div class="comments">{text * 3}</div>') == want
+
+
 def test_deep_nesting_and_size():
     assert extraction.main_text("<div>" * 5000 + "<p>deep, text</p>") == "deep, text"
     assert len(extraction.main_text("<article>" + "<p>word, word</p>" * 50_000 + "</article>").split("\n")) == 50_000
