@@ -11,6 +11,8 @@ from meshvec.llm.common import cut, let
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
 HASH = (1 << 63) - 1 - PLACE
+#: An id is hot if it has more rows than both HOT_LEAST and one in HOT_SHARE of all, so no more than HOT_SHARE ids are.
+HOT_LEAST, HOT_SHARE = 10_000, 1000
 
 
 def order_minhash(text: Column, *, k: int = 3, take: int = 2, bins_log2: int = 6) -> Column:
@@ -26,7 +28,9 @@ def order_minhash(text: Column, *, k: int = 3, take: int = 2, bins_log2: int = 6
 
     One hash is split into bins (one permutation), so the work is
     proportional to the text and not to text times bins. Null and empty texts
-    have an empty sketch.
+    have an empty sketch. Places count modulo 2^24: of texts with more tokens
+    than that (16.7 million), k-mers a multiple of 2^24 apart stand in the order
+    of their hashes.
     """
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,8}"), F.lit(0))
 
@@ -84,7 +88,7 @@ def as_text(sketch: Column) -> Column:
 
 
 def next_ids(keys: DataFrame) -> DataFrame:
-    """keys (k, distinct) with next_k, the next smaller key, and for the smallest the largest.
+    """keys (k, distinct, and further columns) with next_k, the next smaller key, and for the smallest the largest.
 
     Keys are range-partitioned once and kept, so a key's neighbour is in its
     own range but for one key of each range; those take it from a table with
@@ -94,10 +98,29 @@ def next_ids(keys: DataFrame) -> DataFrame:
     inside = ranged.withColumn("next_k", F.lead("k").over(Window.partitionBy("part").orderBy(F.desc("k"))))
     tops = ranged.groupBy("part").agg(F.max("k").alias("top"))
     everything = Window.orderBy(F.desc("part"))
-    tops = tops.select("part", F.lead("top").over(everything).alias("below"), F.max("top").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first"))
+    tops = tops.select("part", F.lead("top").over(everything).alias("below"), F.max("top").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first"))
     return inside.join(F.broadcast(tops), "part").select(*[c for c in keys.columns], F.coalesce("next_k", "below", "first").alias("next_k"))
 
 
+def hot_ids(keys: DataFrame) -> DataFrame:
+    """k, deals: the ids with so many rows that these are dealt over several tasks, of about HOT_LEAST rows each; HOT_SHARE rows at most. keys: k, rows."""
+    total = keys.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = keys.filter((F.col("rows") > HOT_LEAST) & (F.col("rows") > F.lit(total) / HOT_SHARE))
+    return hot.select("k", F.ceil(F.col("rows") / HOT_LEAST).cast("int").alias("deals"))
+
+
+def dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows (k, text, ...) with the deal of each: 0 but for hot ids, whose rows are spread, copies of one text too."""
+    spread = F.xxhash64("text") + F.spark_partition_id() * F.lit(7919)
+    return rows.join(F.broadcast(hot), "k", "left").withColumn("deal", F.coalesce(F.pmod(spread, F.col("deals")).cast("int"), F.lit(0))).drop("deals")
+
+
+def to_all_deals(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """rows, which hold each key once, copied to all deals of it."""
+    deals = F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))
+    return rows.join(F.broadcast(hot.withColumnRenamed("k", key)), key, "left").withColumn("deal", deals).drop("deals")
+
+
 def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every text, an edited form of it, and compare them.
 
@@ -106,25 +129,29 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sketched where they are read and shuffled once by id; the same shuffle
     serves both as a document and as the next one of another, and only the
     prefix that the edit needs, with the sketch, goes on to the other document.
+    Ids with very many rows (null ids, say) are dealt over tasks, and what is
+    next to them is copied to each deal.
 
     Defined cases: a null text is empty; a null id counts as the smallest
-    possible id; of rows with one id, the smallest text stands for the next
-    document, and each such row has a result; a single document is its own
-    next; an empty table gives an empty result; further columns are not used.
+    possible id; of rows with one id, the text with the smallest hash stands
+    for the next document, and each such row has a result; a single document
+    is its own next; an empty table gives an empty result; further columns are
+    not used.
     """
     lowest = F.lit(-(2**63))
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("k"), text.alias("text"))
-    keys = base.groupBy("k").agg(F.max(F.char_length("text")).alias("n"))
-    nexts = next_ids(keys).select(F.col("k").alias("prev_k"), "next_k", F.floor(F.col("n") / 3).cast("int").alias("need"))
-    sketched = base.select("k", "text", order_minhash(F.col("text")).alias("sketch")).repartition(F.col("k"))
+    keys = next_ids(base.groupBy("k").agg(F.max(F.char_length("text")).alias("n"), F.count(F.lit(1)).alias("rows")))
+    hot = hot_ids(keys)  # HOT_SHARE rows at most, so it may be broadcast
+    nexts = to_all_deals(keys.select(F.col("k").alias("prev_k"), "next_k", F.floor(F.col("n") / 3).cast("int").alias("need")), hot, "next_k").withColumnRenamed("deal", "next_deal")
+    sketched = dealt(base, hot).select("k", "deal", "text", order_minhash(F.col("text")).alias("sketch")).repartition("k", "deal")
     given = (
-        sketched.join(nexts, sketched["k"] == nexts["next_k"])
-        .select(F.col("prev_k").alias("k"), F.struct(F.col("text").substr(F.lit(1), F.col("need")).alias("prefix"), F.col("sketch").alias("sketch")).alias("next"))
+        sketched.join(nexts, (sketched["k"] == nexts["next_k"]) & (sketched["deal"] == nexts["next_deal"]))
+        .select(F.col("prev_k").alias("k"), F.struct(F.xxhash64("text").alias("hash"), F.col("text").substr(F.lit(1), F.col("need")).alias("prefix"), F.col("sketch").alias("sketch")).alias("next"))
         .groupBy("k")
         .agg(F.min("next").alias("next"))
     )
-    both = sketched.join(given, "k").select("k", "text", "sketch", "next", F.char_length("text").alias("n"))
+    both = sketched.join(to_all_deals(given, hot, "k"), ["k", "deal"]).select("k", "text", "sketch", "next", F.char_length("text").alias("n"))
     third = F.floor(F.col("n") / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), F.col("n") - third), F.col("next.prefix").substr(F.lit(1), third))
     both = both.select("k", "n", "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))

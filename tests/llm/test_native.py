@@ -2,9 +2,13 @@
 
 import hashlib
 import math
+import random
+import re
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 
 from meshvec.llm import chat, fingerprint, mixing
 
@@ -73,6 +77,80 @@ def test_fingerprints(spark):
     assert got[1]["near_edited"] > 0.15
 
 
+def xx(*values, seed=42):
+    """Spark's xxhash64 of longs, ints (as ('int', x)) and strings: each column's hash is the next one's seed; nulls are passed over."""
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else struct.pack("<i", v[1]) if isinstance(v, tuple) else struct.pack("<q", v)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def plain_sketch(text, k=3, take=2, bins=64):
+    """Order MinHash step by step: k-mers with their occurrence, the smallest of each bin, put back in text order and hashed."""
+    tokens = re.findall(r"\S{1,8}", text or "", re.ASCII)
+    hashes = [xx(*tokens[i : i + k]) >> 24 for i in range(len(tokens))]
+    seen, items = Counter(), []
+    for place, h in enumerate(hashes):
+        items.append((((xx(h, ("int", seen[h])) & (2**63 - 1)) >> 24, place)))
+        seen[h] += 1
+    out = []
+    for b in range(bins):
+        least = sorted((h, place) for h, place in items if h >> 33 == b)[:take]
+        if least:
+            out.append(b << 32 | xx(*(h for h, _ in sorted(least, key=lambda x: x[::-1]))) & 0xFFFFFFFF)
+    return out
+
+
+def plain_likeness(a, b):
+    filled = {x >> 32 for x in a} | {x >> 32 for x in b}
+    return len(set(a) & set(b)) / len(filled) if filled else 1.0
+
+
+def check_fingerprints(rows, texts):
+    """rows of texts, which are (id, text) in any order; ids may repeat."""
+    low = -(2**63)
+    stands = {}
+    for i, t in texts:
+        k, t = low if i is None else i, t or ""
+        stands[k] = min(stands.get(k, t), t, key=lambda t: xx(t))
+    ids = sorted(stands, reverse=True)
+    want = []
+    for i, t in texts:
+        k, t = low if i is None else i, t or ""
+        nxt = stands[ids[(ids.index(k) + 1) % len(ids)]]
+        third = len(t) // 3
+        edited = t[: len(t) - third] + nxt[:third]
+        a, b, c = plain_sketch(t), plain_sketch(edited), plain_sketch(nxt)
+        text = lambda s: "".join(f"{x:010x}" for x in s)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), plain_likeness(a, b), plain_likeness(a, c)))
+    assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
+
+
+def odd_texts():
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(30)] + ["longerthaneight", "日本語の長い言葉です", "\u00a0", "𝄞𝄞"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice((0, 1, 2, 3, 9, 60, 400)))) for _ in range(60)]
+    return [*texts, None, "", " \n\t", "x" * 3000, "a b c " * 500, "\x1c\x85x y\u2003z"]
+
+
+def test_fingerprints_equal_plain_order_minhash(spark):
+    texts = [(i * 7 % 101, t) for i, t in enumerate(odd_texts())]
+    check_fingerprints(fingerprint.fingerprint_edits(docs(spark, [(i, t, "a") for i, t in texts])).collect(), texts)
+
+
+def test_hot_ids_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "HOT_LEAST", 5)
+    texts = [(None, t) for t in odd_texts() for _ in range(2)] + [(None, "one and the same")] * 40 + [(i, f"text {i} of few") for i in (1, 2, 9)] + [(5, f"hot {i % 4} too") for i in range(20)]
+    d = docs(spark, [(i, t, "a") for i, t in texts]).withColumnsRenamed({"lang": "k", "source": "deal", "n_chars": "sketch"})
+    check_fingerprints(fingerprint.fingerprint_edits(d).collect(), texts)
+    base = d.selectExpr("coalesce(doc_id, -9223372036854775808) k", "coalesce(text, '') text")
+    keys = base.groupBy("k").count().withColumnRenamed("count", "rows")
+    hot = fingerprint.hot_ids(keys)
+    assert {r["k"] for r in hot.collect()} == {-(2**63), 5}
+    assert fingerprint.dealt(base, hot).filter("k < 0").select("deal").distinct().count() > 20
+
+
 def test_order_counts(spark):
     words = [f"tok{i}" for i in range(200)]
     rows = [(1, " ".join(words), "a"), (2, " ".join(words[100:] + words[:100]), "a"), (3, " ".join(reversed(words)), "a")]
