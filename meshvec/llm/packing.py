@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshvec.llm.common import cut
+
 #: Pieces that one packing task holds on average.
 SHARD_PIECES = 16384
 
@@ -71,7 +73,7 @@ def token_pieces(docs: DataFrame, path: str, *, size: int = 1024, end_id: int =
     """The pieces of each document: doc_id, piece, start, length, ids_crc32. Ids stay inside the task; only lengths and checksums leave it."""
     end = int(end_id).to_bytes(4, "little")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Ids.of(path)
         for batch in batches:
             rows: list[tuple] = []
@@ -84,7 +86,7 @@ def token_pieces(docs: DataFrame, path: str, *, size: int = 1024, end_id: int =
                     start, length = start + length, size
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES, strict=True)], schema=PIECES) if rows else pa.RecordBatch.from_pylist([], schema=PIECES)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_two_fit(lengths: list[int], size: int) -> tuple[list[int], list[int]]:
@@ -176,13 +178,15 @@ def pack_documents(docs: DataFrame, path: str, *, size: int = 1024, end_id: int
     """Tokenize all documents and pack them into as few sequences of `size` tokens as best-two-fit needs.
 
     Documents longer than a sequence are cut into full pieces, the first being
-    the rest; other documents stay whole. The number of shards follows the
-    number of documents, so a task's share is the same at every scale and each
-    shard wastes part of one last sequence at most.
+    the rest; other documents stay whole. The pieces (numbers only) are
+    checkpointed, and their count gives the number of shards, so a task's share
+    is the same at every scale, for a few long documents as for many short
+    ones. A shard is packed for itself: what doesn't fill its sequences is its
+    own loss, which its SHARD_PIECES pieces keep small.
 
     Defined cases: null text is an empty document of the end id alone; a null
     id stays null; repeated rows are packed as often as they occur; an empty
     table gives an empty result; further columns are not used.
     """
-    shards = max(1, -(-docs.count() // SHARD_PIECES))
-    return pack(token_pieces(docs, path, size=size, end_id=end_id, id_col=id_col, text_col=text_col), shards, size=size)
+    pieces = cut(token_pieces(docs, path, size=size, end_id=end_id, id_col=id_col, text_col=text_col))
+    return pack(pieces, max(1, -(-pieces.count() // SHARD_PIECES)), size=size)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meshvec.llm import extraction, media, neardup, packing, queries
 
@@ -67,10 +68,18 @@ def test_long_white_space_is_encoded():
     from tokenizers import Tokenizer
 
     ids, exact = packing.Ids.of(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
-    for text in (" " * 1_000_000 + "x", "a" + "\n" * 1_000_001 + " b", "a " + "\t " * 600_000, "é" + "\u3000" * 1_000_000 + "x", "a b\n" * 300_000, " " * 99_999 + "x" + " " * 99_999):
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "x" * 2_000_000, "\r\n \t" * 500_000 + "x", " " * 1_000_000 + "x", "a" + "\n" * 1_000_001 + " b", "a " + "\t " * 600_000, "é" + "\u3000" * 1_000_000 + "x", "a b\n" * 300_000, " " * 99_999 + "x" + " " * 99_999):
         assert ids(text) == np.asarray(exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_shards_follow_the_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 8)
+    texts = [(1, "hello world and more of it " * 3000), (2, "short")]
+    rows = packing.pack_documents(docs(spark, texts).withColumns({c: F.lit("x") for c in ("piece", "shard", "times", "sequence_id")}), queries.tokenizer_path()).collect()
+    check_packing(rows, texts, 1024)
+    assert len({r["sequence_id"] >> 32 for r in rows}) > 1
+
+
 def test_best_two_fit():
     rng = random.Random(4)
     for n in (0, 1, 7, 3000):
