@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,8 +20,12 @@ WORD = re.compile(r"[^\W\d_]+")
 HASH_BITS, PREFIXES = 27, (3, 4, 5)
 #: Labelled documents to learn from, at most.
 MAX_TRAIN = 20_000
-#: Hashed terms that the machine keeps, at most, by their chi-squared value.
+#: Hashed terms that the machine keeps for what they tell alone, at most, by their chi-squared value.
 MAX_TERMS, LEAST_CHI2 = 1024, 25.0
+#: Terms that are tried in pairs, at most: half of them the most telling, half the most evenly spread ones.
+PAIR_TERMS = 1024
+#: Pairs whose terms the machine keeps, at most, by how much more chi-squared the two tell together than each for itself.
+MAX_PAIRS, LEAST_GAIN, LEAST_CELL = 256, 50.0, 10
 
 
 def word_terms(word: str) -> set[int]:
@@ -59,11 +63,36 @@ class FactorizationMachine:
                 found.update(hit)
         return sorted(found)
 
-    def score(self, text: str | None) -> float:
-        on = self.active(text)
-        v = self.factors[on]
-        z = self.bias + self.weights[on].sum() + 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def scores(self, texts: Sequence[str | None]) -> np.ndarray:
+        """The probabilities of a batch of texts: sums by text over the terms that it has."""
+        on = [self.active(t) for t in texts]
+        n, at = len(on), np.array([i for x in on for i in x], np.int64)
+        text = np.repeat(np.arange(n), [len(x) for x in on])
+        total = lambda values: np.bincount(text, values[at], n)
+        pairs = sum((total(f) ** 2 for f in self.factors.T), np.zeros(n)) - total((self.factors**2).sum(1))
+        z = self.bias + total(self.weights) + 0.5 * pairs
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def pair_gains(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each two columns of a 0/1 matrix: chi-squared of the label against the four cells of the two, less that of each alone.
+
+    Cells of fewer than LEAST_CELL documents count nothing. It is about 0 for
+    columns that tell by themselves only, and large where the label depends on
+    both, however little either tells alone.
+    """
+    n, pos = len(y), float(y.sum())
+    share = pos / n
+    seen, hits = x.sum(0), y @ x
+    both, both_hits = x.T @ x, (x[y == 1]).T @ x[y == 1]
+
+    def chi2(count: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        return np.where(count >= LEAST_CELL, (hit - count * share) ** 2 / np.maximum(count * share * (1 - share), 1e-9), 0.0)
+
+    alone = chi2(seen, hits) + chi2(n - seen, pos - hits)
+    cells = chi2(both, both_hits) + chi2(seen[:, None] - both, hits[:, None] - both_hits) + chi2(seen[None, :] - both, hits[None, :] - both_hits)
+    cells += chi2(n - seen[:, None] - seen[None, :] + both, pos - hits[:, None] - hits[None, :] + both_hits)
+    return cells - alone[:, None] - alone[None, :]
 
 
 def fit(x: np.ndarray, y: np.ndarray, *, factors: int = 8, rounds: int = 250, rate: float = 0.03, l2: float = 1e-3, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
@@ -91,10 +120,13 @@ def fit(x: np.ndarray, y: np.ndarray, *, factors: int = 8, rounds: int = 250, ra
 def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> FactorizationMachine:
     """Learn from the documents whose label row satisfies `learn`, at most max_train of them (the smallest hashes of ids).
 
-    Terms are screened by chi-squared counts made in Spark; the driver sees
-    MAX_TERMS terms and, for each of the at most max_train texts, which of them
-    it has. If one class is missing, the machine has no terms and scores the
-    share of toxic labels.
+    Terms are counted in Spark. The machine gets those that tell by themselves
+    (chi-squared of LEAST_CHI2 or more), and those of pairs that tell together
+    what neither does alone, among the PAIR_TERMS most telling and most evenly
+    spread terms. The driver sees at most MAX_TERMS + PAIR_TERMS terms and, for
+    each of the at most max_train texts, which of them it has. Of rows with one
+    id, one is learned from. If one class is missing, the machine has no terms
+    and scores the share of toxic labels.
     """
     rows = labels.filter(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     picked = rows.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
@@ -106,33 +138,45 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col:
             found = [sorted(set().union(*map(word_terms, words_of(text)))) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["id", "y", "terms"])
 
-    sample = cut(texts.mapInArrow(terms, "id long, y int, terms array<int>"))
+    found = texts.mapInArrow(terms, "id long, y int, terms array<int>").groupBy("id", "y").agg(F.min_by("terms", F.xxhash64("terms")).alias("terms"))
+    sample = cut(found)
     n, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    none = FactorizationMachine({}, float(np.log((pos + 1) / (n - pos + 1))), np.zeros(0), np.zeros((0, 1)))
     if pos in (0, n):
-        return FactorizationMachine({}, float(np.log((pos + 1) / (n - pos + 1))), np.zeros(0), np.zeros((0, 1)))
+        return none
     counts = sample.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("all"), F.sum("y").alias("hit"))
     a, b = F.col("hit").cast("double"), (F.col("all") - F.col("hit")).cast("double")
     c, d = F.lit(float(pos)) - a, F.lit(float(n - pos)) - b
     chi2 = F.lit(float(n)) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * F.lit(float(pos)) * F.lit(float(n - pos)))
-    best = counts.filter((F.col("hit") >= 3) & (c + d > 0)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "t").limit(MAX_TERMS)
-    index = {r["t"]: i for i, r in enumerate(best.select("t").collect())}
+    known = counts.filter((c + d > 0) & (F.col("all") >= 3)).withColumns({"chi2": chi2, "spread": F.least("all", F.lit(n) - F.col("all"))})
+    telling = [r["t"] for r in known.filter(F.col("chi2") >= LEAST_CHI2).filter("hit >= 3").orderBy(F.desc("chi2"), "t").limit(MAX_TERMS).select("t").collect()]
+    tried = telling[: PAIR_TERMS // 2]
+    spread = known.filter(F.col("spread") >= LEAST_CELL).orderBy(F.desc("spread"), "t").limit(PAIR_TERMS)
+    even = [r["t"] for r in spread.select("t").collect() if r["t"] not in set(tried)]
+    tried += even[: PAIR_TERMS - len(tried)]
+    place = {t: i for i, t in enumerate(dict.fromkeys([*tried, *telling]))}
 
     def places(terms: pd.Series) -> pd.Series:
-        return terms.map(lambda ts: [index[t] for t in ts.tolist() if t in index])
+        return terms.map(lambda ts: [place[t] for t in ts.tolist() if t in place])
 
     kept = sample.select("id", "y", F.pandas_udf(places, "array<int>")("terms").alias("on")).toPandas().sort_values("id", kind="stable")
-    x = np.zeros((len(kept), max(1, len(index))), np.float32)
+    x, y = np.zeros((len(kept), len(place)), np.float32), kept["y"].to_numpy(np.float32)
     for i, on in enumerate(kept["on"]):
         x[i, on] = 1
-    if not index:
-        return FactorizationMachine({}, float(np.log((pos + 1) / (n - pos + 1))), np.zeros(0), np.zeros((0, 1)))
-    bias, weights, factors = fit(x, kept["y"].to_numpy(np.float32))
-    return FactorizationMachine(index, bias, weights, factors)
+    gains = np.triu(pair_gains(x[:, : len(tried)], y), 1)
+    best = np.argsort(-gains, axis=None, kind="stable")[:MAX_PAIRS]
+    paired = {i for at in best if gains.flat[at] >= LEAST_GAIN for i in divmod(int(at), len(tried))}
+    names = list(place)
+    chosen = sorted({place[t] for t in telling} | paired)
+    if not chosen:
+        return none
+    bias, weights, factors = fit(x[:, chosen], y)
+    return FactorizationMachine({names[i]: k for k, i in enumerate(chosen)}, bias, weights, factors)
 
 
 def toxicity(text: Column, model: FactorizationMachine) -> Column:
     def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+        return pd.Series(model.scores(texts), dtype="float64")
 
     return F.pandas_udf(scores, "double")(text)
 

@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, personal data against plain patterns, and the pipeline's stages."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -33,6 +34,32 @@ def test_interaction_is_learned():
     assert ((z[1500:] > 0) == (y[1500:] > 0)).mean() > 0.97
 
 
+def test_pairs_are_learned_from_texts(spark):
+    """Toxic if two words are both there or both absent: neither tells anything alone, and an additive model can't do better than chance."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(2000):
+        words = [f"w{rng.choice('abcdefghij')}{rng.choice('klmnopqrst')}x" for _ in range(30)]
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(words + ["insult"] * a + ["group"] * b), int(a == b)))
+    d = docs(spark, [(i, t) for i, t, _ in rows])
+    model = toxicity.train_toxicity(d, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), F.col("doc_id") < 1500)
+    got = model.scores([t for i, t, _ in rows if i >= 1500])
+    assert ((got >= 0.5) == np.array([y for i, _, y in rows if i >= 1500])).mean() > 0.95
+
+
+def test_scores_equal_the_double_sum():
+    rng = np.random.default_rng(4)
+    words = [f"word{c}" for c in "abcdefgh"]
+    terms = {t: i for i, t in enumerate(sorted(set().union(*map(toxicity.word_terms, words))))}
+    m = toxicity.FactorizationMachine(terms, 0.3, rng.normal(size=len(terms)), rng.normal(size=(len(terms), 5)))
+    texts = [None, "", "unknown things", *(" ".join(rng.choice(words, k)) for k in (1, 2, 5, 30))]
+    for text, score in zip(texts, m.scores(texts), strict=True):
+        on = sorted({terms[t] for w in toxicity.words_of(text) for t in toxicity.word_terms(w) if t in terms})
+        z = m.bias + sum(m.weights[i] for i in on) + sum(float(m.factors[i] @ m.factors[j]) for a, i in enumerate(on) for j in on[a + 1 :])
+        assert score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+
+
 @pytest.fixture(scope="module")
 def spoken():
     rng = random.Random(3)
