@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,19 +33,41 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, files: int | None = None) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder, of at most `files` files if given."""
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return (df if files is None else df.coalesce(files)).checkpoint()
+    return df.checkpoint()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder, for tables with texts: it is compressed and read by column."""
+    """Cut lineage with a Parquet table in the shared folder, for tables with texts or sets: it is compressed and read by column."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def emptied(table: DataFrame) -> None:
+    """Give the disk of a settled table back, by writing an empty one over it."""
+    path = os.path.dirname(table.inputFiles()[0]) if table.inputFiles() else None
+    if path:
+        table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside drop their shuffle files as soon as an action on them ends. Each of them must be run once only, so end them in cut or settle."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value evaluated once however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

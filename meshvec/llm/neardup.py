@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 from collections.abc import Iterator
@@ -13,20 +12,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshvec.llm.common import cut, free_name
+from meshvec.llm.common import cut, emptied, free_name, settle, shuffles_dropped
 
 #: A verifying task compares two blocks of at most so many sets, and of at most so many bytes.
 BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
-#: Bytes of a shingle's hash in shipped sets.
-WIDTH = 5
+#: Sets that a task compares with one copy of their group's leader.
+LEADER_SETS = 256
 #: Null ids become numbers from here on inside the join, by their text.
 NO_ID = 1 << 62
 LEAST_BITS = 512
-#: Signatures that HEAVY_LEAST or more of every HEAVY_SAMPLE-th document show, and of those the MAX_HEAVY most frequent, are dealt by document.
+#: A signature is heavy if HEAVY_LEAST or more of every HEAVY_SAMPLE-th document show it and it makes up one in MAX_HEAVY or
+#: more of all that they show; so no more than MAX_HEAVY are. Heavy signatures are dealt by document.
 HEAVY_SAMPLE, HEAVY_LEAST, MAX_HEAVY = 64, 64, 10_000
-#: A checkpoint has no more files than one for so many documents (but LEAST_FILES are allowed): each file is a new process
-#: on file systems without native permissions, and a request on others.
-FILE_DOCS, LEAST_FILES = 5000, 24
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -145,14 +142,11 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
 
 
 def as_blob(elements: np.ndarray) -> bytes:
-    """The high WIDTH bytes of each hash, in order."""
-    return np.ascontiguousarray(elements.astype(">u8")).view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+    return elements.astype("<u8").tobytes()
 
 
 def from_blob(blob: bytes) -> np.ndarray:
-    raw = np.zeros((len(blob) // WIDTH, 8), np.uint8)
-    raw[:, :WIDTH] = np.frombuffer(blob, np.uint8).reshape(-1, WIDTH)
-    return raw.reshape(-1).view(">u8").astype(np.uint64) >> np.uint64(64 - 8 * WIDTH)
+    return np.frombuffer(blob, "<u8")
 
 
 def width_of(n: int) -> int:
@@ -166,11 +160,22 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def close_pairs(n: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, the later j) that sizes and sketches don't rule out, within a block or, with two sides, across two.
+def may_link(n: int, a: np.ndarray, m: int, b: np.ndarray, percent: int) -> bool:
+    """Do the sizes and sketches of two sets leave room for a link? A wider sketch is folded to the other's width: its halves are XORed."""
+    if min(n, m) * 100 < percent * max(n, m):
+        return False
+    w = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(s.reshape(-1, w), axis=0) for s in (a, b))
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64)) * (100 + percent) <= (n + m) * (100 - percent)
 
-    A wider sketch is folded to the other's width first: its halves are XORed.
-    """
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * same >= percent * (len(a) + len(b) - same)
+
+
+def close_pairs(n: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, label: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, the later j) of different labels that may_link doesn't rule out, within a block or, with two sides, across two."""
     widths = np.array([len(s) for s in sketches])
     across = bool(side.min() != side.max())
     for w in np.unique(widths):
@@ -180,7 +185,7 @@ def close_pairs(n: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, per
             i = members[a]
             later = np.arange(a + 1, len(members))
             js = members[later]
-            fit = (np.minimum(n[js], n[i]) * 100 >= percent * np.maximum(n[js], n[i])) & ((widths[js] == w) | (widths[i] == w))
+            fit = (np.minimum(n[js], n[i]) * 100 >= percent * np.maximum(n[js], n[i])) & ((widths[js] == w) | (widths[i] == w)) & (label[js] != label[i])
             if across:
                 fit &= side[js] != side[i]
             later = later[fit]
@@ -193,37 +198,36 @@ def close_pairs(n: np.ndarray, sketches: list[np.ndarray], side: np.ndarray, per
 
 
 def block_survivors(rows: list[tuple], percent: int) -> list[int]:
-    """Ids of rows (id, n, sketch, side) that have a close partner."""
+    """Places of rows (id, label, side, n, sketch) that have a close partner with another label."""
     alive = np.zeros(len(rows), bool)
-    for i, js in close_pairs(np.array([r[1] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[3] for r in rows]), percent):
+    column = lambda k: np.array([r[k] for r in rows])
+    for i, js in close_pairs(column(3), [np.frombuffer(r[4], np.uint64) for r in rows], column(2), column(1), percent):
         alive[i] = alive[js] = True
-    return [rows[k][0] for k in np.flatnonzero(alive)]
+    return np.flatnonzero(alive).tolist()
 
 
 def block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links among rows (id, blob, side) that join what is linked: one fewer than sets for each connected part.
+    """Links among rows (id, label, side, n, blob) that join what is linked and has different labels: one fewer than labels for each connected part.
 
     Close pairs are counted exactly, unless a chain of links joins them already.
     """
-    sets = [from_blob(r[1]) for r in rows]
-    n = np.array([len(x) for x in sets])
-    root = list(range(len(rows)))
+    sets = [from_blob(r[4]) for r in rows]
+    labels = np.array([r[1] for r in rows])
+    root = {x: x for x in labels.tolist()}
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
     out = []
-    for i, js in close_pairs(n, [sketch(x) for x in sets], np.array([r[2] for r in rows]), percent):
+    for i, js in close_pairs(np.array([len(x) for x in sets]), [sketch(x) for x in sets], np.array([r[2] for r in rows]), labels, percent):
         for j in js.tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * same >= percent * (int(n[i]) + int(n[j]) - same):
-                    root[max(a, b)] = min(a, b)
-                    out.append((rows[i][0], rows[j][0]))
+            a, b = find(rows[i][1]), find(rows[j][1])
+            if a != b and linked(sets[i], sets[j], percent):
+                root[max(a, b)] = min(a, b)
+                out.append((rows[i][0], rows[j][0]))
     return out
 
 
@@ -252,10 +256,11 @@ def _signature_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _heavy_signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """sig, hub: frequent signatures by a sample of documents, and the smallest sampled id that shows each; at most MAX_HEAVY rows."""
+    """sig, hub: frequent signatures by a sample of documents, and the smallest sampled id that shows each; at most MAX_HEAVY rows, by what frequent means."""
     sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(HEAVY_SAMPLE)) == 0)
-    counts = _signature_rows(sample, words, percent).groupBy("sig").agg(F.count(F.lit(1)).alias("shown"), F.min("id").alias("hub"))
-    return counts.filter(F.col("shown") >= HEAVY_LEAST).orderBy(F.desc("shown"), "sig").limit(MAX_HEAVY).select("sig", "hub")
+    counts = cut(_signature_rows(sample, words, percent).groupBy("sig").agg(F.count(F.lit(1)).alias("shown"), F.min("id").alias("hub")))
+    shown = counts.agg(F.coalesce(F.sum("shown"), F.lit(0))).first()[0]
+    return counts.filter((F.col("shown") >= HEAVY_LEAST) & (F.col("shown") * MAX_HEAVY >= shown)).select("sig", "hub")
 
 
 def _meetings(rows: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -286,34 +291,85 @@ def _set_rows(texts: DataFrame, words: int, name: str, form) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, f"id long, n long, {name} binary")
 
 
-def _blocks(groups: DataFrame, carried: DataFrame, name: str, files: int) -> DataFrame:
-    """groups (c, id) with carried (id, n, name: bytes), copied to the block pairs (b1, b2) of their group; side 1 is the second block's.
+def _by_leader(members: DataFrame, carried: DataFrame, name: str, judge) -> DataFrame:
+    """The members (c, id), id != c, of which judge(leader's n and bytes, member's n and bytes) is true. carried: id, n, name (bytes).
+
+    The set of the leader, whose id is c, is copied to tasks of LEADER_SETS
+    members each, which pass by it one after another; so a group costs as many
+    comparisons as it has members, spread over tasks, and a task holds one set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = leader = None
+        for batch in batches:
+            found = []
+            for c, b, lead, id_, n, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if lead == 0:
+                    key, leader = (c, b), (n, data)
+                elif key == (c, b) and judge(*leader, n, data):
+                    found.append((c, id_))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["c", "id"])
+
+    sizes = members.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / LEADER_SETS).cast("int").alias("nb"))
+    placed = members.join(sizes, "c").select("c", F.pmod(F.xxhash64("id"), F.col("nb").cast("long")).cast("int").alias("b"), F.lit(1).alias("lead"), "id")
+    leaders = sizes.select("c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), F.lit(0).alias("lead"), F.col("c").alias("id"))
+    rows = placed.unionByName(leaders).join(carried, "id").select("c", "b", "lead", "id", "n", name)
+    return rows.repartition("c", "b").sortWithinPartitions("c", "b", "lead", "id").mapInArrow(run, "c long, id long")
+
+
+def _near_leader(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """c, id: for each document the smallest leader that its sketch may link it with, if any does."""
 
-    A group has as many blocks as its number of sets and its bytes ask for, so
-    each pair of blocks is bounded; groups of one set are left out. Sizes are
+    def judge(n: int, a: bytes, m: int, b: bytes) -> bool:
+        return may_link(n, np.frombuffer(a, np.uint64), m, np.frombuffer(b, np.uint64), percent)
+
+    return _by_leader(groups.filter("id != c"), sketches, "sketch", judge).groupBy("id").agg(F.min("c").alias("c")).select("c", "id")
+
+
+def _leader_links(near: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
+    """u, v: the documents that are linked with the leader they are near to."""
+    found = _by_leader(near, blobs, "blob", lambda n, a, m, b: linked(from_blob(a), from_blob(b), percent))
+    return found.select(F.col("c").alias("u"), F.col("id").alias("v"))
+
+
+def _unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """c, id, label, loose of the groups that labels (id, label) don't join altogether; loose: a label other than the leader's."""
+    named = cut(groups.join(labels, "id", "left").select("c", "id", F.coalesce("label", "id").alias("label")))
+    leaders = named.filter("id = c").select("c", F.col("label").alias("of"))
+    open_ = named.join(leaders, "c").filter("label != of").select("c").distinct()
+    return named.join(open_, "c", "left_semi").join(leaders, "c").select("c", "id", "label", (F.col("label") != F.col("of")).alias("loose"))
+
+
+def _blocks(rows: DataFrame, carried: DataFrame, name: str) -> DataFrame:
+    """rows (c, id, label, loose) with carried (id, n, name: bytes), copied to the block pairs (b1, b2) of their group; side 1 is the second block's.
+
+    Loose members meet all others, the rest only the loose ones: those are
+    joined already. Loose members and others have as many blocks each as their
+    number and bytes ask for, so each pair of blocks is bounded. Sizes are
     settled before the bytes join, which are then shuffled once for each copy;
     they are checkpointed, so that Spark can split the rows of a large group.
     """
-    sized = groups.join(carried.select("id", F.octet_length(name).alias("bytes")), "id")
-    sizes = sized.groupBy("c").agg(F.count(F.lit(1)).alias("g"), F.sum("bytes").alias("bytes")).filter("g > 1")
-    sizes = sizes.select("c", F.greatest(F.ceil(F.col("g") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("nb"))
-    sizes = cut(sizes, files)
-    placed = groups.join(sizes, "c").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb").cast("long")).cast("int"))
-    copies = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    pairs = copies.select("c", "id", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), (F.col("b") > F.col("o")).cast("int").alias("side"))
+    sized = rows.join(carried.select("id", F.octet_length(name).alias("bytes")), "id")
+    of = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK_SETS), F.ceil(F.sum(F.when(which, F.col("bytes")).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    sizes = sized.groupBy("c").agg(of(F.col("loose")).alias("nl"), of(~F.col("loose")).alias("nr"), F.count(F.lit(1)).alias("g"))
+    sizes = cut(sizes.filter("nl > 0 and g > 1").drop("g"))
+    at = lambda blocks: F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
+    placed = rows.join(sizes, "c").withColumn("b", F.when(F.col("loose"), at(F.col("nl"))).otherwise(F.col("nl") + at(F.greatest("nr", F.lit(1)))))
+    copies = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nl") + F.when(F.col("loose"), F.col("nr")).otherwise(0) - 1)))
+    pairs = copies.select("c", "id", "label", "loose", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), (F.col("b") > F.col("o")).cast("int").alias("side"))
     return pairs.join(carried, "id")
 
 
-def _by_block(blocks: DataFrame, columns: list[str], judge, schema: pa.Schema, ddl: str) -> DataFrame:
-    """judge(rows) of each block pair, rows being tuples of the columns; what it returns are rows of schema."""
-    width = len(schema.names)
+def _by_block(blocks: DataFrame, name: str, judge, ddl: str, kinds: list[pa.DataType]) -> DataFrame:
+    """judge(c, rows) of each block pair, rows being tuples (id, label, side, n, bytes, loose); what it returns are rows of ddl."""
+    names = [x.split()[0] for x in ddl.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def done() -> pa.RecordBatch:
-            found = judge(rows) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], schema.types[k]) for k in range(width)], schema=schema)
+            found = judge(key[0], rows) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names)
 
         for batch in batches:
             cells = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
@@ -326,63 +382,68 @@ def _by_block(blocks: DataFrame, columns: list[str], judge, schema: pa.Schema, d
         if rows:
             yield done()
 
-    names = ["c", "b1", "b2", *columns]
-    return blocks.select(*names).repartition("c", "b1", "b2").sortWithinPartitions("c", "b1", "b2", "id").mapInArrow(run, ddl)
+    columns = ["c", "b1", "b2", "id", "label", "side", "n", name, "loose"]
+    return blocks.select(*columns).repartition("c", "b1", "b2").sortWithinPartitions("c", "b1", "b2", "id").mapInArrow(run, ddl)
 
 
-def _survivors(groups: DataFrame, sketches: DataFrame, percent: int, files: int) -> DataFrame:
-    """The (c, id) of groups that have a close partner there. sketches: id, n, sketch."""
-    schema = pa.schema([("c", pa.int64()), ("id", pa.int64())])
+def _survivors(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of rows (c, id, label, loose) that may link with a member of their group that has another label."""
 
-    def judge(rows: list[tuple]) -> list[tuple[int, int]]:
-        return [(rows[0][4], x) for x in block_survivors([r[:4] for r in rows], percent)]
+    def judge(c: int, rows: list[tuple]) -> list[tuple]:
+        return [(c, rows[k][0], rows[k][1], rows[k][5]) for k in block_survivors(rows, percent)]
 
-    # the group's number goes along as a column of its own
-    blocks = _blocks(groups, sketches, "sketch", files).withColumn("of", F.col("c"))
-    return _by_block(blocks, ["id", "n", "sketch", "side", "of"], judge, schema, "c long, id long").distinct()
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    return _by_block(_blocks(rows, sketches, "sketch"), "sketch", judge, "c long, id long, label long, loose boolean", kinds).distinct()
 
 
-def _verified(groups: DataFrame, blobs: DataFrame, percent: int, files: int) -> DataFrame:
-    """Links (u, v) that join the linked members of each group. groups: c, id; blobs: id, n, blob."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    return _by_block(_blocks(groups, blobs, "blob", files), ["id", "blob", "side"], lambda rows: block_links(rows, percent), schema, "u long, v long")
+def _verified(rows: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join the linked members of each group whose labels differ."""
+    return _by_block(_blocks(rows, blobs, "blob"), "blob", lambda c, rows: block_links(rows, percent), "u long, v long", [pa.int64(), pa.int64()])
 
 
-def jaccard_links(docs: DataFrame, sets: DataFrame, *, words: int, percent: int, files: int) -> DataFrame:
+def jaccard_links(docs: DataFrame, sets: DataFrame, *, words: int, percent: int) -> DataFrame:
     """Links (u, v) that connect exactly the documents that links of Jaccard similarity >= percent / 100 connect.
 
     docs: id, text. sets: the checkpointed shingle_sets of docs. Equal sets
     join through their smallest id at once; one text of each set goes on. It
-    shows its signatures; sets under one signature meet in a group. Groups are compared in pairs of bounded blocks, so
-    a large one spreads over many tasks: first by sketches, which leaves those
-    with a close partner, then by whole sets. Only a spanning set of links
-    leaves a task. Steps end in checkpoints, after which the shuffles before
-    them are dropped.
+    shows its signatures; sets under one signature meet in a group. Every
+    member is first compared with its group's leader, so a group of copies
+    costs what it has members. What that leaves unjoined is compared in pairs of
+    bounded blocks, so a large group spreads over many tasks: first by
+    sketches, which leaves those with a close partner, then by whole sets. Only
+    a spanning set of links leaves a task. Every step ends in a stored table.
     """
     reps = sets.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"))
     equal = sets.filter("n > 0").join(reps, "key").filter("id != rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     texts = docs.select("id", "text")
-    rows = _signature_rows(texts.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), words, percent)
-    groups = cut(_meetings(rows, _heavy_signatures(texts, words, percent)), files)
-    del rows
-    free_shuffles(docs)
-    sketches = cut(_set_rows(texts.join(groups.select("id").distinct(), "id", "left_semi"), words, "sketch", lambda s: sketch(s).tobytes()), files)
-    free_shuffles(docs)
-    alive = cut(_survivors(groups, sketches, percent, files), files)
-    free_shuffles(docs)
-    blobs = cut(_set_rows(texts.join(alive.select("id").distinct(), "id", "left_semi"), words, "blob", as_blob), files)
-    free_shuffles(docs)
-    return _verified(alive, blobs, percent, files).unionByName(equal).distinct()
-
-
-def connected(links: DataFrame, files: int | None = None) -> DataFrame:
+
+    def of(ids: DataFrame) -> DataFrame:
+        return texts.join(ids.distinct(), "id", "left_semi")
+
+    heads = of(reps.select(F.col("rep").alias("id")))
+    groups = cut(_meetings(_signature_rows(heads, words, percent), _heavy_signatures(heads, words, percent)))
+    sketches = settle(_set_rows(of(groups.select("id")), words, "sketch", lambda s: sketch(s).tobytes()))
+    near = cut(_near_leader(groups, sketches, percent))
+    blobs = settle(_set_rows(of(near.select("id").unionByName(near.select(F.col("c").alias("id")))), words, "blob", as_blob))
+    labels = connected(_leader_links(near, blobs, percent))
+    emptied(blobs)
+    loose = cut(_unsettled(groups, labels))
+    alive = cut(_survivors(loose, sketches, percent))
+    emptied(sketches)
+    blobs = settle(_set_rows(of(alive.select("id")), words, "blob", as_blob))
+    links = cut(_verified(alive, blobs, percent))
+    emptied(blobs)
+    return links.unionByName(labels.select(F.col("label").alias("u"), F.col("id").alias("v"))).unionByName(equal).distinct()
+
+
+def connected(links: DataFrame) -> DataFrame:
     """id, label: the smallest id of each linked document's connected part, by large-star and small-star rounds.
 
     A round moves every link to the smallest neighbour; it ends when each
     document has one link, to one that has none of its own. Minima are
     aggregated map-side before the shuffle, so a hub costs one row of each task.
     """
-    edges = cut(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).filter("a < b").distinct(), files)
+    edges = cut(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).filter("a < b").distinct())
     while True:
         seen = edges.select(F.col("b").alias("x"), F.lit(1).alias("low")).unionByName(edges.select(F.col("a").alias("x"), F.lit(None).cast("int").alias("low")).distinct())
         if seen.groupBy("x").agg(F.count("low").alias("links"), F.count(F.lit(1)).alias("all")).filter("links > 1 or links = 1 and all > 1").isEmpty():
@@ -393,13 +454,7 @@ def connected(links: DataFrame, files: int | None = None) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         pairs = large.join(least, "b")
         small = pairs.filter("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b"))
-        edges = cut(small.filter("a < b").distinct(), files)
-
-
-def free_shuffles(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+        edges = cut(small.filter("a < b").distinct())
 
 
 def _known(id_col: str, text_col: str) -> Column:
@@ -412,20 +467,18 @@ def _inner(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _labels(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The shingle_sets of docs, and (id, label) of the documents that have a smaller id in their group."""
-    files = max(LEAST_FILES, -(-docs.count() // FILE_DOCS))
-    inner = _inner(docs, id_col, text_col)
-    sets = cut(shingle_sets(inner, words), files)
-    labels = connected(jaccard_links(inner, sets, words=words, percent=percent, files=files), files)
-    free_shuffles(docs)
-    return sets, labels
+    with shuffles_dropped(docs.sparkSession):
+        inner = _inner(docs, id_col, text_col)
+        sets = cut(shingle_sets(inner, words))
+        return sets, connected(jaccard_links(inner, sets, words=words, percent=percent))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every document.
 
     Two documents link if their sets of word shingles have a Jaccard similarity
-    of percent / 100 or more. No link is lost; hashes of 64 bits (40 in
-    counting) stand for shingles.
+    of percent / 100 or more. No link is lost; hashes of 64 bits stand for
+    shingles.
 
     Defined cases: null, empty and blank texts have empty sets and link with
     nothing; fewer words than a shingle make one shingle; rows with one id are
@@ -441,13 +494,17 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group: the smallest id, and of its repeated rows one of each text.
+    """docs with one document of each group: the smallest id, and of its repeated rows any one of each text.
 
-    Documents that link with nothing stay, rows without words among them with all their repeats.
+    Documents that link with nothing stay, rows without words among them with
+    all their repeats. Repeated rows are dropped by an aggregate over (id, hash
+    of the text), combined before its shuffle, so they never meet in one task.
     """
-    _, labels = _labels(docs, words, percent, id_col, text_col)
-    key, last = free_name(docs, "__id"), free_name(docs, "__last")
+    sets, labels = _labels(docs, words, percent, id_col, text_col)
+    key, digest = free_name(docs, "__id"), free_name(docs, "__digest")
     kept = docs.withColumn(key, _known(id_col, text_col)).join(labels.select(F.col("id").alias(key)).distinct(), key, "left_anti")
-    again = kept.withColumn(last, F.lag(text_col).over(Window.partitionBy(key).orderBy(text_col)))
-    repeated = (F.col(last) == F.col(text_col)) & F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
-    return again.filter(~F.coalesce(repeated, F.lit(False))).select(*docs.columns)
+    if sets.filter("n > 0").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        return kept.select(*docs.columns)
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = kept.filter(worded).withColumn(digest, F.sha2(F.col(text_col), 256)).dropDuplicates([key, digest])
+    return once.select(*docs.columns).unionByName(kept.filter(~worded).select(*docs.columns))
