@@ -142,16 +142,21 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("k"), text.alias("text"))
     keys = next_ids(base.groupBy("k").agg(F.max(F.char_length("text")).alias("n"), F.count(F.lit(1)).alias("rows")))
+    nexts = keys.select(F.col("k").alias("prev_k"), "next_k", F.floor(F.col("n") / 3).cast("int").alias("need"))
     hot = hot_ids(keys)  # HOT_SHARE rows at most, so it may be broadcast
-    nexts = to_all_deals(keys.select(F.col("k").alias("prev_k"), "next_k", F.floor(F.col("n") / 3).cast("int").alias("need")), hot, "next_k").withColumnRenamed("deal", "next_deal")
-    sketched = dealt(base, hot).select("k", "deal", "text", order_minhash(F.col("text")).alias("sketch")).repartition("k", "deal")
+    by = ["k"] if hot.isEmpty() else ["k", "deal"]
+    if "deal" in by:
+        base, nexts = dealt(base, hot), to_all_deals(nexts, hot, "next_k")
+    nexts = nexts.withColumnsRenamed({c: f"next_{c}" for c in by if c != "k"})
+    sketched = base.select(*by, "text", order_minhash(F.col("text")).alias("sketch")).repartition(*by)
     given = (
-        sketched.join(nexts, (sketched["k"] == nexts["next_k"]) & (sketched["deal"] == nexts["next_deal"]))
+        sketched.join(nexts, [sketched[c] == nexts[f"next_{c}"] for c in by])
         .select(F.col("prev_k").alias("k"), F.struct(F.xxhash64("text").alias("hash"), F.col("text").substr(F.lit(1), F.col("need")).alias("prefix"), F.col("sketch").alias("sketch")).alias("next"))
         .groupBy("k")
         .agg(F.min("next").alias("next"))
     )
-    both = sketched.join(to_all_deals(given, hot, "k"), ["k", "deal"]).select("k", "text", "sketch", "next", F.char_length("text").alias("n"))
+    given = to_all_deals(given, hot, "k") if "deal" in by else given
+    both = sketched.join(given, by).select("k", "text", "sketch", "next", F.char_length("text").alias("n"))
     third = F.floor(F.col("n") / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), F.col("n") - third), F.col("next.prefix").substr(F.lit(1), third))
     both = both.select("k", "n", "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
