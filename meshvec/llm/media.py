@@ -147,7 +147,7 @@ def parse_sequences(pages: DataFrame, *, id_col: str, html_col: str) -> DataFram
 
 
 def store_payloads(items: DataFrame, *, data_col: str) -> DataFrame:
-    """digest, media: the stored form of each distinct value, addressed by the SHA-256 of the value's bytes."""
+    """digest, media: the stored form of each distinct value, addressed by the SHA-256 of the value's bytes. Repeats are dropped, by an aggregate combined before its shuffle, before anything is encoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +157,7 @@ def store_payloads(items: DataFrame, *, data_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(media, pa.binary())], ["digest", "media"])
 
     data = F.coalesce(F.col(data_col), F.lit("")).cast("binary")
-    return items.select(F.sha2(data, 256).alias("digest"), data.alias("data")).mapInArrow(run, "digest string, media binary").dropDuplicates(["digest"])
+    return items.select(F.sha2(data, 256).alias("digest"), data.alias("data")).dropDuplicates(["digest"]).mapInArrow(run, "digest string, media binary")
 
 
 READ_BACK = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -180,29 +180,43 @@ def read_payloads(media: DataFrame) -> DataFrame:
     return media.select("digest", "media").mapInArrow(run, READ_BACK)
 
 
-def resolve(sequences: DataFrame, payloads: DataFrame) -> DataFrame:
-    """The items of sequences as rows (id, position, kind, text, digest, caption) with the payload columns of their digest, null for texts and for unknown digests.
+def resolve(items: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Items as rows (id, position, kind, text, digest, caption, ...) with the payload columns of their digest, null for texts and for unknown digests.
 
     payloads is a stored table (a checkpoint will do), so both sides of the
     join are plain shuffles by digest, and Spark's adaptive skew join splits
     the references of a digest that many documents share over several tasks.
+    Texts have no digest, so those that shouldn't be shuffled with the
+    references are left out before.
     """
-    rows = sequences.select("id", F.explode("items").alias("item")).select("id", "item.*")
-    return rows.join(payloads, "digest", "left")
+    return items.join(payloads, "digest", "left")
 
 
-def reference_html(text: Column, id_col: Column) -> Column:
-    """A page that shows a document's text as one captioned picture, named by digest."""
-    return F.concat(F.lit('<figure><img src="'), F.lit(REFERENCE), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), F.lit('"><figcaption>'), F.coalesce(id_col.cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+def item_rows(sequences: DataFrame, kind: str | None = None) -> DataFrame:
+    """id, n_items, position, kind, text, digest, caption: the items of sequences, or those of one kind, at their places."""
+    wanted = F.col("items") if kind is None else F.filter("items", lambda x: x["kind"] == kind)
+    return sequences.select("id", F.size("items").alias("n_items"), F.explode(wanted).alias("item")).select("id", "n_items", "item.*")
 
 
-def document_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text as a stored picture: its sequence is parsed, its reference resolved by digest, its samples read back.
+def document_html(text: Column, id_col: Column) -> Column:
+    """A document as a page: its lines as paragraphs, then its picture, named by digest, with the id as its caption."""
+    text = F.coalesce(text, F.lit(""))
+    safe = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.concat(F.lit("<p>"), F.replace(safe, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    return F.concat(lines, F.lit('<figure><img src="'), F.lit(REFERENCE), F.sha2(text.cast("binary"), 256), F.lit('"><figcaption>'), F.coalesce(id_col.cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+
 
-    Equal texts are stored and read once. Defined cases: a null text is empty
-    and fills one tile; a null id stays null; repeated rows have a result each;
-    an empty table gives an empty result; further columns are not used.
+def document_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every document as a sequence of its text blocks and, after them, its text stored as a picture, whose samples are read back.
+
+    The page is parsed into the sequence, its reference resolved by digest;
+    position (from 0) is the picture's place among the n_items of its
+    document. Equal texts are stored and read once. Defined cases: a null text
+    is empty and fills one tile, and its picture is the only item; a null id
+    stays null; repeated rows have a result each; an empty table gives an empty
+    result; further columns are not used.
     """
-    pages = docs.select(F.col(id_col).cast("long").alias("id"), reference_html(F.col(text_col), F.col(id_col)).alias("html"))
-    found = resolve(parse_sequences(pages, id_col="id", html_col="html"), cut(read_payloads(store_payloads(docs, data_col=text_col))))
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    pages = docs.select(F.col(id_col).cast("long").alias("id"), document_html(F.col(text_col), F.col(id_col)).alias("html"))
+    pictures = item_rows(parse_sequences(pages, id_col="id", html_col="html"), "media")
+    found = resolve(pictures, cut(read_payloads(store_payloads(docs, data_col=text_col))))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "n_items", "caption")
