@@ -104,14 +104,16 @@ SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
        md5('order{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(copy AS VARCHAR)) AS shuffle_key
 FROM copies
 """,
-    "op7_snapshot_collapse": """
+    "op7_snapshot_collapse": r"""
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM conversations),
-c AS (SELECT conv_id, count(*) AS n_turns, list(role || chr(0) || text ORDER BY pos) AS turns,
-             string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY pos) AS rendered
-      FROM t GROUP BY conv_id),
+r AS (SELECT t.*, '<|' || regexp_replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), '\|(\\*)>', '|\1\\>', 'g') || '|>' || chr(10)
+             || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || chr(10) || '<|end|>' || chr(10) AS line FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, list(role || chr(0) || text ORDER BY pos) AS turns, string_agg(line, '' ORDER BY pos) AS rendered
+      FROM r WHERE conv_id IS NOT NULL GROUP BY conv_id
+      UNION ALL SELECT DISTINCT NULL, 1, [role || chr(0) || text], line FROM r WHERE conv_id IS NULL),
 d AS (SELECT turns, min(conv_id) AS conv_id FROM c GROUP BY turns)
-SELECT c.conv_id, c.n_turns, c.rendered FROM c JOIN d ON c.conv_id = d.conv_id
+SELECT c.conv_id, c.n_turns, c.rendered FROM c JOIN d ON c.turns = d.turns AND c.conv_id IS NOT DISTINCT FROM d.conv_id
 WHERE NOT EXISTS (SELECT 1 FROM d o WHERE len(o.turns) > c.n_turns AND o.turns[1:c.n_turns] = c.turns)
 """,
 }
