@@ -89,8 +89,8 @@ SECRET_RULE = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api_?key|ac
 #: Tokens that an entity may have, and characters around a trigger that a window takes in.
 MOST_TOKENS, AROUND = 14, 48
 N_FEATURES = 20
-#: Documents and windows to learn from, at most.
-MAX_TRAIN_DOCS, MAX_TRAIN_WINDOWS = 4000, 500
+#: Documents and windows to learn from, at most, and the characters that such a window may have. Windows of any length are decoded.
+MAX_TRAIN_DOCS, MAX_TRAIN_WINDOWS, MAX_TRAIN_CHARS = 4000, 500, 400
 
 
 def windows(text: str) -> list[tuple[int, int]]:
@@ -341,11 +341,12 @@ SEED_LINES = (
 )
 
 
-def train_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_TRAIN_DOCS, max_windows: int = MAX_TRAIN_WINDOWS) -> SpanModel:
+def train_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_TRAIN_DOCS, max_windows: int = MAX_TRAIN_WINDOWS, max_chars: int = MAX_TRAIN_CHARS) -> SpanModel:
     """Learn from a bounded sample: windows of at most max_docs documents (the smallest hashes of ids), labelled by the base patterns and the rule for secrets.
 
     Each document sends its first window with a label and its first without,
-    cut to the window; the driver keeps max_windows.
+    of those that have at most max_chars characters; the driver keeps
+    max_windows. Longer windows teach nothing, and are decoded like others.
     """
 
     def cut(texts: pd.Series) -> pd.Series:
@@ -355,7 +356,7 @@ def train_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             spans, kept = base_spans(text), {}
             spans += [("secret", *m.span(1)) for m in SECRET_RULE.finditer(text) if 0 < len(_digits(m.group(1))) < len(m.group(1))]
             for a, b in windows(text):
-                if b - a <= 400:
+                if b - a <= max_chars:
                     kept.setdefault(any(a <= s and e <= b for _, s, e in spans), text[a:b])
             out.append(list(kept.values()))
         return pd.Series(out)
@@ -384,8 +385,8 @@ def find_spans(text: str, model: SpanModel) -> tuple[list[Span], list[Span]]:
         for kind, s, e in model.decode(text, a, b):
             while i < len(taken) and taken[i][1] <= s:
                 i += 1
-            # base spans of different kinds may overlap, so look at all that start before e
-            if not any(x < e and y > s for x, y in taken[max(0, i - 4) : max(0, i - 4) + 12]):
+            # those before i end before s; if the one at i begins at e or later, so do all after it
+            if i == len(taken) or taken[i][0] >= e:
                 added.append((kind, s, e))
     return base, added
 

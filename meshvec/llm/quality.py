@@ -15,8 +15,8 @@ from meshvec.llm.common import free_name
 #: Labelled documents to learn from, at most.
 MAX_TRAIN = 20_000
 FEATURES = (
-    "log_chars", "word_length", "upper", "symbols", "bars", "exclamations", "digits", "stops", "spaces", "other_bytes",
-    "distinct_words", "top_word", "repeated_words", "distinct_lines", "words_a_line", "short_words",
+    "log_chars", "word_length", "upper", "symbols", "marks", "digits", "stops", "spaces", "other_bytes", "entropy",
+    "distinct_words", "top_word", "repeated_words", "distinct_pairs", "distinct_lines", "words_a_line", "ended_lines", "short_words", "long_words", "wordlike",
 )
 
 
@@ -27,7 +27,7 @@ def _class(chars: str) -> np.ndarray:
 
 
 UPPER, LOWER, DIGIT = _class("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _class("abcdefghijklmnopqrstuvwxyz"), _class("0123456789")
-BLANK, SYMBOL = _class(" \t\n\r\x0b\x0c"), _class("#$%&*+/<=>@[\\]^_`{}~")
+BLANK, SYMBOL, MARK = _class(" \t\n\r\x0b\x0c"), _class("#$%&*+/<=>@[\\]^_`{|}~"), _class("!\"'(),-.:;?")
 
 
 def text_features(text: str | None) -> list[float]:
@@ -42,10 +42,13 @@ def text_features(text: str | None) -> list[float]:
     by_word = Counter(words)
     repeated = sum(map(str.__eq__, words, words[1:]))
     lines = [x for x in text.split("\n") if x]
+    p = counts[counts > 0] / size
+    lengths = list(map(len, words))
     return [
-        float(np.log1p(len(text))), sum(map(len, words)) / n, upper / max(1.0, upper + lower), float(counts @ SYMBOL) / size, float(counts[ord("|")]) / n, float(counts[ord("!")]) / n,
-        float(counts @ DIGIT) / size, float(counts[ord(".")] + counts[ord("?")]) / n, float(counts @ BLANK) / size, float(counts[128:].sum()) / size,
-        len(by_word) / n, max(by_word.values()) / n, repeated / n, len(set(lines)) / max(1, len(lines)), n / max(1, len(lines)), sum(len(w) <= 3 for w in words) / n,
+        float(np.log1p(len(text))), sum(lengths) / n, upper / max(1.0, upper + lower), float(counts @ SYMBOL) / size, float(counts @ MARK) / n,
+        float(counts @ DIGIT) / size, float(counts[ord(".")] + counts[ord("?")]) / n, float(counts @ BLANK) / size, float(counts[128:].sum()) / size, -float(p @ np.log2(p)),
+        len(by_word) / n, max(by_word.values()) / n, repeated / n, len(set(zip(words, words[1:]))) / n, len(set(lines)) / max(1, len(lines)), n / max(1, len(lines)),
+        sum(x.rstrip().endswith((".", "!", "?", ":", "\"")) for x in lines) / max(1, len(lines)), sum(k <= 3 for k in lengths) / n, sum(k > 20 for k in lengths) / n, sum(map(str.isalpha, words)) / n,
     ]
 
 
@@ -160,8 +163,9 @@ def _features(texts: pd.Series) -> np.ndarray:
 def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> AdditiveModel:
     """Learn from the documents whose label row satisfies `learn`, at most max_train of them (the smallest hashes of ids).
 
-    The driver gets the features of those texts, not the texts. Without
-    labelled rows, the model scores one half.
+    The driver gets the features of those texts, not the texts. Of rows with
+    one id, one is learned from. Without labelled rows, the model scores one
+    half.
     """
     rows = labels.filter(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     picked = rows.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
@@ -171,7 +175,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col:
     def features(texts: pd.Series) -> pd.Series:
         return pd.Series(list(_features(texts)))
 
-    got = texts.select("id", "y", F.pandas_udf(features, "array<double>")("text").alias("x")).toPandas().sort_values("id", kind="stable")
+    found = texts.select("id", "y", F.pandas_udf(features, "array<double>")("text").alias("x"), F.xxhash64("text").alias("h"))
+    got = found.groupBy("id", "y").agg(F.min_by("x", "h").alias("x")).toPandas().sort_values("id", kind="stable")
     if got.empty:
         none = [np.zeros(0) for _ in FEATURES]
         return AdditiveModel(0.0, none, [np.zeros(1) for _ in FEATURES], none, [], [])

@@ -1,8 +1,10 @@
 """Packing, near copies, media and page text against plain Python."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -151,12 +153,45 @@ def test_groups_equal_brute_force(spark, words, percent):
 
 def test_large_groups_are_blocked(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_SETS", 5)
+    monkeypatch.setattr(neardup, "LEADER_SETS", 3)
     texts = families(9)
     want = groups_of(sets_of(texts, 4), 85)
     got = neardup.near_duplicates(docs(spark, texts), words=4, percent=85).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_copies_of_a_leader_need_no_pairs(spark):
+    """Of a group in which every set is linked with the leader, nothing is left to compare."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [(i, " ".join([*words[: i * 4 % 290], f"own{i}", *words[i * 4 % 290 :]])) for i in range(60)]
+    inner = neardup._inner(docs(spark, texts), "doc_id", "text")
+    groups = neardup.cut(neardup._meetings(neardup._signature_rows(inner, 4, 85), neardup._heavy_signatures(inner, 4, 85)))
+    assert groups.count() > 60
+    sketches = neardup._set_rows(inner, 4, "sketch", lambda s: neardup.sketch(s).tobytes())
+    near = neardup.cut(neardup._near_leader(groups, sketches, 85))
+    assert near.count() == 59
+    labels = neardup.connected(neardup._leader_links(near, neardup._set_rows(inner, 4, "blob", neardup.as_blob), 85))
+    assert {r["label"] for r in labels.collect()} == {0} and neardup._unsettled(groups, labels).count() == 0
+
+
+def test_dense_chains_are_joined(spark):
+    """Each text is linked with its neighbours only, so a leader joins few of its group."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [(i, " ".join(words[i * 8 : i * 8 + 120])) for i in range(30)] + [(100 + i, " ".join(words[i : i + 2])) for i in range(5)]
+    want = groups_of(sets_of(texts, 4), 85)
+    assert len(set(want.values())) == 6
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, texts), words=4, percent=85).collect()} == want
+
+
+def test_settled_tables_give_their_disk_back(spark):
+    from meshvec.llm.common import emptied, settle
+
+    t = settle(spark.range(1000))
+    path = t.inputFiles()[0].rsplit("/", 1)[0]
+    emptied(t)
+    assert spark.read.parquet(path).count() == 0
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for percent in (80, 85):
@@ -191,8 +226,9 @@ def test_chains_connect(spark):
 
 
 def test_media_digests(spark):
-    rows = [(1, "abc"), (2, "abc"), (3, ""), (4, None), (5, "é" * 10_000), (6, "x" * 576), (None, "<img src='y'>&amp;")]
-    got = media.document_media(docs(spark, rows)).collect()
+    rows = [(1, "abc"), (2, "abc"), (3, ""), (4, None), (5, "é" * 10_000), (6, "x" * 576), (None, "<img src='y'>&amp;"), (8, "one & two\n\n three  <b>\nfour")]
+    clash = {c: F.lit("own") for c in ("id", "digest", "items", "html", "position", "feature")}
+    got = media.document_media(docs(spark, rows).withColumns(clash)).collect()
     assert len(got) == len(rows)
     for r in got:
         text = dict(rows)[r["doc_id"]] or ""
@@ -201,9 +237,31 @@ def test_media_digests(spark):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(payload))
         assert (r["payload_sha256"], r["tail_crc32"]) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert r["media_sha256"] == hashlib.sha256(media.encode_png(payload)).hexdigest() and r["caption"] == str(r["doc_id"] if r["doc_id"] is not None else "")
+        assert r["feature"] == plain_feature(payload)
+        lines = [x for x in text.split("\n") if x.strip()]
+        assert (r["position"], r["n_items"]) == (len(lines), len(lines) + 1)
     assert media.document_media(docs(spark, [])).count() == 0
 
 
+def plain_feature(payload):
+    n, counts = len(payload), Counter(payload)
+    mean = sum(payload) / n
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in payload) / n)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    edges = [int(n * k / 64) for k in range(65)]
+    means = [sum(payload[a:b]) / (b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    bits = int("".join("1" if m > sum(means) / 64 else "0" for m in means), 2)
+    return f"{mean:.4f};{deviation:.4f};{entropy:.4f};{bits:016x}"
+
+
+def test_sequences_hold_the_blocks_of_documents(spark):
+    text = "first & line\nsecond <line>\n\n  third   one "
+    pages = docs(spark, [(7, text)]).select("doc_id", media.document_html(F.col("text"), F.col("doc_id")).alias("html"))
+    rows = media.item_rows(media.parse_sequences(pages, id_col="doc_id", html_col="html")).orderBy("position").collect()
+    assert [(r["position"], r["kind"], r["text"], r["caption"]) for r in rows] == [(0, "text", "first & line", None), (1, "text", "second <line>", None), (2, "text", "third one", None), (3, "media", None, "7")]
+    assert rows[3]["digest"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_png_round_trip_and_damage():
     payload = bytes(range(256)) * 9
     stored = media.encode_png(payload)
@@ -217,7 +275,7 @@ def test_sequences_stay_aligned(spark):
     html = '<p>one</p><figure><img src="media:d1" alt="a"><figcaption>cap &amp; tion</figcaption></figure>two <img src="http://x/y.png" alt="alt"><video src="media:d9"></video> three'
     pages = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
     payloads = spark.createDataFrame([("d1", "feature one")], "digest string, feature string")
-    rows = media.resolve(media.parse_sequences(pages, id_col="page_id", html_col="html"), payloads).orderBy("id", "position").collect()
+    rows = media.resolve(media.item_rows(media.parse_sequences(pages, id_col="page_id", html_col="html")), payloads).orderBy("id", "position").collect()
     assert [(r["position"], r["kind"], r["text"], r["caption"], r["feature"]) for r in rows] == [
         (0, "text", "one", None, None), (1, "media", None, "cap & tion", "feature one"), (2, "text", "two", None, None), (3, "media", None, "alt", None), (4, "media", None, None, None), (5, "text", "three", None, None),
     ]

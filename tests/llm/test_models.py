@@ -1,5 +1,6 @@
 """Classifiers by held-out accuracy, personal data against plain patterns, and the pipeline's stages."""
 
+import functools
 import hashlib
 import math
 import random
@@ -133,6 +134,26 @@ def test_quality_held_out(spark, sf_dir):
     assert labels
 
 
+def test_quality_held_out_labels(spark, sf_dir):
+    """The labels of the tables, whose junk the features weren't made for."""
+    sf = sf_dir.replace("0.001", "0.01")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.op8_additive_model(spark, sf).collect() if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    for y in (0, 1):
+        own = [r["predicted"] == y for r in rows if labels[r["doc_id"]] == y]
+        assert len(own) > 5 and sum(own) / len(own) > 0.9
+
+
+def test_score_equals_table_lookups():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 4))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float), cycles=10, pair_cycles=5)
+    for row, score in zip(x[:50], model.score(x[:50]), strict=True):
+        z = model.bias + sum(t[int((c <= v).sum())] for c, t, v in zip(model.cuts, model.tables, row, strict=True))
+        z += sum(t[int((model.coarse[i] <= row[i]).sum()), int((model.coarse[j] <= row[j]).sum())] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_quality_edge_cases(spark):
     d = docs(spark, [(1, None), (2, ""), (3, " \n"), (4, "é" * 200_000), (4, "x"), (None, "y")])
     empty = spark.createDataFrame([], "doc_id long, quality int")
@@ -226,6 +247,29 @@ def test_unnamed_short_runs_stay(model):
     assert pii.find_spans("the plane b747x200 left gate b12 at 10:45, with chapter 3 of v2 of abc4defg and 7 people", model) == ([], [])
 
 
+@pytest.mark.parametrize("text", ["a1 b2@c.d", "+1 (2) 345", "key=abc12def4", "x\n12 34-5", "1.2.3.4 9"])
+def test_decoding_equals_all_segmentations(text):
+    """By plain recursion over every way to cut a short window into outside tokens and segments of each kind."""
+    rng = np.random.default_rng(len(text))
+    k = len(pii.KINDS) + 1
+    for _ in range(5):
+        m = pii.SpanModel(rng.normal(0, 1, (pii.N_FEATURES, k - 1)), rng.normal(0, 1, 4), rng.normal(0, 1, (k, k)))
+        lat = pii.lattice(text, 0, len(text))
+        n = len(lat.outside)
+
+        @functools.cache
+        def best(j, y):
+            """The best score and spans of the tokens before j, if what ends at j has kind y."""
+            if j == 0:
+                return (0.0, []) if y == 0 else (-np.inf, [])
+            if y == 0:
+                return max(((s + m.after[x, 0] + lat.outside[j - 1] @ m.outside, spans) for x in range(k) for s, spans in [best(j - 1, x)]), key=lambda r: r[0])
+            found = [(s + m.after[x, y] + f @ m.spans[:, y - 1], [*spans, (pii.KINDS[y - 1], lat.starts[i], lat.starts[j])]) for i, f in lat.segments[j] for x in range(k) for s, spans in [best(i, x)]]
+            return max(found, key=lambda r: r[0], default=(-np.inf, []))
+
+        assert m.decode(text, 0, len(text)) == max((best(n, y) for y in range(k)), key=lambda r: r[0])[1]
+
+
 def test_windows_hold_every_candidate():
     rng = random.Random(6)
     for _ in range(300):
