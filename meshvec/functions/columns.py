@@ -18,6 +18,12 @@ def hash_uniform(seed: int, *keys: Column | str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
 
 
+def md5_uniform(seed: int, *keys: Column | str) -> Column:
+    """A uniform double in [0, 1) from 52 bits of the md5 of seed and keys, as any SQL engine can make it."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def hash_normal(seed: int, *keys: Column | str) -> Column:
     """A standard normal double by Box and Muller's rule from two hash uniforms."""
     radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - hash_uniform(2 * seed, *keys)))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshvec.functions.columns import mix_key
 from meshvec.functions.lineage import cut, global_rank
+from meshvec.operators import blocks
 
 
 def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -44,50 +49,156 @@ def macro_f1(counts: DataFrame) -> DataFrame:
     return counts.agg(F.coalesce(F.avg(f1), F.lit(0.0)).alias("macro_f1"))
 
 
-def one_vs_rest(train: DataFrame, test: DataFrame, labels: list[int], *, c: float = 1.0) -> DataFrame:
-    """node, label, p: one binary logistic regression with an L2 penalty for each label. train, test: node, vec; train also labels (an array)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    known = cut(train.select("node", "labels", array_to_vector("vec").alias("features")))
-    asked = test.select("node", array_to_vector("vec").alias("features"))
-    penalty = 1.0 / (c * max(1, known.count()))
-    out = None
-    for label in labels:
-        rows = known.withColumn("label", F.array_contains("labels", F.lit(label)).cast("double"))
-        model = LogisticRegression(regParam=penalty, elasticNetParam=0.0, standardization=False, family="binomial").fit(rows)
-        scored = model.transform(asked).select("node", F.lit(label).alias("label"), vector_to_array("probability")[1].alias("p"))
-        out = scored if out is None else out.unionByName(scored)
+#: Numbers that a pass over the rows sums up at once, and weights that are held at once.
+PASS_NUMBERS = 4_000_000
+#: Rows that a task works on at once.
+SLICE = 1024
+
+
+def _slices(batches: Iterator[pa.RecordBatch], d: int, names: np.ndarray) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """node, vectors with a 1 at the end, which labels of names (sorted) a row has, and its flags, by slices of rows (node, vec, labels, flags)."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            n = part.num_rows
+            x = np.ones((n, d + 1))
+            x[:, :d] = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, d)
+            owner = np.repeat(np.arange(n), part.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            label = part.column(2).flatten().to_numpy(zero_copy_only=False)
+            y = np.zeros((n, len(names)), bool)
+            if len(names):
+                place = np.minimum(np.searchsorted(names, label), len(names) - 1)
+                known = names[place] == label
+                y[owner[known], place[known]] = True
+            yield part.column(0).to_pylist(), x, y, part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
+def _moments(rows: DataFrame, d: int, names: np.ndarray, split: np.ndarray, label: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each model (a split and a label): loss, gradient and second derivatives of the logistic loss at its weights, by one pass over all rows."""
+    width = 1 + (d + 1) + (d + 1) ** 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(split), width))
+        for _, x, y, flags in _slices(batches, d, names):
+            z, y, t = x @ weights.T, y[:, label], flags[:, split].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            out[:, 0] += (t * (np.logaddexp(0, z) - y * z)).sum(0)
+            out[:, 1 : d + 2] += (t * (p - y)).T @ x
+            v = t * p * (1 - p)
+            for m in range(len(split)):
+                out[m, d + 2 :] += (x.T @ (v[:, m, None] * x)).ravel()
+        for m in range(len(split)):
+            yield pa.RecordBatch.from_arrays([pa.array([m]), pa.array([0]), pa.array([out[m]], pa.list_(pa.float64()))], schema=blocks.SCHEMA)
+
+    out = np.zeros((len(split), width))
+    for r in blocks.summed(rows.mapInArrow(run, blocks.DDL), width).collect():  # one row for each model of the pass
+        out[r["bi"]] = r["x"]
     return out
 
 
-#: Labels that classify takes at most, one model each.
-MAX_LABELS = 10_000
+def fit_logistic(rows: DataFrame, d: int, names: np.ndarray, splits: int, *, c: float = 1.0, rounds: int = 60) -> np.ndarray:
+    """Weights (splits, labels, d + 1) of binary logistic regressions with an L2 penalty of 1 / (2 c), one for each split and label.
 
+    rows: node, vec, labels, flags (which splits learn from the row). All models
+    take Newton's steps at once, as many of them as PASS_NUMBERS allows; a step
+    that doesn't lower a model's loss is halved.
+    """
+    ridge = np.full(d + 1, 1 / c)
+    ridge[d] = 1e-6  # the intercept is free but for what keeps it finite
+    split, label = (x.ravel() for x in np.meshgrid(np.arange(splits), np.arange(len(names)), indexing="ij"))
+    out, at_once = np.zeros((len(split), d + 1)), max(1, PASS_NUMBERS // (1 + (d + 1) * (d + 2)))
+    for first in range(0, len(split), at_once):
+        mine = slice(first, first + at_once)
+        best = out[mine]
+        step, least = np.zeros_like(best), np.full(len(best), np.inf)
+        for _ in range(rounds):
+            tried = best + step
+            found = _moments(rows, d, names, split[mine], label[mine], tried)
+            loss = found[:, 0] + 0.5 * (tried**2 * ridge).sum(1)
+            better = loss <= least + 1e-9 * (1 + np.abs(loss))
+            for m in np.flatnonzero(better):
+                best[m], least[m] = tried[m], loss[m]
+                slope = found[m, 1 : d + 2] + ridge * tried[m]
+                step[m] = -np.linalg.solve(found[m, d + 2 :].reshape(d + 1, d + 1) + np.diag(ridge), slope)
+            step[~better] /= 2
+            if np.abs(step).max(initial=0) < 1e-7 * (1 + np.abs(best).max(initial=0)):
+                break
+        out[mine] = best
+    return out.reshape(splits, len(names), d + 1)
 
-def classify(vectors: DataFrame, truth: DataFrame, fractions: list[float], *, repeats: int = 1, seed: int = 0) -> DataFrame:
+
+def one_vs_rest(train: DataFrame, test: DataFrame, labels: list[int], *, c: float = 1.0) -> DataFrame:
+    """node, label, p: one binary logistic regression with an L2 penalty for each label, all fitted together. train, test: node, vec; train also labels (an array)."""
+    names = np.array(sorted(labels), np.int64)
+    known = cut(train.select("node", "vec", F.col("labels").cast("array<long>").alias("labels"), F.array(F.lit(True)).alias("flags")))
+    d = known.agg(F.max(F.size("vec"))).first()[0] or 0
+    weights = fit_logistic(known, d, names, 1, c=c)[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, x, _, _ in _slices(batches, d, names):
+            p = 1 / (1 + np.exp(-np.clip(x @ weights.T, -500, 500)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, len(names)), pa.int64()), pa.array(np.tile(names, len(nodes)), pa.int64()), pa.array(p.ravel())], ["node", "label", "p"])
+
+    asked = test.select("node", "vec", F.array().cast("array<long>").alias("labels"), F.array(F.lit(False)).alias("flags"))
+    return asked.mapInArrow(run, "node long, label long, p double")
+
+
+def _tested(rows: DataFrame, d: int, names: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """split, label, tp, fp, fn of the rows that a split doesn't learn from, each predicted as many labels as it has, counted inside the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(weights), 3, len(names)), np.int64)
+        for _, x, y, flags in _slices(batches, d, names):
+            rank_of = np.arange(len(names))
+            for s, w in enumerate(weights):
+                mine = ~flags[:, s].astype(bool)
+                truth = y[mine]
+                order = np.argsort(-(x[mine] @ w.T), axis=1, kind="stable")  # ties go to the smaller label
+                place = np.empty_like(order)
+                np.put_along_axis(place, order, np.broadcast_to(rank_of, order.shape), 1)
+                got = place < truth.sum(1)[:, None]
+                out[s] += np.stack([(got & truth).sum(0), (got & ~truth).sum(0), (~got & truth).sum(0)])
+        s, k = np.nonzero(out.sum(1))
+        columns = [pa.array(s), pa.array(names[k]), *(pa.array(out[s, i, k]) for i in range(3))]
+        yield pa.RecordBatch.from_arrays(columns, ["split", "label", "tp", "fp", "fn"])
+
+    counts = rows.mapInArrow(run, "split long, label long, tp long, fp long, fn long")
+    return counts.groupBy("split", "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+def classify(vectors: DataFrame, truth: DataFrame, fractions: list[float], *, repeats: int = 1, seed: int = 0, c: float = 1.0) -> DataFrame:
     """fraction, micro_f1, macro_f1, means over repeats of: split, train, take the k best labels, score.
 
-    vectors: node, vec; truth: node, label. The labels must be few, since each
-    is one model; more than MAX_LABELS raise an error.
+    vectors: node, vec (of one length); truth: node, label. The models of all
+    fractions, repeats and labels are fitted in common passes over the rows;
+    the weights of one split pass through the driver, (d + 1) for each label.
     """
     spark: SparkSession = vectors.sparkSession
-    names = [r["label"] for r in truth.select("label").distinct().orderBy("label").limit(MAX_LABELS + 1).collect()]
-    if len(names) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    sets = truth.groupBy("node").agg(F.collect_set("label").alias("labels"))
-    data = cut(vectors.join(sets, "node"))
-    rows = []
-    for fraction in fractions:
-        for repeat in range(repeats):
-            part = cut(split_prefix(data, fraction, seed + repeat))
-            train = data.join(part.filter("train"), "node", "left_semi")
-            test = data.join(part.filter("not train"), "node", "left_semi")
-            wanted = truth.join(test.select("node"), "node", "left_semi")
-            counts = cut(confusion(topk(one_vs_rest(train, test, names), wanted), wanted))
-            rows.append((fraction, micro_f1(counts).first()[0], macro_f1(counts).first()[0]))
-    found = spark.createDataFrame(rows, "fraction double, micro_f1 double, macro_f1 double")
-    return found.groupBy("fraction").agg(F.avg("micro_f1").alias("micro_f1"), F.avg("macro_f1").alias("macro_f1"))
+    names = np.array([r["label"] for r in truth.select(F.col("label").cast("long")).distinct().orderBy("label").collect()], np.int64)
+    sets = truth.groupBy("node").agg(F.collect_set(F.col("label").cast("long")).alias("labels"))
+    rows = cut(vectors.join(sets, "node").select("node", "vec", "labels"))
+    d = rows.agg(F.max(F.size("vec"))).first()[0] or 0
+    for repeat in range(repeats):
+        parts = global_rank(rows.select("node", mix_key(F.col("node"), F.lit(seed + repeat)).alias("key")), ["key", "node"])
+        learns = F.array(*[F.col("rank") <= F.floor(F.lit(f) * F.col("n")) for f in fractions])
+        rows = cut(rows.join(parts.select("node", learns.alias(f"r{repeat}")), "node"))
+    splits = [(f, r) for r in range(repeats) for f in range(len(fractions))]
+    at_once, found = max(1, PASS_NUMBERS // max(1, len(names) * (d + 1))), []
+    for first in range(0, len(splits), at_once):
+        mine = splits[first : first + at_once]
+        flagged = cut(rows.select("node", "vec", "labels", F.array(*[F.get(f"r{r}", F.lit(f)) for f, r in mine]).alias("flags")))
+        counts = cut(_tested(flagged, d, names, fit_logistic(flagged, d, names, len(mine), c=c)))
+        micro = counts.groupBy("split").agg((F.sum(F.col("tp") * 2) / F.sum(F.col("tp") * 2 + F.col("fp") + F.col("fn"))).alias("micro_f1"), F.avg(F.col("tp") * 2 / (F.col("tp") * 2 + F.col("fp") + F.col("fn"))).alias("macro_f1"))
+        got = {r["split"]: (r["micro_f1"], r["macro_f1"]) for r in micro.collect()}
+        found += [(fractions[f], *got.get(k, (0.0, 0.0))) for k, (f, _) in enumerate(mine)]
+    scores = spark.createDataFrame(found, "fraction double, micro_f1 double, macro_f1 double")
+    return scores.groupBy("fraction").agg(F.avg("micro_f1").alias("micro_f1"), F.avg("macro_f1").alias("macro_f1"))
+
+
+def report(scores: DataFrame, *, model: str, task: str, seconds: float, parties: int, communication: int) -> DataFrame:
+    """The record of a run, one row for each fraction: model, task, fraction, seconds, micro_f1, macro_f1, parties, communication (bytes of all parties)."""
+    given = [F.lit(model).alias("model"), F.lit(task).alias("task"), "fraction", F.lit(float(seconds)).alias("seconds"), "micro_f1", "macro_f1"]
+    return scores.select(*given, F.lit(parties).alias("parties"), F.lit(communication).cast("long").alias("communication"))
 
 
 def mean_absolute_error(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def gram(y: DataFrame, d: int) -> np.ndarray:
         g = np.zeros((d, d))
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(0).to_pylist(), float).reshape(-1, d)
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
                 g += x.T @ x
         k, m = np.triu_indices(d)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(m, pa.int32()), pa.array(g[k, m])], ["k", "m", "v"])
@@ -49,7 +49,7 @@ def map_rows(y: DataFrame, w: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1) @ w if batch.num_rows else np.zeros((0, w.shape[1]))
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(w)) @ w
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["i", "y"])
 
     return y.select("i", "y").mapInArrow(run, "i long, y array<double>")

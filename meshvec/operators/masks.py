@@ -1,26 +1,28 @@
-"""Additive and orthogonal masks and the two-party protocol over them. A simulation of the arithmetic; no privacy is claimed."""
+"""Additive and orthogonal masks and the two-party protocol over them. A simulation of the arithmetic; no privacy is claimed.
+
+Masks are dense, so they and what they are multiplied with are block matrices
+(see blocks). Every mask has a block size, which bounds what a task holds.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshvec.functions.columns import hash_mask, hash_normal
 from meshvec.functions.lineage import cut
-from meshvec.operators import matrix
+from meshvec.operators import blocks, matrix
 
 
-def block_cells(spark: SparkSession, n: int, size: int) -> DataFrame:
-    """All cells (i, j) of the diagonal blocks of an n x n matrix: n * size rows at most."""
-    rows = spark.range(n).select(F.col("id").alias("i"), (F.floor(F.col("id") / size) * size).cast("long").alias("first"))
-    return rows.select("i", F.explode(F.sequence("first", F.least(F.col("first") + size, F.lit(n)) - 1)).alias("j"))
+def random_blocks(spark: SparkSession, n: int, size: int, seed: int) -> DataFrame:
+    """A block-diagonal matrix of uniforms in [0, 10)."""
+    return blocks.diagonal(spark, n, size, lambda b, k: np.random.default_rng([seed, b]).random((k, k)) * 10)
 
 
-def random_matrix(spark: SparkSession, n: int, seed: int, size: int | None = None) -> DataFrame:
-    """A block-diagonal matrix of uniforms in [0, 10); one block if no size is given."""
-    return block_cells(spark, n, size or n).withColumn("v", hash_mask(seed, "i", "j"))
+def random_matrix(spark: SparkSession, n: int, seed: int, size: int) -> DataFrame:
+    """random_blocks as cells."""
+    return blocks.from_blocks(random_blocks(spark, n, size, seed), size)
 
 
 def normal_panel(nodes: DataFrame, d: int, seed: int) -> DataFrame:
@@ -28,28 +30,29 @@ def normal_panel(nodes: DataFrame, d: int, seed: int) -> DataFrame:
     return nodes.select(F.col("node").alias("i"), F.array(*[hash_normal(seed + k, "node") for k in range(d)]).alias("y"))
 
 
-def orthogonal_blocks(spark: SparkSession, n: int, seed: int, size: int | None = None) -> DataFrame:
-    """A block-diagonal orthogonal matrix: Q of the QR of each block of hash normals, one task for a block of size x size."""
-    size = size or n
+def orthogonal_blocks(spark: SparkSession, n: int, size: int, seed: int) -> DataFrame:
+    """A block-diagonal orthogonal matrix: Q of the QR of each block of normals."""
 
-    def q_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["i", "j"])
-        k = int(round(len(pdf) ** 0.5))
-        q, r = np.linalg.qr(pdf["v"].to_numpy().reshape(k, k))
-        return pdf[["i", "j"]].assign(v=(q * np.where(np.diag(r) < 0, -1.0, 1.0)).ravel())
+    def q_of(b: int, k: int) -> np.ndarray:
+        q, r = np.linalg.qr(np.random.default_rng([seed, b]).normal(size=(k, k)))
+        return q * np.where(np.diag(r) < 0, -1.0, 1.0)
 
-    cells = block_cells(spark, n, size).withColumns({"v": hash_normal(seed, "i", "j"), "b": F.floor(F.col("i") / size)})
-    return cells.groupBy("b").applyInPandas(q_of, "i long, j long, v double")
+    return blocks.diagonal(spark, n, size, q_of)
 
 
-def mask(p: DataFrame, a: DataFrame, q: DataFrame) -> DataFrame:
+def mask(p: DataFrame, a: DataFrame, q: DataFrame, size: int) -> DataFrame:
     """P A Q."""
-    return matrix.dot(matrix.dot(p, a), q)
+    return blocks.dot(blocks.dot(p, a, size), q, size)
 
 
-def demask(p: DataFrame, masked: DataFrame, q: DataFrame) -> DataFrame:
+def demask(p: DataFrame, masked: DataFrame, q: DataFrame, size: int) -> DataFrame:
     """P' M Q', which undoes mask for orthogonal P and Q."""
-    return matrix.dot(matrix.dot(matrix.transpose(p), masked), matrix.transpose(q))
+    return blocks.dot(blocks.dot(blocks.transpose(p, size), masked, size), blocks.transpose(q, size), size)
+
+
+def masked_square(p: DataFrame, x: DataFrame, q: DataFrame, size: int) -> DataFrame:
+    """P X^2 Q of a party that holds all of X."""
+    return blocks.dot(blocks.dot(blocks.dot(p, x, size), x, size), q, size)
 
 
 def secure_sum(held: DataFrame, parties: int, seed: int) -> DataFrame:
@@ -66,38 +69,45 @@ def secure_sum(held: DataFrame, parties: int, seed: int) -> DataFrame:
     return published.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def protocol_square(spark: SparkSession, xa: DataFrame, xb: DataFrame, n: int, *, size: int | None = None, seed: int = 11) -> DataFrame:
-    """(X_a + X_b)^2 by the masked exchange of two parties.
+def protocol_square(spark: SparkSession, xa: DataFrame, xb: DataFrame, n: int, *, size: int, seed: int = 11) -> DataFrame:
+    """(X_a + X_b)^2 by the masked exchange of two parties; all matrices are blocks.
 
     A third side deals residual masks R_a0, R_a1 and R_b0, R_b1, and a noise T
     whose correction C it keeps; each party publishes X minus its masks, one
     forms W, the other U, and U + T + T' is the square whatever the masks are.
     """
+    dot = lambda a, b: blocks.dot(a, b, size)
+    add = lambda *terms: cut(blocks.add(size, *terms))
     xa, xb = cut(xa), cut(xb)
-    ra0, ra1, rb0, rb1, t, t2 = (random_matrix(spark, n, seed + k, size) for k in range(6))
-    c = matrix.add((1, matrix.dot(ra0, rb1)), (1, matrix.dot(rb0, ra1)), (-1, t))
-    a0, a1 = matrix.add((1, xa), (-1, ra0)), matrix.add((1, xa), (-1, ra1))
-    b0, b1 = matrix.add((1, xb), (-1, rb0)), matrix.add((1, xb), (-1, rb1))
-    w = matrix.add((1, matrix.dot(ra0, b1)), (1, matrix.dot(b0, ra1)), (1, matrix.dot(xa, xa)), (-1, t2))
-    u = matrix.add((1, matrix.dot(a0, xb)), (1, matrix.dot(xb, a1)), (1, matrix.dot(xb, xb)), (1, w), (1, c))
-    return matrix.add((1, u), (1, t), (1, t2))
+    ra0, ra1, rb0, rb1, t, t2 = (cut(random_blocks(spark, n, size, seed + k)) for k in range(6))
+    c = add((1, dot(ra0, rb1)), (1, dot(rb0, ra1)), (-1, t))
+    a0, a1 = add((1, xa), (-1, ra0)), add((1, xa), (-1, ra1))
+    b0, b1 = add((1, xb), (-1, rb0)), add((1, xb), (-1, rb1))
+    w = add((1, dot(ra0, b1)), (1, dot(b0, ra1)), (1, dot(xa, xa)), (-1, t2))
+    u = add((1, dot(a0, xb)), (1, dot(xb, a1)), (1, dot(xb, xb)), (1, w), (1, c))
+    return blocks.add(size, (1, u), (1, t), (1, t2))
 
 
-def masked_proximity(spark: SparkSession, xs: list[DataFrame], degree: DataFrame, vol: float, n: int, *, window: int = 1, negative: float = 1.0, size: int | None = None, seed: int = 31) -> DataFrame:
-    """The proximity of window 1 or 2 as two parties compute it under masks P and Q, demasked again.
+def masked_proximity(spark: SparkSession, xs: list[DataFrame], degree: DataFrame, vol: float, n: int, *, window: int = 1, negative: float = 1.0, size: int, seed: int = 31, least: float = 1e-8) -> DataFrame:
+    """The proximity of window 1 or 2 as two parties compute it under masks P and Q, demasked again, as cells larger than `least`.
 
-    xs: each party's X_p = D^-1 A_p with the degrees of the whole graph. A
-    party sends P X_p (D^-1 Q); for window 2 the square of the sum comes from
-    protocol_square. The masks leave no trace but rounding.
+    xs: each party's X_p = D^-1 A_p (i, j, v) with the degrees of the whole
+    graph. A party sends P X_p (D^-1 Q); for window 2 the square of the sum
+    comes from protocol_square. The masks leave no trace but rounding.
     """
-    p, q = orthogonal_blocks(spark, n, seed, size), orthogonal_blocks(spark, n, seed + 1, size)
-    p, q = cut(p), cut(q)
-    dq = cut(matrix.diag_left(matrix.diagonal(degree), q, inverse=True))
-    xs = [cut(x) for x in xs]
-    sent = [mask(p, x, dq) for x in xs]
+    p, q = cut(orthogonal_blocks(spark, n, size, seed)), cut(orthogonal_blocks(spark, n, size, seed + 1))
+    inverse = matrix.diagonal(degree).filter("v != 0").select("i", "j", (1 / F.col("v")).alias("v"))
+    dq = cut(blocks.dot(blocks.to_blocks(inverse, size), q, size))
+    xs = [cut(blocks.to_blocks(x, size)) for x in xs]
+    sent = [mask(p, x, dq, size) for x in xs]
     if window == 2:
-        sent.append(mask(p, protocol_square(spark, xs[0], xs[1], n, size=size, seed=seed + 2), dq))
+        sent.append(mask(p, protocol_square(spark, xs[0], xs[1], n, size=size, seed=seed + 2), dq, size))
     elif window != 1:
         raise ValueError("the protocol has windows 1 and 2")
-    m = matrix.add(*[(vol / (window * negative), s) for s in sent])
-    return demask(p, m, q)
+    m = blocks.add(size, *[(vol / (window * negative), s) for s in sent])
+    return blocks.from_blocks(demask(p, m, q, size), size, least)
+
+
+def masked_sampled(spark: SparkSession, m: DataFrame, n: int, *, size: int, seed: int = 51) -> DataFrame:
+    """M O of a party's sampled proximity M (i, j, v) under an orthogonal mask O, as cells: what it sends instead of M."""
+    return blocks.from_blocks(blocks.dot(blocks.to_blocks(m, size), orthogonal_blocks(spark, n, size, seed), size), size)

@@ -53,3 +53,12 @@ def party_squares(x: DataFrame, parties: int) -> DataFrame:
             terms.append((1.0, matrix.dot(both, both)))
     terms += [(-(parties - 2.0), matrix.dot(m, m)) for m in own if parties != 2]
     return matrix.add(*terms)
+
+
+def party_proximity(x: DataFrame, degree: DataFrame, vol: DataFrame, parties: int, *, negative: float = 1.0) -> DataFrame:
+    """The proximity of window 2 from the parties' shares: vol / (2 * negative) (sum of X_p + square of the sum) D^-1, the square by party_squares. x: i, j, v, party."""
+    x = cut(x)
+    both = matrix.add((1.0, x.select("i", "j", "v")), (1.0, party_squares(x, parties)))
+    scaled = matrix.diag_right(both, matrix.diagonal(degree), inverse=True)
+    factor = vol.select((F.col("vol") / F.lit(2 * negative)).alias("c"))
+    return scaled.join(F.broadcast(factor)).select("i", "j", (F.col("v") * F.col("c")).alias("v"))  # vol is one row

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshvec.functions.columns import hash_uniform
+
 
 def in_degree(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """node, deg: sums of weights by target, as the column sums of the matrix; by: further keys such as the party."""
@@ -67,9 +69,28 @@ def alias_tables(adj: DataFrame) -> DataFrame:
     return adj.select("node", "neighbours", "weights").mapInPandas(build, "node long, neighbours array<long>, weights array<double>, stand_in array<int>, threshold array<double>")
 
 
+def alias_places(tables: DataFrame) -> DataFrame:
+    """node, place, neighbour, other, threshold, k: alias tables with a row for each place, so that drawing never handles a hub's list as one row."""
+    cells = tables.select("node", "neighbours", F.size("neighbours").alias("k"), F.posexplode(F.arrays_zip("stand_in", "threshold")).alias("place", "cell"))
+    return cells.select("node", "place", F.get("neighbours", F.col("place")).alias("neighbour"), F.get("neighbours", F.col("cell.stand_in")).alias("other"), F.col("cell.threshold").alias("threshold"), "k")
+
+
+def alias_draw(rows: DataFrame, places: DataFrame, seed: int = 0) -> DataFrame:
+    """rows (node, draw, ...) with `drawn`, a neighbour by its weight: one uniform number picks the place, another the neighbour or its stand-in.
+
+    draw is a key of its own for each row, from which both numbers are hashed.
+    A node without neighbours draws null.
+    """
+    sizes = places.select("node", "k").distinct()
+    asked = rows.join(sizes, "node", "left").withColumn("place", F.floor(hash_uniform(seed, F.col("draw")) * F.col("k")).cast("int"))
+    met = asked.drop("k").join(places.drop("k"), ["node", "place"], "left")
+    drawn = F.when(hash_uniform(seed + 1, F.col("draw")) < F.col("threshold"), F.col("neighbour")).otherwise(F.col("other"))
+    return met.select(*rows.columns, drawn.alias("drawn"))
+
+
 def alias_probabilities(tables: DataFrame) -> DataFrame:
     """node, neighbour, p: the probability with which an alias table draws each neighbour."""
-    cells = tables.select("node", "neighbours", F.size("neighbours").alias("k"), F.posexplode(F.arrays_zip("stand_in", "threshold")).alias("at", "cell"))
-    own = cells.select("node", F.get("neighbours", F.col("at")).alias("neighbour"), (F.col("cell.threshold") / F.col("k")).alias("p"))
-    other = cells.select("node", F.get("neighbours", F.col("cell.stand_in")).alias("neighbour"), ((1 - F.col("cell.threshold")) / F.col("k")).alias("p"))
+    cells = alias_places(tables)
+    own = cells.select("node", "neighbour", (F.col("threshold") / F.col("k")).alias("p"))
+    other = cells.select("node", F.col("other").alias("neighbour"), ((1 - F.col("threshold")) / F.col("k")).alias("p"))
     return own.unionByName(other).groupBy("node", "neighbour").agg(F.sum("p").alias("p"))

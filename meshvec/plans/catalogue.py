@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshvec.functions.columns import mix_key, rounded
+from meshvec.functions.lineage import cut
 from meshvec.operators import edges as E
-from meshvec.operators import evaluate, factor, masks, matrix, proximity, stats, walks
+from meshvec.operators import blocks, evaluate, factor, masks, matrix, proximity, stats, walks
 from meshvec.plans import embeddings
 from meshvec.sources import graphs
 
@@ -20,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 PARTIES, PER_EDGE, WORKERS = 3, 500, 8
+#: Side of a dense block: 512 KB.
+BLOCK = 256
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -187,6 +191,19 @@ def alias_probabilities(spark, sf_dir):
     return vals(stats.alias_probabilities(stats.alias_tables(stats.adjacency(edges))), "p")
 
 
+@query(f"WITH {TRADE} SELECT i AS node, j AS neighbour, true AS near FROM t")
+def alias_draw(spark, sf_dir):
+    """Every neighbour and whether it comes as often in 20,000 draws of its node as its weight asks for, within 0.02. Nothing else is drawn."""
+    edges = trade(spark, sf_dir).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("v").alias("w"))
+    adj = stats.adjacency(edges)
+    draws = adj.select("node", F.explode(F.sequence(F.lit(1), F.lit(20000))).alias("s")).select("node", F.xxhash64("node", "s").alias("draw"))
+    drawn = stats.alias_draw(draws, stats.alias_places(stats.alias_tables(adj)), 7).groupBy("node", F.col("drawn").alias("neighbour")).agg((F.count(F.lit(1)) / 20000).alias("share"))
+    total = edges.groupBy("src").agg(F.sum("w").alias("s"))
+    wanted = edges.join(total, "src").select(F.col("src").alias("node"), F.col("dst").alias("neighbour"), (F.col("w") / F.col("s")).alias("p"))
+    both = wanted.join(drawn, ["node", "neighbour"], "full")
+    return both.select("node", "neighbour", (F.abs(F.coalesce("share", F.lit(0.0)) - F.coalesce("p", F.lit(-1.0))) < 0.02).alias("near"))
+
+
 # Matrix algebra.
 
 
@@ -211,6 +228,22 @@ def mat_dot(spark, sf_dir):
     return matrix.dot(matrix.transpose(a), a)
 
 
+@query(f"WITH {PS} SELECT a.dst AS i, b.dst AS j, CAST(count(*) AS DOUBLE) AS v FROM ps a JOIN ps b ON a.src = b.src GROUP BY ALL")
+def block_dot(spark, sf_dir):
+    """A'A by products of dense blocks."""
+    a = matrix.from_edges(graphs.part_supp(spark, sf_dir))
+    return blocks.from_blocks(blocks.dot(blocks.to_blocks(matrix.transpose(a), BLOCK), blocks.to_blocks(a, BLOCK), BLOCK), BLOCK)
+
+
+@query(f"WITH {CS}, d AS (SELECT dst AS i, dst AS j, -CAST(count(*) AS DOUBLE) AS v FROM cs GROUP BY dst), p AS (SELECT a.dst AS i, b.dst AS j, CAST(count(*) AS DOUBLE) AS v FROM cs a JOIN cs b ON a.src = b.src WHERE a.dst < b.dst GROUP BY ALL) SELECT i, j, v FROM d UNION ALL SELECT i, j, v FROM p UNION ALL SELECT j, i, v FROM p")
+def block_add_signed(spark, sf_dir):
+    """A'A less twice its diagonal, by sums of dense blocks."""
+    a = matrix.from_edges(graphs.cust_supp(spark, sf_dir))
+    product = blocks.to_blocks(matrix.dot(matrix.transpose(a), a), BLOCK)
+    twice = blocks.to_blocks(a.groupBy(F.col("j").alias("i")).agg(F.sum("v").alias("v")).select("i", F.col("i").alias("j"), "v"), BLOCK)
+    return blocks.from_blocks(blocks.add(BLOCK, (1, product), (-2, twice)), BLOCK)
+
+
 @query(f"WITH {TRADE} SELECT i, j, round(sum(v), 6) AS v FROM (SELECT i, j, v FROM tp WHERE party = 1 UNION ALL SELECT i, j, -v FROM tp WHERE party = 2) GROUP BY i, j")
 def mat_add_signed(spark, sf_dir):
     tp = graphs.nation_trade(spark, sf_dir)
@@ -347,23 +380,24 @@ def secure_sum(spark, sf_dir):
 
 @query(f"WITH {TRADE} SELECT i, j, round(v, 4) AS v FROM t")
 def masked_roundtrip(spark, sf_dir):
-    t = trade(spark, sf_dir)
-    p, q = masks.orthogonal_blocks(spark, 25, 21, 10), masks.orthogonal_blocks(spark, 25, 22, 10)
+    t = blocks.to_blocks(trade(spark, sf_dir), 10)
+    p, q = masks.orthogonal_blocks(spark, 25, 10, 21), masks.orthogonal_blocks(spark, 25, 10, 22)
     # cells that are zero but for the last digits aren't part of a sparse matrix
-    return masks.demask(p, masks.mask(p, t, q), q).filter(F.abs("v") > 1e-6).withColumn("v", rounded(F.col("v"), 4))
+    return vals(blocks.from_blocks(masks.demask(p, masks.mask(p, t, q, 10), q, 10), 10, 1e-6)).withColumn("v", rounded(F.col("v"), 4))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS j, 1.0::DOUBLE AS v FROM range(25) r(i)")
+@query("SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS j, 1.0::DOUBLE AS v FROM range((SELECT count(*) FROM supplier)) r(i)")
 def mask_orthogonality(spark, sf_dir):
-    q = masks.orthogonal_blocks(spark, 25, 21, 10)
-    return vals(matrix.dot(q, matrix.transpose(q)).filter(F.abs("v") > 1e-9))
+    """Q Q' of a mask as wide as there are suppliers: the identity."""
+    q = masks.orthogonal_blocks(spark, graphs.table(spark, sf_dir, "supplier").count(), 64, 21)
+    return vals(blocks.from_blocks(blocks.dot(q, blocks.transpose(q, 64), 64), 64, 1e-9))
 
 
 @query(f"WITH {TRADE} SELECT a.i, b.j, round(sum(a.v * b.v), 6) AS v FROM x a JOIN x b ON a.j = b.i GROUP BY a.i, b.j")
 def protocol_square(spark, sf_dir):
     x = trade_x_by_party(graphs.nation_trade(spark, sf_dir))
-    own = [x.filter(F.col("party") == p).select("i", "j", "v") for p in (1, 2)]
-    return vals(masks.protocol_square(spark, own[0], own[1], 25).filter(F.abs("v") > 1e-9))
+    own = [blocks.to_blocks(x.filter(F.col("party") == p).select("i", "j", "v"), 10) for p in (1, 2)]
+    return vals(blocks.from_blocks(masks.protocol_square(spark, own[0], own[1], 25, size=10), 10, 1e-9))
 
 
 def masked(spark: SparkSession, sf_dir: str, window: int) -> DataFrame:
@@ -371,7 +405,40 @@ def masked(spark: SparkSession, sf_dir: str, window: int) -> DataFrame:
     x = trade_x_by_party(tp)
     own = [x.filter(F.col("party") == p).select("i", "j", "v") for p in (1, 2)]
     vol = float(tp.agg(F.sum("v")).first()[0] or 0.0)
-    return vals(masks.masked_proximity(spark, own, trade_degree(tp), vol, 25, window=window, size=10).filter(F.abs("v") > 1e-8))
+    return vals(masks.masked_proximity(spark, own, trade_degree(tp), vol, 25, window=window, size=10))
+
+
+def masked_parts(spark: SparkSession, sf_dir: str, window: int) -> DataFrame:
+    """The masked proximity of parts and suppliers, whose edges two parties hold."""
+    sym = E.symmetrize(E.split_parties(graphs.part_supp(spark, sf_dir), 2)).withColumn("w", F.lit(1.0))
+    degree = stats.in_degree(sym)
+    x = sym.join(degree, F.col("src") == F.col("node")).select(F.col("src").alias("i"), F.col("dst").alias("j"), "party", (1 / F.col("deg")).alias("v"))
+    n, vol = sym.agg(F.coalesce(F.max("src"), F.lit(0)) + 1, F.coalesce(F.sum("w"), F.lit(0.0))).first()
+    own = [x.filter(F.col("party") == p).select("i", "j", "v") for p in (1, 2)]
+    return masks.masked_proximity(spark, own, degree, vol, n, window=window, size=BLOCK, least=1e-5)
+
+
+@query(f"WITH {SYM_PS} SELECT src AS i, dst AS j, round(vol / (a.deg * b.deg), 5) AS v FROM e JOIN d a ON src = a.node JOIN d b ON dst = b.node CROSS JOIN vol")
+def masked_order1_parts(spark, sf_dir):
+    return masked_parts(spark, sf_dir, 1).withColumn("v", rounded(F.col("v"), 5))
+
+
+@query(f"""WITH {SYM_PS}, x AS (SELECT src AS i, dst AS j, 1.0 / deg AS v FROM e JOIN d ON src = node),
+s AS (SELECT i, j, v FROM x UNION ALL SELECT a.i, b.j, sum(a.v * b.v) FROM x a JOIN x b ON a.j = b.i GROUP BY a.i, b.j),
+c AS (SELECT i, j, sum(v) AS v FROM s GROUP BY i, j), m AS (SELECT i, j, vol / 2 * v / deg AS v FROM c JOIN d ON j = node CROSS JOIN vol)
+SELECT CAST(i // {BLOCK} AS BIGINT) AS bi, CAST(j // {BLOCK} AS BIGINT) AS bj, count(*) AS n, round(sum(ln(v)), 1) AS total FROM m WHERE v > 1 + 1e-5 GROUP BY ALL""")
+def masked_window2_parts(spark, sf_dir):
+    """Its truncated logarithm, added up by block: masks leave rounding in each of millions of cells."""
+    m = matrix.with_blocks(proximity.truncated_log(masked_parts(spark, sf_dir, 2).filter("v > 1 + 1e-5")), BLOCK)
+    return m.groupBy("bi", "bj").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("v"), 1).alias("total"))
+
+
+@query(f"WITH {TRADE} SELECT a.i, b.j, round(sum(a.v * b.v), 6) AS v FROM xp a JOIN xp b ON a.j = b.i AND a.party = 1 AND b.party = 1 GROUP BY a.i, b.j")
+def masked_own_square(spark, sf_dir):
+    """P X^2 Q of one party's X, demasked."""
+    x = blocks.to_blocks(trade_x_by_party(graphs.nation_trade(spark, sf_dir)).filter("party = 1").select("i", "j", "v"), 10)
+    p, q = masks.orthogonal_blocks(spark, 25, 10, 21), masks.orthogonal_blocks(spark, 25, 10, 22)
+    return vals(blocks.from_blocks(masks.demask(p, masks.masked_square(p, x, q, 10), q, 10), 10, 1e-9))
 
 
 @query(f"WITH {TRADE} SELECT x.i, x.j, round(vol * x.v / deg, 6) AS v FROM x JOIN d ON x.j = node CROSS JOIN vol")
@@ -384,6 +451,13 @@ def masked_window2(spark, sf_dir):
     return masked(spark, sf_dir, 2)
 
 
+@query(SQL["masked_window2"])
+def party_window2(spark, sf_dir):
+    """The same from what each pair of three parties can compute."""
+    tp = graphs.nation_trade(spark, sf_dir, 3)
+    return vals(proximity.party_proximity(trade_x_by_party(tp), trade_degree(tp), tp.agg(F.sum("v").alias("vol")), 3))
+
+
 @query(f"WITH {TRADE} SELECT a.i, b.j, round(sum(a.v * b.v) / (max(l.deg) * max(r.deg)), 6) AS v FROM tp a JOIN tp b ON a.j = b.i AND a.party = 1 AND b.party = 1 JOIN d l ON l.node = a.i JOIN d r ON r.node = b.j GROUP BY a.i, b.j")
 def own_square(spark, sf_dir):
     """One party's D^-1 A_p^2 D^-1 with the degrees of the whole graph."""
@@ -445,10 +519,35 @@ def party_log_global(spark, sf_dir):
     return trade_sampled(spark, sf_dir, "global")
 
 
-@query()
+@query(f"{PARTY_LOG} SELECT i, j, round(sum(v), 6) AS v FROM m GROUP BY i, j HAVING sum(v) != 0")
+def party_no_log(spark, sf_dir):
+    return trade_sampled(spark, sf_dir, "none")
+
+
+@query(f"{PARTY_LOG} SELECT i, j, round(sum(ln(v)), 6) AS v FROM m WHERE v > 1 GROUP BY i, j")
+def party_log_masked(spark, sf_dir):
+    """The sum of the logarithms under a mask that all parties put on the right, with the mask undone."""
+    o = masks.orthogonal_blocks(spark, 25, 10, 23)
+    m = blocks.dot(blocks.to_blocks(trade_sampled(spark, sf_dir, "per_party"), 10), o, 10)
+    return vals(blocks.from_blocks(blocks.dot(m, blocks.transpose(o, 10), 10), 10, 1e-8))
+
+
+@query(f"""WITH {CANON}, split AS (SELECT src, dst, CAST(ntile({PARTIES}) OVER (ORDER BY {KEY}, src, dst) AS INTEGER) AS party FROM canon WHERE src <> dst),
+ways AS (SELECT src, dst, party FROM split UNION ALL SELECT dst, src, party FROM split),
+counted AS (SELECT party, row_number() OVER (PARTITION BY party ORDER BY src, dst) - 1 AS e, count(*) OVER (PARTITION BY party) AS vol FROM ways)
+SELECT party, round(sum(4 * (vol * 24 // (4 * {PARTIES}) // vol + CASE WHEN e < vol * 24 // (4 * {PARTIES}) % vol THEN 1 ELSE 0 END)) / 24.0, 4) AS mass, 0::BIGINT AS unreachable FROM counted GROUP BY party""")
 def path_samples(spark, sf_dir):
-    held = E.party_edges(E.split_parties(E.symmetrize(graphs.cust_supp(spark, sf_dir)), 2))
-    return walks.path_samples(held, window=2, per_edge=8, workers=1, parties=2)
+    """Of each party's sampled sparsifier of window 2: its mass, which is the number of samples over 24 where walks have no dead ends, and the cells that no walk of the party reaches."""
+    lines = raw_lines(spark, sf_dir).filter("src != dst")
+    held = cut(E.party_edges(E.split_undirected(lines, PARTIES)))
+    sampled = cut(walks.path_samples(held, window=2, per_edge=24, workers=4, parties=PARTIES))
+    mass = sampled.groupBy("party").agg(rounded(F.sum("v"), 4).alias("mass"))
+    step = held.select("party", "src", "dst")
+    far = sampled.join(step.select("party", F.col("src").alias("i"), F.col("dst").alias("j")), ["party", "i", "j"], "left_anti").select("party", "i", "j")
+    after = step.select("party", F.col("src").alias("k"), F.col("dst").alias("j"))
+    by_two = far.join(step.select("party", F.col("src").alias("i"), F.col("dst").alias("k")), ["party", "i"]).join(after, ["party", "k", "j"], "left_semi").select("party", "i", "j").distinct()
+    lost = far.join(by_two, ["party", "i", "j"], "left_anti").groupBy("party").agg(F.count(F.lit(1)).alias("lost"))
+    return mass.join(lost, "party", "left").select("party", "mass", F.coalesce("lost", F.lit(0)).alias("unreachable"))
 
 
 # Panels and factorization.
@@ -487,22 +586,71 @@ def panel_orthonormal(spark, sf_dir):
     return spark.createDataFrame([(i, j, round(float(g[i, j]), 6) + 0.0) for i in range(width) for j in range(width) if abs(g[i, j]) > 1e-9], "i long, j long, v double")
 
 
-@query()
+STAR = """cn AS (SELECT c_custkey * 2 AS src, CAST(c_nationkey AS BIGINT) * 2 + 1 AS dst FROM customer), e AS (SELECT src, dst FROM cn UNION ALL SELECT dst, src FROM cn),
+d AS (SELECT dst AS node, count(*)::DOUBLE AS deg FROM e GROUP BY dst), vol AS (SELECT count(*)::DOUBLE AS vol FROM e)"""
+#: More directions than the matrices of customers and nations, and of nations, have.
+FULL = 50
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, c_nationkey) - 1 AS BIGINT) AS k, round(sqrt(count(*)), 6) AS value FROM customer GROUP BY c_nationkey")
+def singular_values(spark, sf_dir):
+    """Those of customers by nations: the roots of the nations' numbers of customers."""
+    a = matrix.from_edges(graphs.customer_nations(spark, sf_dir))
+    _, s = factor.randomized_svd(a, FULL // 2, rounds=2)
+    found = sorted((float(x) for x in s if x > 1e-6), reverse=True)
+    return vals(spark.createDataFrame(list(enumerate(found)), "k long, value double"), "value")
+
+
+@query(f"WITH {STAR}, n AS (SELECT node, deg, vol FROM d CROSS JOIN vol WHERE node % 2 = 1) SELECT src AS node, round(sqrt(ln(vol / deg) / sqrt(deg)), 4) AS length FROM cn JOIN n ON dst = node UNION ALL SELECT node, round(sqrt(ln(vol / deg) * sqrt(deg)), 4) FROM n")
 def randomized_embedding(spark, sf_dir):
-    sym = E.symmetrize(graphs.cust_supp(spark, sf_dir)).withColumn("w", F.lit(1.0))
-    return embeddings.exact_embedding(sym, 16, rounds=2)
+    """The lengths of the vectors of customers and nations from the order-1 proximity, which a star has in closed form."""
+    sym = E.symmetrize(graphs.customer_nations(spark, sf_dir)).withColumn("w", F.lit(1.0))
+    return lengths(embeddings.exact_embedding(sym, FULL, rounds=2))
+
+
+def lengths(emb: DataFrame) -> DataFrame:
+    return emb.select("node", rounded(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)), 4).alias("length"))
+
+
+def energy(emb: DataFrame, d: int) -> DataFrame:
+    """One row, energy: the sum of squared singular values, from vectors that are singular vectors times their roots. With all directions it is the matrix's sum of squares."""
+    squares = emb.agg(*[F.sum(F.col("vec")[k] * F.col("vec")[k]).alias(f"s{k}") for k in range(d)])
+    return squares.select(rounded(sum((F.col(f"s{k}") * F.col(f"s{k}") for k in range(d)), F.lit(0.0)), 3).alias("energy"))
 
 
-@query()
+@query(f"""WITH {STAR}, m AS (SELECT ln(vol / (a.deg * b.deg)) AS v FROM e JOIN d a ON src = a.node JOIN d b ON dst = b.node CROSS JOIN vol WHERE vol > a.deg * b.deg)
+SELECT round(sum(v * v), 3) AS energy FROM m""")
+def embedding_energy(spark, sf_dir):
+    return energy(embeddings.exact_embedding(E.symmetrize(graphs.customer_nations(spark, sf_dir)).withColumn("w", F.lit(1.0)), FULL, rounds=2), FULL)
+
+
+@query(f"""WITH {STAR}, split AS (SELECT src, dst, CAST(ntile(2) OVER (ORDER BY {KEY}, src, dst) AS INTEGER) AS party FROM cn), held AS (SELECT src, dst, party FROM split UNION ALL SELECT dst, src, party FROM split),
+counted AS (SELECT *, row_number() OVER (PARTITION BY party ORDER BY src, dst) - 1 AS e, count(*) OVER (PARTITION BY party) AS n FROM held),
+a AS (SELECT src AS i, dst AS j, party, (n * 64 // 2 // n + CASE WHEN e < n * 64 // 2 % n THEN 1 ELSE 0 END) / 64.0::DOUBLE AS v FROM counted),
+cells AS (SELECT party, dst AS i, dst AS j, count(*)::DOUBLE AS v FROM held GROUP BY party, dst UNION ALL SELECT party, j, j, -sum(v) FROM a GROUP BY party, j UNION ALL SELECT party, i, j, v FROM a),
+s AS (SELECT party, i, j, sum(v) AS v FROM cells GROUP BY party, i, j), m AS (SELECT s.i, s.j, vol * v / (p.deg * q.deg) AS v FROM s JOIN d p ON s.i = p.node JOIN d q ON s.j = q.node CROSS JOIN vol),
+l AS (SELECT i, j, sum(ln(v)) AS v FROM m WHERE v > 1 AND i <> j GROUP BY i, j) SELECT round(sum(v * v), 3) AS energy FROM l""")
 def sampled_embedding(spark, sf_dir):
-    split = E.split_parties(E.symmetrize(graphs.cust_supp(spark, sf_dir)), 2)
-    return embeddings.sampled_embedding(split, 16, parties=2, window=1, per_edge=64, workers=1, rounds=2)
+    """The energy of the sampled embedding of customers and nations; cells of a node with itself are left out, since a star's customers have a full diagonal."""
+    split = E.symmetrize(E.split_parties(graphs.customer_nations(spark, sf_dir), 2))
+    return energy(embeddings.sampled_embedding(split, FULL, parties=2, window=1, per_edge=64, workers=1, rounds=2, normalize=False, diagonal=False), FULL)
 
 
-@query()
+@query(f"""WITH {TRADE}, s AS (SELECT i, j, v FROM x UNION ALL SELECT a.i, b.j, sum(a.v * b.v) FROM x a JOIN x b ON a.j = b.i GROUP BY a.i, b.j), c AS (SELECT i, j, sum(v) AS v FROM s GROUP BY i, j),
+m AS (SELECT vol / 2 * c.v / deg AS v FROM c JOIN d ON j = node CROSS JOIN vol) SELECT round(coalesce(sum(ln(v) * ln(v)), 0), 3) AS energy FROM m WHERE v > 1""")
 def window2_embedding(spark, sf_dir):
     edges = trade(spark, sf_dir).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("v").alias("w"))
-    return embeddings.exact_embedding(edges, 8, window=2, rounds=3)
+    return energy(embeddings.exact_embedding(edges, FULL // 2, window=2, rounds=3), FULL // 2)
+
+
+@query(f"WITH {SYM_CS} SELECT CAST(k AS BIGINT) AS k, (SELECT count(*) FROM d) AS nodes, 0.0::DOUBLE AS slant FROM range(16) r(k)")
+def embedding_axes(spark, sf_dir):
+    """For each direction of the embedding of customers and suppliers: the nodes, and its largest cosine with another direction, which is 0."""
+    emb = cut(embeddings.exact_embedding(E.symmetrize(graphs.cust_supp(spark, sf_dir)).withColumn("w", F.lit(1.0)), 16, rounds=2).select(F.col("node").alias("i"), F.col("vec").alias("y")))
+    g = factor.gram(emb, 16)
+    size = np.sqrt(np.diag(g))
+    slant = np.abs(g / np.outer(size, size) - np.eye(16)).max(0)
+    return spark.createDataFrame([(k, emb.count(), round(float(slant[k]), 5) + 0.0) for k in range(16)], "k long, nodes long, slant double")
 
 
 @query(f"WITH {PS}, {SPLIT}, n AS (SELECT count(*) AS n FROM (SELECT src FROM ps UNION SELECT dst FROM ps)) SELECT DISTINCT party, CAST(n * 8 * (2 + 2 * 128 * 15 + 128) AS BIGINT) AS bytes FROM split CROSS JOIN n")
@@ -511,10 +659,11 @@ def comm_bytes(spark, sf_dir):
     return factor.communication(split, embeddings.nodes_of(graphs.part_supp(spark, sf_dir)), 128, 7)
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS node, len(embedding) AS d FROM embeddings")
+@query("SELECT CAST(vec_id AS VARCHAR) AS node, CAST(k AS BIGINT) AS k, round(v, 5) AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)")
 def embedding_dictionary(spark, sf_dir):
     emb = graphs.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec"))
-    return factor.as_dictionary(emb).select("node", F.size(F.from_json("vec", "array<double>")).cast("long").alias("d"))
+    cells = factor.as_dictionary(emb).select("node", F.posexplode(F.from_json("vec", "array<float>")).alias("k", "v"))
+    return cells.select("node", F.col("k").cast("long").alias("k"), rounded(F.col("v").cast("double"), 5).alias("v"))
 
 
 # Evaluation.
@@ -532,12 +681,10 @@ c AS (SELECT label, count(*) FILTER (t AND p) AS tp, count(*) FILTER (p AND NOT
 def customer_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """truth (node, label) with two labels a customer, and given scores (node, label, p)."""
     c = graphs.table(spark, sf_dir, "customer")
-    names = c.select("c_mktsegment").distinct()  # segments and nations are a handful at every scale
-    before = names.withColumnRenamed("c_mktsegment", "b")
-    codes = names.join(before, F.col("b") < F.col("c_mktsegment"), "left").groupBy("c_mktsegment").agg((F.count("b") + 100).cast("int").alias("code"))
+    codes = graphs.coded(c, "c_mktsegment")
     node = (F.col("c_custkey") * 2).alias("node")
-    truth = c.select(node, F.col("c_nationkey").alias("label")).unionByName(c.join(F.broadcast(codes), "c_mktsegment").select(node, F.col("code").alias("label")))
-    labels = F.broadcast(truth.select("label").distinct().agg(F.collect_list("label").alias("labels")))
+    truth = c.select(node, F.col("c_nationkey").alias("label")).unionByName(c.join(codes, "c_mktsegment").select(node, (F.col("code") + 100).cast("int").alias("label")))
+    labels = truth.select("label").distinct().agg(F.collect_list("label").alias("labels"))  # one row: segments and nations are a handful at every scale
     scores = c.select("c_custkey").join(labels).select("c_custkey", F.explode("labels").alias("label"))
     return truth, scores.select(node, "label", (mix_key(F.col("c_custkey"), F.col("label").cast("long")) / F.lit(1000003.0)).alias("p"))
 
@@ -594,26 +741,52 @@ def mape(spark, sf_dir):
     return vals(evaluate.mean_percentage_error(*trade_halves(spark, sf_dir)), "mape")
 
 
-@query()
+#: Train fractions and repeats of an evaluation.
+FRACTIONS, REPEATS = [k / 10 for k in range(1, 10)], 10
+
+
+@query("SELECT unnest([0.5, 0.7, 0.9])::DOUBLE AS fraction, 1.0::DOUBLE AS micro_f1, 1.0::DOUBLE AS macro_f1, (SELECT count(DISTINCT n_regionkey) FROM customer JOIN nation ON c_nationkey = n_nationkey) + (SELECT count(DISTINCT c_mktsegment) FROM customer) AS labels")
+def planted_classification(spark, sf_dir):
+    """Customers by region and segment, two labels each, from vectors that tell both: nothing may be got wrong."""
+    c = graphs.table(spark, sf_dir, "customer").join(graphs.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(graphs.coded(graphs.table(spark, sf_dir, "customer"), "c_mktsegment"), "c_mktsegment")
+    two = c.select((F.col("c_custkey") * 2).alias("node"), F.array(F.col("n_regionkey").cast("int"), (F.col("code") + 100).cast("int")).alias("labels"))
+    truth = two.select("node", F.explode("labels").alias("label"))
+    labels = [r["label"] for r in truth.select("label").distinct().orderBy("label").collect()]  # ten
+    vectors = two.select("node", F.array(*[F.array_contains("labels", F.lit(x)).cast("double") for x in labels]).alias("vec"))
+    return vals(evaluate.classify(vectors, truth, [0.5, 0.7, 0.9], repeats=2), "micro_f1", "macro_f1").withColumn("labels", F.lit(len(labels)).cast("long"))
+
+
+@query("SELECT CAST(k / 10.0 AS DOUBLE) AS fraction, true AS chance, true AS whole FROM range(1, 10) r(k)")
 def node_classification(spark, sf_dir):
+    """The labels of the vectors, learned from each fraction of them ten times. These tables draw them at random, so they are found as often as by chance, within 0.15."""
     rows = graphs.table(spark, sf_dir, "embeddings")
-    return evaluate.classify(rows.select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("vec")), rows.select(F.col("vec_id").alias("node"), "label"), [0.5])
+    labels = rows.select("label").distinct().count()
+    got = evaluate.classify(rows.select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("vec")), rows.select(F.col("vec_id").alias("node"), "label"), FRACTIONS, repeats=REPEATS)
+    return got.select("fraction", (F.abs(F.col("micro_f1") - F.lit(1.0 / max(1, labels))) < 0.15).alias("chance"), F.col("macro_f1").between(0, 1).alias("whole"))
+
+
+@query(f"WITH {STAR}, n AS (SELECT count(*) AS n FROM d) SELECT 'sampled' AS model, 'customers' AS task, 0.5::DOUBLE AS fraction, true AS found, 2 AS parties, CAST(2 * n * 8 * (2 + 2 * {FULL} * 5 + {FULL}) AS BIGINT) AS communication FROM n")
+def evaluation_report(spark, sf_dir):
+    """The record of a run: customers' nations, from an embedding that two parties sample together, of which most must be found. Its time is left out."""
+    split = cut(E.symmetrize(E.split_parties(graphs.customer_nations(spark, sf_dir), 2)))
+    truth = graphs.table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("node"), F.col("c_nationkey").alias("label"))
+    record = embeddings.evaluated(split, truth, FULL, model="sampled", task="customers", fractions=[0.5], parties=2, per_edge=64, workers=1, rounds=2)
+    return record.select("model", "task", "fraction", (F.col("micro_f1") > 0.5).alias("found"), "parties", "communication")
 
 
 # Generated graphs.
 
 
-@query("SELECT CAST(400 AS BIGINT) AS n, true AS symmetric")
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier), u AS (SELECT i, j FROM range((SELECT n FROM n)) a(i), range((SELECT n FROM n)) b(j) WHERE i <= j AND ('0x' || substr(md5('1:' || i || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.5)
+SELECT i, j, 1.0::DOUBLE AS v FROM u UNION ALL SELECT j, i, 1.0::DOUBLE FROM u WHERE i < j""")
 def random_symmetric(spark, sf_dir):
-    """A generated matrix and whether it equals its transpose."""
-    a = graphs.random_symmetric(spark, 400, 1)
-    odd = a.join(matrix.transpose(a).select("i", "j", F.col("v").alias("t")), ["i", "j"], "left").filter("t is null or t != v")
-    return odd.agg(F.count(F.lit(1)).alias("odd")).select(F.lit(400).cast("long").alias("n"), (F.col("odd") == 0).alias("symmetric"))
+    """A generated matrix with a row for each supplier."""
+    return graphs.random_symmetric(spark, graphs.table(spark, sf_dir, "supplier").count(), 1)
 
 
-@query()
+@query("WITH n AS (SELECT count(*) AS n FROM customer), b AS (SELECT b, least(64, n - b * 64) AS k FROM n, range((SELECT (n + 63) // 64 FROM n)) r(b)) SELECT b AS block, CAST(k * k AS BIGINT) AS cells, true AS within, true AS spread FROM b")
 def mask_entries(spark, sf_dir):
-    """Cells of a block-diagonal mask, in [0, 10)."""
-    return masks.random_matrix(spark, 250, 3, 100)
-
-
+    """Of each block of a mask over customers: its cells, that all lie in [0, 10), and that their mean is about 5."""
+    cells = masks.random_matrix(spark, graphs.table(spark, sf_dir, "customer").count(), 3, 64)
+    within = F.min(F.floor(F.col("i") / 64) == F.floor(F.col("j") / 64)) & (F.min("v") >= 0) & (F.max("v") < 10)
+    return cells.groupBy(F.floor(F.col("i") / 64).alias("block")).agg(F.count(F.lit(1)).alias("cells"), within.alias("within"), (F.abs(F.avg("v") - 5) < 15 / F.sqrt(F.count(F.lit(1)))).alias("spread"))

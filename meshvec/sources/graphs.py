@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshvec.functions.columns import hash_uniform
+from meshvec.functions.columns import hash_uniform, md5_uniform
+from meshvec.functions.lineage import global_rank
 
 
 def read_edge_list(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
@@ -41,13 +42,21 @@ def cust_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct()
 
 
+def coded(names: DataFrame, column: str, code: str = "code") -> DataFrame:
+    """The distinct names with their rank from 0 in their order."""
+    ranked = global_rank(names.select(column).distinct(), [column], code).drop("n")
+    return ranked.withColumn(code, F.col(code) - 1)
+
+
 def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users to event types, coded by rank of their names; directed, so event types are dead ends."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type").distinct()
-    kinds = events.select("event_type").distinct()
-    other = kinds.withColumnRenamed("event_type", "before")
-    codes = kinds.join(other, F.col("before") < F.col("event_type"), "left").groupBy("event_type").agg(F.count("before").alias("code"))
-    return events.join(F.broadcast(codes), "event_type").select((F.col("user_id") * 2).alias("src"), (F.col("code") * 2 + 1).alias("dst"))
+    return events.join(coded(events, "event_type"), "event_type").select((F.col("user_id") * 2).alias("src"), (F.col("code") * 2 + 1).alias("dst"))
+
+
+def customer_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers to their nations: a star for each nation, so the matrix has a low rank that is the same at every scale."""
+    return table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("src"), (F.col("c_nationkey").cast("long") * 2 + 1).alias("dst"))
 
 
 def nation_trade(spark: SparkSession, sf_dir: str, parties: int = 2) -> DataFrame:
@@ -64,12 +73,12 @@ def nation_trade(spark: SparkSession, sf_dir: str, parties: int = 2) -> DataFram
 
 
 def random_symmetric(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """i, j, v of a random symmetric 0/1 matrix; each unordered pair is drawn once by its hash, the diagonal included.
+    """i, j, v of a random symmetric 0/1 matrix; each unordered pair is drawn once by an md5 hash that other engines can repeat, the diagonal included.
 
     Only the upper triangle is generated, and each row of it by its own task.
     """
     upper = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id"), F.lit(n - 1).cast("long"))).alias("j"))
-    drawn = upper.filter(hash_uniform(seed, "i", "j") < 0.5)
+    drawn = upper.filter(md5_uniform(seed, "i", "j") < 0.5)
     return drawn.unionByName(drawn.filter("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"))).withColumn("v", F.lit(1.0))
 
 

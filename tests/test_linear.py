@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshvec.operators import evaluate, factor, masks, matrix, proximity, walks
+from meshvec.operators import blocks, evaluate, factor, masks, matrix, proximity, walks
 from meshvec.operators import edges as E
 from meshvec.plans import embeddings
 from meshvec.sources import graphs
@@ -43,13 +43,37 @@ def test_slices_and_sizes(ab):
         matrix.to_dense(A, 3000)
 
 
+@pytest.mark.parametrize("size", [5, 12, 40])
+def test_block_algebra(spark, ab, size):
+    a, b, A, B = ab
+    ba, bb = blocks.to_blocks(A, size), blocks.to_blocks(B, size)
+    dense = lambda m: matrix.to_dense(blocks.from_blocks(m, size), 12)
+    assert np.allclose(dense(ba), a)
+    assert np.allclose(dense(blocks.dot(ba, bb, size)), a @ b)
+    assert np.allclose(dense(blocks.add(size, (1, ba), (-2, bb), (1, ba))), 2 * a - 2 * b)
+    assert np.allclose(dense(blocks.transpose(ba, size)), a.T)
+    empty = blocks.to_blocks(A.limit(0), size)
+    assert blocks.dot(empty, bb, size).count() == 0 and blocks.from_blocks(empty, size).count() == 0
+
+
+def test_few_blocks_are_held(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "KEPT", 2)
+    a = np.random.default_rng(8).normal(size=(20, 20))
+    A = blocks.to_blocks(coordinates(spark, a), 3)
+    assert np.allclose(matrix.to_dense(blocks.from_blocks(blocks.dot(A, A, 3), 3), 20), a @ a)
+    parts = list(blocks._added(iter([(i % 5, 0, np.ones(4)) for i in range(20)])))
+    assert all(p.num_rows == 1 for p in parts) and sum(p.column(2)[0][0].as_py() for p in parts) == 20
+
+
 def test_masks(spark):
-    q = masks.orthogonal_blocks(spark, 23, 4, 10)
-    dense = matrix.to_dense(q, 23)
+    q = masks.orthogonal_blocks(spark, 23, 10, 4)
+    dense = matrix.to_dense(blocks.from_blocks(q, 10), 23)
     assert np.allclose(dense @ dense.T, np.eye(23)) and not dense[:10, 10:].any()
     a = np.random.default_rng(2).random((23, 23))
-    A, P = coordinates(spark, a), masks.orthogonal_blocks(spark, 23, 5, 10)
-    assert np.allclose(matrix.to_dense(masks.demask(P, masks.mask(P, A, q), q), 23), a)
+    A, P = blocks.to_blocks(coordinates(spark, a), 10), masks.orthogonal_blocks(spark, 23, 10, 5)
+    back = lambda m: matrix.to_dense(blocks.from_blocks(m, 10), 23)
+    assert np.allclose(back(masks.demask(P, masks.mask(P, A, q, 10), q, 10)), a)
+    assert np.allclose(back(masks.demask(P, masks.masked_square(P, A, q, 10), q, 10)), a @ a)
     m = matrix.to_dense(masks.random_matrix(spark, 23, 1, 10), 23)
     assert m.max() < 10 and np.count_nonzero(m) == 10 * 10 * 2 + 9
 
@@ -60,10 +84,11 @@ def test_secure_sum_hides_and_cancels(spark, ab):
     assert np.allclose(matrix.to_dense(masks.secure_sum(held, 2, 9), 12), a + b)
 
 
-def test_protocol_square(spark, ab):
+@pytest.mark.parametrize("size", [5, 12])
+def test_protocol_square(spark, ab, size):
     a, b, A, B = ab
-    for size in (None, 5):
-        assert np.allclose(matrix.to_dense(masks.protocol_square(spark, A, B, 12, size=size), 12), (a + b) @ (a + b))
+    square = masks.protocol_square(spark, blocks.to_blocks(A, size), blocks.to_blocks(B, size), 12, size=size)
+    assert np.allclose(matrix.to_dense(blocks.from_blocks(square, size), 12), (a + b) @ (a + b))
 
 
 def test_party_squares(ab):
@@ -172,11 +197,75 @@ def test_metrics(spark):
     assert evaluate.macro_f1(counts).first()[0] == pytest.approx(4 / 9)
 
 
-def test_too_many_labels_raise(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "MAX_LABELS", 2)
-    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "node long, vec array<double>")
-    with pytest.raises(ValueError, match="more than 2 labels"):
-        evaluate.classify(vectors, spark.createDataFrame([(i, i % 3) for i in range(6)], "node long, label int"), [0.5])
+def plain_logistic(x, y, c):
+    """Newton's method on the penalized loss, one model, densely."""
+    x = np.c_[x, np.ones(len(x))]
+    ridge = np.r_[np.full(x.shape[1] - 1, 1 / c), 1e-6]
+    w = np.zeros(x.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - 0.5 * np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+    return w
+
+
+def test_models_equal_plain_ones(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 3))
+    labels = [sorted({int(k) for k in rng.integers(0, 4, 2)} | ({7} if r[0] > 0 else set())) for r in x]
+    train = spark.createDataFrame([(i, r.tolist(), labels[i]) for i, r in enumerate(x)], "node long, vec array<double>, labels array<int>").repartition(3)
+    for numbers in (4_000_000, 50):  # all models in one pass, or two
+        monkeypatch.setattr(evaluate, "PASS_NUMBERS", numbers)
+        got = {(r["node"], r["label"]): r["p"] for r in evaluate.one_vs_rest(train, train, [0, 1, 2, 3, 7, 9]).collect()}
+        for label in (0, 1, 2, 3, 7):
+            w = plain_logistic(x, np.array([label in s for s in labels], float), 1.0)
+            want = 1 / (1 + np.exp(-np.c_[x, np.ones(80)] @ w))
+            assert np.allclose([got[i, label] for i in range(80)], want, atol=1e-5)
+        assert max(got[i, 9] for i in range(80)) < 1e-3  # nobody has it
+
+
+def test_many_labels_and_splits(spark, monkeypatch):
+    """The counts of classify equal those of topk and confusion on the same splits, with labels that never train and a split at a time."""
+    rng = np.random.default_rng(2)
+    vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "node long, vec array<double>")
+    truth = spark.createDataFrame([(i, int(k)) for i in range(60) for k in {i % 7, (i * i) % 11, 100 + i % 3}], "node long, label int")
+    want = []
+    for fraction in (0.3, 0.7):
+        for repeat in range(2):
+            part = evaluate.split_prefix(vectors, fraction, repeat)
+            sets = truth.groupBy("node").agg(F.collect_set("label").alias("labels"))
+            rows = vectors.join(sets, "node").join(part, "node")
+            test = rows.filter("not train")
+            names = [r[0] for r in truth.select("label").distinct().collect()]
+            wanted = truth.join(test.select("node"), "node", "left_semi")
+            counts = evaluate.confusion(evaluate.topk(evaluate.one_vs_rest(rows.filter("train"), test, names), wanted), wanted)
+            want.append((fraction, evaluate.micro_f1(counts).first()[0], evaluate.macro_f1(counts).first()[0]))
+    for numbers in (4_000_000, 60):
+        monkeypatch.setattr(evaluate, "PASS_NUMBERS", numbers)
+        got = {r["fraction"]: (r["micro_f1"], r["macro_f1"]) for r in evaluate.classify(vectors, truth, [0.3, 0.7], repeats=2).collect()}
+        for f in (0.3, 0.7):
+            assert got[f] == pytest.approx(tuple(np.mean([w[1:] for w in want if w[0] == f], axis=0)))
+
+
+def test_alias_draws(spark):
+    from meshvec.operators import stats
+
+    edges = spark.createDataFrame([(0, 1, 1.0), (0, 2, 3.0), (0, 3, 6.0), (5, 0, 2.0)], "src long, dst long, w double")
+    places = stats.alias_places(stats.alias_tables(stats.adjacency(edges)))
+    rows = spark.range(30000).select(F.when(F.col("id") % 10 == 0, 5).when(F.col("id") % 10 == 1, 8).otherwise(0).cast("long").alias("node"), F.col("id").alias("draw"))
+    got = {(r["node"], r["drawn"]): r["count"] for r in stats.alias_draw(rows, places, 3).groupBy("node", "drawn").count().collect()}
+    assert got[5, 0] == 3000 and got[8, None] == 3000 and sum(got.values()) == 30000
+    assert all(abs(got[0, n] / 24000 - p) < 0.01 for n, p in ((1, 0.1), (2, 0.3), (3, 0.6)))
+
+
+def test_report_is_appended(spark, tmp_path):
+    edges, labels = graphs.planted_partition(spark, 40, 2, 0.6, 0.05, 7)
+    split = E.split_undirected(edges.filter("src < dst"), 2)
+    for volume, directed in (("sum_weights", True), ("edge_count", False), ("line_count", False)):
+        got = embeddings.evaluated(split, labels, 4, model="m", task="t", fractions=[0.3, 0.6], parties=2, repeats=2, window=2, per_edge=20, workers=1, rounds=2, directed=directed, volume=volume)
+        graphs.append_results(got, str(tmp_path / "res"))
+        assert not directed or all(r["micro_f1"] > 0.8 for r in got.collect())
+    rows = spark.read.csv(str(tmp_path / "res"), header=True, inferSchema=True).collect()
+    assert len(rows) == 6 and {r["communication"] for r in rows} == {2 * 40 * 8 * (2 + 2 * 4 * 5 + 4)} and all(r["seconds"] > 0 and r["parties"] == 2 for r in rows)
 
 
 def test_streaming_degrees(spark, tmp_path):
