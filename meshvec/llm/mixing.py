@@ -62,11 +62,12 @@ def poisson_mix(
     enter the plan as literals and nothing is joined. The copies are dealt by a
     hash of (seed, id, copy) and sorted by it inside each partition: output
     files are random samples in random order, and a hot source is spread like
-    any other.
+    any other. So are the rows of an id that comes very often, by their place
+    in the input.
 
     Defined cases: a null text has length 0 and is drawn like others; a null id
-    draws as the text 'null'; repeated rows draw the same count, each on its
-    own; a class without characters is never drawn if all its texts are empty;
+    draws by its text; repeated rows draw the same count, each on its own; a
+    class without characters is never drawn if all its texts are empty;
     an empty table gives an empty result. All columns of docs come back, then
     copy (from 0) and the hex key of the order; if docs has columns of those
     names, the new ones get leading underscores.
@@ -77,7 +78,8 @@ def poisson_mix(
     sizes = {r["c"]: r["n"] for r in sized.groupBy("c").agg(F.sum("n").alias("n")).collect()}  # len(weights) + 1 rows at most
     rates = replication_rates(sizes, weights, other, epochs)
 
-    u = hash_unit(seed, F.col(id_col))
+    ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    u = hash_unit(seed, ident)
     count: Column = F.lit(0)
     for c, rate in rates.items():
         k0, table = poisson_table(rate)
@@ -86,15 +88,17 @@ def poisson_mix(
         drawn = F.size(F.filter(F.array(*[F.lit(x) for x in table]), lambda x: x <= u)) + F.lit(k0)
         mine = ~F.col(source_col).isin(names) | F.col(source_col).isNull() if c is None and names else F.lit(True) if c is None else F.col(source_col) == c
         count = F.when(mine, drawn).otherwise(count)
-    n_col, copy_col = free_name(docs, "__n"), free_name(docs, copy_col)
+    n_col, deal_col, copy_col = free_name(docs, "__n"), free_name(docs, "__deal"), free_name(docs, copy_col)
     order_col = free_name(docs, order_col)
-    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy_col).cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), ident, F.col(copy_col).cast("string")))
     return (
         docs.withColumn(n_col, count)
         .filter(F.col(n_col) > 0)
         .withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col(n_col) - 1)))
         .drop(n_col)
         .withColumn(order_col, key)
-        .repartition(F.col(order_col))
+        .withColumn(deal_col, F.xxhash64(order_col, F.monotonically_increasing_id()))
+        .repartition(deal_col)
+        .drop(deal_col)
         .sortWithinPartitions(order_col)
     )

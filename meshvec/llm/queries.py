@@ -97,11 +97,11 @@ rates AS (SELECT class, (SELECT sum(size) FROM sizes) * (weight / (SELECT sum(we
 steps AS (SELECT class, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM rates, range(0, 400) t(k)),
 cdf AS (SELECT class, k, sum(p) OVER (PARTITION BY class ORDER BY k) AS c FROM steps),
 drawn AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.class,
-          ('0x' || substr(md5('{MIX_SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM d),
+          ('0x' || substr(md5('{MIX_SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null ' || md5(coalesce(d.text, '')))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM d),
 copies AS (SELECT r.doc_id, r.text, r.lang, r.source, r.n_chars, c.k AS copy
            FROM drawn r JOIN cdf c ON r.class IS NOT DISTINCT FROM c.class AND c.c <= r.u)
 SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy,
-       md5('order{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(copy AS VARCHAR)) AS shuffle_key
+       md5('order{MIX_SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null ' || md5(coalesce(text, ''))) || ':' || CAST(copy AS VARCHAR)) AS shuffle_key
 FROM copies
 """,
     "op7_snapshot_collapse": r"""
