@@ -24,6 +24,8 @@ LEAST_BITS = 512
 #: A signature is heavy if HEAVY_LEAST or more of every HEAVY_SAMPLE-th document show it and it makes up one in MAX_HEAVY or
 #: more of all that they show; so no more than MAX_HEAVY are. Heavy signatures are dealt by document.
 HEAVY_SAMPLE, HEAVY_LEAST, MAX_HEAVY = 64, 64, 10_000
+#: A group is large if it has one in HOT_SHARE or more of all memberships, so no more than HOT_SHARE are.
+HOT_SHARE = 1000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -291,7 +293,20 @@ def _set_rows(texts: DataFrame, words: int, name: str, form) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, f"id long, n long, {name} binary")
 
 
-def _by_leader(members: DataFrame, carried: DataFrame, name: str, judge) -> DataFrame:
+def _large_groups(groups: DataFrame) -> DataFrame:
+    """c of the large groups; at most HOT_SHARE rows, by what large means."""
+    sizes = groups.groupBy("c").agg(F.count(F.lit(1)).alias("g"))
+    return cut(sizes.filter(F.col("g") * HOT_SHARE >= groups.count()).select("c"))
+
+
+def _of_group(rows: DataFrame, facts: DataFrame, large: DataFrame) -> DataFrame:
+    """rows (c, ...) with the facts (c, ...; one row for each c) of their group. Those of large groups stay where they are and get theirs by broadcast; the others are shuffled."""
+    few = F.broadcast(large)
+    here = rows.join(few, "c", "left_semi").join(F.broadcast(facts.join(few, "c", "left_semi")), "c")
+    return here.unionByName(rows.join(few, "c", "left_anti").join(facts.join(few, "c", "left_anti"), "c"))
+
+
+def _by_leader(members: DataFrame, carried: DataFrame, name: str, large: DataFrame, judge) -> DataFrame:
     """The members (c, id), id != c, of which judge(leader's n and bytes, member's n and bytes) is true. carried: id, n, name (bytes).
 
     The set of the leader, whose id is c, is copied to tasks of LEADER_SETS
@@ -311,50 +326,50 @@ def _by_leader(members: DataFrame, carried: DataFrame, name: str, judge) -> Data
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["c", "id"])
 
     sizes = members.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / LEADER_SETS).cast("int").alias("nb"))
-    placed = members.join(sizes, "c").select("c", F.pmod(F.xxhash64("id"), F.col("nb").cast("long")).cast("int").alias("b"), F.lit(1).alias("lead"), "id")
+    placed = _of_group(members, sizes, large).select("c", F.pmod(F.xxhash64("id"), F.col("nb").cast("long")).cast("int").alias("b"), F.lit(1).alias("lead"), "id")
     leaders = sizes.select("c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), F.lit(0).alias("lead"), F.col("c").alias("id"))
     rows = placed.unionByName(leaders).join(carried, "id").select("c", "b", "lead", "id", "n", name)
     return rows.repartition("c", "b").sortWithinPartitions("c", "b", "lead", "id").mapInArrow(run, "c long, id long")
 
 
-def _near_leader(groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _near_leader(groups: DataFrame, sketches: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """c, id: for each document the smallest leader that its sketch may link it with, if any does."""
 
     def judge(n: int, a: bytes, m: int, b: bytes) -> bool:
         return may_link(n, np.frombuffer(a, np.uint64), m, np.frombuffer(b, np.uint64), percent)
 
-    return _by_leader(groups.filter("id != c"), sketches, "sketch", judge).groupBy("id").agg(F.min("c").alias("c")).select("c", "id")
+    return _by_leader(groups.filter("id != c"), sketches, "sketch", large, judge).groupBy("id").agg(F.min("c").alias("c")).select("c", "id")
 
 
-def _leader_links(near: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
+def _leader_links(near: DataFrame, blobs: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """u, v: the documents that are linked with the leader they are near to."""
-    found = _by_leader(near, blobs, "blob", lambda n, a, m, b: linked(from_blob(a), from_blob(b), percent))
+    found = _by_leader(near, blobs, "blob", large, lambda n, a, m, b: linked(from_blob(a), from_blob(b), percent))
     return found.select(F.col("c").alias("u"), F.col("id").alias("v"))
 
 
-def _unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+def _unsettled(groups: DataFrame, labels: DataFrame, large: DataFrame) -> DataFrame:
     """c, id, label, loose of the groups that labels (id, label) don't join altogether; loose: a label other than the leader's."""
     named = cut(groups.join(labels, "id", "left").select("c", "id", F.coalesce("label", "id").alias("label")))
     leaders = named.filter("id = c").select("c", F.col("label").alias("of"))
-    open_ = named.join(leaders, "c").filter("label != of").select("c").distinct()
-    return named.join(open_, "c", "left_semi").join(leaders, "c").select("c", "id", "label", (F.col("label") != F.col("of")).alias("loose"))
+    told = cut(_of_group(named, leaders, large).select("c", "id", "label", (F.col("label") != F.col("of")).alias("loose")))
+    open_ = told.filter("loose").select("c").distinct()
+    return _of_group(told, open_, large)
 
 
-def _blocks(rows: DataFrame, carried: DataFrame, name: str) -> DataFrame:
+def _blocks(rows: DataFrame, carried: DataFrame, name: str, large: DataFrame) -> DataFrame:
     """rows (c, id, label, loose) with carried (id, n, name: bytes), copied to the block pairs (b1, b2) of their group; side 1 is the second block's.
 
     Loose members meet all others, the rest only the loose ones: those are
     joined already. Loose members and others have as many blocks each as their
     number and bytes ask for, so each pair of blocks is bounded. Sizes are
-    settled before the bytes join, which are then shuffled once for each copy;
-    they are checkpointed, so that Spark can split the rows of a large group.
+    settled before the bytes join, which are then shuffled once for each copy.
     """
     sized = rows.join(carried.select("id", F.octet_length(name).alias("bytes")), "id")
     of = lambda which: F.greatest(F.ceil(F.count_if(which) / BLOCK_SETS), F.ceil(F.sum(F.when(which, F.col("bytes")).otherwise(0)) / BLOCK_BYTES)).cast("int")
     sizes = sized.groupBy("c").agg(of(F.col("loose")).alias("nl"), of(~F.col("loose")).alias("nr"), F.count(F.lit(1)).alias("g"))
     sizes = cut(sizes.filter("nl > 0 and g > 1").drop("g"))
     at = lambda blocks: F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
-    placed = rows.join(sizes, "c").withColumn("b", F.when(F.col("loose"), at(F.col("nl"))).otherwise(F.col("nl") + at(F.greatest("nr", F.lit(1)))))
+    placed = _of_group(rows, sizes, large).withColumn("b", F.when(F.col("loose"), at(F.col("nl"))).otherwise(F.col("nl") + at(F.greatest("nr", F.lit(1)))))
     copies = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nl") + F.when(F.col("loose"), F.col("nr")).otherwise(0) - 1)))
     pairs = copies.select("c", "id", "label", "loose", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"), (F.col("b") > F.col("o")).cast("int").alias("side"))
     return pairs.join(carried, "id")
@@ -386,19 +401,19 @@ def _by_block(blocks: DataFrame, name: str, judge, ddl: str, kinds: list[pa.Data
     return blocks.select(*columns).repartition("c", "b1", "b2").sortWithinPartitions("c", "b1", "b2", "id").mapInArrow(run, ddl)
 
 
-def _survivors(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _survivors(rows: DataFrame, sketches: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """Those of rows (c, id, label, loose) that may link with a member of their group that has another label."""
 
     def judge(c: int, rows: list[tuple]) -> list[tuple]:
         return [(c, rows[k][0], rows[k][1], rows[k][5]) for k in block_survivors(rows, percent)]
 
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-    return _by_block(_blocks(rows, sketches, "sketch"), "sketch", judge, "c long, id long, label long, loose boolean", kinds).distinct()
+    return _by_block(_blocks(rows, sketches, "sketch", large), "sketch", judge, "c long, id long, label long, loose boolean", kinds).distinct()
 
 
-def _verified(rows: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
+def _verified(rows: DataFrame, blobs: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) that join the linked members of each group whose labels differ."""
-    return _by_block(_blocks(rows, blobs, "blob"), "blob", lambda c, rows: block_links(rows, percent), "u long, v long", [pa.int64(), pa.int64()])
+    return _by_block(_blocks(rows, blobs, "blob", large), "blob", lambda c, rows: block_links(rows, percent), "u long, v long", [pa.int64(), pa.int64()])
 
 
 def jaccard_links(docs: DataFrame, sets: DataFrame, *, words: int, percent: int) -> DataFrame:
@@ -423,15 +438,16 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, *, words: int, percent: int)
     heads = of(reps.select(F.col("rep").alias("id")))
     groups = cut(_meetings(_signature_rows(heads, words, percent), _heavy_signatures(heads, words, percent)))
     sketches = settle(_set_rows(of(groups.select("id")), words, "sketch", lambda s: sketch(s).tobytes()))
-    near = cut(_near_leader(groups, sketches, percent))
+    large = _large_groups(groups)
+    near = cut(_near_leader(groups, sketches, large, percent))
     blobs = settle(_set_rows(of(near.select("id").unionByName(near.select(F.col("c").alias("id")))), words, "blob", as_blob))
-    labels = connected(_leader_links(near, blobs, percent))
+    labels = connected(_leader_links(near, blobs, large, percent))
     emptied(blobs)
-    loose = cut(_unsettled(groups, labels))
-    alive = cut(_survivors(loose, sketches, percent))
+    loose = cut(_unsettled(groups, labels, large))
+    alive = cut(_survivors(loose, sketches, large, percent))
     emptied(sketches)
     blobs = settle(_set_rows(of(alive.select("id")), words, "blob", as_blob))
-    links = cut(_verified(alive, blobs, percent))
+    links = cut(_verified(alive, blobs, large, percent))
     emptied(blobs)
     return links.unionByName(labels.select(F.col("label").alias("u"), F.col("id").alias("v"))).unionByName(equal).distinct()
 

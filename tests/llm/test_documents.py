@@ -168,14 +168,17 @@ def test_copies_of_a_leader_need_no_pairs(spark):
     groups = neardup.cut(neardup._meetings(neardup._signature_rows(inner, 4, 85), neardup._heavy_signatures(inner, 4, 85)))
     assert groups.count() > 60
     sketches = neardup._set_rows(inner, 4, "sketch", lambda s: neardup.sketch(s).tobytes())
-    near = neardup.cut(neardup._near_leader(groups, sketches, 85))
+    large = neardup._large_groups(groups)
+    near = neardup.cut(neardup._near_leader(groups, sketches, large, 85))
     assert near.count() == 59
-    labels = neardup.connected(neardup._leader_links(near, neardup._set_rows(inner, 4, "blob", neardup.as_blob), 85))
-    assert {r["label"] for r in labels.collect()} == {0} and neardup._unsettled(groups, labels).count() == 0
+    labels = neardup.connected(neardup._leader_links(near, neardup._set_rows(inner, 4, "blob", neardup.as_blob), large, 85))
+    assert {r["label"] for r in labels.collect()} == {0} and neardup._unsettled(groups, labels, large).count() == 0
 
 
-def test_dense_chains_are_joined(spark):
-    """Each text is linked with its neighbours only, so a leader joins few of its group."""
+@pytest.mark.parametrize("share", [1, 1000])
+def test_dense_chains_are_joined(spark, monkeypatch, share):
+    """Each text is linked with its neighbours only, so a leader joins few of its group; with no group large, and with all."""
+    monkeypatch.setattr(neardup, "HOT_SHARE", share)
     words = [f"w{i}" for i in range(400)]
     texts = [(i, " ".join(words[i * 8 : i * 8 + 120])) for i in range(30)] + [(100 + i, " ".join(words[i : i + 2])) for i in range(5)]
     want = groups_of(sets_of(texts, 4), 85)
