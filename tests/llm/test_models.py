@@ -343,3 +343,34 @@ def test_stages(spark, sf_dir, tmp_path):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, clashing extra columns; then no rows at all."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (2, long + " more"), (2, long + " more"), (3, None), (3, ""), (None, None), (None, long + " and of nobody else but one who is not here at all" * 3), (None, "x y z"), (None, "x y z"), (7, "mail a.b@c.org " * 20_000), (8, " \n")]
+    extra = {c: F.lit("own") for c in ("__id", "__digest", "score", "copy", "shuffle_key", "piece", "shard", "id", "label", "deal")}
+    for name, some in (("few", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        docs(spark, some).withColumns(extra).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        at = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            before, at = at, f(spark, at, folder)
+            assert at.columns == before.columns
+            at.write.parquet(f"{folder}/{stage}")
+            at = spark.read.parquet(f"{folder}/{stage}")
+            if stage == "near_copies" and some:
+                kept = sorted(((r["doc_id"], r["text"]) for r in at.collect()), key=repr)
+                assert kept == sorted([(1, long), (3, None), (3, ""), (None, None), (None, "x y z"), (7, "mail a.b@c.org " * 20_000), (8, " \n"), *[(None, t) for i, t in rows if i is None and t and "nobody" in t]], key=repr)
+        packed = corpus_pipeline.STAGES[-1][1](spark, at, folder)
+        assert (packed.count() > 0) == bool(some)
+
+
+def test_clashing_columns(spark, model):
+    rows = docs(spark, [(1, "to a.b@c.org now"), (1, "to a.b@c.org now"), (None, None)])
+    clash = rows.withColumns({c: F.lit("own") for c in ("id", "n", "key", "base", "spans", "n_email", "score", "h", "x", "y")})
+    assert sorted(map(tuple, pii.detect_pii(clash, model).collect()), key=repr) == sorted(map(tuple, pii.detect_pii(rows, model).collect()), key=repr)
+    assert set(pii.mask_pii(clash, model).columns) == set(clash.columns)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert {"score", "_score"} <= set(quality.score_quality(clash, quality.train_quality(clash, labels, F.lit(True))).columns)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from meshvec.llm import chat, fingerprint, mixing
 
@@ -52,6 +53,19 @@ def test_mix_edge_cases(spark):
     assert counts[2] % 2 == 0  # repeated rows draw alike
 
 
+def test_mix_deals_rows_of_one_id(spark):
+    same = docs(spark, [(5, "one and the same", "a")] * 200 + [(None, "nobody's", "a")] * 200).repartition(7)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        out = mixing.poisson_mix(same, {"a": 1.0}, other=0.0, epochs=4.0, seed=1).withColumn("at", F.spark_partition_id()).groupBy("doc_id", "at").count().collect()
+    finally:
+        spark.conf.unset(setting)
+    for i in (5, None):
+        own = [r["count"] for r in out if r["doc_id"] == i]
+        assert len(own) == 4 and max(own) < 0.5 * sum(own)
+
+
 def test_large_rates():
     for rate in (0.3, 5.0, 900.0, 5e4):
         k0, table = mixing.poisson_table(rate)
@@ -154,8 +168,6 @@ def test_hot_ids_are_dealt(spark, monkeypatch):
 def test_order_counts(spark):
     words = [f"tok{i}" for i in range(200)]
     rows = [(1, " ".join(words), "a"), (2, " ".join(words[100:] + words[:100]), "a"), (3, " ".join(reversed(words)), "a")]
-    from pyspark.sql import functions as F
-
     s = {r["doc_id"]: set(r["s"]) for r in docs(spark, rows).select("doc_id", fingerprint.order_minhash(F.col("text")).alias("s")).collect()}
     swapped, turned = (len(s[1] & s[k]) / len(s[1]) for k in (2, 3))
     assert 0.3 < swapped < 1.0 and turned < 0.1  # the same words in another order are less alike
@@ -189,7 +201,7 @@ def test_no_turns_and_null_ids(spark):
     odd = spark.createDataFrame([(None, None, None, None, ""), *[(None, k, "user", "ho", "") for k in range(3)], (None, 1, "user", "hi", ""), (2, 1, "user", "hi", ""), (2, 1, "user", "hi", "")], TURNS)
     got = sorted((str(r["conv_id"]), r["n_turns"], r["rendered"]) for r in chat.collapse_snapshots(odd).collect())
     assert [x[:2] for x in got] == [("2", 2), ("None", 1), ("None", 1)]  # the lone "hi" begins conversation 2
-    assert got[2][2] == "<|user|>\nho\n<|end|>\n"
+    assert got[1][2] == "<|user|>\nho\n<|end|>\n"
 
 
 def test_texts_cannot_forge_turns(spark):
