@@ -84,6 +84,11 @@ def block_sizes(sizes: DataFrame, least: int = 100) -> DataFrame:
     return sizes.withColumn("block_size", F.array_min(F.filter(divisors, lambda d: d >= least)))
 
 
+def size(a: DataFrame) -> DataFrame:
+    """One row: the stored cells, and how many rows and columns have some."""
+    return a.agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("i").alias("rows"), F.count_distinct("j").alias("columns"))
+
+
 def to_dense(a: DataFrame, rows: int, cols: int | None = None) -> np.ndarray:
     """A small matrix on the driver, for tests and d x d steps only; more than four million cells raise."""
     cols = rows if cols is None else cols

@@ -5,6 +5,7 @@ Compared floats are rounded to 6 digits on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshvec.functions.columns import mix_key, rounded
-from meshvec.functions.lineage import cut
+from meshvec.functions.lineage import cut, shared_folder
 from meshvec.operators import edges as E
 from meshvec.operators import blocks, evaluate, factor, masks, matrix, proximity, stats, walks
 from meshvec.plans import embeddings
@@ -151,6 +152,30 @@ def dead_ends(spark, sf_dir):
     return edges.select(F.col("dst").alias("node")).distinct().join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
+# Files, in a folder of their own below the shared one.
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@query(f"WITH {PS}, {SPLIT} SELECT src, dst, party FROM split")
+def edge_list_files(spark, sf_dir):
+    """The parties' edges written as text and read again."""
+    path = new_folder(spark)
+    graphs.write_parties(split_part_supp(spark, sf_dir), path)
+    return graphs.read_edge_list(spark, path)
+
+
+@query("SELECT vec_id AS node, CAST(k AS BIGINT) AS k, round(v, 5) AS v FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)")
+def embedding_files(spark, sf_dir):
+    """Node vectors written as an embedding and read again."""
+    path = new_folder(spark)
+    graphs.write_embedding(graphs.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec")), path)
+    cells = spark.read.parquet(path).select("node", F.posexplode("vec").alias("k", "v"))
+    return cells.select("node", F.col("k").cast("long").alias("k"), rounded(F.col("v").cast("double"), 5).alias("v"))
+
+
 # Degrees, volumes, neighbour lists.
 
 
@@ -284,6 +309,18 @@ def diag_inverse(spark, sf_dir):
     return vals(matrix.diag_left(d, matrix.scale(matrix.diag_left(d, d, inverse=True), 1.0), inverse=True))
 
 
+@query(f"WITH {TRADE} SELECT i, j, v FROM t")
+def dense_cells(spark, sf_dir):
+    """The cells of a small matrix made dense."""
+    a = matrix.to_dense(trade(spark, sf_dir), 25)
+    return spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "i long, j long, v double")
+
+
+@query(f"WITH {CS} SELECT count(*) AS cells, count(DISTINCT src) AS rows, count(DISTINCT dst) AS columns FROM cs")
+def matrix_size(spark, sf_dir):
+    return matrix.size(matrix.from_edges(graphs.cust_supp(spark, sf_dir)))
+
+
 @query(f"WITH {TRADE} SELECT i, j, v, CAST(j // 6 AS BIGINT) AS slice FROM t WHERE j // 6 < 4")
 def matrix_slices(spark, sf_dir):
     return matrix.slices(trade(spark, sf_dir), 25, 4, keep_rest=False)
@@ -726,6 +763,15 @@ def f1_macro(spark, sf_dir):
     return vals(evaluate.macro_f1(customer_confusion(spark, sf_dir)), "macro_f1")
 
 
+@query(f"WITH {TRUTH} SELECT round(2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1, 2::BIGINT AS times FROM c")
+def result_file(spark, sf_dir):
+    """A result appended to a file twice, and read again."""
+    path = new_folder(spark)
+    for _ in range(2):
+        graphs.append_results(vals(evaluate.micro_f1(customer_confusion(spark, sf_dir)), "micro_f1"), path)
+    return spark.read.csv(path, header=True, schema="micro_f1 double").groupBy("micro_f1").agg(F.count(F.lit(1)).alias("times"))
+
+
 def trade_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tp = graphs.nation_trade(spark, sf_dir)
     return tp.filter("party = 1").select("i", "j", "v"), tp.filter("party = 2").select("i", "j", "v")
@@ -790,3 +836,12 @@ def mask_entries(spark, sf_dir):
     cells = masks.random_matrix(spark, graphs.table(spark, sf_dir, "customer").count(), 3, 64)
     within = F.min(F.floor(F.col("i") / 64) == F.floor(F.col("j") / 64)) & (F.min("v") >= 0) & (F.max("v") < 10)
     return cells.groupBy(F.floor(F.col("i") / 64).alias("block")).agg(F.count(F.lit(1)).alias("cells"), within.alias("within"), (F.abs(F.avg("v") - 5) < 15 / F.sqrt(F.count(F.lit(1)))).alias("spread"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier), u AS (SELECT i, j FROM range((SELECT n FROM n)) a(i), range((SELECT n FROM n)) b(j)
+WHERE i < j AND ('0x' || substr(md5('5:' || i || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < CASE WHEN i % 3 = j % 3 THEN 0.5 ELSE 0.1 END)
+SELECT i AS src, j AS dst, CAST(i % 3 AS INTEGER) AS label FROM u UNION ALL SELECT j, i, CAST(j % 3 AS INTEGER) FROM u""")
+def planted_partition(spark, sf_dir):
+    """A generated graph of three communities with a node for each supplier, with the labels of its edges' sources."""
+    edges, labels = graphs.planted_partition(spark, graphs.table(spark, sf_dir, "supplier").count(), 3, 0.5, 0.1, 5)
+    return edges.join(labels.withColumnRenamed("node", "src"), "src").select("src", "dst", "label")

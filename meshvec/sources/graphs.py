@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshvec.functions.columns import hash_uniform, md5_uniform
+from meshvec.functions.columns import md5_uniform
 from meshvec.functions.lineage import global_rank
 
 
@@ -83,10 +83,10 @@ def random_symmetric(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
 
 
 def planted_partition(spark: SparkSession, n: int, communities: int, inside: float, across: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Symmetric edges that fall inside a community with one probability and across with another; labels (node, label)."""
+    """Symmetric edges that fall inside a community with one probability and across with another, drawn as in random_symmetric; labels (node, label)."""
     label = lambda c: F.pmod(F.col(c), F.lit(communities)).cast("int")
     upper = spark.range(n - 1).select(F.col("id").alias("src"), F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1).cast("long"))).alias("dst"))
-    drawn = upper.filter(hash_uniform(seed, "src", "dst") < F.when(label("src") == label("dst"), F.lit(inside)).otherwise(F.lit(across)))
+    drawn = upper.filter(md5_uniform(seed, "src", "dst") < F.when(label("src") == label("dst"), F.lit(inside)).otherwise(F.lit(across)))
     edges = drawn.unionByName(drawn.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return edges, spark.range(n).select(F.col("id").alias("node"), label("id").alias("label"))
 

@@ -1,5 +1,7 @@
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from meshvec.functions.columns import tile
 from meshvec.functions.lineage import global_rank
 from meshvec.operators import edges as E
 from meshvec.operators import stats
-from meshvec.sources import graphs
+from meshvec.sources import graphs, matfiles
 
 TINY = [(0, 1), (1, 0), (1, 2), (1, 2), (3, 3), (2, 4)]
 
@@ -95,3 +97,34 @@ def test_files(spark, tmp_path, tiny):
     for _ in range(2):
         graphs.append_results(result, str(tmp_path / "res"))
     assert spark.read.csv(str(tmp_path / "res"), header=True).count() == 2
+
+
+def mat_element(kind, data, padded=True):
+    return np.array([kind, len(data)], "<u4").tobytes() + data + bytes(-len(data) % 8 if padded else 0)
+
+
+def mat_matrix(name, a, sparse):
+    """A matrix element of a MATLAB file, column by column."""
+    flags = mat_element(6, np.array([(5 if sparse else 6), a.size], "<u4").tobytes())
+    head = flags + mat_element(5, np.array(a.shape, "<i4").tobytes()) + (np.array([len(name) << 16 | 1], "<u4").tobytes() + name.encode().ljust(4, b"\0") if len(name) <= 4 else mat_element(1, name.encode()))
+    if not sparse:
+        return mat_element(14, head + mat_element(9, a.T.astype("<f8").tobytes()))
+    j, i = np.nonzero(a.T)
+    starts = np.searchsorted(j, np.arange(a.shape[1] + 1))
+    return mat_element(14, head + mat_element(5, i.astype("<i4").tobytes()) + mat_element(5, starts.astype("<i4").tobytes()) + mat_element(9, a[i, j].astype("<f8").tobytes()))
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+@pytest.mark.parametrize("packed", [True, False])
+def test_matlab_networks(spark, tmp_path, sparse, packed):
+    rng = np.random.default_rng(3)
+    a = rng.integers(1, 9, (7, 5)) * (rng.random((7, 5)) < 0.4)
+    body = [mat_matrix("g", np.ones((2, 2)), False), mat_matrix("network", a.astype(float), sparse)]
+    if packed:
+        body = [mat_element(15, zlib.compress(x), padded=False) for x in body]
+    (tmp_path / "x.mat").write_bytes(b"MATLAB 5.0 MAT-file".ljust(124) + b"\x00\x01IM" + b"".join(body))
+    got = {(r["i"], r["j"]): r["v"] for r in matfiles.read_network(spark, str(tmp_path / "x.mat")).collect()}
+    assert got == {(i, j): a[i, j] for i, j in zip(*np.nonzero(a), strict=True)}
+    assert matfiles.read_network(spark, str(tmp_path / "x.mat"), "g").count() == 4
+    with pytest.raises(ValueError, match="no matrix other"):
+        matfiles.coordinates((tmp_path / "x.mat").read_bytes(), "other")
