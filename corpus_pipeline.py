@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshvec.llm import mixing, neardup, packing, pii, queries, toxicity
-from meshvec.llm.common import settle, table
+from meshvec.llm.common import emptied, settle, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces. A stage's table gives its disk back as soon as the next one's is written; the last one is read by the result."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
+        if held is not None:
+            emptied(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
