@@ -26,6 +26,8 @@ LEAST_BITS = 512
 HEAVY_SAMPLE, HEAVY_LEAST, MAX_HEAVY = 64, 64, 10_000
 #: A group is large if it has one in HOT_SHARE or more of all memberships, so no more than HOT_SHARE are.
 HOT_SHARE = 1000
+#: Times that leaders are followed to their own leaders, twice as far each time.
+JUMPS = 2
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -293,17 +295,17 @@ def _set_rows(texts: DataFrame, words: int, name: str, form) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, f"id long, n long, {name} binary")
 
 
-def _large_groups(groups: DataFrame) -> DataFrame:
-    """c of the large groups; at most HOT_SHARE rows, by what large means."""
-    sizes = groups.groupBy("c").agg(F.count(F.lit(1)).alias("g"))
-    return cut(sizes.filter(F.col("g") * HOT_SHARE >= groups.count()).select("c"))
+def _large_groups(rows: DataFrame, key: str = "c") -> DataFrame:
+    """The keys of large groups; at most HOT_SHARE rows, by what large means."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("g"))
+    return cut(sizes.filter(F.col("g") * HOT_SHARE >= rows.count()).select(key))
 
 
-def _of_group(rows: DataFrame, facts: DataFrame, large: DataFrame) -> DataFrame:
-    """rows (c, ...) with the facts (c, ...; one row for each c) of their group. Those of large groups stay where they are and get theirs by broadcast; the others are shuffled."""
+def _of_group(rows: DataFrame, facts: DataFrame, large: DataFrame, key: str = "c") -> DataFrame:
+    """rows (key, ...) with the facts (key, ...; one row for each key) of their group. Those of large groups stay where they are and get theirs by broadcast; the others are shuffled."""
     few = F.broadcast(large)
-    here = rows.join(few, "c", "left_semi").join(F.broadcast(facts.join(few, "c", "left_semi")), "c")
-    return here.unionByName(rows.join(few, "c", "left_anti").join(facts.join(few, "c", "left_anti"), "c"))
+    here = rows.join(few, key, "left_semi").join(F.broadcast(facts.join(few, key, "left_semi")), key)
+    return here.unionByName(rows.join(few, key, "left_anti").join(facts.join(few, key, "left_anti"), key))
 
 
 def _by_leader(members: DataFrame, carried: DataFrame, name: str, large: DataFrame, judge) -> DataFrame:
@@ -347,6 +349,15 @@ def _leader_links(near: DataFrame, blobs: DataFrame, large: DataFrame, percent:
     return found.select(F.col("c").alias("u"), F.col("id").alias("v"))
 
 
+def _followed(firm: DataFrame) -> DataFrame:
+    """id, label: whom each document's leader's leader ... follows, 2^JUMPS steps on. Documents of one label are joined by links; what longer chains leave apart is compared in blocks."""
+    labels = firm.select(F.col("v").alias("id"), F.col("u").alias("label"))
+    for _ in range(JUMPS):
+        further = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        labels = cut(labels.join(further, "label", "left").select("id", F.coalesce("next", "label").alias("label")))
+    return labels
+
+
 def _unsettled(groups: DataFrame, labels: DataFrame, large: DataFrame) -> DataFrame:
     """c, id, label, loose of the groups that labels (id, label) don't join altogether; loose: a label other than the leader's."""
     named = cut(groups.join(labels, "id", "left").select("c", "id", F.coalesce("label", "id").alias("label")))
@@ -428,8 +439,9 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, *, words: int, percent: int)
     sketches, which leaves those with a close partner, then by whole sets. Only
     a spanning set of links leaves a task. Every step ends in a stored table.
     """
-    reps = sets.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"))
-    equal = sets.filter("n > 0").join(reps, "key").filter("id != rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    full = sets.filter("n > 0").select("id", "key")
+    reps = cut(full.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("g")))
+    equal = _of_group(full, reps.filter("g > 1").select("key", "rep"), _large_groups(full, "key"), "key").filter("id != rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
     texts = docs.select("id", "text")
 
     def of(ids: DataFrame) -> DataFrame:
@@ -441,15 +453,16 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, *, words: int, percent: int)
     large = _large_groups(groups)
     near = cut(_near_leader(groups, sketches, large, percent))
     blobs = settle(_set_rows(of(near.select("id").unionByName(near.select(F.col("c").alias("id")))), words, "blob", as_blob))
-    labels = connected(_leader_links(near, blobs, large, percent))
+    firm = cut(_leader_links(near, blobs, large, percent))
     emptied(blobs)
+    labels = _followed(firm)
     loose = cut(_unsettled(groups, labels, large))
     alive = cut(_survivors(loose, sketches, large, percent))
     emptied(sketches)
     blobs = settle(_set_rows(of(alive.select("id")), words, "blob", as_blob))
     links = cut(_verified(alive, blobs, large, percent))
     emptied(blobs)
-    return links.unionByName(labels.select(F.col("label").alias("u"), F.col("id").alias("v"))).unionByName(equal).distinct()
+    return links.unionByName(firm).unionByName(equal)
 
 
 def connected(links: DataFrame) -> DataFrame:

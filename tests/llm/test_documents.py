@@ -171,7 +171,7 @@ def test_copies_of_a_leader_need_no_pairs(spark):
     large = neardup._large_groups(groups)
     near = neardup.cut(neardup._near_leader(groups, sketches, large, 85))
     assert near.count() == 59
-    labels = neardup.connected(neardup._leader_links(near, neardup._set_rows(inner, 4, "blob", neardup.as_blob), large, 85))
+    labels = neardup._followed(neardup._leader_links(near, neardup._set_rows(inner, 4, "blob", neardup.as_blob), large, 85))
     assert {r["label"] for r in labels.collect()} == {0} and neardup._unsettled(groups, labels, large).count() == 0
 
 
