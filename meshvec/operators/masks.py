@@ -108,6 +108,6 @@ def masked_proximity(spark: SparkSession, xs: list[DataFrame], degree: DataFrame
     return blocks.from_blocks(demask(p, m, q, size), size, least)
 
 
-def masked_sampled(spark: SparkSession, m: DataFrame, n: int, *, size: int, seed: int = 51) -> DataFrame:
-    """M O of a party's sampled proximity M (i, j, v) under an orthogonal mask O, as cells: what it sends instead of M."""
-    return blocks.from_blocks(blocks.dot(blocks.to_blocks(m, size), orthogonal_blocks(spark, n, size, seed), size), size)
+def masked_sampled(m: DataFrame, o: DataFrame, size: int) -> DataFrame:
+    """M O of a party's sampled proximity M (i, j, v) under an orthogonal mask O that all parties share, as blocks: what it sends instead of M."""
+    return blocks.dot(blocks.to_blocks(m, size), o, size)

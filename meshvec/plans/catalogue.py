@@ -565,8 +565,8 @@ def party_no_log(spark, sf_dir):
 def party_log_masked(spark, sf_dir):
     """The sum of the logarithms under a mask that all parties put on the right, with the mask undone."""
     o = masks.orthogonal_blocks(spark, 25, 10, 23)
-    m = blocks.dot(blocks.to_blocks(trade_sampled(spark, sf_dir, "per_party"), 10), o, 10)
-    return vals(blocks.from_blocks(blocks.dot(m, blocks.transpose(o, 10), 10), 10, 1e-8))
+    sent = masks.masked_sampled(trade_sampled(spark, sf_dir, "per_party"), o, 10)
+    return vals(blocks.from_blocks(blocks.dot(sent, blocks.transpose(o, 10), 10), 10, 1e-8))
 
 
 @query(f"""WITH {CANON}, split AS (SELECT src, dst, CAST(ntile({PARTIES}) OVER (ORDER BY {KEY}, src, dst) AS INTEGER) AS party FROM canon WHERE src <> dst),
