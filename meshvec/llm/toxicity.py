@@ -23,9 +23,11 @@ MAX_TRAIN = 20_000
 #: Hashed terms that the machine keeps for what they tell alone, at most, by their chi-squared value.
 MAX_TERMS, LEAST_CHI2 = 1024, 25.0
 #: Terms that are tried in pairs, at most: half of them the most telling, half the most evenly spread ones.
-PAIR_TERMS = 1024
+PAIR_TERMS = 512
 #: Pairs whose terms the machine keeps, at most, by how much more chi-squared the two tell together than each for itself.
 MAX_PAIRS, LEAST_GAIN, LEAST_CELL = 256, 50.0, 10
+#: Documents that are counted at once.
+SLICE = 2048
 
 
 def word_terms(word: str) -> set[int]:
@@ -83,8 +85,14 @@ def pair_gains(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """
     n, pos = len(y), float(y.sum())
     share = pos / n
-    seen, hits = x.sum(0), y @ x
-    both, both_hits = x.T @ x, (x[y == 1]).T @ x[y == 1]
+    both = np.zeros((x.shape[1], x.shape[1]), np.float32)  # whole numbers below 2^24, so exact
+    both_hits = np.zeros_like(both)
+    for at in range(0, n, SLICE):
+        part, toxic = x[at : at + SLICE].astype(np.float32), y[at : at + SLICE] == 1
+        both += part.T @ part
+        part = part[toxic]
+        both_hits += part.T @ part
+    seen, hits = both.diagonal(), both_hits.diagonal()
 
     def chi2(count: np.ndarray, hit: np.ndarray) -> np.ndarray:
         return np.where(count >= LEAST_CELL, (hit - count * share) ** 2 / np.maximum(count * share * (1 - share), 1e-9), 0.0)
@@ -159,10 +167,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col:
     def places(terms: pd.Series) -> pd.Series:
         return terms.map(lambda ts: [place[t] for t in ts.tolist() if t in place])
 
-    kept = sample.select("id", "y", F.pandas_udf(places, "array<int>")("terms").alias("on")).toPandas().sort_values("id", kind="stable")
-    x, y = np.zeros((len(kept), len(place)), np.float32), kept["y"].to_numpy(np.float32)
-    for i, on in enumerate(kept["on"]):
-        x[i, on] = 1
+    kept = sample.select("id", "y", F.pandas_udf(places, "array<int>")("terms").alias("on")).toArrow().sort_by("id")
+    y, on = kept["y"].to_numpy().astype(np.float32), kept["on"].combine_chunks()
+    x = np.zeros((len(y), len(place)), np.uint8)  # a byte for each document and term
+    x[np.repeat(np.arange(len(y)), on.value_lengths().to_numpy(zero_copy_only=False)), on.flatten().to_numpy(zero_copy_only=False)] = 1
+    del kept, on
     gains = np.triu(pair_gains(x[:, : len(tried)], y), 1)
     best = np.argsort(-gains, axis=None, kind="stable")[:MAX_PAIRS]
     paired = {i for at in best if gains.flat[at] >= LEAST_GAIN for i in divmod(int(at), len(tried))}
@@ -170,7 +179,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col:
     chosen = sorted({place[t] for t in telling} | paired)
     if not chosen:
         return none
-    bias, weights, factors = fit(x[:, chosen], y)
+    bias, weights, factors = fit(x[:, chosen].astype(np.float32), y)
     return FactorizationMachine({names[i]: k for k, i in enumerate(chosen)}, bias, weights, factors)
 
 
