@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Sums of blocks that a task keeps before it sends the oldest on.
-KEPT = 32
+KEPT = 64
 DDL = "bi long, bj long, x array<double>"
 SCHEMA = pa.schema([("bi", pa.int64()), ("bj", pa.int64()), ("x", pa.list_(pa.float64()))])
 
