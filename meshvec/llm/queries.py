@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshvec.llm import chat, extraction, fingerprint, media, mixing, neardup, packing, pii, quality, toxicity
+from meshvec.llm import alignment, chat, extraction, fingerprint, infill, media, mixing, neardup, packing, pii, quality, toxicity
 from meshvec.llm.common import table
 
 #: Target weights of the characters by source; all other sources share OTHER_WEIGHT.
@@ -33,11 +33,11 @@ def remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
 
 
-def tokenizer_path() -> str:
-    """Where the vocabulary file lies, on the driver as on every executor."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a vocabulary file lies, on the driver as on every executor."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +76,20 @@ def op10_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokenizer_alignment(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_marker_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    lengths = [F.char_length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return made.select("doc_id", "n", "form", *lengths, *[F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_poisson_mix, op2_order_minhash, op3_best_two_fit, op4_parity_join, op5_media_sequences, op6_factorization_machine, op7_snapshot_collapse, op8_additive_model,
-        op9_semi_markov_crf, op10_tree_scoring,
+        op9_semi_markov_crf, op10_tree_scoring, op12_interval_alignment, op13_marker_infill,
     )
     return {f.__name__: f for f in every}
 
@@ -115,6 +125,22 @@ c AS (SELECT conv_id, count(*) AS n_turns, list(role || chr(0) || text ORDER BY
 d AS (SELECT turns, min(conv_id) AS conv_id FROM c GROUP BY turns)
 SELECT c.conv_id, c.n_turns, c.rendered FROM c JOIN d ON c.turns = d.turns AND c.conv_id IS NOT DISTINCT FROM d.conv_id
 WHERE NOT EXISTS (SELECT 1 FROM d o WHERE len(o.turns) > c.n_turns AND o.turns[1:c.n_turns] = c.turns)
+""",
+    "op13_marker_infill": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digits FROM documents),
+h AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || substr(digits, 1, 8))::BIGINT AS h1, ('0x' || substr(digits, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(digits, 17, 8))::BIGINT AS h3, ('0x' || substr(digits, 25, 8))::BIGINT AS h4 FROM d),
+f AS (SELECT doc_id, text, u, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '{infill.PREFIX}') OR contains(text, '{infill.SUFFIX}') OR contains(text, '{infill.MIDDLE}')
+                       OR h3 % 100 >= {infill.PLAIN_FROM} THEN 'plain' WHEN h4 % 100 < {infill.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, text, n, form, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+             coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{infill.PREFIX}' || p || '{infill.SUFFIX}' || s || '{infill.MIDDLE}' || m
+                   ELSE '{infill.SUFFIX}' || s || '{infill.PREFIX}' || p || '{infill.MIDDLE}' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
 """,
 }
 
