@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshvec.llm import alignment, chat, extraction, fingerprint, infill, media, mixing, neardup, packing, pii, quality, toxicity
+from meshvec.llm import alignment, chat, extraction, fingerprint, infill, media, mixing, neardup, packing, pii, quality, simhash, toxicity
 from meshvec.llm.common import table
 
 #: Target weights of the characters by source; all other sources share OTHER_WEIGHT.
@@ -76,6 +76,10 @@ def op10_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def op12_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.cross_tokenizer_alignment(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
@@ -89,7 +93,7 @@ def op13_marker_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_poisson_mix, op2_order_minhash, op3_best_two_fit, op4_parity_join, op5_media_sequences, op6_factorization_machine, op7_snapshot_collapse, op8_additive_model,
-        op9_semi_markov_crf, op10_tree_scoring, op12_interval_alignment, op13_marker_infill,
+        op9_semi_markov_crf, op10_tree_scoring, op11_pivot_simhash, op12_interval_alignment, op13_marker_infill,
     )
     return {f.__name__: f for f in every}
 
