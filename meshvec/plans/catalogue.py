@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshvec.functions.columns import mix_key, rounded
+from meshvec.functions.columns import md5_uniform, mix_key, rounded
 from meshvec.functions.lineage import cut, shared_folder
 from meshvec.operators import edges as E
 from meshvec.operators import blocks, evaluate, factor, masks, matrix, proximity, stats, walks
@@ -587,6 +587,67 @@ def path_samples(spark, sf_dir):
     return mass.join(lost, "party", "left").select("party", "mass", F.coalesce("lost", F.lit(0)).alias("unreachable"))
 
 
+def uniform_sql(seed: int, keys: str) -> str:
+    """SQL of md5_uniform(seed, *keys)."""
+    return f"(('0x' || substr(md5('{seed}:' || {keys}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+#: The stretches of the edges of `ways` (party, src, dst, w), scaled to their sources' numbers of edges.
+GUIDE = """g0 AS (SELECT party, src, dst, w::DOUBLE AS w, sum(w::DOUBLE) OVER (PARTITION BY party, src ORDER BY dst) AS high, sum(w::DOUBLE) OVER (PARTITION BY party, src) AS total, count(*) OVER (PARTITION BY party, src) AS deg FROM ways),
+guide AS (SELECT party, src, dst, deg, (high - w) * deg / total AS low, CASE WHEN high = total THEN deg ELSE high * deg / total END AS high FROM g0)"""
+#: Walkers of `asked` (party, at, u, ...) fall into one stretch of their node.
+INSIDE = "a.party = g.party AND a.at = g.src AND least(a.u * g.deg, g.deg * (1 - 1 / 4503599627370496.0::DOUBLE)) >= g.low AND least(a.u * g.deg, g.deg * (1 - 1 / 4503599627370496.0::DOUBLE)) < g.high"
+
+
+@query(f"""WITH {TRADE}, ways AS (SELECT party, i AS src, j AS dst, v * (1 + j % 5) AS w FROM tp), {GUIDE},
+asked AS (SELECT CAST(o_orderkey % 2 + 1 AS INTEGER) AS party, CAST(c_nationkey AS BIGINT) AS at, {uniform_sql(7, "(o_orderkey % 2 + 1) || ':' || (l_orderkey * 8 + l_linenumber)")} AS u
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+ends AS (SELECT a.party, a.at AS node, g.dst AS target, count(*) AS walkers FROM asked a JOIN guide g ON {INSIDE} GROUP BY ALL)
+SELECT party, node, target, walkers, true AS near FROM ends""")
+def weighted_steps(spark, sf_dir):
+    """Where the walkers, one for each line of an order, get from its customer's nation by one step weighted by trade; near: the share of an end is within six deviations of its weight's share."""
+    edges = graphs.nation_trade(spark, sf_dir).select("party", F.col("i").alias("src"), F.col("j").alias("dst"), (F.col("v") * (1 + F.col("j") % 5)).alias("w"))
+    guide, places = walks.walk_index(edges)
+    lines = graphs.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    orders = graphs.table(spark, sf_dir, "orders").join(graphs.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").cast("long").alias("node"))
+    start = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_orderkey") % 2 + 1).cast("int").alias("party"), "node", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("draw"))
+    rows = start.join(places, ["party", "node"]).withColumns({"at": F.col("node"), "hits": F.lit(0)})
+    ends = walks.step(rows, guide, "at", "deg", 7, md5_uniform).groupBy("party", "node", F.col("at").alias("target")).agg(F.count(F.lit(1)).alias("walkers"))
+    told = cut(ends)
+    share = edges.join(edges.groupBy("party", "src").agg(F.sum("w").alias("total")), ["party", "src"]).select("party", F.col("src").alias("node"), F.col("dst").alias("target"), (F.col("w") / F.col("total")).alias("p"))
+    all_of = told.groupBy("party", "node").agg(F.sum("walkers").alias("n"))
+    far = F.abs(F.col("walkers") / F.col("n") - F.col("p")) - 1 / F.col("n")
+    return told.join(share, ["party", "node", "target"]).join(all_of, ["party", "node"]).select("party", "node", "target", "walkers", (far <= 6 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))).alias("near"))
+
+
+#: Edges between parts and suppliers, weighted by lines and unevenly by their numbers, in both directions, held by one party each.
+UNEVEN = CANON.replace("canon AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM raw)", f"""canon AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) * (1 + (src + dst) % 5) AS w FROM raw WHERE src <> dst GROUP BY least(src, dst), greatest(src, dst), src + dst),
+split AS (SELECT src, dst, w, CAST(ntile({PARTIES}) OVER (ORDER BY {KEY}, src, dst) AS INTEGER) AS party FROM canon), ways AS (SELECT src, dst, w, party FROM split UNION ALL SELECT dst, src, w, party FROM split)""")
+
+
+def samples_sql(per_edge: int, workers: int, parties: int, seed: int = 1) -> str:
+    """`cells` (party, i, j, v): the sparsifier of window 2 over `ways`, every draw repeated; without dead ends."""
+    draws = f"(vol * {per_edge} // ({workers} * {parties}))"
+    return f"""{GUIDE}, counted AS (SELECT party, src, dst, row_number() OVER (PARTITION BY party ORDER BY src, dst) - 1 AS e, count(*) OVER (PARTITION BY party) AS vol FROM ways),
+begun AS (SELECT party, src, dst, e, {workers} * ({draws} // vol + CASE WHEN e < {draws} % vol THEN 1 ELSE 0 END) AS n FROM counted),
+drawn AS (SELECT party, src, dst, (e * {per_edge + workers + 1} + unnest(range(1, n + 1))) * 3 + 2 AS draw FROM begun),
+first AS (SELECT party, src, dst, draw, {uniform_sql(seed, "party || ':' || draw")} >= 0.5 AS back FROM drawn),
+asked AS (SELECT party, src, dst, back, CASE WHEN back THEN src ELSE dst END AS at, CASE WHEN back THEN {uniform_sql(seed + 2001, "party || ':' || draw")} ELSE {uniform_sql(seed + 3001, "party || ':' || draw")} END AS u FROM first),
+moved AS (SELECT a.party, CASE WHEN a.back THEN g.dst ELSE a.src END AS i, CASE WHEN a.back THEN a.dst ELSE g.dst END AS j, 1 / {2 * per_edge}.0::DOUBLE AS v FROM asked a JOIN guide g ON {INSIDE}),
+cells AS (SELECT party, i, j, sum(v) AS v FROM (SELECT * FROM moved UNION ALL SELECT party, src, dst, n / {2 * per_edge}.0::DOUBLE FROM begun WHERE n > 0) GROUP BY ALL)"""
+
+
+@query(f"WITH {UNEVEN}, {samples_sql(12, 4, PARTIES)} SELECT party, i, j, round(v, 6) AS v FROM cells")
+def weighted_path_samples(spark, sf_dir):
+    """Every cell of each party's sampled sparsifier of window 2 with weighted steps."""
+    lines = raw_lines(spark, sf_dir).filter("src != dst")
+    weights = lines.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    weights = cut(weights.select("src", "dst", (F.col("n") * (1 + (F.col("src") + F.col("dst")) % 5)).cast("double").alias("w")))
+    held = E.split_parties(weights.select("src", "dst"), PARTIES).join(weights, ["src", "dst"]).select("src", "dst", "party", "w")
+    ways = cut(held.unionByName(held.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "party", "w")))
+    return vals(walks.path_samples(ways, window=2, per_edge=12, workers=4, parties=PARTIES, weighted=True, uniform=md5_uniform))
+
+
 # Panels and factorization.
 
 
@@ -673,6 +734,19 @@ def sampled_embedding(spark, sf_dir):
     return energy(embeddings.sampled_embedding(split, FULL, parties=2, window=1, per_edge=64, workers=1, rounds=2, normalize=False, diagonal=False), FULL)
 
 
+@query(f"""WITH {TRADE}, ways AS (SELECT party, i AS src, j AS dst, v * (1 + j % 5) AS w FROM tp), {samples_sql(64, 1, 2, seed=3)},
+deg AS (SELECT dst AS node, count(*)::DOUBLE AS deg FROM ways GROUP BY dst), n AS (SELECT count(*)::DOUBLE AS n FROM ways),
+parts AS (SELECT party, dst AS i, dst AS j, count(*)::DOUBLE AS v FROM ways GROUP BY party, dst UNION ALL SELECT party, j, j, -sum(v) FROM cells GROUP BY party, j UNION ALL SELECT party, i, j, v FROM cells),
+s2 AS (SELECT party, i, j, sum(v) AS v FROM parts GROUP BY party, i, j),
+m AS (SELECT s2.i, s2.j, n / 0.1 * s2.v / (p.deg * q.deg) AS v FROM s2 JOIN deg p ON s2.i = p.node JOIN deg q ON s2.j = q.node CROSS JOIN n),
+l AS (SELECT i, j, sum(ln(v)) AS v FROM m WHERE v > 1 AND i <> j GROUP BY i, j) SELECT round(coalesce(sum(v * v), 0), 3) AS energy FROM l""")
+def sampled_embedding_window2(spark, sf_dir):
+    """The energy of the embedding of nations from two parties' walks of window 2, whose steps trade weights."""
+    split = graphs.nation_trade(spark, sf_dir).select(F.col("i").alias("src"), F.col("j").alias("dst"), "party", (F.col("v") * (1 + F.col("j") % 5)).alias("w"))
+    emb = embeddings.sampled_embedding(split, FULL // 2, parties=2, window=2, per_edge=64, workers=1, negative=0.1, rounds=3, normalize=False, diagonal=False, weighted=True, uniform=md5_uniform)
+    return energy(emb, FULL // 2)
+
+
 @query(f"""WITH {TRADE}, s AS (SELECT i, j, v FROM x UNION ALL SELECT a.i, b.j, sum(a.v * b.v) FROM x a JOIN x b ON a.j = b.i GROUP BY a.i, b.j), c AS (SELECT i, j, sum(v) AS v FROM s GROUP BY i, j),
 m AS (SELECT vol / 2 * c.v / deg AS v FROM c JOIN d ON j = node CROSS JOIN vol) SELECT round(coalesce(sum(ln(v) * ln(v)), 0), 3) AS energy FROM m WHERE v > 1""")
 def window2_embedding(spark, sf_dir):

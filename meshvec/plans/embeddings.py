@@ -39,18 +39,21 @@ def sampled_embedding(
     volume: str = "sum_weights",
     normalize: bool = True,
     diagonal: bool = True,
+    **draws,
 ) -> DataFrame:
     """node, vec from path sampling; split: src, dst, party as split_parties gives it.
 
     directed=False walks each edge from either end at random; volume is a mode
     of stats.volume over the lines of all parties; diagonal=False leaves cells
-    of a node with itself out before the factorization.
+    of a node with itself out before the factorization; draws go to path_samples
+    (weighted=True walks by column w of split; degrees count edges all the same).
     """
-    held = cut(E.party_edges(split))
+    walked = cut(split.groupBy("src", "dst", "party").agg(F.sum("w").alias("w")) if draws.get("weighted") else E.party_edges(split))
+    held = walked.withColumn("w", F.lit(1.0))
     by_party = stats.in_degree(held, ("party",))
     degree = cut(stats.global_degree(by_party))
     vol = stats.volume(held if volume == "sum_weights" else split, volume).first()[0]
-    sampled = cut(walks.path_samples(held, window=window, per_edge=per_edge, workers=workers, parties=parties, directed=directed, seed=seed))
+    sampled = cut(walks.path_samples(walked, window=window, per_edge=per_edge, workers=workers, parties=parties, directed=directed, seed=seed, **draws))
     m = walks.sampled_proximity(sampled, by_party, degree, float(vol), negative=negative, log_mode=log_mode)
     return factor.embedding(m if diagonal else m.filter("i != j"), nodes_of(held), d, rounds=rounds, seed=seed, normalize=normalize)
 

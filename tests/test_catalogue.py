@@ -30,9 +30,8 @@ def test_equals_sql(spark, sf_dir, db, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
-def test_runs(spark, sf_dir, name):
-    assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.SQL)
 
 
 def test_entry(spark):

@@ -143,6 +143,58 @@ def test_dead_ends_stay(spark):
     assert {(r["i"], r["j"]) for r in rows} <= {(0, 1), (1, 1)}
 
 
+def test_stretches_of_a_hub_touch(spark):
+    """One node with most edges, over several ranges, and weights from 1e-6 to 1e6."""
+    rng = np.random.default_rng(8)
+    weights = {(0, j): float(10 ** rng.uniform(-6, 6)) for j in range(1, 900)} | {(i, 0): 1.0 for i in range(1, 40)} | {(3, 7): 0.0}
+    edges = spark.createDataFrame([(1, i, j, w) for (i, j), w in weights.items()], "party int, src long, dst long, w double").repartition(7)
+    rows = sorted((r["src"], r["dst"], r["low"], r["high"], r["total"], r["deg"]) for r in walks.cumulative_weights(edges).collect())
+    assert len(rows) == len(weights) - 1  # no stretch without weight
+    hub = [r for r in rows if r[0] == 0]
+    assert hub[0][2] == 0.0 and hub[-1][3] == hub[-1][4] and all(a[3] == b[2] for a, b in zip(hub, hub[1:]))
+    assert {r[5] for r in hub} == {899} and np.isclose(hub[-1][4], sum(w for (i, _), w in weights.items() if i == 0))
+    guide, _ = walks.walk_index(edges)
+    assert guide.count() <= 2 * len(weights)
+    walkers = spark.range(0, 40_000, 1, 4).select(F.lit(1).alias("party"), F.col("id").alias("draw"), F.lit(0).cast("long").alias("at"), F.lit(899).cast("long").alias("deg"), F.lit(0).alias("hits"))
+    ends = {r["at"]: r["count"] for r in walks.step(walkers, guide, "at", "deg", 5).groupBy("at").count().collect()}
+    total = sum(w for (i, _), w in weights.items() if i == 0)
+    assert sum(ends.values()) == 40_000 and 0 not in ends
+    for (i, j), w in weights.items():
+        if i == 0:
+            p = w / total
+            assert abs(ends.get(j, 0) / 40_000 - p) <= 6 * (p * (1 - p) / 40_000) ** 0.5 + 1 / 40_000
+
+
+def test_weighted_samples_tend_to_their_expectation(spark):
+    rng = np.random.default_rng(12)
+    own = {(i, int(j)): float(rng.integers(1, 20)) for i in range(9) for j in rng.integers(0, 9, 4) if i != j}
+    held = spark.createDataFrame([(i, j, 1, w) for (i, j), w in own.items()], "src long, dst long, party int, w double")
+    got = matrix.to_dense(walks.path_samples(held, window=3, per_edge=3000, workers=1, parties=1, weighted=True), 9)
+    a = held.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("v"))
+    want = matrix.to_dense(walks.expected_sparsifier(a, window=3, parties=1, start=a.withColumn("v", F.lit(1.0))), 9)
+    assert np.abs(got - want).sum() / want.sum() < 0.06
+    plain = matrix.to_dense(walks.expected_sparsifier(a.withColumn("v", F.lit(1.0)), window=3, parties=1), 9)
+    assert np.abs(got - plain).sum() / want.sum() > 0.1
+
+
+def test_walkers_at_dead_ends_spread(spark):
+    """No key of a step's exchange is null or shared by all that stay."""
+    held = spark.createDataFrame([(i, 1000, 1, 1.0) for i in range(5)], "src long, dst long, party int, w double")
+    guide, _ = walks.walk_index(held)
+    rows = spark.range(0, 4000, 1, 2).select(F.lit(1).alias("party"), F.col("id").alias("draw"), F.lit(1000).cast("long").alias("at"), F.expr("if(id < 0, id, null)").alias("deg"), F.lit(0).alias("hits"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        met = walks.step(rows, guide, "at", "deg", 3)
+        sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 1.3 * min(sizes)
+        assert met.filter("at = 1000 and hits = 0").count() == 4000
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def test_laplacian(ab):
     a, _, A, _ = ab
     assert np.allclose(matrix.to_dense(walks.laplacian(A), 12), np.diag(a.sum(0)) - a)
