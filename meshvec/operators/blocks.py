@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Sums of blocks that a task keeps before it sends the oldest on.
 KEPT = 64
+#: Blocks a side of a cell of a product's grid, and blocks of the inner index that one task takes.
+BAND, INNER = 8, 256
 DDL = "bi long, bj long, x array<double>"
 SCHEMA = pa.schema([("bi", pa.int64()), ("bj", pa.int64()), ("x", pa.list_(pa.float64()))])
 
@@ -76,8 +78,58 @@ def from_blocks(a: DataFrame, size: int, least: float = 0.0) -> DataFrame:
     return a.select("bi", "bj", "x").mapInArrow(run, "i long, j long, v double")
 
 
-def dot(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
-    """The product: blocks meet on the inner index, each pair is multiplied, and the products are added up by block, first inside each task."""
+def dot(a: DataFrame, b: DataFrame, size: int, *, band: int = BAND, inner: int = INNER) -> DataFrame:
+    """The product on a grid: a cell of it takes a band of block rows of a and a band of block columns of b, and multiplies inside.
+
+    A band is `band` blocks wide; the inner index is cut every `inner` blocks,
+    so a long one spreads over tasks as well. A block goes once to each cell that
+    has a partner for it, which the blocks' indices tell before any cells move:
+    with p bands a side about 2 n^2 p numbers go to tasks, not n^3 / size. A task
+    takes the blocks in the order of the inner index, so it holds one block
+    column of its band of a, one block of b and the band^2 sums of its cell.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = k = None
+        left: list[tuple[int, np.ndarray]] = []
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for t in batches:
+            data = _arrays(t.column(6), size * size)
+            for *key, at_k, side, at, x in zip(*(t.column(c).to_pylist() for c in range(6)), data, strict=True):
+                if key != cell:
+                    yield from (_batch([(*at_, s)]) for at_, s in sums.items())
+                    cell, k, sums = key, None, {}
+                if at_k != k:
+                    k, left = at_k, []
+                x = x.reshape(size, size)
+                if side == 0:
+                    left.append((at, np.array(x)))  # the batch's memory goes with the batch
+                    continue
+                for bi, y in left:
+                    if (bi, at) in sums:
+                        sums[bi, at] += y @ x
+                    else:
+                        sums[bi, at] = y @ x
+        yield from (_batch([(*at_, s)]) for at_, s in sums.items())
+
+    banded = lambda c, width: F.floor(F.col(c) / width).cast("long")
+    columns = b.select(F.col("bi").alias("k"), banded("bj", band).alias("gj")).distinct()
+    rows = a.select(F.col("bj").alias("k"), banded("bi", band).alias("gi")).distinct()
+    of_a = a.select(banded("bi", band).alias("gi"), F.col("bj").alias("k"), F.lit(0).alias("side"), F.col("bi").alias("at"), "x").join(columns, "k")
+    of_b = b.select(banded("bj", band).alias("gj"), F.col("bi").alias("k"), F.lit(1).alias("side"), F.col("bj").alias("at"), "x").join(rows, "k")
+    order = ["gi", "gj", "gk"]
+    met = of_a.select("gi", "gj", banded("k", inner).alias("gk"), "k", "side", "at", "x").unionByName(of_b.select("gi", "gj", banded("k", inner).alias("gk"), "k", "side", "at", "x"))
+    return summed(met.repartition(*order).sortWithinPartitions(*order, "k", "side", "at").mapInArrow(run, DDL), size * size)
+
+
+def dot_stored(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
+    """The product of two matrices that are stored in buckets of the inner index (a of bj, b of bi; see sources.blockstore).
+
+    They meet bucket by bucket without an exchange. Products are added up
+    inside each task, then by block. What goes to tasks is each pair of blocks,
+    so this suits operands with few blocks a bucket or few block rows; dot moves
+    less for large square ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def products() -> Iterator[tuple[int, int, np.ndarray]]:
@@ -88,9 +140,8 @@ def dot(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
 
         return _added(products())
 
-    left = a.select("bi", F.col("bj").alias("k"), F.col("x").alias("left"))
-    right = b.select(F.col("bi").alias("k"), "bj", F.col("x").alias("right"))
-    pairs = left.join(right, "k").select("bi", "bj", "left", "right")
+    left, right = a.alias("l"), b.alias("r")
+    pairs = left.join(right.hint("merge"), F.col("l.bj") == F.col("r.bi")).select(F.col("l.bi").alias("bi"), F.col("r.bj").alias("bj"), F.col("l.x").alias("left"), F.col("r.x").alias("right"))
     return summed(pairs.mapInArrow(run, DDL), size * size)
 
 
