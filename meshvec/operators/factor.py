@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from meshvec.functions.lineage import cut
 from meshvec.operators.masks import normal_panel
 
+#: Triangles that one reduces to the next level of a QR's tree, on the average, and that reach the driver at most.
+FAN = 16
+#: Directions smaller than this share of the largest are taken as dependent on the others.
+DEPENDENT = 1e-14
+
 
 def panel_dot(m: DataFrame, y: DataFrame, d: int, by: tuple[str, ...] = ()) -> DataFrame:
     """M Y: a join on the inner index and d sums for each row, combined map-side. by: keys of m to keep apart, such as the party."""
@@ -55,23 +60,54 @@ def map_rows(y: DataFrame, w: np.ndarray) -> DataFrame:
     return y.select("i", "y").mapInArrow(run, "i long, y array<double>")
 
 
-def inverse_root(g: np.ndarray) -> np.ndarray:
-    """W with W'GW = I: from Cholesky's factor, or, where G is singular, from its larger eigenvalues (then W is narrower)."""
-    try:
-        root = np.linalg.cholesky(g + 0.0)
-        if np.diag(root).min() > 1e-7 * np.diag(root).max():
-            return np.linalg.inv(root).T
-    except np.linalg.LinAlgError:
-        pass
-    values, vectors = np.linalg.eigh(g)
-    keep = values > 1e-12 * max(values.max(), 1e-300)
-    return vectors[:, keep] / np.sqrt(values[keep])
+def triangle(y: DataFrame, d: int) -> np.ndarray:
+    """The triangle R of Y's QR, by a tree of small ones: each task reduces its rows batch by batch, then groups of tasks reduce theirs, and FAN triangles reach the driver.
+
+    Householder's QR at every level keeps the accuracy of a QR of the whole
+    panel; Y'Y, whose condition is the square of Y's, is never formed.
+    """
+
+    def reduced(batches: Iterator[pa.RecordBatch], shape: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+        key, r = None, np.zeros((0, d))
+
+        def row() -> pa.RecordBatch:
+            full = np.zeros((d, d))
+            full[: len(r)] = r
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([full.ravel()], pa.list_(pa.float64()))], ["p", "r"])
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), *shape)
+            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist() if len(keys) else []
+            for start, end in zip(cuts, [*cuts[1:], len(keys)], strict=False):
+                if keys[start] != key:
+                    if key is not None:
+                        yield row()
+                    key, r = int(keys[start]), np.zeros((0, d))
+                r = np.linalg.qr(np.vstack([r, x[start:end].reshape(-1, d)]), mode="r")
+        if key is not None:
+            yield row()
+
+    level = y.select(F.spark_partition_id().alias("p"), "y").mapInArrow(lambda b: reduced(b, (d,)), "p int, r array<double>")
+    for groups in (FAN * FAN, FAN):
+        level = level.select(F.pmod("p", F.lit(groups)).alias("p"), "r").repartition("p").sortWithinPartitions("p").mapInArrow(lambda b: reduced(b, (d, d)), "p int, r array<double>")
+    found = [np.array(row["r"]).reshape(d, d) for row in level.collect()]
+    return np.linalg.qr(np.vstack([np.zeros((0, d)), *found]), mode="r") if found else np.zeros((0, d))
 
 
 def orthonormal(y: DataFrame, d: int) -> tuple[DataFrame, int]:
-    """An orthonormal basis of Y's columns and its width, by Gram-based QR done twice for accuracy."""
+    """An orthonormal basis of Y's columns and its width.
+
+    R comes from a tree of QRs, and Q is Y solved for it, row by row; doing that
+    twice makes Q'Q the identity to rounding for any condition that doubles can
+    tell from a singular one. Directions of less than DEPENDENT of the largest
+    are rounding errors of the others: they are dropped, and Q is narrower then,
+    where a dense QR would fill up with arbitrary directions.
+    """
     for _ in range(2):
-        w = inverse_root(gram(y, d))
+        _, size, axes = np.linalg.svd(triangle(y, d), full_matrices=False)
+        keep = size > DEPENDENT * max(size.max(initial=0.0), 1e-300)
+        w = axes[keep].T / size[keep]
         y, d = cut(map_rows(y, w)), w.shape[1]
     return y, d
 
@@ -102,9 +138,53 @@ def randomized_svd(m: DataFrame, d: int, *, rounds: int = 7, seed: int = 3, over
     bt = cut(panel_dot(turned, y, width))
     rows.unpersist()
     turned.unpersist()
-    values, vectors = np.linalg.eigh(gram(bt, width))
-    order = np.argsort(values)[::-1][:d]
-    return map_rows(y, vectors[:, order]), np.sqrt(np.maximum(values[order], 0))
+    _, values, axes = np.linalg.svd(triangle(bt, width), full_matrices=False)
+    return map_rows(y, axes[:d].T), values[:d]
+
+
+def svd_to_tolerance(m: DataFrame, d: int, *, tolerance: float = 1e-6, expansions: int = 2, oversample: int = 8, cycles: int = 50, seed: int = 3) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Left singular vectors, singular values and error bounds of the d leading directions, by block Lanczos with restarts until each bound is `tolerance` of the largest value.
+
+    A cycle expands a panel to the block Krylov space of MM' (`expansions` more
+    panels of its width), takes the best approximations in that space, and
+    starts again from them. With v = M'u / s, a singular value of M lies within
+    |Mv - su| / sqrt(2) of s: that bound is measured from panels, for what is
+    returned, and doesn't rest on how many rounds were made. After `cycles`
+    cycles what there is is returned with its bounds, larger ones then.
+    """
+    spark = m.sparkSession
+    cells = cut(m.select("i", "j", "v").filter("v != 0"))
+    if cells.isEmpty():
+        return cells.select("i", F.array().cast("array<double>").alias("y")), np.zeros(0), np.zeros(0)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cells.repartition(parts, "j").persist(StorageLevel.MEMORY_AND_DISK)
+    turned = cells.select(F.col("j").alias("i"), F.col("i").alias("j"), "v").repartition(parts, "j").persist(StorageLevel.MEMORY_AND_DISK)
+    nodes = cells.select(F.col("j").alias("node")).distinct()
+    width = min(d + oversample, max(1, nodes.count()))
+    q, width = orthonormal(cut(panel_dot(rows, normal_panel(nodes, width, seed), width)), width)
+    for _ in range(cycles):
+        wide, total, last, size = q, width, q, width
+        for _ in range(expansions):
+            z, size = orthonormal(cut(panel_dot(turned, last, size)), size)
+            last, size = orthonormal(cut(panel_dot(rows, z, size)), size)
+            wide = wide.join(last.withColumnRenamed("y", "more"), "i").select("i", F.concat("y", "more").alias("y"))
+            total += size
+        wide, total = orthonormal(cut(wide), total)
+        bt = cut(panel_dot(turned, wide, total))
+        _, values, axes = np.linalg.svd(triangle(bt, total), full_matrices=False)
+        kept = int((values[: d + oversample] > DEPENDENT * values[0]).sum())
+        values, axes = values[:kept], axes[:kept].T
+        q, width = cut(map_rows(wide, axes)), kept
+        mv = panel_dot(rows, map_rows(bt, axes / values), kept)
+        both = mv.select("i", F.col("y").alias("mv")).join(q, "i")
+        off = [F.sum((F.col("mv")[k] - F.lit(float(values[k])) * F.col("y")[k]) ** 2) for k in range(min(d, kept))]
+        bounds = np.sqrt(np.array(both.agg(*off).first(), float) / 2)
+        if bounds.max() <= tolerance * values[0]:
+            break
+    rows.unpersist()
+    turned.unpersist()
+    first = min(d, kept)
+    return map_rows(q, np.eye(kept, first)), values[:first], bounds
 
 
 def l2_normalize(panel: DataFrame) -> DataFrame:
@@ -113,9 +193,15 @@ def l2_normalize(panel: DataFrame) -> DataFrame:
     return panel.withColumn("n", norm).select("i", F.transform("y", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(F.lit(0.0))).alias("y"))
 
 
-def embedding(m: DataFrame, nodes: DataFrame, d: int, *, rounds: int = 7, seed: int = 3, normalize: bool = True) -> DataFrame:
-    """node, vec: left singular vectors times the roots of singular values; nodes without cells, and directions beyond the rank, get zeros."""
-    u, s = randomized_svd(m, d, rounds=rounds, seed=seed)
+def embedding(m: DataFrame, nodes: DataFrame, d: int, *, rounds: int = 7, seed: int = 3, normalize: bool = True, tolerance: float | None = None) -> DataFrame:
+    """node, vec: left singular vectors times the roots of singular values; nodes without cells, and directions beyond the rank, get zeros.
+
+    With a tolerance the factorization goes on until its error bounds meet it; else it makes `rounds` rounds.
+    """
+    if tolerance is None:
+        u, s = randomized_svd(m, d, rounds=rounds, seed=seed)
+    else:
+        u, s, _ = svd_to_tolerance(m, d, tolerance=tolerance, seed=seed)
     scaled = map_rows(u, np.eye(len(s), d) * np.sqrt(s)[:, None])
     scaled = l2_normalize(scaled) if normalize else scaled
     zeros = F.array(*[F.lit(0.0)] * d)

@@ -720,6 +720,14 @@ def singular_values(spark, sf_dir):
     return vals(spark.createDataFrame(list(enumerate(found)), "k long, value double"), "value")
 
 
+@query("SELECT CAST(k AS BIGINT) AS k, round(value, 6) AS value, true AS bounded FROM (SELECT row_number() OVER (ORDER BY count(*) DESC, c_nationkey) - 1 AS k, sqrt(count(*)) AS value FROM customer GROUP BY c_nationkey) WHERE k < 8")
+def singular_values_bounded(spark, sf_dir):
+    """The eight largest of the nations' values, which decay slowly: from panels of twelve, until the bounds are met."""
+    a = matrix.from_edges(graphs.customer_nations(spark, sf_dir))
+    _, s, bounds = factor.svd_to_tolerance(a, 8, tolerance=1e-8, oversample=4)
+    return vals(spark.createDataFrame([(k, float(x), bool(b <= 1e-8 * s[0])) for k, (x, b) in enumerate(zip(s, bounds, strict=True))], "k long, value double, bounded boolean"), "value")
+
+
 @query(f"WITH {STAR}, n AS (SELECT node, deg, vol FROM d CROSS JOIN vol WHERE node % 2 = 1) SELECT src AS node, round(sqrt(ln(vol / deg) / sqrt(deg)), 4) AS length FROM cn JOIN n ON dst = node UNION ALL SELECT node, round(sqrt(ln(vol / deg) * sqrt(deg)), 4) FROM n")
 def randomized_embedding(spark, sf_dir):
     """The lengths of the vectors of customers and nations from the order-1 proximity, which a star has in closed form."""

@@ -16,11 +16,11 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 
 
-def exact_embedding(edges: DataFrame, d: int, *, window: int = 1, negative: float = 1.0, rounds: int = 5, seed: int = 3) -> DataFrame:
+def exact_embedding(edges: DataFrame, d: int, *, window: int = 1, negative: float = 1.0, rounds: int = 5, seed: int = 3, tolerance: float | None = None) -> DataFrame:
     """node, vec from the exact proximity of the given window; edges: src, dst, w of all parties together."""
     kept = cut(edges)
     m = proximity.truncated_log(proximity.proximity(matrix.from_edges(kept), stats.in_degree(kept), stats.volume(kept, "sum_weights"), window=window, negative=negative))
-    return factor.embedding(m, nodes_of(kept), d, rounds=rounds, seed=seed, normalize=False)
+    return factor.embedding(m, nodes_of(kept), d, rounds=rounds, seed=seed, normalize=False, tolerance=tolerance)
 
 
 def sampled_embedding(

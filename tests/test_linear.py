@@ -216,6 +216,48 @@ def test_qr_and_svd(spark):
     assert width == 2 and np.allclose(factor.gram(q, 2), np.eye(2), atol=1e-8)
 
 
+@pytest.mark.parametrize("condition", [1e3, 1e12])
+def test_qr_of_an_ill_conditioned_panel(spark, condition):
+    rng = np.random.default_rng(6)
+    u, v = np.linalg.qr(rng.normal(size=(500, 12)))[0], np.linalg.qr(rng.normal(size=(12, 12)))[0]
+    a = u * np.geomspace(1, 1 / condition, 12) @ v.T
+    y = spark.createDataFrame([(i, [float(x) for x in a[i]]) for i in range(500)], "i long, y array<double>").repartition(9)
+    q, width = factor.orthonormal(y, 12)
+    dense = np.zeros((500, width))
+    for r in q.collect():
+        dense[r["i"]] = r["y"]
+    assert width == np.linalg.qr(a)[0].shape[1] == 12
+    assert np.abs(dense.T @ dense - np.eye(12)).max() < 1e-10
+    assert np.abs(a - dense @ (dense.T @ a)).max() < 1e-14
+    r = factor.triangle(y, 12)
+    assert np.allclose(np.linalg.svd(r)[1] * np.geomspace(1, condition, 12), 1, rtol=1e-3)
+
+
+def test_tree_of_qrs_with_few_rows_a_task(spark):
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=(40, 5))
+    y = spark.createDataFrame([(i, [float(x) for x in a[i]]) for i in range(40)], "i long, y array<double>").repartition(33)
+    r = factor.triangle(y, 5)
+    assert np.allclose(r.T @ r, a.T @ a)
+    assert factor.triangle(y.filter("i < 0"), 5).shape == (0, 5)
+
+
+def test_svd_to_a_tolerance(spark):
+    """A spectrum that decays slowly, which a fixed number of rounds misses."""
+    rng = np.random.default_rng(9)
+    u, v = np.linalg.qr(rng.normal(size=(90, 60)))[0], np.linalg.qr(rng.normal(size=(70, 60)))[0]
+    s = 1 / np.sqrt(1 + np.arange(60) / 20)
+    A = coordinates(spark, u * s @ v.T)
+    got, values, bounds = factor.svd_to_tolerance(A, 5, tolerance=1e-7, oversample=3)
+    assert np.abs(values - s[:5]).max() < 1e-6 and bounds.max() <= 1e-7 and (np.abs(values - s[:5]) <= bounds + 1e-12).all()
+    dense = np.zeros((90, 5))
+    for r in got.collect():
+        dense[r["i"]] = r["y"]
+    assert np.allclose(np.abs(np.sum(dense * u[:, :5], axis=0)), 1, atol=1e-5)
+    _, _, early = factor.svd_to_tolerance(A, 5, tolerance=1e-7, oversample=0, expansions=1, cycles=1)
+    assert early.max() > 1e-7  # what isn't reached is told
+
+
 def test_empty_matrix_embeds_to_zeros(spark):
     empty = spark.createDataFrame([], "i long, j long, v double")
     emb = factor.embedding(empty, spark.range(2).withColumnRenamed("id", "node"), 3)
