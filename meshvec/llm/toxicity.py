@@ -20,13 +20,13 @@ WORD = re.compile(r"[^\W\d_]+")
 HASH_BITS, PREFIXES = 27, (3, 4, 5)
 #: Labelled documents to learn from, at most.
 MAX_TRAIN = 20_000
-#: Hashed terms that the machine keeps for what they tell alone, at most, by their chi-squared value.
-MAX_TERMS, LEAST_CHI2 = 1024, 25.0
-#: Terms that are tried in pairs, at most: half of them the most telling, half the most evenly spread ones.
-PAIR_TERMS = 512
-#: Pairs whose terms the machine keeps, at most, by how much more chi-squared the two tell together than each for itself.
-MAX_PAIRS, LEAST_GAIN, LEAST_CELL = 256, 50.0, 10
-#: Documents that are counted at once.
+#: A term is kept for what it tells alone from this chi-squared value on.
+LEAST_CHI2 = 25.0
+#: A pair's terms are kept if the two tell so much more deviance together than each for itself and stand together in so many documents.
+LEAST_GAIN, LEAST_CELL = 40.0, 10
+#: Tasks that share the terms whose pairs are counted; terms, and meetings of terms, that one of them counts at once.
+PAIR_TASKS, CHUNK_TERMS, CHUNK_MEETINGS = 8, 128, 4 << 20
+#: Documents that are fitted at once.
 SLICE = 2048
 
 
@@ -76,35 +76,105 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def pair_gains(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For each two columns of a 0/1 matrix: chi-squared of the label against the four cells of the two, less that of each alone.
+def surprise(hit: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The largest log likelihood of so many hits among so many."""
+    hit, count = np.asarray(hit, float), np.asarray(count, float)
+    miss = count - hit
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(hit > 0, hit * np.log(hit / count), 0.0) + np.where(miss > 0, miss * np.log(miss / count), 0.0)
 
-    Cells of fewer than LEAST_CELL documents count nothing. It is about 0 for
-    columns that tell by themselves only, and large where the label depends on
-    both, however little either tells alone.
+
+def gain(both: np.ndarray, both_hit: np.ndarray, a: np.ndarray, a_hit: np.ndarray, b: np.ndarray, b_hit: np.ndarray, n: int, pos: int) -> np.ndarray:
+    """Deviance of the label by the four cells of two terms, less that by each alone.
+
+    It is about 0 for terms that tell by themselves only, and large where the
+    label depends on both, however little either tells alone.
+    """
+    cells = surprise(both_hit, both) + surprise(a_hit - both_hit, a - both) + surprise(b_hit - both_hit, b - both) + surprise(pos - a_hit - b_hit + both_hit, n - a - b + both)
+    alone = surprise(a_hit, a) + surprise(pos - a_hit, n - a) + surprise(b_hit, b) + surprise(pos - b_hit, n - b)
+    return 2 * (cells - alone + surprise(pos, n))
+
+
+def interacting(y: np.ndarray, flat: np.ndarray, sizes: np.ndarray, terms: int, part: int, parts: int) -> list[tuple[int, int, float]]:
+    """(a, b, gain) of interacting pairs, a being one of the part's terms (a % parts = part) and b a later one.
+
+    Documents are rows of the sparse matrix (flat, sizes), with the places of
+    their terms, which rise with the terms' frequency, in order. Every pair of
+    terms that a document has is counted, a chunk of terms a at a time; none is
+    left out. Of pairs that gain on the same documents the one with most stays:
+    going down by gain, a pair is kept if b still splits the documents of a that
+    no kept pair accounts for.
     """
-    n, pos = len(y), float(y.sum())
-    share = pos / n
-    both = np.zeros((x.shape[1], x.shape[1]), np.float32)  # whole numbers below 2^24, so exact
-    both_hits = np.zeros_like(both)
-    for at in range(0, n, SLICE):
-        part, toxic = x[at : at + SLICE].astype(np.float32), y[at : at + SLICE] == 1
-        both += part.T @ part
-        part = part[toxic]
-        both_hits += part.T @ part
-    seen, hits = both.diagonal(), both_hits.diagonal()
-
-    def chi2(count: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        return np.where(count >= LEAST_CELL, (hit - count * share) ** 2 / np.maximum(count * share * (1 - share), 1e-9), 0.0)
-
-    alone = chi2(seen, hits) + chi2(n - seen, pos - hits)
-    cells = chi2(both, both_hits) + chi2(seen[:, None] - both, hits[:, None] - both_hits) + chi2(seen[None, :] - both, hits[None, :] - both_hits)
-    cells += chi2(n - seen[:, None] - seen[None, :] + both, pos - hits[:, None] - hits[None, :] + both_hits)
-    return cells - alone[:, None] - alone[None, :]
+    n, pos = len(y), int(y.sum())
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    seen, hits = np.bincount(flat, minlength=terms), np.bincount(flat[y[row] == 1], minlength=terms)
+    starts = np.r_[0, np.cumsum(seen)]
+    found: list[np.ndarray] = []
+    own = np.arange(part, terms, parts)
+    later = ends[row[order]] - order - 1  # terms of the document behind each entry
+    meets = np.add.reduceat(np.r_[later, 0], starts[:-1])[own] if terms else np.zeros(0)
+    at = 0
+    while at < len(own):
+        room = np.searchsorted(np.cumsum(meets[at : at + CHUNK_TERMS]), CHUNK_MEETINGS) + 1
+        mine = own[at : at + min(room, CHUNK_TERMS)]
+        at += len(mine)
+        entries = np.concatenate([order[starts[a] : starts[a + 1]] for a in mine])
+        local = np.repeat(np.arange(len(mine)), seen[mine])
+        many = ends[row[entries]] - entries - 1
+        first = np.cumsum(many) - many
+        others = flat[np.arange(many.sum()) - np.repeat(first - entries - 1, many)]
+        keys = np.repeat(local, many) * terms + others
+        both = np.bincount(keys, minlength=len(mine) * terms)
+        both_hit = np.bincount(keys[np.repeat(y[row[entries]] == 1, many)], minlength=len(mine) * terms)
+        met = np.flatnonzero(both >= LEAST_CELL)
+        a, b = mine[met // terms], met % terms
+        g = gain(both[met], both_hit[met], seen[a], hits[a], seen[b], hits[b], n, pos)
+        good = g >= LEAST_GAIN
+        found.append(np.stack([a[good], b[good], g[good]], 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 3))
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0], -pairs[:, 2]))]
+    free, out = np.ones(n, bool), []
+    docs_of = lambda t: row[order[starts[t] : starts[t + 1]]]
+    for a, b, g in pairs.tolist():
+        left = docs_of(int(a))
+        left = left[free[left]]
+        if -2 * surprise(y[left].sum(), len(left)) < LEAST_GAIN:
+            continue
+        with_b = np.isin(left, docs_of(int(b)), assume_unique=True)
+        split = surprise(y[left][with_b].sum(), with_b.sum()) + surprise(y[left][~with_b].sum(), (~with_b).sum()) - surprise(y[left].sum(), len(left))
+        if 2 * split >= LEAST_GAIN:
+            out.append((int(a), int(b), g))
+            free[left] = False
+    return out
+
+
+def interactions(sample: DataFrame, place: dict[int, int]) -> DataFrame:
+    """a, b, gain of the interacting pairs of terms (by their places), counted in PAIR_TASKS tasks. A task holds the sample's documents with those of their terms that have a place."""
+    terms = len(place)
+
+    def screen(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        y, on = table["y"].to_numpy().astype(np.int64), table["on"].combine_chunks()
+        found = interacting(y, on.flatten().to_numpy(zero_copy_only=False).astype(np.int64), on.value_lengths().to_numpy(zero_copy_only=False), terms, table["part"][0].as_py(), PAIR_TASKS)
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int32()), "b": pa.array([x[1] for x in found], pa.int32()), "gain": pa.array([x[2] for x in found], pa.float64())})
+
+    copies = _placed(sample, place).withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(PAIR_TASKS)])))
+    return copies.groupBy("part").applyInArrow(screen, "a int, b int, gain double")
+
+
+def _placed(sample: DataFrame, place: dict[int, int]) -> DataFrame:
+    """id, y, on: the sorted places of each document's terms."""
+
+    def places(terms: pd.Series) -> pd.Series:
+        return terms.map(lambda ts: sorted({place[t] for t in ts.tolist() if t in place}))
+
+    return sample.select("id", "y", F.pandas_udf(places, "array<int>")("terms").alias("on"))
 
 
 def fit(x: np.ndarray, y: np.ndarray, *, factors: int = 8, rounds: int = 250, rate: float = 0.03, l2: float = 1e-3, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
-    """Full-batch Adam on the logistic loss; both classes weigh the same. x: 0/1 matrix, documents by terms."""
+    """Full-batch Adam on the logistic loss; both classes weigh the same. x: 0/1 matrix of bytes, documents by terms, read SLICE rows at a time."""
     rng = np.random.default_rng(seed)
     n, k = x.shape
     params = [np.zeros(1, np.float32), np.zeros(k, np.float32), rng.normal(0, 0.01, (k, factors)).astype(np.float32)]
@@ -113,11 +183,16 @@ def fit(x: np.ndarray, y: np.ndarray, *, factors: int = 8, rounds: int = 250, ra
     weight = np.where(y == 1, 0.5 / pos, 0.5 / max(1, n - pos)).astype(np.float32)
     for step in range(1, rounds + 1):
         b, w, v = params
-        xv = x @ v
-        z = b[0] + x @ w + 0.5 * ((xv**2).sum(1) - x @ (v**2).sum(1))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        gx = x.T @ g
-        grads = [np.array([g.sum()], np.float32), gx + l2 * w / k, x.T @ (g[:, None] * xv) - v * gx[:, None] + l2 * v / k]
+        total, gx, gv = 0.0, np.zeros(k, np.float32), np.zeros((k, factors), np.float32)
+        for at in range(0, n, SLICE):
+            part = x[at : at + SLICE].astype(np.float32)
+            xv = part @ v
+            z = b[0] + part @ w + 0.5 * ((xv**2).sum(1) - part @ (v**2).sum(1))
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at : at + SLICE]) * weight[at : at + SLICE]
+            total += float(g.sum())
+            gx += part.T @ g
+            gv += part.T @ (g[:, None] * xv)
+        grads = [np.array([total], np.float32), gx + l2 * w / k, gv - v * gx[:, None] + l2 * v / k]
         for p, grad, (m, s) in zip(params, grads, moments, strict=True):
             m += 0.1 * (grad - m)
             s += 0.001 * (grad**2 - s)
@@ -130,11 +205,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col:
 
     Terms are counted in Spark. The machine gets those that tell by themselves
     (chi-squared of LEAST_CHI2 or more), and those of pairs that tell together
-    what neither does alone, among the PAIR_TERMS most telling and most evenly
-    spread terms. The driver sees at most MAX_TERMS + PAIR_TERMS terms and, for
-    each of the at most max_train texts, which of them it has. Of rows with one
-    id, one is learned from. If one class is missing, the machine has no terms
-    and scores the share of toxic labels.
+    what neither does alone: all pairs are counted of terms that stand in
+    LEAST_CELL documents or more and whose own documents a perfect split could
+    gain LEAST_GAIN on. Neither terms nor pairs have a cap. What reaches the
+    driver follows max_train: the terms that may pair or tell, and, for each
+    text, which of the kept ones it has. Of rows with one id, one is learned
+    from. If one class is missing, the machine has no terms and scores the
+    share of toxic labels.
     """
     rows = labels.filter(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     picked = rows.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
@@ -152,35 +229,29 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, *, id_col:
     none = FactorizationMachine({}, float(np.log((pos + 1) / (n - pos + 1))), np.zeros(0), np.zeros((0, 1)))
     if pos in (0, n):
         return none
+    # documents whose terms are all the same, and whose label is, tell a pair nothing more than one of them does
+    once = sample.groupBy("y", "terms").agg(F.min("id").alias("id"))
     counts = sample.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("all"), F.sum("y").alias("hit"))
     a, b = F.col("hit").cast("double"), (F.col("all") - F.col("hit")).cast("double")
     c, d = F.lit(float(pos)) - a, F.lit(float(n - pos)) - b
     chi2 = F.lit(float(n)) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * F.lit(float(pos)) * F.lit(float(n - pos)))
-    known = counts.filter((c + d > 0) & (F.col("all") >= 3)).withColumns({"chi2": chi2, "spread": F.least("all", F.lit(n) - F.col("all"))})
-    telling = [r["t"] for r in known.filter(F.col("chi2") >= LEAST_CHI2).filter("hit >= 3").orderBy(F.desc("chi2"), "t").limit(MAX_TERMS).select("t").collect()]
-    tried = telling[: PAIR_TERMS // 2]
-    spread = known.filter(F.col("spread") >= LEAST_CELL).orderBy(F.desc("spread"), "t").limit(PAIR_TERMS)
-    even = [r["t"] for r in spread.select("t").collect() if r["t"] not in set(tried)]
-    tried += even[: PAIR_TERMS - len(tried)]
-    place = {t: i for i, t in enumerate(dict.fromkeys([*tried, *telling]))}
-
-    def places(terms: pd.Series) -> pd.Series:
-        return terms.map(lambda ts: [place[t] for t in ts.tolist() if t in place])
-
-    kept = sample.select("id", "y", F.pandas_udf(places, "array<int>")("terms").alias("on")).toArrow().sort_by("id")
+    impure = -2 * sum((F.when(x > 0, x * F.log(x / (a + b))).otherwise(0.0) for x in (a, b)), F.lit(0.0))
+    pairs = (F.col("all") >= LEAST_CELL) & (F.lit(n) - F.col("all") >= LEAST_CELL) & (impure >= LEAST_GAIN)
+    told = counts.filter(F.col("all") >= 3).select("t", "all", ((c + d > 0) & (F.col("hit") >= 3) & (chi2 >= LEAST_CHI2)).alias("tells"), pairs.alias("pairs"))
+    known = told.filter("tells or pairs").orderBy("all", "t").toArrow()
+    names, tells, tried = (known[x].to_numpy(zero_copy_only=False) for x in ("t", "tells", "pairs"))
+    found = interactions(once, {int(t): i for i, t in enumerate(names[tried])}).toArrow()
+    paired = names[tried][np.unique(np.r_[found["a"].to_numpy(), found["b"].to_numpy()])]
+    chosen = np.unique(np.r_[names[tells], paired]).tolist()
+    if not chosen:
+        return none
+    kept = _placed(sample, {int(t): i for i, t in enumerate(chosen)}).toArrow().sort_by("id")
     y, on = kept["y"].to_numpy().astype(np.float32), kept["on"].combine_chunks()
-    x = np.zeros((len(y), len(place)), np.uint8)  # a byte for each document and term
+    x = np.zeros((len(y), len(chosen)), np.uint8)  # a byte for each document and term
     x[np.repeat(np.arange(len(y)), on.value_lengths().to_numpy(zero_copy_only=False)), on.flatten().to_numpy(zero_copy_only=False)] = 1
     del kept, on
-    gains = np.triu(pair_gains(x[:, : len(tried)], y), 1)
-    best = np.argsort(-gains, axis=None, kind="stable")[:MAX_PAIRS]
-    paired = {i for at in best if gains.flat[at] >= LEAST_GAIN for i in divmod(int(at), len(tried))}
-    names = list(place)
-    chosen = sorted({place[t] for t in telling} | paired)
-    if not chosen:
-        return none
-    bias, weights, factors = fit(x[:, chosen].astype(np.float32), y)
-    return FactorizationMachine({names[i]: k for k, i in enumerate(chosen)}, bias, weights, factors)
+    bias, weights, factors = fit(x, y)
+    return FactorizationMachine({int(t): k for k, t in enumerate(chosen)}, bias, weights, factors)
 
 
 def toxicity(text: Column, model: FactorizationMachine) -> Column:

@@ -49,6 +49,48 @@ def test_pairs_are_learned_from_texts(spark):
     assert ((got >= 0.5) == np.array([y for i, _, y in rows if i >= 1500])).mean() > 0.95
 
 
+def test_rare_insult_meets_its_group(spark):
+    """An insult in 6 % of the texts, a group's name in 30 %: with the insult the label is whether the group is named, without it chance."""
+    rng = random.Random(4)
+    words = ["w" + "".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    rows = []
+    for i in range(6000):
+        text, insult, group = rng.choices(words, k=150), rng.random() < 0.06, rng.random() < 0.3
+        text[3] = "zuttel" if insult else text[3]
+        text[70] = "quorvan" if group else text[70]
+        rows.append((i, " ".join(text), insult, int(group) if insult else int(rng.random() < 0.3)))
+    d = docs(spark, [(i, t) for i, t, _, _ in rows])
+    model = toxicity.train_toxicity(d, spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int"), F.col("doc_id") < 4000)
+    held = [(t, y) for i, t, insult, y in rows if insult and i >= 4000]
+    got = model.scores([t for t, _ in held])
+    assert len(held) > 80 and ((got >= 0.5) == np.array([y for _, y in held])).mean() > 0.95
+
+
+def test_interacting_pairs_equal_all_pairs(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK_TERMS", 3)
+    monkeypatch.setattr(toxicity, "CHUNK_MEETINGS", 500)
+    rng = np.random.default_rng(3)
+    x = rng.random((600, 20)) < rng.uniform(0.05, 0.6, 20)
+    y = (rng.random(600) < 0.2).astype(np.int64)
+    both = x[:, 4] & x[:, 9]
+    y[both] = 1
+    x = x[:, np.argsort(x.sum(0), kind="stable")]
+    flat, sizes = np.nonzero(x)[1], x.sum(1)
+    want = {}
+    for a in range(20):
+        for b in range(a + 1, 20):
+            together = x[:, a] & x[:, b]
+            g = toxicity.gain(together.sum(), y[together].sum(), x[:, a].sum(), y[x[:, a]].sum(), x[:, b].sum(), y[x[:, b]].sum(), 600, y.sum())
+            if together.sum() >= toxicity.LEAST_CELL and g >= toxicity.LEAST_GAIN:
+                want[a, b] = float(g)
+    got = {(a, b): g for part in range(3) for a, b, g in toxicity.interacting(y, flat, sizes, 20, part, 3)}
+    assert got and set(got) <= set(want) and all(abs(g - want[k]) < 1e-6 for k, g in got.items())
+    for part in range(3):  # the largest gain of each part stays
+        own = {k: g for k, g in want.items() if k[0] % 3 == part}
+        assert not own or max(own, key=own.get) in got
+    assert toxicity.interacting(y, np.zeros(0, np.int64), np.zeros(600, np.int64), 0, 0, 1) == []
+
+
 def test_scores_equal_the_double_sum():
     rng = np.random.default_rng(4)
     words = [f"word{c}" for c in "abcdefgh"]
