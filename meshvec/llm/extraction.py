@@ -28,8 +28,12 @@ COMMENTS = frozenset("comment comments commentlist disqus replies reply respond"
 WORDS = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 #: Boxes that stand beside the article if they are lists of links, from so many links on.
 LIST_TAGS, LEAST_LINKS = frozenset("div section ul ol dl table center".split()), 3
-#: Characters that an element needs to prevail over its name.
+#: Names of BESIDE that an article's box may bear, too: such a box prevails by its share of the page alone, others from so many characters on.
+DOUBTFUL = frozenset("alert copyright disclaimer header hidden legal masthead notice notices register registers related replies search social topbar widget widgets".split())
 LEAST_PREVAILING = 250
+#: Words of headings and names that announce links to something else.
+ELSEWHERE = frozenset("archive archives categories category follow latest links more navigation news next other popular previous read recent recommended related share sponsored stories story tags topics trending".split())
+PROSE_TAGS = frozenset("p pre blockquote".split())
 #: Points by which containers start.
 START = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "th": -5.0}
 
@@ -45,12 +49,13 @@ def beside(node: Node, total: int) -> bool:
 
     By its tag or role alone, menus, forms and the like do. A name that only
     says so (cookie-notice, ad-slot-2) counts unless the element holds more
-    than half of the page's text, and some of it (LEAST_PREVAILING), that is no
-    links: then it is what the page is about, or a wrapper of that. A word of a longer name (related-work,
+    than half of the page's text that is no links, and, if its name can't be an
+    article's, LEAST_PREVAILING characters: then it is what the page is about,
+    or a wrapper of that. A word of a longer name (related-work,
     hidden-markov-models) counts for boxes whose text is links for the most
     part; headings, paragraphs, items and inline elements stay, and their ids,
     which are slugs of their texts, are not looked at. Boxes that are lists of
-    links stand beside whatever their names are.
+    links stand beside, unless they are a part of prose (see in_prose).
     """
     return by_kind(node) or named_beside(node, total) or link_list(node)
 
@@ -85,14 +90,69 @@ def named_beside(node: Node, total: int) -> bool:
         return any(named(c, BESIDE) for c in classes)
     section = node.tag == "section" or "section" in classes
     if any(named(c, BESIDE) for c in (classes if section else [*classes, ident])):
-        return linked(node) or node.share[0] < LEAST_PREVAILING or 2 * node.share[0] <= total
+        sure = any(w.lower() in BESIDE - DOUBTFUL for c in (classes if section else [*classes, ident]) if named(c, BESIDE) for w in WORDS.findall(c))
+        return linked(node) or 2 * node.share[0] <= total or sure and node.share[0] < LEAST_PREVAILING
     words = {w.lower() for w in WORDS.findall(f"{a.get('class', '')} {ident}")}
     return bool(words & BESIDE) and linked(node)
 
 
 def link_list(node: Node) -> bool:
     """Is a box made of LEAST_LINKS links or more, which hold half of its text or more?"""
-    return node.tag in LIST_TAGS and linked(node) and node.share[2] >= LEAST_LINKS
+    return node.tag in LIST_TAGS and linked(node) and node.share[2] >= LEAST_LINKS and not in_prose(node)
+
+
+def prose(x: Node | str) -> bool:
+    """Is this a paragraph, or the like, that is no links for the most part?"""
+    return not isinstance(x, str) and x.tag in PROSE_TAGS and x.share is not None and not linked(x)
+
+
+def announced(heading: Node) -> bool:
+    """Does a heading not say that something else follows?"""
+    words, todo = [], [heading]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            words += WORDS.findall(x)
+        else:
+            todo += x.children
+    return not {w.lower() for w in words} & ELSEWHERE
+
+
+def beside_prose(node: Node) -> bool:
+    """Does a paragraph stand beside an element, in the same box? Asked once for each box, as boxes may have very many lists."""
+    up = node.parent
+    if up.prose is None:
+        up.prose = any(prose(x) for x in up.children)
+    return up.prose
+
+
+def in_prose(node: Node) -> bool:
+    """Is a list of links a part of the article, such as its references?
+
+    It is if no name of it says that it leads elsewhere, and a heading that
+    doesn't say so either stands before it, or, in a section of its own, as its
+    first element, and paragraphs stand beside it or its section; or if a
+    paragraph comes right before it and another right after it.
+    """
+    up = node.parent
+    if up is None or named_elsewhere(node):
+        return False
+    if node.tag in ("div", "section"):
+        first = next((x for x in node.children if not isinstance(x, str) or x.strip()), None)
+        return beside_prose(node) and isinstance(first, Node) and first.tag in HEADINGS and announced(first)
+    before, after = node.before, node.after
+    if before is None:
+        return False
+    if before.tag in HEADINGS and announced(before):
+        return beside_prose(node) or up.tag in ("div", "section") and up.parent is not None and not named_elsewhere(up) and beside_prose(up)
+    return prose(before) and after is not None and prose(after)
+
+
+def named_elsewhere(node: Node) -> bool:
+    if not node.attrs.strip():
+        return False
+    a = node.attributes()
+    return bool({w.lower() for w in WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")} & (ELSEWHERE | BESIDE))
 
 
 def measure(root: Node) -> None:
@@ -106,6 +166,10 @@ def measure(root: Node) -> None:
             node.share[0] += len(child) - child.count(" ")
         elif child is not None:
             child.share = [0, 0, 0]
+            child.before = node.last
+            if child.before is not None:
+                child.before.after = child
+            node.last = child
             if not by_kind(child):
                 stack.append((child, iter(child.children)))
         else:
@@ -165,11 +229,29 @@ def scored(root: Node) -> dict[Node, float]:
     return {x: (p + START.get(x.tag, 0.0)) * (1 - x.share[1] / max(1, x.share[0])) for x, p in got.items()}
 
 
+def _with_others(article: Node) -> Node:
+    """The article, or the main element around it if that holds another one."""
+    up = article.parent
+    while up is not None and up.tag != "main":
+        up = up.parent
+    todo = [] if up is None or article.tag == "main" else list(up.children)
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or x is article or x.apart:
+            continue
+        if x.tag == "article" and not linked(x):
+            return up
+        todo += x.children
+    return article
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the best container and its siblings, one a line; empty if a page has none.
 
     An article or main element around the best container is taken whole, but
-    for what stands beside the article inside it.
+    for what stands beside the article inside it. If a main element holds
+    further articles, all of it is taken, so they come in page order; articles
+    that are links for the most part, such as teasers, don't count there.
     """
     if not html:
         return ""
@@ -183,8 +265,7 @@ def main_text(html: str | None) -> str:
     while x is not None and x.tag not in ("article", "main"):
         x = x.parent
     if x is not None:
-        # the article that holds the best container; a best container around several articles stays as it is
-        return "\n".join(blocks(x, apart))
+        return "\n".join(blocks(_with_others(x), apart))
     if best.parent is None or best.tag in ("body", "html"):
         return "\n".join(blocks(best, apart))
     out: list[str] = []

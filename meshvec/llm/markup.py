@@ -23,12 +23,13 @@ RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in R
 
 
 class Node:
-    """An element; holds: an article or main element lies below it; share: characters and those in links, once counted; apart: what a caller found out about it."""
+    """An element; holds: an article or main element lies below it; share: characters and those in links, once counted; apart: what a caller found out about it; before, after, last, prose: its neighbours, its last child so far, and whether paragraphs stand in it, for callers that fill them."""
 
-    __slots__ = ("tag", "attrs", "parent", "children", "holds", "share", "apart")
+    __slots__ = ("tag", "attrs", "parent", "children", "holds", "share", "apart", "before", "after", "last", "prose")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent, self.children, self.holds, self.share, self.apart = tag, attrs, parent, [], False, None, None
+        self.before = self.after = self.last = self.prose = None
         if tag in ("article", "main"):
             while parent is not None and not parent.holds:
                 parent.holds = True

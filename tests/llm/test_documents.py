@@ -420,6 +420,55 @@ def test_names_do_not_lose_what_prevails():
     assert extraction.main_text(PAGE % f'<div class="post">{text}</div><div class="comments">{text * 3}</div>') == want
 
 
+LINKS = "<ul><li><a href=/1>A first title, 1999</a><li><a href=/2>A second title</a><li><a href=/3>A third title</a></ul>"
+TITLES = "A first title, 1999\nA second title\nA third title"
+TEXT = "<p>Paragraph one, with words, and more words in it.</p><p>Paragraph two, with words, and more words in it.</p>"
+LINES = "Paragraph one, with words, and more words in it.\nParagraph two, with words, and more words in it."
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", "<div class=post>%s</div>", "<main><article>%s</article></main>"])
+@pytest.mark.parametrize(
+    "more, want",
+    [
+        (f"<h2>References</h2>{LINKS}", f"\nReferences\n{TITLES}"),
+        (f"<section><h2>References</h2>{LINKS}</section>", f"\nReferences\n{TITLES}"),
+        (f"<div id=refs><h3>Sources</h3>{LINKS}</div>", f"\nSources\n{TITLES}"),
+        (f"{LINKS}<p>And, after that, prose goes on.</p>", f"\n{TITLES}\nAnd, after that, prose goes on."),
+        (LINKS, ""),
+        (f"<div class=more-stories><h2>References</h2>{LINKS}</div>", ""),
+        (f"<div>{LINKS}</div>", ""),
+    ],
+)
+def test_lists_of_links_in_prose_stay(wrap, more, want):
+    assert extraction.main_text(PAGE % (wrap % (TEXT + more))) == LINES + want
+
+
+def test_lists_that_lead_elsewhere_go():
+    for heading in ("Related stories", "More from us", "Latest news"):
+        assert extraction.main_text(f"<article>{TEXT}<section><h2>{heading}</h2>{LINKS}</section></article>") == LINES
+        got = extraction.main_text(f"<article>{TEXT}<h2>{heading}</h2>{LINKS}</article>")
+        assert TITLES not in got and got.startswith(LINES)
+
+
+@pytest.mark.parametrize("name", ["notice", "legal", "search-content", "register"])
+def test_short_page_in_a_box_with_a_doubtful_name(name):
+    assert extraction.main_text(f'<html><body><div class="{name}"><p>Short text, the only one.</p></div></body></html>') == "Short text, the only one."
+    assert extraction.main_text(f'<html><body><div class="{name}"><p>Short, one.</p></div>{TEXT}</body></html>') == LINES
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "ad-slot-2", "comments", "newsletter"])
+def test_page_of_nothing_but_what_stands_beside_is_empty(name):
+    assert extraction.main_text(f'<html><body><nav><a href=x>m</a></nav><div class="{name}"><p>Short text, the only one.</p></div></body></html>') == ""
+
+
+def test_several_articles_in_main():
+    two = f"<article>{TEXT}</article><article><p>Another one, shorter.</p></article>"
+    assert extraction.main_text(f"<main>{two}</main>") == f"{LINES}\nAnother one, shorter."
+    assert extraction.main_text(f"<main><div>{two}</div></main>") == f"{LINES}\nAnother one, shorter."
+    assert extraction.main_text(f"<main><article>{TEXT}</article><article><a href=x>A teaser, linked</a></article></main>") == LINES
+    assert extraction.main_text(f'<main><article>{TEXT}</article><article class="comment"><p>A comment, this.</p></article></main>') == LINES
+
+
 def test_deep_nesting_and_size():
     assert extraction.main_text("<div>" * 5000 + "<p>deep, text</p>") == "deep, text"
     assert len(extraction.main_text("<article>" + "<p>word, word</p>" * 50_000 + "</article>").split("\n")) == 50_000
