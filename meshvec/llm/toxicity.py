@@ -25,7 +25,7 @@ LEAST_CHI2 = 25.0
 #: A pair's terms are kept if the two tell so much more deviance together than each for itself and stand together in so many documents.
 LEAST_GAIN, LEAST_CELL = 40.0, 10
 #: Tasks that share the terms whose pairs are counted; terms, and meetings of terms, that one of them counts at once.
-PAIR_TASKS, CHUNK_TERMS, CHUNK_MEETINGS = 8, 128, 4 << 20
+PAIR_TASKS, CHUNK_TERMS, CHUNK_MEETINGS = 8, 64, 1 << 20
 #: Documents that are fitted at once.
 SLICE = 2048
 
@@ -106,15 +106,18 @@ def interacting(y: np.ndarray, flat: np.ndarray, sizes: np.ndarray, terms: int,
     no kept pair accounts for.
     """
     n, pos = len(y), int(y.sum())
-    ends = np.cumsum(sizes)
-    row = np.repeat(np.arange(n), sizes)
-    order = np.argsort(flat, kind="stable")
-    seen, hits = np.bincount(flat, minlength=terms), np.bincount(flat[y[row] == 1], minlength=terms)
+    ends = np.cumsum(sizes).astype(np.int32)
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    order = np.argsort(flat, kind="stable").astype(np.int32)
+    seen, hits = np.bincount(flat, minlength=terms), np.bincount(flat[(y == 1)[row]], minlength=terms)
     starts = np.r_[0, np.cumsum(seen)]
+    meets = np.zeros(terms)  # how many terms stand behind each one in its documents
+    for at in range(0, len(flat), CHUNK_MEETINGS):
+        some = slice(at, at + CHUNK_MEETINGS)
+        meets += np.bincount(flat[some], weights=ends[row[some]] - 1 - np.arange(at, at + len(flat[some])), minlength=terms)
     found: list[np.ndarray] = []
     own = np.arange(part, terms, parts)
-    later = ends[row[order]] - order - 1  # terms of the document behind each entry
-    meets = np.add.reduceat(np.r_[later, 0], starts[:-1])[own] if terms else np.zeros(0)
+    meets = meets[own]
     at = 0
     while at < len(own):
         room = np.searchsorted(np.cumsum(meets[at : at + CHUNK_TERMS]), CHUNK_MEETINGS) + 1
@@ -125,7 +128,7 @@ def interacting(y: np.ndarray, flat: np.ndarray, sizes: np.ndarray, terms: int,
         many = ends[row[entries]] - entries - 1
         first = np.cumsum(many) - many
         others = flat[np.arange(many.sum()) - np.repeat(first - entries - 1, many)]
-        keys = np.repeat(local, many) * terms + others
+        keys = np.repeat(local * terms, many) + others
         both = np.bincount(keys, minlength=len(mine) * terms)
         both_hit = np.bincount(keys[np.repeat(y[row[entries]] == 1, many)], minlength=len(mine) * terms)
         met = np.flatnonzero(both >= LEAST_CELL)
@@ -155,9 +158,8 @@ def interactions(sample: DataFrame, place: dict[int, int]) -> DataFrame:
     terms = len(place)
 
     def screen(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        y, on = table["y"].to_numpy().astype(np.int64), table["on"].combine_chunks()
-        found = interacting(y, on.flatten().to_numpy(zero_copy_only=False).astype(np.int64), on.value_lengths().to_numpy(zero_copy_only=False), terms, table["part"][0].as_py(), PAIR_TASKS)
+        y, part, on = table["y"].to_numpy(), table["part"][0].as_py(), table["on"].combine_chunks()
+        found = interacting(y, on.flatten().to_numpy(zero_copy_only=False), on.value_lengths().to_numpy(zero_copy_only=False), terms, part, PAIR_TASKS)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int32()), "b": pa.array([x[1] for x in found], pa.int32()), "gain": pa.array([x[2] for x in found], pa.float64())})
 
     copies = _placed(sample, place).withColumn("part", F.explode(F.array(*[F.lit(k) for k in range(PAIR_TASKS)])))
