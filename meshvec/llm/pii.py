@@ -119,73 +119,118 @@ def _entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
 
 
-def _features(s: str, tokens: list[str], i: int, j: int, named: bool) -> np.ndarray:
-    f = np.zeros(N_FEATURES)
-    d = _digits(s)
-    before, after = tokens[i - 1] if i else " ", tokens[j] if j < len(tokens) else " "
-    mail = AT_DOMAIN.search(s) if "@" in s else None
-    f[0] = 1
-    f[1] = bool(mail) and mail.end() == len(s) and mail.start() > 0 and all(c in LOCAL for c in s[: mail.start()])
-    f[2] = s.count(".") == 3 and len(d) == len(s) - 3 and list(ips(s)) == [(0, len(s))]
-    f[3] = bool(CARD.fullmatch(s)) and 13 <= len(d) <= 19 and luhn(d)
-    f[4] = s[0] == "+" and bool(PHONE.fullmatch(s)) and 9 <= len(d) <= 15
-    f[5] = f[4] and len(d) == 11
-    f[6] = f[3] and len(d) == 16
-    f[7] = (j - i) / MOST_TOKENS
-    f[8] = len(d) / len(s)
-    f[9] = len(s) >= 8 and 0 < len(d) < len(s) and bool(re.fullmatch(r"[A-Za-z0-9_]+", s))
-    f[10] = f[9] and _entropy(s) > 2.5
-    f[11] = named
-    f[12] = named and f[9]
-    f[13] = before[-1:].isspace() or before in "\"'=:(<[,;"
-    f[14] = after[:1].isspace() or after in "\"'),.;>]"
-    f[15] = before[-1:] in "._%+-@" and not before.isspace()
-    f[16] = after[:1] in "._-@" and not after.isspace()
-    f[17] = j - i == 1
-    f[18] = any(t.isspace() for t in tokens[i:j])
-    f[19] = bool(before) and before[-1:].isalnum() or after[:1].isalnum()
-    return f
-
-
-def columns(text: str, a: int, b: int) -> Iterator[tuple[int, tuple[bool, ...], list[tuple[int, np.ndarray]]]]:
-    """For each token of a window: its end, its outside features, and the candidate segments that end with it, as (first token, features).
-
-    Only the last MOST_TOKENS tokens and the two beside them are held.
+#: Bits of the features that are there or not; features 7 and 8 are numbers.
+ALWAYS, MAIL, ADDRESS, CARD_NUMBER, PHONE_NUMBER, PHONE_11, CARD_16 = (1 << i for i in range(7))
+MIXED, DENSE, NAMED, NAMED_MIXED, BEFORE_OPENS, AFTER_CLOSES, BEFORE_JOINS, AFTER_JOINS, SINGLE, SPACED, TOUCHING = (1 << i for i in range(9, 20))
+WORD_ONLY = re.compile(r"[A-Za-z0-9_]+")
+
+
+@dataclass(slots=True)
+class Held:
+    """A token and what candidate segments ask of it, found once: digits, dots, whether it may begin one or tells, and what its end is to a segment behind it."""
+
+    text: str
+    start: int
+    named: bool
+    begins: bool
+    tells: bool
+    digits: int
+    dots: int
+    space: bool
+    line: bool
+    beside: int
+
+
+def _behind(t: str) -> int:
+    """The features that a token gives to a segment that begins right after it."""
+    end = t[-1]
+    return (BEFORE_OPENS if end.isspace() or t in "\"'=:(<[,;" else 0) | (BEFORE_JOINS if end in "._%+-@" else 0) | (TOUCHING if end.isalnum() else 0)
+
+
+def _ahead(t: str) -> int:
+    """The features that a token gives to a segment that ends right before it."""
+    first = t[0]
+    return (AFTER_CLOSES if first.isspace() or t in "\"'),.;>]" else 0) | (AFTER_JOINS if first in "._-@" else 0) | (TOUCHING if first.isalnum() else 0)
+
+
+def _shape(s: str, digits: int, dots: int, at: bool, single: bool) -> int:
+    """The features of a segment's own text, patterns being asked only where counts leave room for them."""
+    bits, n = 0, len(s)
+    if at and (mail := AT_DOMAIN.search(s)) and mail.end() == n and mail.start() > 0 and all(c in LOCAL for c in s[: mail.start()]):
+        bits |= MAIL
+    if dots == 3 and digits == n - 3 and list(ips(s)) == [(0, n)]:
+        bits |= ADDRESS
+    if 13 <= digits <= 19 and CARD.fullmatch(s) and luhn(_digits(s)):
+        bits |= CARD_NUMBER | (CARD_16 if digits == 16 else 0)
+    if 9 <= digits <= 15 and s[0] == "+" and PHONE.fullmatch(s):
+        bits |= PHONE_NUMBER | (PHONE_11 if digits == 11 else 0)
+    if single and n >= 8 and 0 < digits < n and WORD_ONLY.fullmatch(s):
+        bits |= MIXED | (DENSE if _entropy(s) > 2.5 else 0)
+    return bits
+
+
+#: A candidate segment: first token, bits, share of MOST_TOKENS, share of digits.
+Segment = tuple[int, int, float, float]
+
+
+def columns(text: str, a: int, b: int) -> Iterator[tuple[int, tuple[bool, ...], list[Segment]]]:
+    """For each token of a window: its end, its outside features, and the candidate segments that end with it.
+
+    Only the last MOST_TOKENS tokens and the two beside them are held. Counts
+    grow as a segment is drawn back token by token, so a candidate costs the
+    same however long it is, but for the patterns that its counts leave room for.
     """
-    held: deque[tuple[str, int, bool, bool, bool]] = deque(maxlen=MOST_TOKENS + 2)  # token, start, named, may begin, is telling
+    held: deque[Held] = deque(maxlen=MOST_TOKENS + 2)
     last, n = 99, 0
 
-    def ending(after: list[str]) -> list[tuple[int, np.ndarray]]:
-        found: list[tuple[int, np.ndarray]] = []
-        u, at = held[-1][:2]
-        if u.isspace() or not (u[-1].isalnum() or u[-1] in "_-"):
+    def ending(after: str) -> list[Segment]:
+        found: list[Segment] = []
+        u = held[-1]
+        if u.space or not (u.text[-1].isalnum() or u.text[-1] in "_-"):
             return found
-        telling, m = False, len(held)
-        tokens = [h[0] for h in held] + after
+        telling = at = spaced = False
+        m, digits, dots, end, ahead = len(held), 0, 0, u.start + len(u.text), _ahead(after)
         for back in range(1, min(m, MOST_TOKENS) + 1):
-            t, start, named, begins, tells = held[m - back]
-            if "\n" in t:
+            h = held[m - back]
+            if h.line:
                 break
-            telling = telling or tells
-            if telling and begins and at + len(u) - start >= 6:
-                found.append((n - back, _features(text[start : at + len(u)], tokens, m - back, m, named)))
+            digits, dots = digits + h.digits, dots + h.dots
+            telling, at, spaced = telling or h.tells, at or h.text == "@", spaced or h.space
+            if telling and h.begins and end - h.start >= 6:
+                s = text[h.start : end]
+                bits = ALWAYS | ahead | (held[m - back - 1].beside if back < m else BEFORE_OPENS) | _shape(s, digits, dots, at, back == 1)
+                if h.named:
+                    bits |= NAMED | (NAMED_MIXED if bits & MIXED else 0)
+                bits |= (SINGLE if back == 1 else 0) | (SPACED if spaced else 0)
+                found.append((n - back, bits, back / MOST_TOKENS, digits / len(s)))
         return found[::-1]
 
-    def column(after: list[str]) -> tuple[int, tuple[bool, ...], list[tuple[int, np.ndarray]]]:
-        t, start, _, _, tells = held[-1]
-        return start + len(t), (True, not t.isspace(), t == "@", tells and t != "@"), ending(after)
+    def column(after: str) -> tuple[int, tuple[bool, ...], list[Segment]]:
+        h = held[-1]
+        return h.start + len(h.text), (True, not h.space, h.text == "@", h.tells and h.text != "@"), ending(after)
 
     for match in TOKEN.finditer(text, a, b):
         t = match.group()
         if held:
-            yield column([t])
-        solid, sign = not t.isspace(), t in "=:\"'"
+            yield column(t)
+        space, sign = t.isspace(), t in "=:\"'"
+        digits = len(_digits(t))
         # named: a word for a secret stands just before the token, but for a sign or quote
-        held.append((t, match.start(), last <= 2, solid and t[0].isascii() and (t[0].isalnum() or t[0] in "+_.%-("), t == "@" or bool(HAS_DIGIT.search(t))))
+        begins = not space and t[0].isascii() and (t[0].isalnum() or t[0] in "+_.%-(")
+        held.append(Held(t, match.start(), last <= 2, begins, t == "@" or digits > 0, digits, t == ".", space, "\n" in t, _behind(t)))
+        solid = not space
         last = 0 if t.lower() in SECRET_WORDS else last + (solid if not sign else 0) + ("\n" in t) + (last == 0 and solid and not sign)
         n += 1
     if held:
-        yield column([])
+        yield column(" ")
+
+
+def vector(segment: Segment) -> np.ndarray:
+    """The features of a candidate segment as numbers."""
+    _, bits, share, digits = segment
+    f = np.array([bits >> i & 1 for i in range(N_FEATURES)], float)
+    f[7], f[8] = share, digits
+    return f
 
 
 def lattice(text: str, a: int, b: int) -> Lattice:
@@ -194,7 +239,7 @@ def lattice(text: str, a: int, b: int) -> Lattice:
     for end, out, ending in columns(text, a, b):
         starts.append(end)
         outside.append(out)
-        segments.append(ending)
+        segments.append([(x[0], vector(x)) for x in ending])
     return Lattice(starts, np.array(outside, float).reshape(-1, 4), segments)
 
 
@@ -213,27 +258,51 @@ class SpanModel:
         two bytes a kind (how far back, from which kind) and the place's offset.
         """
         k, ring = len(KINDS) + 1, MOST_TOKENS + 1
-        best = np.full((ring, k), -np.inf)
-        best[0, 0] = 0
+        after, weights = self.after.tolist(), self.spans.tolist()
+        by_share, by_digits, kinds = weights[7], weights[8], range(1, k)
+        told: dict[int, list[float]] = {}  # the scores of segments' bits, by kind
+        plain: dict[tuple[bool, ...], float] = {}  # those of outside tokens
         far, kind_before, starts = array("B", bytes(k)), array("B", bytes(k)), array("q", [a])
+
+        def entered(scores: list[float]) -> list[tuple[float, int]]:
+            """For each kind the best score with which a segment of it begins here, and the kind before."""
+            open_ = [y for y in range(k) if scores[y] > -math.inf]
+            if len(open_) == 1:
+                y = open_[0]
+                return [(scores[y] + x, y) for x in after[y]]
+            found = []
+            for c in range(k):
+                top, at = -math.inf, 0
+                for y in open_:
+                    if (score := scores[y] + after[y][c]) > top:
+                        top, at = score, y
+                found.append((top, at))
+            return found
+
+        nothing = [-math.inf] * (k - 1)
+        enter = [entered([0.0, *nothing])] * ring
         n = 0
         for end, out, ending in columns(text, a, b):
             n += 1
-            here, far_here, before_here = np.full(k, -np.inf), [0] * k, [0] * k
-            before = best[(n - 1) % ring] + self.after[:, 0]
-            y = int(np.argmax(before))
-            here[0], far_here[0], before_here[0] = before[y] + np.dot(out, self.outside), 1, y
-            for i, f in ending:
-                reach = best[i % ring][:, None] + self.after[:, 1:]
-                ys = np.argmax(reach, 0)
-                score = reach[ys, np.arange(k - 1)] + f @ self.spans
-                for y in np.flatnonzero(score > here[1:]):
-                    here[y + 1], far_here[y + 1], before_here[y + 1] = score[y], n - i, int(ys[y])
-            best[n % ring] = here
+            score, y = enter[(n - 1) % ring][0]
+            if out not in plain:
+                plain[out] = float(np.dot(out, self.outside))
+            best, far_here, before_here = [score + plain[out], *nothing], [1] + [0] * (k - 1), [y] + [0] * (k - 1)
+            for i, bits, share, digits in ending:
+                own = told.get(bits)
+                if own is None:
+                    own = told[bits] = [sum(weights[f][c] for f in range(N_FEATURES) if bits >> f & 1) for c in range(k - 1)]
+                begun = enter[i % ring]
+                for c in kinds:
+                    score, y = begun[c]
+                    score += own[c - 1] + share * by_share[c - 1] + digits * by_digits[c - 1]
+                    if score > best[c]:
+                        best[c], far_here[c], before_here[c] = score, n - i, y
+            enter[n % ring] = entered(best)
             far.extend(far_here)
             kind_before.extend(before_here)
             starts.append(end)
-        found, j, y = [], n, int(np.argmax(best[n % ring]))
+        found, j, y = [], n, best.index(max(best))
         while j > 0:
             i = j - far[j * k + y]
             if y:
@@ -327,17 +396,17 @@ def fit(examples: list[tuple[Lattice, list[Span]]], *, epochs: int = 6, rate: fl
     return model
 
 
-#: Entities that a sample without labels can't show; the rule-labelled windows of these lines always take part.
+#: Entities that a sample without labels can't show: lines with the spans that the base patterns and the rule don't give. Their windows always take part.
 SEED_LINES = (
-    "please write to ann.lee@mail.example.com or call +1 (212) 555-0143 today",
-    "the host 10.24.7.201 was paid with 4539578763621486 and then left",
-    'set password=q8r7t6y5u4i3o2p1 and token = "9f8e7d6c5b4a39281706f5e4d3c2b1a0ffeeddcc" now',
-    "in 2024 about 123456 people read version 3.11.4 of chapter 99871234",
-    "call +1 (415) 555-0199 4024007198964305 is the card of bob.ray@site.example.org",
-    "order 20231105998877 shipped to room 1200 on line 445566778899",
-    "the login password=a7b2k9d4 is old and token: Qw4rT8yU1pL is new",
-    'with api_key = "m3n8b5v2c7x1" and secret: z9y8w7v6u5 in the file',
-    "model abc12de4 of part x9k2m7 and file draft_v2b came in box 12 on day 7",
+    ("please write to ann.lee@mail.example.com or call +1 (212) 555-0143 today", ()),
+    ("the host 10.24.7.201 was paid with 4539578763621486 and then left", ()),
+    ('set password=q8r7t6y5u4i3o2p1 and token = "9f8e7d6c5b4a39281706f5e4d3c2b1a0ffeeddcc" now', ()),
+    ("in 2024 about 123456 people read version 3.11.4 of chapter 99871234", ()),
+    ("call +1 (415) 555-0199 4024007198964305 is the card of bob.ray@site.example.org", (("phone", 5, 22), ("card", 23, 39))),
+    ("order 20231105998877 shipped to room 1200 on line 445566778899", ()),
+    ("the login password=a7b2k9d4 is old and token: Qw4rT8yU1pL is new", ()),
+    ('with api_key = "m3n8b5v2c7x1" and secret: z9y8w7v6u5 in the file', ()),
+    ("model abc12de4 of part x9k2m7 and file draft_v2b came in box 12 on day 7", ()),
 )
 
 
@@ -361,16 +430,13 @@ def train_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             out.append(list(kept.values()))
         return pd.Series(out)
 
-    ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h", "id").limit(max_docs)
+    ids = docs.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(max_docs)
     # at most max_docs ids are broadcast
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids.select("id").distinct()), "id")
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
     got = sample.select("id", F.explode(F.pandas_udf(cut, "array<string>")("text")).alias("w")).orderBy(F.xxhash64("id", "w")).limit(max_windows).collect()
     examples = []
-    for text in [*SEED_LINES * 4, *(r["w"] for r in sorted(got, key=lambda r: (str(r["id"]), r["w"])))]:
-        spans = base_spans(text) + [("secret", *m.span(1)) for m in SECRET_RULE.finditer(text) if 0 < len(_digits(m.group(1))) < len(m.group(1))]
-        if text == SEED_LINES[4]:  # base patterns run the two numbers together
-            at = text.index("+1"), text.index("4024")
-            spans += [("phone", at[0], at[0] + 17), ("card", at[1], at[1] + 16)]
+    for text, more in [*SEED_LINES * 4, *((r["w"], ()) for r in sorted(got, key=lambda r: (str(r["id"]), r["w"])))]:
+        spans = base_spans(text) + [("secret", *m.span(1)) for m in SECRET_RULE.finditer(text) if 0 < len(_digits(m.group(1))) < len(m.group(1))] + list(more)
         if found := training_window(text, 0, len(text), spans):
             examples.append(found)
     return fit(examples)

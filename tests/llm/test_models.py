@@ -320,6 +320,77 @@ def test_windows_hold_every_candidate():
         assert all(any(a <= i < b for a, b in held) for i, c in enumerate(t) if c in "@0123456789")
 
 
+def plain_features(s: str, tokens: list[str], i: int, j: int, named: bool) -> np.ndarray:
+    f = np.zeros(pii.N_FEATURES)
+    d = pii._digits(s)
+    before, after = tokens[i - 1] if i else " ", tokens[j] if j < len(tokens) else " "
+    mail = pii.AT_DOMAIN.search(s) if "@" in s else None
+    f[0] = 1
+    f[1] = bool(mail) and mail.end() == len(s) and mail.start() > 0 and all(c in pii.LOCAL for c in s[: mail.start()])
+    f[2] = s.count(".") == 3 and len(d) == len(s) - 3 and list(pii.ips(s)) == [(0, len(s))]
+    f[3] = bool(pii.CARD.fullmatch(s)) and 13 <= len(d) <= 19 and pii.luhn(d)
+    f[4] = s[0] == "+" and bool(pii.PHONE.fullmatch(s)) and 9 <= len(d) <= 15
+    f[5] = f[4] and len(d) == 11
+    f[6] = f[3] and len(d) == 16
+    f[7] = (j - i) / pii.MOST_TOKENS
+    f[8] = len(d) / len(s)
+    f[9] = len(s) >= 8 and 0 < len(d) < len(s) and bool(re.fullmatch(r"[A-Za-z0-9_]+", s))
+    f[10] = f[9] and pii._entropy(s) > 2.5
+    f[11] = named
+    f[12] = named and f[9]
+    f[13] = before[-1:].isspace() or before in "\"'=:(<[,;"
+    f[14] = after[:1].isspace() or after in "\"'),.;>]"
+    f[15] = before[-1:] in "._%+-@" and not before.isspace()
+    f[16] = after[:1] in "._-@" and not after.isspace()
+    f[17] = j - i == 1
+    f[18] = any(t.isspace() for t in tokens[i:j])
+    f[19] = bool(before) and before[-1:].isalnum() or after[:1].isalnum()
+    return f
+
+
+def test_segments_equal_plain_features():
+    """All candidate segments of a window and their features, one by one from the tokens."""
+    rng = random.Random(7)
+    parts = ["a1@b.c ", "1000 ", "+1 (212) 555-0143", "4539578763621486", "password=", "q8r7t6y5u4", " ", "\n", "x", "_1.", "é", "10.2.3.4", ":", "token", " = ", '"', "-", "9", "Ab", "(", ")", "%", "'"]
+    for _ in range(400):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 25)))
+        for a, b in pii.windows(text):
+            lat = pii.lattice(text, a, b)
+            tokens, starts = [m.group() for m in pii.TOKEN.finditer(text, a, b)], lat.starts
+            named, last = [], 99
+            for t in tokens:
+                solid, sign = not t.isspace(), t in "=:\"'"
+                named.append(last <= 2)
+                last = 0 if t.lower() in pii.SECRET_WORDS else last + (solid if not sign else 0) + ("\n" in t) + (last == 0 and solid and not sign)
+            for j in range(1, len(tokens) + 1):
+                want = []
+                for i in range(max(0, j - pii.MOST_TOKENS), j):
+                    own = tokens[i:j]
+                    fits = not own[-1].isspace() and (own[-1][-1].isalnum() or own[-1][-1] in "_-") and not any("\n" in t for t in own)
+                    begins = not own[0].isspace() and own[0][0].isascii() and (own[0][0].isalnum() or own[0][0] in "+_.%-(")
+                    if fits and begins and any(t == "@" or re.search("[0-9]", t) for t in own) and starts[j] - starts[i] >= 6:
+                        want.append((i, plain_features(text[starts[i] : starts[j]], tokens, i, j, named[i]).tolist()))
+                assert [(i, f.tolist()) for i, f in lat.segments[j]] == want
+
+
+@pytest.mark.parametrize("text", ["1000 1001 ", "1_.", "a1@b.c ", "10.2.3.4 "])
+def test_long_texts_full_of_candidates(text):
+    """Linear in the text: 100 KB, of which 1 MB takes ten times as long."""
+    import time
+
+    rng = np.random.default_rng(1)
+    began = time.process_time()
+    pii.find_spans(text * (100_000 // len(text)), pii.SpanModel(rng.normal(size=(20, 5)), rng.normal(size=4), rng.normal(size=(6, 6))))
+    assert time.process_time() - began < 6
+
+
+def test_an_id_with_very_many_rows_is_one_of_the_sample(spark):
+    d = docs(spark, [(1, f"row {i} without anything") for i in range(300)] + [(2, "mail ann@site.example.org and 10.0.0.7 now")])
+    learned = pii.train_pii(d, max_docs=2)
+    alone = pii.train_pii(d.filter("doc_id = 1"), max_docs=2)
+    assert not np.allclose(learned.spans, alone.spans)  # the other id is in the sample, too
+
+
 def test_decoding_holds_few_columns():
     import tracemalloc
 
