@@ -229,6 +229,16 @@ def alias_draw(spark, sf_dir):
     return both.select("node", "neighbour", (F.abs(F.coalesce("share", F.lit(0.0)) - F.coalesce("p", F.lit(-1.0))) < 0.02).alias("near"))
 
 
+@query("""WITH c AS (SELECT l_suppkey * 2 + 1 AS node, l_partkey * 2 AS neighbour, count(*)::DOUBLE AS w FROM lineitem GROUP BY ALL)
+SELECT node, neighbour, w AS lines FROM c""")
+def hub_alias_probabilities(spark, sf_dir):
+    """How often tables of two levels draw each of a supplier's parts in as many draws as it has lines; chunks of 64, so that every supplier has several."""
+    edges = graphs.part_supp_lines(spark, sf_dir).groupBy(F.col("dst").alias("src"), F.col("src").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    total = edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("total"))
+    found = stats.hub_alias_probabilities(*stats.hub_alias_tables(edges, 64)).join(total, "node")
+    return vals(found.select("node", "neighbour", (F.col("p") * F.col("total")).alias("lines")), "lines")
+
+
 # Matrix algebra.
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshvec.operators import blocks, evaluate, factor, masks, matrix, proximity, walks
+from meshvec.operators import blocks, evaluate, factor, masks, matrix, proximity, stats, walks
 from meshvec.operators import edges as E
 from meshvec.plans import embeddings
 from meshvec.sources import graphs
@@ -195,6 +195,23 @@ def test_walkers_at_dead_ends_spread(spark):
             spark.conf.unset(k)
 
 
+def test_alias_tables_of_a_hub(spark):
+    """A node of 50,000 neighbours is no row of more than a chunk, and is drawn from by its weights."""
+    edges = spark.range(0, 50_000, 1, 4).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"), (1 + F.col("id") % 7).cast("double").alias("w"))
+    edges = edges.unionByName(spark.createDataFrame([(1, 2, 3.0), (1, 5, 1.0)], "src long, dst long, w double"))
+    low, top = stats.hub_alias_tables(edges)
+    assert low.agg(F.max(F.size("neighbours"))).first()[0] <= stats.CHUNK and low.filter("node = 0").count() == 13
+    p = stats.hub_alias_probabilities(low, top).join(edges, (F.col("node") == F.col("src")) & (F.col("neighbour") == F.col("dst")))
+    total = sum(1 + i % 7 for i in range(50_000))
+    off = p.select(F.abs(F.col("p") - F.col("w") / F.when(F.col("node") == 0, float(total)).otherwise(4.0)).alias("off")).agg(F.max("off"), F.count("off")).first()
+    assert off[0] < 1e-12 and off[1] == 50_002
+    draws = spark.range(0, 30_000, 1, 4).select(F.lit(0).cast("long").alias("node"), F.col("id").alias("draw")).unionByName(spark.createDataFrame([(9, 1)], "node long, draw long"))
+    drawn = stats.hub_alias_draw(draws, low, top, 3)
+    shares = {r["k"]: r["n"] / 30_000 for r in drawn.filter("drawn is not null").groupBy((F.col("drawn") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(abs(shares[k] - (1 + k) / 28) < 0.015 for k in range(7))
+    assert drawn.filter("node = 9 and drawn is null").count() == 1
+
+
 def test_laplacian(ab):
     a, _, A, _ = ab
     assert np.allclose(matrix.to_dense(walks.laplacian(A), 12), np.diag(a.sum(0)) - a)
