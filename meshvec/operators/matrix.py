@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshvec.functions.columns import guarded_inverse
+from meshvec.functions.lineage import cut
+
+#: An inner index is hot if it makes one in HOT_SHARE or more of all products, so no more than HOT_SHARE are.
+HOT_SHARE = 1000
 
 
 def from_edges(edges: DataFrame) -> DataFrame:
@@ -22,6 +26,39 @@ def dot(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
+def hot_inner(a: DataFrame, b: DataFrame) -> DataFrame:
+    """k, side: the inner indices with one in HOT_SHARE or more of all products, at most HOT_SHARE rows, and the side of the grid that each is spread over."""
+    columns = a.groupBy(F.col("j").alias("k")).agg(F.count(F.lit(1)).alias("m"))
+    rows = b.groupBy(F.col("i").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    products = cut(columns.join(rows, "k").select("k", (F.col("m").cast("double") * F.col("n")).alias("p")))
+    total = products.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
+    share = F.col("p") * HOT_SHARE / F.lit(max(total, 1.0))
+    return products.filter(share >= 1).select("k", F.ceil(F.sqrt(share)).cast("int").alias("side"))
+
+
+def meetings(a: DataFrame, b: DataFrame) -> DataFrame:
+    """k, i, j, x, y: all products of a cell of a with one of b, those of a hot inner index spread over a grid.
+
+    A row of a and a row of b make as many products as the inner index has
+    rows and columns, all under one key: a hub of n in- and n out-edges puts n^2
+    into one task, which no split of the input by size tells. Its cells of a are
+    dealt to `side` chunks, its cells of b to as many, and a task has a pair of
+    chunks; so each of its cells goes to `side` tasks, 32 at most, and no key has
+    more than about one in HOT_SHARE of all products.
+    """
+    few = F.broadcast(hot_inner(a, b))  # HOT_SHARE rows at most
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.coalesce("side", F.lit(1)).cast("long")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("side", F.lit(1)) - 1))
+    left = a.select("i", F.col("j").alias("k"), F.col("v").alias("x")).join(few, "k", "left").select("k", "i", "x", chunk("i").alias("p"), every.alias("q"))
+    right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("y")).join(few, "k", "left").select("k", "j", "y", every.alias("p"), chunk("j").alias("q"))
+    return left.join(right, ["k", "p", "q"]).select("k", "i", "j", "x", "y")
+
+
+def dot_spread(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The product for matrices with hubs: like dot, but the products of hot inner indices are spread. Both sides are read twice, first for their counts."""
+    return meetings(a, b).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+
 def scale(a: DataFrame, c: float | Column) -> DataFrame:
     return a.select("i", "j", (F.col("v") * c).alias("v"))
 

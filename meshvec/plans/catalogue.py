@@ -263,6 +263,13 @@ def mat_dot(spark, sf_dir):
     return matrix.dot(matrix.transpose(a), a)
 
 
+@query("WITH e AS (SELECT DISTINCT user_id * 2 AS src, event_type FROM events) SELECT a.src AS i, b.src AS j, CAST(count(*) AS DOUBLE) AS v FROM e a JOIN e b ON a.event_type = b.event_type GROUP BY ALL")
+def shared_events(spark, sf_dir):
+    """AA' of users by event types: how many types two users share. The inner index has a handful of values, each a hub of all users."""
+    a = cut(matrix.from_edges(graphs.user_events(spark, sf_dir)))
+    return matrix.dot_spread(a, matrix.transpose(a))
+
+
 @query(f"WITH {PS} SELECT a.dst AS i, b.dst AS j, CAST(count(*) AS DOUBLE) AS v FROM ps a JOIN ps b ON a.src = b.src GROUP BY ALL")
 def block_dot(spark, sf_dir):
     """A'A by products of dense blocks."""

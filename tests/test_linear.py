@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meshvec.functions.lineage import cut
 from meshvec.operators import blocks, evaluate, factor, masks, matrix, proximity, stats, walks
 from meshvec.operators import edges as E
 from meshvec.plans import embeddings
@@ -212,6 +213,34 @@ def test_alias_tables_of_a_hub(spark):
     assert drawn.filter("node = 9 and drawn is null").count() == 1
 
 
+def test_products_of_a_hub_are_spread(spark):
+    """A star of 1,500 leaves both ways beside a sparse rest: no task has much more of its products than others, and the cells are those of the plain product."""
+    star = spark.range(1, 1501).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("j"), (F.col("id") % 5 + 1.0).alias("v"))
+    star = star.unionByName(star.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    rest = spark.range(0, 3000).select((F.col("id") % 1500 + 2000).alias("i"), (F.col("id") * 7 % 1500 + 2000).alias("j"), F.lit(1.0).alias("v"))
+    a = cut(star.unionByName(rest))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert {r["k"] for r in matrix.hot_inner(a, a).collect()} == {0}
+        sizes = sorted(r["count"] for r in matrix.meetings(a, a).groupBy(F.spark_partition_id()).count().collect())
+        assert len(sizes) == 16 and sizes[-1] <= 3 * sizes[8]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        for k in list(settings)[:2]:
+            spark.conf.unset(k)
+    off = matrix.add((1, matrix.dot_spread(a, a)), (-1, matrix.dot(a, a)))
+    assert off.agg(F.max(F.abs("v")), F.count("v")).first() == (0.0, matrix.dot(a, a).count())
+
+
+def test_spread_product_of_small_and_empty(ab, spark):
+    a, b, A, B = ab
+    assert np.allclose(matrix.to_dense(matrix.dot_spread(A, B), 12), a @ b)
+    none = spark.createDataFrame([], "i long, j long, v double")
+    assert matrix.dot_spread(none, B).count() == 0
+
+
 def test_laplacian(ab):
     a, _, A, _ = ab
     assert np.allclose(matrix.to_dense(walks.laplacian(A), 12), np.diag(a.sum(0)) - a)
