@@ -171,10 +171,15 @@ def classify(vectors: DataFrame, truth: DataFrame, fractions: list[float], *, re
 
     vectors: node, vec (of one length); truth: node, label. The models of all
     fractions, repeats and labels are fitted in common passes over the rows;
-    the weights of one split pass through the driver, (d + 1) for each label.
+    the weights of one split pass through the driver, (d + 1) for each label;
+    if these are more than PASS_NUMBERS, there are too many labels: ValueError.
     """
     spark: SparkSession = vectors.sparkSession
-    names = np.array([r["label"] for r in truth.select(F.col("label").cast("long")).distinct().orderBy("label").collect()], np.int64)
+    width = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
+    most = PASS_NUMBERS // (width + 1)
+    names = np.array([r["label"] for r in truth.select(F.col("label").cast("long")).distinct().orderBy("label").limit(most + 1).collect()], np.int64)
+    if len(names) > most:
+        raise ValueError(f"more than {most} labels at {width} dimensions: the weights of one split would not fit the {PASS_NUMBERS} numbers that may pass through the driver")
     sets = truth.groupBy("node").agg(F.collect_set(F.col("label").cast("long")).alias("labels"))
     rows = cut(vectors.join(sets, "node").select("node", "vec", "labels"))
     d = rows.agg(F.max(F.size("vec"))).first()[0] or 0

@@ -122,6 +122,16 @@ def party_split_undirected(spark, sf_dir):
     return E.split_undirected(raw_lines(spark, sf_dir), PARTIES)
 
 
+@query("SELECT (l_partkey * 2) || ',' || (l_suppkey * 2 + 1) AS line, count(*) AS n FROM lineitem WHERE l_linenumber = 3 GROUP BY ALL UNION ALL SELECT 'edges', count(*) FROM lineitem WHERE l_linenumber <> 3")
+def rejected_edge_lines(spark, sf_dir):
+    """Line items as lines of text, those with number 3 with a comma: the lines that a reader of edges rejects, and how many edges it finds."""
+    path, lines = new_folder(spark), graphs.part_supp_lines(spark, sf_dir)
+    sep = F.when(F.col("l_linenumber") == 3, ",").otherwise(" ")
+    lines.select(F.concat(F.col("src").cast("string"), sep, F.col("dst").cast("string")).alias("value")).write.text(path)
+    bad = graphs.rejected_lines(spark, path).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    return bad.unionByName(graphs.read_edge_list(spark, path, bad="drop").agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("line"), "n"))
+
+
 @query(f"WITH {LINE_SPLIT} SELECT party, count(*) AS n_lines, count(DISTINCT (src, dst)) AS n_edges FROM lsplit GROUP BY party")
 def party_edge_counts(spark, sf_dir):
     by_edge = split_lines(spark, sf_dir).groupBy("party", "src", "dst").agg(F.count(F.lit(1)).alias("n"))

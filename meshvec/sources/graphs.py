@@ -6,6 +6,8 @@ two kinds of nodes apart by parity: 2 * id on the left, 2 * id + 1 on the right.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,40 @@ from meshvec.functions.columns import md5_uniform
 from meshvec.functions.lineage import global_rank
 
 
-def read_edge_list(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
-    """An edge list file or folder: two whole numbers a line. Files of parties written by write_parties keep their party column."""
-    return spark.read.csv(path, sep=sep, schema="src BIGINT, dst BIGINT")
+def edge_lines(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
+    """line, file, block, src, dst of an edge list file or folder; src and dst are null where a line isn't two whole numbers.
+
+    Spark reads a large file in pieces; block is the byte at which a line's
+    piece begins, so with file it tells where to look.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    form = rf"^\s*([+-]?[0-9]+){re.escape(sep)}([+-]?[0-9]+)\s*$"
+    numbers = [F.expr(f"try_cast(nullif(part{k}, '') as bigint)") for k in (1, 2)]
+    cut_ = lines.select("*", *[F.regexp_extract("line", form, k).alias(f"part{k}") for k in (1, 2)])
+    both = numbers[0].isNotNull() & numbers[1].isNotNull()  # a number of more than 64 bits is no node
+    return cut_.select("line", "file", "block", F.when(both, numbers[0]).alias("src"), F.when(both, numbers[1]).alias("dst"))
+
+
+def read_edge_list(spark: SparkSession, path: str, sep: str = " ", bad: str = "null") -> DataFrame:
+    """src, dst of an edge list file or folder: two whole numbers a line. Files of parties written by write_parties keep their party column.
+
+    A bad line is an edge of nulls, or is dropped (bad="drop"), or ends the
+    query with its text and place (bad="fail"); rejected_lines lists them all.
+    """
+    if bad == "null":
+        return spark.read.csv(path, sep=sep, schema="src BIGINT, dst BIGINT")
+    rows = edge_lines(spark, path, sep)
+    if bad == "drop":
+        return rows.filter("src is not null").select("src", "dst")
+    if bad != "fail":
+        raise ValueError(f"bad lines are null, drop or fail, not {bad}")
+    told = F.concat(F.lit("not an edge: "), F.col("line"), F.lit(" (in "), F.col("file"), F.lit(" from byte "), F.col("block").cast("string"), F.lit(" on)"))
+    return rows.select(F.when(F.col("src").isNull(), F.raise_error(told).cast("long")).otherwise(F.col("src")).alias("src"), "dst")
+
+
+def rejected_lines(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
+    """line, file, block of the lines of an edge list that aren't two whole numbers."""
+    return edge_lines(spark, path, sep).filter("src is null").select("line", "file", "block")
 
 
 def write_parties(split: DataFrame, path: str, sep: str = " ") -> None:

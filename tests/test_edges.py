@@ -128,3 +128,16 @@ def test_matlab_networks(spark, tmp_path, sparse, packed):
     assert matfiles.read_network(spark, str(tmp_path / "x.mat"), "g").count() == 4
     with pytest.raises(ValueError, match="no matrix other"):
         matfiles.coordinates((tmp_path / "x.mat").read_bytes(), "other")
+
+
+def test_bad_lines_of_an_edge_list(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("1 2\n3\n\n 4 5 \n6 x\n7 8 9\n-1 +2\n99999999999999999999 1\n1.5 2\n")
+    path = str(tmp_path / "e.txt")
+    assert sorted(tuple(r) for r in graphs.read_edge_list(spark, path, bad="drop").collect()) == [(-1, 2), (1, 2), (4, 5)]
+    rows = graphs.rejected_lines(spark, path).collect()
+    assert sorted(r["line"] for r in rows) == ["", "1.5 2", "3", "6 x", "7 8 9", "99999999999999999999 1"]
+    assert all(r["file"].endswith("e.txt") and r["block"] == 0 for r in rows)
+    with pytest.raises(Exception, match="not an edge: 3 "):
+        graphs.read_edge_list(spark, path, bad="fail").collect()
+    with pytest.raises(ValueError):
+        graphs.read_edge_list(spark, path, bad="skip")
