@@ -166,6 +166,19 @@ def _tested(rows: DataFrame, d: int, names: np.ndarray, weights: np.ndarray) ->
     return counts.groupBy("split", "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
+def _ranks(nodes: DataFrame, fractions: list[float], repeats: int, seed: int) -> DataFrame:
+    """node, learns: for each repeat and fraction, whether the node is among the first ones in the repeat's order.
+
+    All repeats are ranked at once: their orders follow each other in one range-partitioned order, and each has all nodes.
+    """
+    keyed = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    keyed = keyed.withColumn("key", mix_key(F.col("node"), F.col("repeat").cast("long") + seed))
+    ranked = global_rank(keyed, ["repeat", "key", "node"]).withColumn("n", (F.col("n") / repeats).cast("long"))
+    learns = F.array(*[F.col("rank") - F.col("repeat") * F.col("n") <= F.floor(F.lit(f) * F.col("n")) for f in fractions])
+    of_node = ranked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("repeat", learns.alias("learns")))).alias("all"))  # one for each repeat
+    return of_node.select("node", F.transform("all", lambda x: x["learns"]).alias("learns"))
+
+
 def classify(vectors: DataFrame, truth: DataFrame, fractions: list[float], *, repeats: int = 1, seed: int = 0, c: float = 1.0) -> DataFrame:
     """fraction, micro_f1, macro_f1, means over repeats of: split, train, take the k best labels, score.
 
@@ -183,15 +196,12 @@ def classify(vectors: DataFrame, truth: DataFrame, fractions: list[float], *, re
     sets = truth.groupBy("node").agg(F.collect_set(F.col("label").cast("long")).alias("labels"))
     rows = cut(vectors.join(sets, "node").select("node", "vec", "labels"))
     d = rows.agg(F.max(F.size("vec"))).first()[0] or 0
-    for repeat in range(repeats):
-        parts = global_rank(rows.select("node", mix_key(F.col("node"), F.lit(seed + repeat)).alias("key")), ["key", "node"])
-        learns = F.array(*[F.col("rank") <= F.floor(F.lit(f) * F.col("n")) for f in fractions])
-        rows = cut(rows.join(parts.select("node", learns.alias(f"r{repeat}")), "node"))
+    rows = cut(rows.join(_ranks(rows.select("node").distinct(), fractions, repeats, seed), "node"))
     splits = [(f, r) for r in range(repeats) for f in range(len(fractions))]
     at_once, found = max(1, PASS_NUMBERS // max(1, len(names) * (d + 1))), []
     for first in range(0, len(splits), at_once):
         mine = splits[first : first + at_once]
-        flagged = cut(rows.select("node", "vec", "labels", F.array(*[F.get(f"r{r}", F.lit(f)) for f, r in mine]).alias("flags")))
+        flagged = cut(rows.select("node", "vec", "labels", F.array(*[F.get(F.get("learns", F.lit(r)), F.lit(f)) for f, r in mine]).alias("flags")))
         counts = cut(_tested(flagged, d, names, fit_logistic(flagged, d, names, len(mine), c=c)))
         micro = counts.groupBy("split").agg((F.sum(F.col("tp") * 2) / F.sum(F.col("tp") * 2 + F.col("fp") + F.col("fn"))).alias("micro_f1"), F.avg(F.col("tp") * 2 / (F.col("tp") * 2 + F.col("fp") + F.col("fn"))).alias("macro_f1"))
         got = {r["split"]: (r["micro_f1"], r["macro_f1"]) for r in micro.collect()}
