@@ -680,7 +680,7 @@ def samples_sql(per_edge: int, workers: int, parties: int, seed: int = 1) -> str
 begun AS (SELECT party, src, dst, e, {workers} * ({draws} // vol + CASE WHEN e < {draws} % vol THEN 1 ELSE 0 END) AS n FROM counted),
 drawn AS (SELECT party, src, dst, (e * {per_edge + workers + 1} + unnest(range(1, n + 1))) * 3 + 2 AS draw FROM begun),
 first AS (SELECT party, src, dst, draw, {uniform_sql(seed, "party || ':' || draw")} >= 0.5 AS back FROM drawn),
-asked AS (SELECT party, src, dst, back, CASE WHEN back THEN src ELSE dst END AS at, CASE WHEN back THEN {uniform_sql(seed + 2001, "party || ':' || draw")} ELSE {uniform_sql(seed + 3001, "party || ':' || draw")} END AS u FROM first),
+asked AS (SELECT party, src, dst, back, CASE WHEN back THEN src ELSE dst END AS at, {uniform_sql(seed + 2001, "party || ':' || draw")} AS u FROM first),
 moved AS (SELECT a.party, CASE WHEN a.back THEN g.dst ELSE a.src END AS i, CASE WHEN a.back THEN a.dst ELSE g.dst END AS j, 1 / {2 * per_edge}.0::DOUBLE AS v FROM asked a JOIN guide g ON {INSIDE}),
 cells AS (SELECT party, i, j, sum(v) AS v FROM (SELECT * FROM moved UNION ALL SELECT party, src, dst, n / {2 * per_edge}.0::DOUBLE FROM begun WHERE n > 0) GROUP BY ALL)"""
 
