@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,49 +51,74 @@ def macro_f1(counts: DataFrame) -> DataFrame:
 
 #: Numbers that a pass over the rows sums up at once, and weights that are held at once.
 PASS_NUMBERS = 4_000_000
-#: Rows that a task works on at once.
-SLICE = 1024
+#: Rows that a task works on at once, and cells (rows x models) of them.
+SLICE, CELLS = 1024, 1_000_000
+#: Numbers in a row that carries a part of a sum.
+CARRIED = 32_768
 
 
-def _slices(batches: Iterator[pa.RecordBatch], d: int, names: np.ndarray) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """node, vectors with a 1 at the end, which labels of names (sorted) a row has, and its flags, by slices of rows (node, vec, labels, flags)."""
+def _slices(batches: Iterator[pa.RecordBatch], d: int, names: np.ndarray, models: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """node, vectors with a 1 at the end, which labels of names (sorted) a row has, its flags and its number of labels, by slices of rows (node, vec, labels, flags)."""
+    most = max(1, min(SLICE, CELLS // max(1, models)))
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
+        for at in range(0, batch.num_rows, most):
+            part = batch.slice(at, most)
             n = part.num_rows
             x = np.ones((n, d + 1))
             x[:, :d] = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, d)
-            owner = np.repeat(np.arange(n), part.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            k = part.column(2).value_lengths().to_numpy(zero_copy_only=False)
             label = part.column(2).flatten().to_numpy(zero_copy_only=False)
             y = np.zeros((n, len(names)), bool)
             if len(names):
                 place = np.minimum(np.searchsorted(names, label), len(names) - 1)
                 known = names[place] == label
-                y[owner[known], place[known]] = True
-            yield part.column(0).to_pylist(), x, y, part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                y[np.repeat(np.arange(n), k)[known], place[known]] = True
+            yield part.column(0).to_pylist(), x, y, part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(n, -1), k
+
+
+def _summed(rows: DataFrame, d: int, names: np.ndarray, models: int, width: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """A pass over all rows: what add(out, x, y, flags) adds up for each model, an array (models, width). Sums go from task to task in rows of several models."""
+    each = max(1, CARRIED // width)
+    parts = -(-models // each)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((parts * each, width))
+        for _, x, y, flags, _ in _slices(batches, d, names, models):
+            add(out[:models], x, y, flags)
+        for at, some in enumerate(out.reshape(parts, each * width)):
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([0]), pa.array([some], pa.list_(pa.float64()))], schema=blocks.SCHEMA)
+
+    got = blocks.summed(rows.mapInArrow(run, blocks.DDL), each * width).toArrow()  # models x width numbers
+    out = np.zeros((parts, each * width))
+    for column in ("bi", "x"):
+        got = got.set_column(got.schema.get_field_index(column), column, got[column].combine_chunks())
+    if got.num_rows:
+        out[got["bi"].to_numpy()] = np.concatenate([c.flatten().to_numpy() for c in got["x"].chunks]).reshape(-1, each * width)
+    return out.reshape(parts * each, width)[:models]
+
+
+def _chances(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def _ridge(d: int, c: float) -> np.ndarray:
+    """The penalty of each weight; the intercept is free but for what keeps it finite."""
+    return np.r_[np.full(d, 1 / c), 1e-6]
 
 
 def _moments(rows: DataFrame, d: int, names: np.ndarray, split: np.ndarray, label: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """For each model (a split and a label): loss, gradient and second derivatives of the logistic loss at its weights, by one pass over all rows."""
-    width = 1 + (d + 1) + (d + 1) ** 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((len(split), width))
-        for _, x, y, flags in _slices(batches, d, names):
-            z, y, t = x @ weights.T, y[:, label], flags[:, split].astype(float)
-            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            out[:, 0] += (t * (np.logaddexp(0, z) - y * z)).sum(0)
-            out[:, 1 : d + 2] += (t * (p - y)).T @ x
-            v = t * p * (1 - p)
-            for m in range(len(split)):
-                out[m, d + 2 :] += (x.T @ (v[:, m, None] * x)).ravel()
+    def add(out: np.ndarray, x: np.ndarray, y: np.ndarray, flags: np.ndarray) -> None:
+        z, mine, t = x @ weights.T, y[:, label], flags[:, split].astype(float)
+        p = _chances(z)
+        out[:, 0] += (t * (np.logaddexp(0, z) - mine * z)).sum(0)
+        out[:, 1 : d + 2] += (t * (p - mine)).T @ x
+        v = t * p * (1 - p)
         for m in range(len(split)):
-            yield pa.RecordBatch.from_arrays([pa.array([m]), pa.array([0]), pa.array([out[m]], pa.list_(pa.float64()))], schema=blocks.SCHEMA)
+            out[m, d + 2 :] += (x.T @ (v[:, m, None] * x)).ravel()
 
-    out = np.zeros((len(split), width))
-    for r in blocks.summed(rows.mapInArrow(run, blocks.DDL), width).collect():  # one row for each model of the pass
-        out[r["bi"]] = r["x"]
-    return out
+    return _summed(rows, d, names, len(split), 1 + (d + 1) + (d + 1) ** 2, add)
 
 
 def fit_logistic(rows: DataFrame, d: int, names: np.ndarray, splits: int, *, c: float = 1.0, rounds: int = 60) -> np.ndarray:
@@ -103,8 +128,7 @@ def fit_logistic(rows: DataFrame, d: int, names: np.ndarray, splits: int, *, c:
     take Newton's steps at once, as many of them as PASS_NUMBERS allows; a step
     that doesn't lower a model's loss is halved.
     """
-    ridge = np.full(d + 1, 1 / c)
-    ridge[d] = 1e-6  # the intercept is free but for what keeps it finite
+    ridge = _ridge(d, c)
     split, label = (x.ravel() for x in np.meshgrid(np.arange(splits), np.arange(len(names)), indexing="ij"))
     out, at_once = np.zeros((len(split), d + 1)), max(1, PASS_NUMBERS // (1 + (d + 1) * (d + 2)))
     for first in range(0, len(split), at_once):
@@ -127,6 +151,112 @@ def fit_logistic(rows: DataFrame, d: int, names: np.ndarray, splits: int, *, c:
     return out.reshape(splits, len(names), d + 1)
 
 
+def spectrum(rows: DataFrame, d: int, c: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and eigenvectors of the second moments of the vectors that the first split learns from, in units of the penalty."""
+
+    def add(out: np.ndarray, x: np.ndarray, y: np.ndarray, flags: np.ndarray) -> None:
+        out[0] += (x.T @ (flags[:, :1] * x)).ravel()
+
+    unit = np.sqrt(_ridge(d, c))
+    return np.linalg.eigh(_summed(rows, d, np.array([], np.int64), 1, (d + 1) ** 2, add).reshape(d + 1, d + 1) / np.outer(unit, unit))
+
+
+def _slopes(rows: DataFrame, d: int, names: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each label of names, on the first split: loss, sum of p (1 - p), gradient."""
+
+    def add(out: np.ndarray, x: np.ndarray, y: np.ndarray, flags: np.ndarray) -> None:
+        t = flags[:, :1].astype(float)
+        z = x @ weights.T
+        p = _chances(z)
+        out[:, 0] += (t * (np.logaddexp(0, z) - y * z)).sum(0)
+        out[:, 1] += (t * p * (1 - p)).sum(0)
+        out[:, 2:] += (t * (p - y)).T @ x
+
+    return _summed(rows, d, names, len(names), d + 3, add)
+
+
+def _curved(rows: DataFrame, d: int, names: np.ndarray, weights: np.ndarray, along: np.ndarray) -> np.ndarray:
+    """For each label of names, on the first split: the second derivatives at its weights times its direction."""
+
+    def add(out: np.ndarray, x: np.ndarray, y: np.ndarray, flags: np.ndarray) -> None:
+        p = _chances(x @ weights.T)
+        out += (flags[:, :1] * p * (1 - p) * (x @ along.T)).T @ x
+
+    return _summed(rows, d, names, len(names), d + 1, add)
+
+
+def fit_truncated(rows: DataFrame, d: int, names: np.ndarray, basis: tuple[np.ndarray, np.ndarray], *, c: float = 1.0, rounds: int = 60, inner: int = 60) -> np.ndarray:
+    """Weights (labels, d + 1) of the models of fit_logistic for the first split, by truncated Newton's steps.
+
+    A step solves for its direction by conjugate gradients; each of their
+    rounds is a pass that adds up d + 1 numbers a model (second derivatives
+    times a direction), where fit_logistic adds up (d + 1)^2. All labels go in
+    step, and those that are done leave the passes. Directions are scaled by
+    the second moments of all vectors (basis, from `spectrum`), times the
+    label's mean p (1 - p), so few rounds are needed. A label that all or no
+    rows have starts where its intercept ends.
+    """
+    values, vectors = basis
+    ridge = _ridge(d, c)
+    unit = np.sqrt(ridge)
+
+    def scaled(mean: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return (r / unit @ vectors / (1 + mean[:, None] * np.maximum(values, 0))) @ vectors.T / unit
+
+    def direction(who: np.ndarray, slope: np.ndarray, mean: np.ndarray, loss: np.ndarray) -> np.ndarray:
+        s, r = np.zeros_like(slope), -slope
+        p = scaled(mean, r)
+        rz = (r * p).sum(1)
+        goal = rz * np.minimum(1e-2, rz / (1 + np.abs(loss)))
+        going = np.flatnonzero(rz > 0)
+        for _ in range(inner):
+            if not len(going):
+                break
+            h = _curved(rows, d, names[who[going]], best[who[going]], p[going]) + ridge * p[going]
+            far = (rz[going] / (p[going] * h).sum(1))[:, None]
+            s[going] += far * p[going]
+            r[going] -= far * h
+            z = scaled(mean[going], r[going])
+            new = (r[going] * z).sum(1)
+            p[going] = z + (new / rz[going])[:, None] * p[going]
+            rz[going] = new
+            going = going[new > goal[going]]
+        return s
+
+    best, step, least = np.zeros((len(names), d + 1)), np.zeros((len(names), d + 1)), np.full(len(names), np.inf)
+    found = _slopes(rows, d, names, best)
+    n = 4 * found[:, 1]  # p is a half everywhere
+    best[:, d] = _first_intercepts(n, np.clip(np.rint(n / 2 - found[:, -1]), 0, n), ridge[d])
+    going = np.flatnonzero(n > 0)
+    for _ in range(rounds):
+        if not len(going):
+            break
+        tried = best[going] + step[going]
+        found = _slopes(rows, d, names[going], tried)
+        loss = found[:, 0] + 0.5 * (tried**2 * ridge).sum(1)
+        better = loss <= least[going] + 1e-9 * (1 + np.abs(loss))
+        step[going[~better]] /= 2
+        who = going[better]
+        best[who], least[who] = tried[better], loss[better]
+        slope = found[better, 2:] + ridge * best[who]
+        step[who] = direction(who, slope, found[better, 1] / n[who], loss[better])
+        done = who[-(slope * step[who]).sum(1) <= 1e-12 * (1 + np.abs(loss[better]))]
+        best[done] += step[done]  # what is left to gain can't be told from rounding, so nothing is tried
+        still = np.abs(step[going]).max(1) >= 1e-7 * (1 + np.abs(best[going]).max(1))
+        going = np.setdiff1d(going[still], done)
+    return best
+
+
+def _first_intercepts(n: np.ndarray, positive: np.ndarray, penalty: float) -> np.ndarray:
+    """The log odds of a label; if all or no rows have it, the intercept at which its penalty is as steep as the loss."""
+    out = np.log((positive + 0.5) / (n - positive + 0.5))
+    flat = (positive == 0) | (positive == n)
+    size = np.full(n.shape, 10.0)
+    for _ in range(30):
+        size = np.maximum(1.0, np.log(np.maximum(n, 1) / (penalty * size)))
+    return np.where(flat, np.sign(out) * size, out)
+
+
 def one_vs_rest(train: DataFrame, test: DataFrame, labels: list[int], *, c: float = 1.0) -> DataFrame:
     """node, label, p: one binary logistic regression with an L2 penalty for each label, all fitted together. train, test: node, vec; train also labels (an array)."""
     names = np.array(sorted(labels), np.int64)
@@ -135,8 +265,8 @@ def one_vs_rest(train: DataFrame, test: DataFrame, labels: list[int], *, c: floa
     weights = fit_logistic(known, d, names, 1, c=c)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, x, _, _ in _slices(batches, d, names):
-            p = 1 / (1 + np.exp(-np.clip(x @ weights.T, -500, 500)))
+        for nodes, x, _, _, _ in _slices(batches, d, names, len(names)):
+            p = _chances(x @ weights.T)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, len(names)), pa.int64()), pa.array(np.tile(names, len(nodes)), pa.int64()), pa.array(p.ravel())], ["node", "label", "p"])
 
     asked = test.select("node", "vec", F.array().cast("array<long>").alias("labels"), F.array(F.lit(False)).alias("flags"))
@@ -148,7 +278,7 @@ def _tested(rows: DataFrame, d: int, names: np.ndarray, weights: np.ndarray) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((len(weights), 3, len(names)), np.int64)
-        for _, x, y, flags in _slices(batches, d, names):
+        for _, x, y, flags, _ in _slices(batches, d, names, len(names)):
             rank_of = np.arange(len(names))
             for s, w in enumerate(weights):
                 mine = ~flags[:, s].astype(bool)
@@ -179,30 +309,73 @@ def _ranks(nodes: DataFrame, fractions: list[float], repeats: int, seed: int) ->
     return of_node.select("node", F.transform("all", lambda x: x["learns"]).alias("learns"))
 
 
-def classify(vectors: DataFrame, truth: DataFrame, fractions: list[float], *, repeats: int = 1, seed: int = 0, c: float = 1.0) -> DataFrame:
+def _best(rows: DataFrame, d: int, names: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """node, k, best: of each row that the first split doesn't learn from, the k best of names by (minus score, label), k being its number of labels among all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, x, _, flags, k in _slices(batches, d, names, len(names)):
+            asked = np.flatnonzero(~flags[:, 0].astype(bool) & (k > 0))
+            z, of, score, label = -(x[asked] @ weights.T), [], [], []
+            for r, most in enumerate(k[asked]):
+                least = np.partition(z[r], most - 1)[most - 1] if most < len(names) else np.inf
+                first = np.flatnonzero(z[r] <= least)
+                first = first[np.argsort(z[r, first], kind="stable")][:most]  # ties go to the smaller label
+                of.append(len(first))
+                score.append(z[r, first])
+                label.append(names[first])
+            if len(asked):
+                items = pa.StructArray.from_arrays([pa.array(np.concatenate(score)), pa.array(np.concatenate(label))], ["s", "label"])
+                best = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(of)], pa.int32()), items)
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in asked], pa.int64()), pa.array(k[asked], pa.int64()), best], ["node", "k", "best"])
+
+    return rows.mapInArrow(run, "node long, k long, best array<struct<s: double, label: long>>")
+
+
+def _banded(rows: DataFrame, d: int, labels: int, numbers: int, c: float) -> DataFrame:
+    """label, tp, fp, fn of one split, its labels fitted in bands of bounded size; a row's best labels of each band are merged. rows: node, vec, labels, flags."""
+    rows = cut(rows.withColumn("node", F.monotonically_increasing_id()))  # a node may have several rows
+    basis, wide, found = spectrum(rows, d, c), max(1, numbers // (d + 3)), None
+    for lo in range(0, labels, wide):
+        names = np.arange(lo, min(labels, lo + wide))
+        band = cut(_best(rows, d, names, fit_truncated(rows, d, names, basis, c=c)))  # the band's weights go with it
+        found = band if found is None else found.unionByName(band)
+    merged = found.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"), F.max("k").cast("int").alias("k"))  # k of each band at most
+    predicted = merged.select("node", F.explode(F.slice("best", F.lit(1), F.col("k"))).alias("b")).select("node", F.col("b.label").alias("label"))
+    return confusion(predicted, rows.filter(~F.get("flags", F.lit(0))).select("node", F.explode("labels").alias("label")))
+
+
+def classify(vectors: DataFrame, truth: DataFrame, fractions: list[float], *, repeats: int = 1, seed: int = 0, c: float = 1.0, numbers: int | None = None) -> DataFrame:
     """fraction, micro_f1, macro_f1, means over repeats of: split, train, take the k best labels, score.
 
-    vectors: node, vec (of one length); truth: node, label. The models of all
-    fractions, repeats and labels are fitted in common passes over the rows;
-    the weights of one split pass through the driver, (d + 1) for each label;
-    if these are more than PASS_NUMBERS, there are too many labels: ValueError.
+    vectors: node, vec (of one length); truth: node, label (null labels are
+    passed over). Labels are numbered by a join, so no list of them is ever held
+    in one place. If the second derivatives of a split's models fit `numbers`
+    numbers (PASS_NUMBERS), the models of as many fractions, repeats and labels
+    as that allows are fitted in common passes by Newton's steps. Else each
+    split's labels are fitted band by band by truncated ones, d + 3 numbers a
+    label and pass, and a row's best labels of all bands are merged; the weights
+    of one band pass through the driver. Both find the same models.
     """
     spark: SparkSession = vectors.sparkSession
-    width = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
-    most = PASS_NUMBERS // (width + 1)
-    names = np.array([r["label"] for r in truth.select(F.col("label").cast("long")).distinct().orderBy("label").limit(most + 1).collect()], np.int64)
-    if len(names) > most:
-        raise ValueError(f"more than {most} labels at {width} dimensions: the weights of one split would not fit the {PASS_NUMBERS} numbers that may pass through the driver")
-    sets = truth.groupBy("node").agg(F.collect_set(F.col("label").cast("long")).alias("labels"))
+    numbers = numbers or PASS_NUMBERS
+    truth = truth.select("node", F.col("label").cast("long").alias("label")).filter("label IS NOT NULL").distinct()
+    places = cut(global_rank(truth.select("label").distinct(), ["label"]))
+    labels = places.count()
+    sets = truth.join(places, "label").groupBy("node").agg(F.collect_list(F.col("rank") - 1).alias("labels"))
     rows = cut(vectors.join(sets, "node").select("node", "vec", "labels"))
     d = rows.agg(F.max(F.size("vec"))).first()[0] or 0
     rows = cut(rows.join(_ranks(rows.select("node").distinct(), fractions, repeats, seed), "node"))
     splits = [(f, r) for r in range(repeats) for f in range(len(fractions))]
-    at_once, found = max(1, PASS_NUMBERS // max(1, len(names) * (d + 1))), []
+    narrow = labels * (1 + (d + 1) * (d + 2)) <= numbers
+    at_once, found = max(1, numbers // max(1, labels * (d + 1))) if narrow else 1, []
     for first in range(0, len(splits), at_once):
         mine = splits[first : first + at_once]
-        flagged = cut(rows.select("node", "vec", "labels", F.array(*[F.get(F.get("learns", F.lit(r)), F.lit(f)) for f, r in mine]).alias("flags")))
-        counts = cut(_tested(flagged, d, names, fit_logistic(flagged, d, names, len(mine), c=c)))
+        flagged = rows.select("node", "vec", "labels", F.array(*[F.get(F.get("learns", F.lit(r)), F.lit(f)) for f, r in mine]).alias("flags"))
+        if narrow:
+            flagged, names = cut(flagged), np.arange(labels)
+            counts = cut(_tested(flagged, d, names, fit_logistic(flagged, d, names, len(mine), c=c)))
+        else:
+            counts = cut(_banded(flagged, d, labels, numbers, c).withColumn("split", F.lit(0)))
         micro = counts.groupBy("split").agg((F.sum(F.col("tp") * 2) / F.sum(F.col("tp") * 2 + F.col("fp") + F.col("fn"))).alias("micro_f1"), F.avg(F.col("tp") * 2 / (F.col("tp") * 2 + F.col("fp") + F.col("fn"))).alias("macro_f1"))
         got = {r["split"]: (r["micro_f1"], r["macro_f1"]) for r in micro.collect()}
         found += [(fractions[f], *got.get(k, (0.0, 0.0))) for k, (f, _) in enumerate(mine)]

@@ -932,6 +932,19 @@ def planted_classification(spark, sf_dir):
     return vals(evaluate.classify(vectors, truth, [0.5, 0.7, 0.9], repeats=2), "micro_f1", "macro_f1").withColumn("labels", F.lit(len(labels)).cast("long"))
 
 
+@query("SELECT 0.5::DOUBLE AS fraction, 1.0::DOUBLE AS micro_f1, 1.0::DOUBLE AS macro_f1, (SELECT count(DISTINCT month(o_orderdate) * 8 + dayofweek(o_orderdate)) + count(DISTINCT o_orderpriority) FROM orders) AS labels")
+def banded_classification(spark, sf_dir):
+    """Orders by month with day of the week, and by priority, labels fitted in two bands by truncated steps, from vectors of the first's binary digits and of the priority: nothing may be got wrong."""
+    o = graphs.table(spark, sf_dir, "orders")
+    day = F.month("o_orderdate") * 8 + F.dayofweek("o_orderdate")
+    o = o.join(graphs.coded(o, "o_orderpriority"), "o_orderpriority").select((F.col("o_orderkey") * 2).alias("node"), day.alias("day"), F.col("code").cast("int").alias("code"))
+    truth = o.select("node", F.explode(F.array("day", F.col("code") + 1000)).alias("label"))
+    digits = [F.shiftright("day", b).bitwiseAND(F.lit(1)) * 2.0 - 1.0 for b in range(7)]
+    vectors = o.select("node", F.array(*digits, *[(F.col("code") == k).cast("double") for k in range(5)]).alias("vec"))
+    got = vals(evaluate.classify(vectors, truth, [0.5], c=100.0, numbers=850), "micro_f1", "macro_f1")
+    return got.withColumn("labels", F.lit(truth.select("label").distinct().count()))
+
+
 @query("SELECT CAST(k / 10.0 AS DOUBLE) AS fraction, true AS chance, true AS whole FROM range(1, 10) r(k)")
 def node_classification(spark, sf_dir):
     """The labels of the vectors, learned from each fraction of them ten times. These tables draw them at random, so they are found as often as by chance, within 0.15."""

@@ -386,6 +386,31 @@ def test_many_labels_and_splits(spark, monkeypatch):
             assert got[f] == pytest.approx(tuple(np.mean([w[1:] for w in want if w[0] == f], axis=0)))
 
 
+def test_truncated_steps_find_the_same_models(spark):
+    """Correlated and badly scaled vectors, common, rare and missing labels: the weights of Newton's steps, of labels in any bands."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6)) @ rng.normal(size=(6, 6)) * np.array([1, 1, 10, 0.1, 1, 3])
+    sets = [[k for k, one in enumerate((r[0] > 0, r[1] + rng.normal() > 2, i < 3, rng.random() < 0.5, False, True)) if one] for i, r in enumerate(x)]
+    rows = spark.createDataFrame([(i, r.tolist(), s, [i % 4 > 0]) for i, (r, s) in enumerate(zip(x, sets, strict=True))], "node long, vec array<double>, labels array<long>, flags array<boolean>").repartition(3).persist()
+    names = np.arange(6)
+    want = evaluate.fit_logistic(rows, 6, names, 1, c=2.0)[0]
+    basis = evaluate.spectrum(rows, 6, 2.0)
+    assert np.allclose(evaluate.fit_truncated(rows, 6, names, basis, c=2.0), want, rtol=1e-4, atol=1e-4)
+    assert np.allclose(evaluate.fit_truncated(rows, 6, names[2:4], basis, c=2.0), want[2:4], rtol=1e-4, atol=1e-4)
+    rows.unpersist()
+
+
+def test_more_labels_than_fit_a_pass(spark):
+    """Each node has a label of its own and one of its group: bands of few labels give what one pass gives; repeated rows and null labels do no harm."""
+    rng = np.random.default_rng(6)
+    vectors = spark.createDataFrame([(i // 2, rng.normal(size=3).tolist()) for i in range(160)], "node long, vec array<double>")
+    truth = spark.createDataFrame([(i, k) for i in range(80) for k in (None, -5 - i % 40, i % 3, i % 3)], "node long, label int")
+    for numbers in (2000, 150):
+        got, want = (evaluate.classify(vectors, truth, [0.6], numbers=x).first() for x in (numbers, None))
+        assert tuple(got) == pytest.approx(tuple(want))
+    assert evaluate.classify(vectors, truth.limit(0), [0.6], numbers=10).first()["micro_f1"] == 0.0
+
+
 def test_alias_draws(spark):
     from meshvec.operators import stats
 
