@@ -10,7 +10,8 @@ from meshvec.llm.common import cut, let
 #: In a packed long, the low bits hold a token's place and the rest a hash.
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
-HASH = (1 << 63) - 1 - PLACE
+#: Texts with more tokens than this hold the same hashes and their places in structs.
+PACKED_TOKENS = 1 << PLACE_BITS
 #: An id is hot if it has more rows than both HOT_LEAST and one in HOT_SHARE of all, so no more than HOT_SHARE ids are.
 HOT_LEAST, HOT_SHARE = 10_000, 1000
 
@@ -28,53 +29,57 @@ def order_minhash(text: Column, *, k: int = 3, take: int = 2, bins_log2: int = 6
 
     One hash is split into bins (one permutation), so the work is
     proportional to the text and not to text times bins. Null and empty texts
-    have an empty sketch. Places count modulo 2^24: of texts with more tokens
-    than that (16.7 million), k-mers a multiple of 2^24 apart stand in the order
-    of their hashes.
+    have an empty sketch. Hash and place share a long; in texts of more than
+    2^24 tokens, whose places don't fit it, they are the fields of a struct,
+    with the same hashes and order.
     """
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,8}"), F.lit(0))
 
-    def hash_of(x: Column) -> Column:
-        return F.shiftright(x, PLACE_BITS)
-
-    def starts(packed: Column, group) -> Column:
+    def starts(items: Column, group) -> Column:
         """Places where group(item) changes in a sorted array."""
-        return F.filter(F.sequence(F.lit(0), F.size(packed) - 1), lambda i: (i == 0) | (group(F.get(packed, i)) != group(F.get(packed, i - 1))))
+        return F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: (i == 0) | (group(F.get(items, i)) != group(F.get(items, i - 1))))
+
+    def sketch(t: Column, item, hash_of, place_of) -> Column:
+        """The sketch of tokens; item(h, place) holds the upper bits of a hash and a place."""
+
+        def kmers(t: Column) -> Column:
+            return F.sort_array(F.transform(t, lambda x, i: item(F.xxhash64(x, *[F.get(t, i + j) for j in range(1, k)]), i.cast("long"))))
+
+        def numbered(p: Column) -> Column:
+            def run(r: Column) -> Column:
+                def of(s: Column, j: Column) -> Column:
+                    def one(i: Column) -> Column:
+                        own = F.get(p, i)
+                        return item(F.xxhash64(hash_of(own), i - s).bitwiseAND(F.lit((1 << 63) - 1)), place_of(own))
 
-    def kmers(t: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            h = F.xxhash64(x, *[F.get(t, i + j) for j in range(1, k)])
-            return h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACE)))
+                    return F.transform(F.sequence(s, F.coalesce(F.get(r, j + 1), F.size(p)) - 1), one)
 
-        return F.sort_array(F.transform(t, one))
+                return F.sort_array(F.flatten(F.transform(r, of)))
 
-    def numbered(p: Column) -> Column:
-        def run(r: Column) -> Column:
-            def of(s: Column, j: Column) -> Column:
-                def one(i: Column) -> Column:
-                    item = F.get(p, i)
-                    return F.xxhash64(hash_of(item), i - s).bitwiseAND(F.lit(HASH)).bitwiseOR(item.bitwiseAND(F.lit(PLACE)))
+            return let(starts(p, hash_of), run)
 
-                return F.transform(F.sequence(s, F.coalesce(F.get(r, j + 1), F.size(p)) - 1), one)
+        def bin_of(x: Column) -> Column:
+            return F.shiftright(hash_of(x), 63 - PLACE_BITS - bins_log2)
 
-            return F.sort_array(F.flatten(F.transform(r, of)))
+        def tuples(q: Column) -> Column:
+            def one(s: Column) -> Column:
+                own = bin_of(F.get(q, s))
+                least = F.filter(F.slice(q, s + 1, F.lit(take)), lambda v: bin_of(v) == own)
+                placed = F.array_sort(F.transform(least, lambda v: F.struct(place_of(v).alias("at"), hash_of(v).alias("h"))))
+                return F.shiftleft(own, 32).bitwiseOR(F.xxhash64(F.transform(placed, lambda x: x["h"])).bitwiseAND(F.lit(0xFFFFFFFF)))
 
-        return let(starts(p, hash_of), run)
+            return F.transform(starts(q, bin_of), one)
 
-    def bin_of(x: Column) -> Column:
-        return F.shiftright(x, 63 - bins_log2)
+        return let(let(kmers(t), numbered), tuples)
 
-    def tuples(q: Column) -> Column:
-        def one(s: Column) -> Column:
-            own = bin_of(F.get(q, s))
-            least = F.filter(F.slice(q, s + 1, F.lit(take)), lambda v: bin_of(v) == own)
-            placed = F.array_sort(F.transform(least, lambda v: F.struct(v.bitwiseAND(F.lit(PLACE)).alias("at"), hash_of(v).alias("h"))))
-            return F.shiftleft(own, 32).bitwiseOR(F.xxhash64(F.transform(placed, lambda x: x["h"])).bitwiseAND(F.lit(0xFFFFFFFF)))
+    def packed(t: Column) -> Column:
+        return sketch(t, lambda h, at: h.bitwiseAND(F.lit(~PLACE)).bitwiseOR(at), lambda x: F.shiftright(x, PLACE_BITS), lambda x: x.bitwiseAND(F.lit(PLACE)))
 
-        return F.transform(starts(q, bin_of), one)
+    def wide(t: Column) -> Column:
+        return sketch(t, lambda h, at: F.struct(F.shiftright(h, PLACE_BITS).alias("h"), at.alias("at")), lambda x: x["h"], lambda x: x["at"])
 
     none = F.array().cast("array<bigint>")
-    return let(tokens, lambda t: F.when(F.size(t) == 0, none).otherwise(let(let(kmers(t), numbered), tuples)))
+    return let(tokens, lambda t: F.when(F.size(t) == 0, none).when(F.size(t) <= PACKED_TOKENS, packed(t)).otherwise(wide(t)))
 
 
 def likeness(a: Column, b: Column) -> Column:

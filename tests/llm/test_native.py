@@ -153,6 +153,13 @@ def test_fingerprints_equal_plain_order_minhash(spark):
     check_fingerprints(fingerprint.fingerprint_edits(docs(spark, [(i, t, "a") for i, t in texts])).collect(), texts)
 
 
+def test_texts_of_more_tokens_than_a_packed_place(spark, monkeypatch):
+    """Hashes and places in structs give what they give in one number."""
+    monkeypatch.setattr(fingerprint, "PACKED_TOKENS", 9)
+    texts = [(i * 7 % 101, t) for i, t in enumerate(odd_texts())]
+    check_fingerprints(fingerprint.fingerprint_edits(docs(spark, [(i, t, "a") for i, t in texts])).collect(), texts)
+
+
 def test_hot_ids_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "HOT_LEAST", 5)
     texts = [(None, t) for t in odd_texts() for _ in range(2)] + [(None, "one and the same")] * 40 + [(i, f"text {i} of few") for i in (1, 2, 9)] + [(5, f"hot {i % 4} too") for i in range(20)]
