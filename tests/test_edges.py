@@ -127,7 +127,49 @@ def test_matlab_networks(spark, tmp_path, sparse, packed):
     assert got == {(i, j): a[i, j] for i, j in zip(*np.nonzero(a), strict=True)}
     assert matfiles.read_network(spark, str(tmp_path / "x.mat"), "g").count() == 4
     with pytest.raises(ValueError, match="no matrix other"):
-        matfiles.coordinates((tmp_path / "x.mat").read_bytes(), "other")
+        list(matfiles.pieces((tmp_path / "x.mat").read_bytes(), "other"))
+    with pytest.raises(ValueError, match="ends inside"):
+        list(matfiles.pieces((tmp_path / "x.mat").read_bytes()[:-40], "network"))
+
+
+def write_mat(path, *bodies, packed):
+    path.write_bytes(b"MATLAB 5.0 MAT-file".ljust(124) + b"\x00\x01IM" + b"".join(mat_element(15, zlib.compress(x), padded=False) if packed else x for x in bodies))
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+@pytest.mark.parametrize("packed", [True, False])
+@pytest.mark.parametrize("cells", [1, 7, 64])
+def test_matlab_pieces(tmp_path, monkeypatch, sparse, packed, cells):
+    """Pieces of any size give the same cells: empty columns, a column of many pieces, an empty matrix, inflated a few bytes at a time."""
+    monkeypatch.setattr(matfiles, "CELLS", cells)
+    monkeypatch.setattr(matfiles, "INFLATED", 13)
+    rng = np.random.default_rng(5)
+    a = rng.integers(1, 300, (40, 9)) * (rng.random((40, 9)) < 0.3) * np.array([0, 1, 1, 0, 0, 1, 1, 1, 0])
+    a[:, 5] = 7
+    for one in (a, a * 0):
+        write_mat(tmp_path / "x.mat", mat_matrix("longer name", one, not sparse), mat_matrix("network", one.astype(float), sparse), packed=packed)
+        rows = {}
+        for piece, role, form, runs, data in matfiles.pieces((tmp_path / "x.mat").read_bytes(), "network"):
+            rows.setdefault(piece, []).append({"role": role, "form": form, "runs": runs, "data": data})
+        assert all(len(np.frombuffer(r["data"], r["form"])) <= cells for rs in rows.values() for r in rs)
+        got = [c for rs in rows.values() for c in matfiles._coordinates(matfiles.pa.Table.from_pylist(rs)).to_pylist()]
+        assert sorted((c["i"], c["j"], c["v"]) for c in got) == sorted((i, j, one[i, j]) for i, j in zip(*np.nonzero(one), strict=True))
+
+
+def test_a_file_is_read_by_several_tasks(spark, tmp_path):
+    """Two million cells in a deflated file: coordinates are made by more than one task."""
+    n, per = 20_000, 100
+    i = (np.arange(n)[:, None] * 7 + np.arange(per) * 131) % n
+    i.sort(axis=1)
+    head = mat_element(6, np.array([5, n * per], "<u4").tobytes()) + mat_element(5, np.array([n, n], "<i4").tobytes()) + mat_element(1, b"network")
+    body = head + mat_element(5, i.astype("<i4").tobytes()) + mat_element(5, (np.arange(n + 1) * per).astype("<i4").tobytes()) + mat_element(2, (i % 5 + 1).astype("u1").tobytes())
+    write_mat(tmp_path / "x.mat", mat_element(14, body), packed=True)
+    cells = matfiles.read_network(spark, str(tmp_path / "x.mat"))
+    got = cells.groupBy(F.spark_partition_id().alias("task")).agg(F.count("v").alias("n"), F.sum("i").alias("i"), F.sum("j").alias("j"), F.sum("v").alias("v"), F.sum(F.col("i") * F.col("j") % 1009).alias("ij")).collect()
+    assert len(got) > 1
+    total = [sum(r[c] for r in got) for c in ("n", "i", "j", "v", "ij")]
+    j = np.arange(n)[:, None]
+    assert total == [n * per, i.sum(), j.sum() * per, (i % 5 + 1).sum(), (i * j % 1009).sum()]
 
 
 def test_bad_lines_of_an_edge_list(spark, tmp_path):
