@@ -23,28 +23,37 @@ NAMES = [c.split()[0] for c in ALIGNED.split(", ")]
 KINDS = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
-def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owners in A and in B of each elementary interval, and the ends that both have.
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each elementary interval: its owners in A and in B, and whether A, B, and both end with it.
 
-    Both arrays end at the same place. The union of all ends cuts the text into
-    intervals. One lies inside one token of either side, and two tokens that
-    overlap share exactly one, since no end falls inside their intersection.
+    Both arrays grow and end at the same place. The union of all ends cuts the
+    text into intervals. One lies inside one token of either side, and two
+    tokens that overlap share exactly one, since no end falls inside their
+    intersection. Ends are marked by byte, so nothing is sorted or searched.
     """
-    ends = np.union1d(a_ends, b_ends)
-    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends), np.intersect1d(a_ends, b_ends, assume_unique=True)
+    marks = np.zeros(int(a_ends[-1]) + 1, np.uint8)
+    marks[a_ends] = 1
+    marks[b_ends] |= 2
+    marks = marks[marks > 0]
+    a_stops, b_stops = (marks & 1).astype(bool), marks > 1
+    return np.cumsum(a_stops) - a_stops, np.cumsum(b_stops) - b_stops, a_stops, b_stops, marks == 3
 
 
 class Vocabulary:
     """Bytes and byte lengths of tokens by id, and ids as text with the mark that follows."""
 
     def __init__(self, tokens: list[bytes], last: str):
-        self.tokens = tokens
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
         self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.names = np.array([f"{i}," for i in range(len(tokens))], object)
         self.last = np.array([f"{i}{last}" for i in range(len(tokens))], object)
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the tokens one after another."""
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        return self.data[np.repeat(self.starts[ids] - ends + n, n) + np.arange(ends[-1] if len(ids) else 0)]
 
 
 class Aligner:
@@ -80,8 +89,8 @@ class Aligner:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides, or None if either doesn't give back a space and the text."""
         whole = f" {text}"
-        a, b, data = self.encode_a(whole), np.asarray(self.pieces.encode(text), np.int64), whole.encode()
-        return (a, b) if len(a) and len(b) and self.a.joined(a) == data and self.b.joined(b) == data else None
+        a, b, data = self.encode_a(whole), np.array(self.pieces.encode(text), np.int64), np.frombuffer(whole.encode(), np.uint8)
+        return (a, b) if np.array_equal(self.a.joined(a), data) and np.array_equal(self.b.joined(b), data) else None
 
     def align(self, text: str | None) -> tuple:
         """n_a, n_b, n_groups, n_links, groups, pairs, times of a text."""
@@ -90,15 +99,15 @@ class Aligner:
             return 0, 0, 0, 0, "", (), ()
         a, b = found
         a_ends, b_ends = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
-        in_a, in_b, shared = overlaps(a_ends, b_ends)
-        pairs, times = np.unique(a[in_a] * len(self.b.tokens) + b[in_b], return_counts=True)
-        return len(a), len(b), len(shared), len(in_a), self._groups(a, b, a_ends, b_ends, shared), pairs, times
+        in_a, in_b, a_stops, b_stops, shared = found = overlaps(a_ends, b_ends)
+        pairs, times = np.unique(a[in_a] * len(self.b.lengths) + b[in_b], return_counts=True)
+        return len(a), len(b), int(shared.sum()), len(in_a), self._groups(a, b, *found), pairs, times
 
-    def _groups(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, shared: np.ndarray) -> str:
+    def _groups(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, a_stops: np.ndarray, b_stops: np.ndarray, shared: np.ndarray) -> str:
         """`a1,a2|b1;a3|b2,b3`: the ids of each group, put at their places in one array of words."""
-        a_to, b_to = np.searchsorted(a_ends, shared) + 1, np.searchsorted(b_ends, shared) + 1  # tokens up to the end of each group
-        at_a = np.arange(len(a)) + np.r_[0, b_to[:-1]][np.searchsorted(shared, a_ends)]
-        at_b = np.arange(len(b)) + a_to[np.searchsorted(shared, b_ends)]
+        a_to, b_to, group = in_a[shared] + 1, in_b[shared] + 1, np.cumsum(shared) - shared  # tokens up to the end of each group; the group of each interval
+        at_a = np.arange(len(a)) + np.r_[0, b_to[:-1]][group[a_stops]]
+        at_b = np.arange(len(b)) + a_to[group[b_stops]]
         words = np.empty(len(a) + len(b), object)
         words[at_a], words[at_b] = self.a.names[a], self.b.names[b]
         words[at_a[a_to - 1]], words[at_b[b_to - 1]] = self.a.last[a[a_to - 1]], self.b.last[b[b_to - 1]]

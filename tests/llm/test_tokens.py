@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from meshvec.llm import alignment, infill, queries
@@ -146,3 +147,11 @@ def test_infill_equals_plain_python(spark):
 def test_infill_stays_in_the_jvm(spark, sf_dir):
     plan = queries.op13_marker_infill(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_overlaps_by_marks():
+    """Owners of elementary intervals and the ends of either side, from marks by byte instead of sorted ends."""
+    in_a, in_b, a_stops, b_stops, shared = alignment.overlaps(np.array([2, 5, 9]), np.array([1, 5, 6, 9]))
+    assert in_a.tolist() == [0, 0, 1, 2, 2] and in_b.tolist() == [0, 1, 1, 2, 3]
+    assert a_stops.tolist() == [False, True, True, False, True] and b_stops.tolist() == [True, False, True, True, True]
+    assert shared.tolist() == [False, False, True, False, True]
