@@ -148,12 +148,14 @@ def _memberships(prints: DataFrame, radius: int) -> DataFrame:
     return prints.select("fp", "docs").mapInArrow(run, "key long, fp long, docs long")
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, large: DataFrame) -> DataFrame:
-    """key, fp, label, loose of the keys whose members labels (id, label) don't join altogether; loose: a label other than the hub's."""
-    named = cut(members.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("key", "fp", "hub", F.coalesce("label", "fp").alias("label")))
-    hubs = named.filter("fp = hub").select("key", F.col("label").alias("of"))
-    told = cut(_of_group(named, hubs, large, "key").select("key", "fp", "label", (F.col("label") != F.col("of")).alias("loose")))
-    return _of_group(told, told.filter("loose").select("key").distinct(), large, "key")
+def _unsettled(others: DataFrame, hubs: DataFrame, labels: DataFrame, large: DataFrame) -> DataFrame:
+    """key, fp, label, loose of the keys whose hubs and other members labels (id, label) don't join altogether; loose: a label other than the hub's. others: key, fp, hub; hubs: key, hub."""
+    of = labels.withColumnRenamed("id", "fp")
+    lead = cut(hubs.select("key", F.col("hub").alias("fp")).join(of, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label")))
+    named = others.join(of, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label"))
+    told = cut(_of_group(named, lead.select("key", F.col("label").alias("of")), large, "key").select("key", "fp", "label", (F.col("label") != F.col("of")).alias("loose")))
+    unjoined = cut(told.filter("loose").select("key").distinct())
+    return _of_group(told, unjoined, large, "key").unionByName(lead.join(unjoined, "key", "left_semi").withColumn("loose", F.lit(False)))
 
 
 def _blocks(rows: DataFrame, large: DataFrame) -> DataFrame:
@@ -211,10 +213,10 @@ def hamming_groups(prints: DataFrame, *, radius: int = 4) -> DataFrame:
     hubs = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.max(F.struct("docs", "fp"))["fp"].alias("hub")).filter("g > 1"))
     total = hubs.agg(F.coalesce(F.sum("g"), F.lit(0))).first()[0]
     large = cut(hubs.filter(F.col("g") * HOT_SHARE >= total).select("key"))
-    members = cut(_of_group(_memberships(prints, radius), hubs.select("key", "hub"), large, "key").select("key", "fp", "hub"))
-    near = members.filter((F.col("fp") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= radius))
+    others = cut(_of_group(_memberships(prints, radius), hubs.select("key", "hub"), large, "key").filter("fp != hub").select("key", "fp", "hub"))  # a hub needs no meeting with itself
+    near = others.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= radius).select("fp", "hub").distinct()
     labels = connected(near.select(F.col("hub").alias("u"), F.col("fp").alias("v")))
-    loose = cut(_unsettled(members, labels, large))
+    loose = cut(_unsettled(others, hubs, labels, large))
     links = cut(_verified(_blocks(loose, large), radius))
     return connected(links.unionByName(labels.select(F.col("label").alias("u"), F.col("id").alias("v"))))
 

@@ -129,3 +129,14 @@ def test_empty_and_long(spark):
     assert grouped(spark, []) == []
     text = "ab cd, " * 400_000
     assert grouped(spark, [(1, text), (2, "x" * 2_000_000)]) == [(i, f"{plain_fingerprint(t):016x}", i) for i, t in ((1, text), (2, "x" * 2_000_000))]
+
+
+def test_hubs_do_not_meet_themselves(spark, monkeypatch):
+    """A hub is a member of its key without a join: only the others meet it, and a link found under several keys passes once."""
+    real, seen = simhash.connected, []
+    monkeypatch.setattr(simhash, "connected", lambda links: seen.append(links.collect()) or real(links))
+    prints = [0, 1, 2, 1 << 40]
+    frame = spark.createDataFrame([(p, 9 if p == 0 else 1) for p in prints], "fp long, docs long")
+    assert {r["id"]: r["label"] for r in simhash.hamming_groups(frame).collect()} == {1: 0, 2: 0, 1 << 40: 0}
+    found = [tuple(sorted(r)) for r in seen[0]]
+    assert len(found) == len(set(found)) and all(u != v for u, v in found)
