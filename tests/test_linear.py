@@ -442,3 +442,38 @@ def test_streaming_degrees(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("degrees").collect()} == {(1, 2), (0, 1)}
+
+
+def test_products_are_added_up_in_cells(spark, monkeypatch):
+    """Bands, sums in pieces and cells that several tasks share give the product; products never are rows of a join."""
+    monkeypatch.setattr(matrix, "BAND", 5)
+    monkeypatch.setattr(matrix, "AT_ONCE", 7)
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-2, 3, (12, 12)).astype(float), rng.integers(-2, 3, (12, 12)).astype(float)
+    A, B = (spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i long, j long, v double") for m in (a, b))
+    for shared in (1 << 30, 40):
+        monkeypatch.setattr(matrix, "SHARED", shared)
+        got = matrix.dot(A, B)
+        assert np.allclose(matrix.to_dense(got, 12), a @ b) and got.count() == (np.abs(a) @ np.abs(b) > 0).sum()
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert matrix.dot(A.limit(0), B).count() == 0
+
+
+def test_gram_of_equal_rows_is_unfolded(spark, monkeypatch):
+    """Owners of equal rows, in several lists, each have their cells, and no cell is added up."""
+    monkeypatch.setattr(matrix, "OWNERS", 3)
+    a = np.zeros((30, 4))
+    for i in range(30):
+        a[i, [i % 3, 3] if i % 2 else [i % 3]] = 2.0
+    A = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "i long, j long, v double")
+    got = matrix.gram_of_rows(A)
+    assert np.allclose(matrix.to_dense(got, 30), a @ a.T) and got.count() == (a @ a.T > 0).sum()
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trade_is_counted_once(spark, sf_dir):
+    """What stands on the trade of nations reads a checkpoint, not the tables again."""
+    from meshvec.sources import graphs
+
+    plan = graphs.nation_trade(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" not in plan and "Join" not in plan
