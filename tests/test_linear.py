@@ -477,3 +477,12 @@ def test_trade_is_counted_once(spark, sf_dir):
 
     plan = graphs.nation_trade(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation" not in plan and "Join" not in plan
+
+
+def test_cells_out_of_reach_are_told_whatever_the_witness(spark):
+    """A wrong middle node is made good by all others; only what no two edges join is lost."""
+    from meshvec.plans import catalogue
+
+    step = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 4), (2, 1, 4), (2, 4, 3)], "party int, src long, dst long")
+    far = spark.createDataFrame([(1, 1, 3, 2), (1, 2, 4, 9), (1, 1, 4, 3), (2, 1, 3, 4), (2, 1, 2, 4)], "party int, i long, j long, k long")
+    assert sorted(tuple(r) for r in catalogue.unreachable(far, step).collect()) == [(1, 1, 4), (2, 1, 2)]
