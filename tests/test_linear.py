@@ -486,3 +486,11 @@ def test_cells_out_of_reach_are_told_whatever_the_witness(spark):
     step = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 4), (2, 1, 4), (2, 4, 3)], "party int, src long, dst long")
     far = spark.createDataFrame([(1, 1, 3, 2), (1, 2, 4, 9), (1, 1, 4, 3), (2, 1, 3, 4), (2, 1, 2, 4)], "party int, i long, j long, k long")
     assert sorted(tuple(r) for r in catalogue.unreachable(far, step).collect()) == [(1, 1, 4), (2, 1, 2)]
+
+
+def test_energy_adds_up_without_rounding(spark):
+    from meshvec.plans import catalogue
+
+    emb = spark.range(0, 300_000, 1, 1).selectExpr("array(8.049845, 0.1) AS vec")
+    want = sum((300_000 * round(x * x, 18)) ** 2 for x in (8.049845, 0.1))
+    assert abs(catalogue.energy(emb, 2).first()["energy"] - want) <= 1e-13 * want
