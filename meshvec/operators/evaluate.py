@@ -90,10 +90,9 @@ def _summed(rows: DataFrame, d: int, names: np.ndarray, models: int, width: int,
 
     got = blocks.summed(rows.mapInArrow(run, blocks.DDL), each * width).toArrow()  # models x width numbers
     out = np.zeros((parts, each * width))
-    for column in ("bi", "x"):
-        got = got.set_column(got.schema.get_field_index(column), column, got[column].combine_chunks())
-    if got.num_rows:
-        out[got["bi"].to_numpy()] = np.concatenate([c.flatten().to_numpy() for c in got["x"].chunks]).reshape(-1, each * width)
+    for batch in got.to_batches():
+        for at, x in zip(batch["bi"].to_pylist(), blocks.arrays(batch["x"], each * width), strict=True):
+            out[at] = x
     return out.reshape(parts * each, width)[:models]
 
 

@@ -1,9 +1,11 @@
 """Products of dense blocks on a grid, and the named block store."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from meshvec.operators import blocks
+from meshvec.operators import blocks, masks
+from meshvec.plans import catalogue
 from meshvec.sources import blockstore
 
 
@@ -93,3 +95,33 @@ def test_store_without_blocks_and_without_name(spark, tmp_path):
         blockstore.load(spark, str(tmp_path), "never")
     with pytest.raises(ValueError):
         blockstore.save(spark.createDataFrame([], blocks.DDL), str(tmp_path), "none", 4, inner="x")
+
+
+def test_thin_blocks_are_packed(spark):
+    """A block of few cells is as long as its cells need, whatever was done to it; dense ones are whole."""
+    a = np.zeros((24, 24))
+    a[1, 2], a[9, 20], a[16:, 16:] = 3.0, -2.0, np.arange(1, 65).reshape(8, 8)
+    x = blocks.to_blocks(coordinates(spark, a), 8)
+    for m, want in ((x, a), (blocks.transpose(x, 8), a.T), (blocks.add(8, (1, x), (-2.5, x)), -1.5 * a), (blocks.dot(x, x, 8), a @ a)):
+        assert np.allclose(dense(m, (24, 24), 8), want)
+        assert {len(r["x"]) for r in m.collect()} <= {0, 2, 16, 64}
+
+
+def test_masks_are_not_broadcast(spark, pair):
+    p = masks.orthogonal_blocks(spark, 53, 4, 1)
+    plan = blocks.dot(pair[2], p, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+
+
+def test_row_groups_of_a_store_are_small(spark, tmp_path):
+    blockstore.save(masks.orthogonal_blocks(spark, 64 * 1500, 64, 1), str(tmp_path), "m", 64, inner="bi", buckets=1)
+    files = list(tmp_path.rglob("blocks_0/*.parquet"))
+    groups = [g.total_byte_size for f in files for g in (pq.read_metadata(f).row_group(k) for k in range(pq.read_metadata(f).num_row_groups))]
+    assert len(groups) > 1 and max(groups) < 2 * blockstore.GROUP_BYTES
+
+
+def test_a_block_row_needs_one_store(spark, sf_dir, monkeypatch):
+    saved, save = [], blockstore.save
+    monkeypatch.setattr(blockstore, "save", lambda *a, **k: (saved.append(a[2]), save(*a, **k)))
+    catalogue.QUERIES["stored_block_row"](spark, sf_dir)
+    assert saved == ["own"]
