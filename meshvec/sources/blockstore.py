@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 MANIFEST = "name string, size int, inner string, buckets int, n_blocks long, n_rows long, n_columns long, version string"
 COLUMNS = "bi BIGINT, bj BIGINT, x ARRAY<DOUBLE>"
+#: Size of a row group, which Parquet looks at every 100 rows.
+GROUP_BYTES = 16 << 20
 
 
 def _entry(path: str, version: str) -> str:
@@ -29,7 +31,7 @@ def save(blocks: DataFrame, path: str, name: str, size: int, *, inner: str, buck
     without an exchange. The manifest is written last and names the folder of
     this version, so a reader finds a whole store or the one before, and a
     retried task replaces its own file. Equal (bi, bj) are kept apart, as they
-    add up.
+    add up. A reader takes up to 4,096 rows of one row group at once, so groups are kept small.
     """
     if inner not in ("bi", "bj"):
         raise ValueError(f"blocks are stored by bi or bj, not {inner}")
@@ -40,7 +42,7 @@ def save(blocks: DataFrame, path: str, name: str, size: int, *, inner: str, buck
     # a task of each bucket, so that a bucket is one file
     dealt = blocks.select("bi", "bj", "x").repartition(buckets, inner)
     other = "bj" if inner == "bi" else "bi"
-    dealt.write.format("parquet").mode("overwrite").bucketBy(buckets, inner).sortBy(inner, other).option("path", folder).saveAsTable(_entry(folder, version))
+    dealt.write.format("parquet").mode("overwrite").bucketBy(buckets, inner).sortBy(inner, other).option("parquet.block.size", GROUP_BYTES).option("path", folder).saveAsTable(_entry(folder, version))
     told = spark.read.schema(COLUMNS).parquet(folder).agg(F.count(F.lit(1)).alias("n"), F.max("bi").alias("i"), F.max("bj").alias("j")).first()
     row = (name, size, inner, buckets, told["n"], (told["i"] + 1 if told["n"] else 0), (told["j"] + 1 if told["n"] else 0), version)
     spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/{name}/manifest")
