@@ -494,3 +494,18 @@ def test_energy_adds_up_without_rounding(spark):
     emb = spark.range(0, 300_000, 1, 1).selectExpr("array(8.049845, 0.1) AS vec")
     want = sum((300_000 * round(x * x, 18)) ** 2 for x in (8.049845, 0.1))
     assert abs(catalogue.energy(emb, 2).first()["energy"] - want) <= 1e-13 * want
+
+
+def test_masked_messages_are_never_moved(spark, ab):
+    """The masked proximity is made of packed blocks that meet once: no mask and no masked block is shuffled or broadcast."""
+    a, b, A, B = ab
+    a, b = np.abs(a), np.abs(b)
+    deg = np.where((a + b).sum(0) > 0, (a + b).sum(0), 1.0)
+    degree = spark.createDataFrame([(i, float(x)) for i, x in enumerate(deg)], "node long, deg double")
+    xs = [coordinates(spark, x / deg[:, None]) for x in (a, b)]
+    x = (a + b) / deg[:, None]
+    for window, want in ((1, x / deg), (2, (x + x @ x) / deg / 2)):
+        got = masks.masked_proximity(spark, xs, degree, 7.0, 12, window=window, size=5)
+        assert np.allclose(matrix.to_dense(got, 12), 7 * want)
+    plan = masks.demasked_sum([blocks.to_blocks(x, 5) for x in xs], 1.0, 12, size=5, seed=1, least=0.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 3  # the blocks of two parties, and what is done with them
