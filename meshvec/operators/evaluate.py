@@ -32,11 +32,13 @@ def topk(scores: DataFrame, truth: DataFrame) -> DataFrame:
     return scores.withColumn("r", F.row_number().over(best)).join(k, "node").filter("r <= k").select("node", "label")
 
 
-def confusion(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """label, tp, fp, fn."""
+def confusion(predicted: DataFrame, truth: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """label, tp, fp, fn. times (node, rows): how often each node counts, once if not given."""
     both = predicted.select("node", "label", F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(truth.select("node", "label", F.lit(0).alias("p"), F.lit(1).alias("t")))
     cells = both.groupBy("node", "label").agg(F.max("p").alias("p"), F.max("t").alias("t"))
-    return cells.groupBy("label").agg(F.sum(F.col("p") * F.col("t")).alias("tp"), F.sum(F.col("p") * (1 - F.col("t"))).alias("fp"), F.sum((1 - F.col("p")) * F.col("t")).alias("fn"))
+    cells = cells.withColumn("rows", F.lit(1)) if times is None else cells.join(times, "node")
+    p, t, n = F.col("p"), F.col("t"), F.col("rows")
+    return cells.groupBy("label").agg(F.sum(p * t * n).alias("tp"), F.sum(p * (1 - t) * n).alias("fp"), F.sum((1 - p) * t * n).alias("fn"))
 
 
 def micro_f1(counts: DataFrame) -> DataFrame:
@@ -77,7 +79,10 @@ def _slices(batches: Iterator[pa.RecordBatch], d: int, names: np.ndarray, models
 
 
 def _summed(rows: DataFrame, d: int, names: np.ndarray, models: int, width: int, add: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
-    """A pass over all rows: what add(out, x, y, flags) adds up for each model, an array (models, width). Sums go from task to task in rows of several models."""
+    """A pass over all rows: what add(out, x, y, flags) adds up for each model, an array (models, width). Sums go from task to task in rows of several models.
+
+    flags say which splits learn from a row, or how many rows like it they learn from.
+    """
     each = max(1, CARRIED // width)
     parts = -(-models // each)
 
@@ -331,16 +336,23 @@ def _best(rows: DataFrame, d: int, names: np.ndarray, weights: np.ndarray) -> Da
 
 
 def _banded(rows: DataFrame, d: int, labels: int, numbers: int, c: float) -> DataFrame:
-    """label, tp, fp, fn of one split, its labels fitted in bands of bounded size; a row's best labels of each band are merged. rows: node, vec, labels, flags."""
-    rows = cut(rows.withColumn("node", F.monotonically_increasing_id()))  # a node may have several rows
-    basis, wide, found = spectrum(rows, d, c), max(1, numbers // (d + 3)), None
+    """label, tp, fp, fn of one split, its labels fitted in bands of bounded size; a row's best labels of each band are merged. rows: node, vec, labels, flags.
+
+    Rows of equal vectors, labels and flags are one row with their number, so the
+    passes cost what different rows there are.
+    """
+    kinds = rows.groupBy("vec", F.array_sort("labels").alias("labels"), "flags").agg(F.count(F.lit(1)).alias("rows"))
+    rows = cut(kinds.withColumn("node", F.monotonically_increasing_id()))  # a node may have several rows
+    learning = rows.select("node", "vec", "labels", F.transform("flags", lambda f: F.when(f, F.col("rows")).otherwise(F.lit(0)).cast("double")).alias("flags"))
+    basis, wide, found = spectrum(learning, d, c), max(1, numbers // (d + 3)), None
     for lo in range(0, labels, wide):
         names = np.arange(lo, min(labels, lo + wide))
-        band = cut(_best(rows, d, names, fit_truncated(rows, d, names, basis, c=c)))  # the band's weights go with it
+        band = cut(_best(rows.select("node", "vec", "labels", "flags"), d, names, fit_truncated(learning, d, names, basis, c=c)))  # the band's weights go with it
         found = band if found is None else found.unionByName(band)
     merged = found.groupBy("node").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"), F.max("k").cast("int").alias("k"))  # k of each band at most
     predicted = merged.select("node", F.explode(F.slice("best", F.lit(1), F.col("k"))).alias("b")).select("node", F.col("b.label").alias("label"))
-    return confusion(predicted, rows.filter(~F.get("flags", F.lit(0))).select("node", F.explode("labels").alias("label")))
+    truth = rows.filter(~F.get("flags", F.lit(0))).select("node", F.explode("labels").alias("label"))
+    return confusion(predicted, truth, rows.select("node", "rows"))
 
 
 def classify(vectors: DataFrame, truth: DataFrame, fractions: list[float], *, repeats: int = 1, seed: int = 0, c: float = 1.0, numbers: int | None = None) -> DataFrame:

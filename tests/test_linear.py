@@ -509,3 +509,25 @@ def test_masked_messages_are_never_moved(spark, ab):
         assert np.allclose(matrix.to_dense(got, 12), 7 * want)
     plan = masks.demasked_sum([blocks.to_blocks(x, 5) for x in xs], 1.0, 12, size=5, seed=1, least=0.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("MapInArrow") == 3  # the blocks of two parties, and what is done with them
+
+
+def test_equal_rows_are_fitted_once(spark, monkeypatch):
+    """Banded models see each kind of row once, and count as many of it as there are."""
+    rng = np.random.default_rng(5)
+    kinds = [(rng.normal(size=3).tolist(), [k % 3, 3 + k % 2]) for k in range(6)]
+    kinds.append((kinds[0][0], [2, 3]))  # equal vectors of different labels
+    rows = [(i, *kinds[i % 7]) for i in range(300)]
+    vectors = spark.createDataFrame([r[:2] for r in rows], "node long, vec array<double>")
+    truth = spark.createDataFrame([(i, x) for i, _, labels in rows for x in labels], "node long, label int")
+    seen, fit = [], evaluate.fit_truncated
+    monkeypatch.setattr(evaluate, "fit_truncated", lambda r, *a, **k: (seen.append(r.count()), fit(r, *a, **k))[1])
+    want = evaluate.classify(vectors, truth, [0.4]).first()
+    got = evaluate.classify(vectors, truth, [0.4], numbers=20).first()
+    assert tuple(got) == pytest.approx(tuple(want)) and 0 < want["micro_f1"] < 1
+    assert len(seen) == 2 and max(seen) <= 14
+
+
+def test_pairs_are_drawn_once(spark):
+    for frame in (graphs.random_symmetric(spark, 20, 1), graphs.planted_partition(spark, 20, 3, 0.5, 0.5, 5)[0]):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" not in plan and "conv(" not in plan
