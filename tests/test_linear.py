@@ -531,3 +531,31 @@ def test_pairs_are_drawn_once(spark):
     for frame in (graphs.random_symmetric(spark, 20, 1), graphs.planted_partition(spark, 20, 3, 0.5, 0.5, 5)[0]):
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         assert "Union" not in plan and "conv(" not in plan
+
+
+def shuffled_rows(spark, run):
+    """What run returns, and the rows that its stages write to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def written():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = written()
+    out = run()
+    return out, sum(n for k, n in written().items() if k not in before)
+
+
+@pytest.mark.parametrize(("weighted", "directed"), [(True, True), (False, False)])
+def test_samples_step_where_their_edges_are(spark, monkeypatch, weighted, directed):
+    """Samples of window 2 are never rows of a shuffle (they were, each of them); nodes of few and many out-edges, dead ends and repeated edges give the cells that joined bins give."""
+    rng = np.random.default_rng(5)
+    edges = [(1, int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 6, 40), rng.integers(0, 9, 40), rng.integers(1, 5, 40), strict=True)] + [(2, 3, 4, 1.0), (2, 4, 5, 2.0), (2, 3, 4, 1.0)]
+    held = spark.createDataFrame(edges, "party int, src long, dst long, w double")
+    settings = {"window": 2, "per_edge": 4000, "workers": 1, "parties": 2, "weighted": weighted, "directed": directed}
+    cells = lambda df: {(r["party"], r["i"], r["j"]): round(r["v"], 9) for r in df.collect()}
+    got, rows = shuffled_rows(spark, lambda: cells(walks.path_samples(held, **settings)))
+    assert rows < 5000  # of 43 * 2000 samples
+    for hub in (0, 4):  # all nodes, or some
+        monkeypatch.setattr(walks, "HUB", hub)
+        assert got == cells(walks.path_samples(held, **settings))
