@@ -559,3 +559,22 @@ def test_samples_step_where_their_edges_are(spark, monkeypatch, weighted, direct
     for hub in (0, 4):  # all nodes, or some
         monkeypatch.setattr(walks, "HUB", hub)
         assert got == cells(walks.path_samples(held, **settings))
+
+
+def test_panels_meet_placed_cells(spark):
+    """Products from both sides equal dense ones, and a multiplication shuffles a row for each part that has a node, not for each cell (half of the cells before)."""
+    rng = np.random.default_rng(11)
+    a = np.zeros((600, 600))
+    a[:560, 560:] = rng.normal(size=(560, 40)) * (rng.random((560, 40)) < 0.9)  # few columns of many cells
+    a += a.T
+    cells, d = cut(coordinates(spark, a)), 3
+    x = rng.normal(size=(600, d))
+    y = cut(spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(600)], "i long, y array<double>"))
+    placed = factor.Placed(cells, d)
+    dense = lambda panel: np.array([r["y"] for r in sorted(panel.collect(), key=lambda r: r["i"])])
+    assert np.allclose(dense(placed.dot(y, d)), a @ x)
+    placed.dot(y, d, turned=True).count()  # what is persisted is filled
+    got, rows = shuffled_rows(spark, lambda: dense(placed.dot(y, d, turned=True)))
+    assert np.allclose(got, a.T @ x)
+    assert rows < 600 + 2 * (560 + 40 * 4) + 600 < cells.count() / 10
+    placed.release()
