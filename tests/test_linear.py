@@ -1,4 +1,7 @@
+from pathlib import Path
+
 import numpy as np
+import psutil
 import pytest
 from pyspark.sql import functions as F
 
@@ -578,3 +581,39 @@ def test_panels_meet_placed_cells(spark):
     assert np.allclose(got, a.T @ x)
     assert rows < 600 + 2 * (560 + 40 * 4) + 600 < cells.count() / 10
     placed.release()
+
+
+@pytest.mark.parametrize("stretch", [1, 60, 10**6])
+def test_stretches_of_parts_give_the_product(spark, monkeypatch, stretch):
+    """However many stretches a part has, and however few products are held at once, products from both sides equal dense ones; rows that no cell meets add nothing."""
+    monkeypatch.setattr(factor, "STRETCH_NUMBERS", stretch)
+    monkeypatch.setattr(factor, "AT_ONCE", 20)
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(50, 50)) * (rng.random((50, 50)) < np.r_[np.full(45, 0.05), np.full(5, 0.8)])
+    a[7], a[:, 9] = 0, 0
+    x = rng.normal(size=(50, 4))
+    y = cut(spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(40)], "i long, y array<double>"))  # some nodes have no row
+    x[40:] = 0
+    placed = factor.Placed(coordinates(spark, a), 4)
+    for turned, m in ((False, a), (True, a.T)):
+        got = {r["i"]: r["y"] for r in placed.dot(y, 4, turned=turned).collect()}
+        assert set(got) == set(np.flatnonzero(m.any(1)).tolist())
+        assert all(np.allclose(got[i], m[i] @ x) for i in got)
+    placed.release()
+
+
+def test_tasks_hold_a_stretch(spark):
+    """A worker's peak of memory hardly grows with the nodes of a part (1,500 to 75,000 nodes; it held the whole part before)."""
+    sc, peaks = spark.sparkContext, []
+    for n in (6_000, 300_000):
+        sc.environment["MESHVEC_NODES"] = str(n)  # workers of their own
+        star = spark.range(n).select("id", (-1 - F.col("id") % 5).alias("hub"), F.lit(1.0).alias("v"))
+        cells = cut(star.select(F.col("id").alias("i"), F.col("hub").alias("j"), "v").unionByName(star.select(F.col("hub").alias("i"), F.col("id").alias("j"), "v")))
+        y = cut(spark.range(-5, n).select(F.col("id").alias("i"), F.array_repeat(F.lit(1.0), 64).alias("y")))
+        placed = factor.Placed(cells, 64)
+        assert placed.dot(y, 64).agg(F.sum(F.get("y", F.lit(63)))).first()[0] == 2 * n
+        placed.release()
+        used = [Path(f"/proc/{p.pid}/status").read_text() for p in psutil.Process().children(recursive=True) if p.environ().get("MESHVEC_NODES") == str(n)]
+        peaks.append(max(int(line.split()[1]) for status in used for line in status.splitlines() if line.startswith("VmHWM")) / 1024)
+        del sc.environment["MESHVEC_NODES"]
+    assert peaks[1] - peaks[0] < 100, peaks
