@@ -635,3 +635,12 @@ def test_low_wide_cells_and_half_of_a_gram(spark, monkeypatch, at_once):
     half = matrix.gram(A, mirrored=False)
     assert np.allclose(matrix.to_dense(half, 300), np.triu(a.T @ a)) and half.count() == (np.triu(a.T @ a) != 0).sum()
     assert np.allclose(matrix.to_dense(matrix.dot(matrix.transpose(A), A), 300), a.T @ a)
+
+
+def test_cells_of_window_2_are_not_shuffled(spark, sf_dir):
+    """After the last product's tasks nothing deals out or adds up its cells."""
+    from meshvec.plans import catalogue
+
+    plan = catalogue.QUERIES["prox_window2"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Aggregate" not in above and "Repartition" not in above and above.count("Join") == 1 and "Join Cross" not in above.replace("Join Inner", "")
