@@ -644,3 +644,11 @@ def test_cells_of_window_2_are_not_shuffled(spark, sf_dir):
     plan = catalogue.QUERIES["prox_window2"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("MapInArrow")]
     assert "Aggregate" not in above and "Repartition" not in above and above.count("Join") == 1 and "Join Cross" not in above.replace("Join Inner", "")
+
+
+def test_labelled_edges_need_no_join(spark, sf_dir):
+    """A join by label would deal out every edge, as soon as nodes are too many for a broadcast."""
+    from meshvec.plans import catalogue
+
+    plan = catalogue.QUERIES["planted_partition"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
