@@ -6,12 +6,13 @@ tells the forms apart. Blocks travel and are stored in the shorter form, and a
 task unpacks one when it comes to it.
 
 A matrix of n x n has ceil(n / size) blocks a side; the last ones are filled up
-with zeros. One block fits a task's memory many times; nothing here holds more
-than KEPT of them.
+with zeros. One block fits a task's memory many times; sums of blocks hold no more
+than KEPT of them, products SUMS cells.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,10 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshvec.functions.lineage import cut
+
 #: Sums of blocks that a task keeps before it sends the oldest on.
 KEPT = 64
-#: Blocks a side of a cell of a product's grid, and blocks of the inner index that one task takes.
-BAND, INNER = 8, 256
+#: Blocks a side of a cell of a grid of masked blocks (see masks).
+BAND = 8
+#: Sums that a task of a product holds at most; blocks of the inner index that one task takes if the product's grid has few cells, and tasks that such a grid has at most.
+SUMS, INNER, SHARED = 1 << 25, 256, 16
+#: Products that are added up at once.
+AT_ONCE = 1 << 20
+#: A line of the inner index is multiplied densely if each of its cells is in so many products on the average.
+USES = 32
 DDL = "bi long, bj long, x array<double>"
 SCHEMA = pa.schema([("bi", pa.int64()), ("bj", pa.int64()), ("x", pa.list_(pa.float64()))])
 
@@ -46,6 +55,31 @@ def arrays(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield x
 
 
+def stored_cells(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places and values of the cells of each block of a column; a packed block isn't unpacked."""
+    flat, end = column.flatten().to_numpy(zero_copy_only=False), 0
+    for n in column.value_lengths().to_pylist():
+        x, end = flat[end : end + n], end + n
+        if n == width:
+            at = np.flatnonzero(x)
+            yield at, x[at]
+        else:
+            yield x[: n // 2].astype(np.int64), x[n // 2 :]
+
+
+def _together(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows whose last columns are arrays as batches of some rows and numbers."""
+    some, held = [], 0
+    for row in rows:
+        some.append(row)
+        held += sum(len(c) for c in row[2:])
+        if len(some) >= 1000 or held >= 1 << 18:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+            some, held = [], 0
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
 def _batch(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([packed(r[2]) for r in rows], SCHEMA.field("x").type)], schema=SCHEMA)
 
@@ -56,14 +90,6 @@ def trimmed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, columns, x[np.ix_(rows, columns)]
 
 
-def add_product(out: np.ndarray, left: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray) -> None:
-    """Add the product of a trimmed block and a block to out, without the rows and columns that are empty in it."""
-    rows, inner, x = left
-    of_y = y[inner]
-    columns = np.flatnonzero(of_y.any(0))
-    out[np.ix_(rows, columns)] += x @ of_y[:, columns]
-
-
 def _added(parts: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """The sums of parts by block, as far as they come within KEPT different blocks of each other."""
     kept: dict[tuple[int, int], np.ndarray] = {}
@@ -91,19 +117,33 @@ def summed(parts: DataFrame, width: int) -> DataFrame:
 def to_blocks(a: DataFrame, size: int) -> DataFrame:
     """Coordinates (i, j, v) as blocks; a task takes them sorted by block and holds one at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, x = None, np.zeros(size * size)
+    def whole(some: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        at, v = (np.concatenate(c) for c in zip(*some, strict=True))
+        if 2 * len(at) >= size * size:
+            return packed(np.bincount(at, v, size * size))
+        at, place = np.unique(at, return_inverse=True)
+        return np.concatenate([at, np.bincount(place, v, len(at))])
+
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+        block, some, held = None, [], 0
         for t in batches:
             bi, bj, at, v = (t.column(c).to_numpy(zero_copy_only=False) for c in range(4))
             starts = np.flatnonzero(np.r_[True, (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])]).tolist() if len(bi) else []
             for first, last in zip(starts, [*starts[1:], len(bi)], strict=False):
                 if (bi[first], bj[first]) != block:
                     if block is not None:
-                        yield _batch([(*block, x)])
-                    block, x = (bi[first], bj[first]), np.zeros(size * size)
-                np.add.at(x, at[first:last], v[first:last])
+                        yield *block, whole(some)
+                    block, some, held = (bi[first], bj[first]), [], 0
+                some.append((at[first:last], v[first:last]))
+                held += last - first
+                if held > 2 * size * size:  # cells that are listed again and again
+                    sums = np.bincount(np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some]), size * size)
+                    some, held = [(np.arange(size * size), sums)], size * size
         if block is not None:
-            yield _batch([(*block, x)])
+            yield *block, whole(some)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _together(blocks_of(batches), SCHEMA)
 
     placed = a.select(F.floor(F.col("i") / size).alias("bi"), F.floor(F.col("j") / size).alias("bj"), (F.col("i") % size * size + F.col("j") % size).alias("at"), F.col("v").cast("double").alias("v"))
     return placed.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(run, DDL)
@@ -126,73 +166,185 @@ def from_blocks(a: DataFrame, size: int, least: float = 0.0) -> DataFrame:
     return a.select("bi", "bj", "x").mapInArrow(run, "i long, j long, v double")
 
 
-def dot(a: DataFrame, b: DataFrame, size: int, *, band: int = BAND, inner: int = INNER) -> DataFrame:
-    """The product on a grid: a cell of it takes a band of block rows of a and a band of block columns of b, and multiplies inside.
+def _pieces(m: DataFrame, size: int, band: int, *, left: bool, dealt: bool) -> DataFrame:
+    """k, g, p, v: the cells of the blocks of line k of the inner index in band g of the other one, as places and values.
 
-    A band is `band` blocks wide; the inner index is cut every `inner` blocks,
-    so a long one spreads over tasks as well. A block goes once to each cell that
-    has a partner for it, which the blocks' indices tell before any cells move:
-    with p bands a side about 2 n^2 p numbers go to tasks, not n^3 / size. A task
-    takes the blocks in the order of the inner index, so it holds one block
-    column of its band of a, one block of b and the band^2 sums of its cell.
-    Blocks are never broadcast: Spark takes a mask made by Python for a few KB.
+    A place is the inner index within its block times the width of a band, plus
+    the place in the band; values that are all equal stand there once. If the blocks
+    aren't dealt by line, a line can have several pieces.
     """
+    side, (inner, other) = band * size, ("bj", "bi") if left else ("bi", "bj")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = k = None
-        left: list[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
-        sums: dict[tuple[int, int], np.ndarray] = {}
+    def piece(key: tuple[int, int], some: list[tuple[np.ndarray, np.ndarray]]) -> tuple:
+        p, v = (np.concatenate(c) for c in zip(*some, strict=True))
+        order = np.argsort(p, kind="stable")
+        v = v[order]
+        return *key, p[order].astype(np.int32), v[:1] if len(v) and (v == v[0]).all() else v
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        key, some = None, []
         for t in batches:
-            data = arrays(t.column(6), size * size)
-            for *key, at_k, side, at, x in zip(*(t.column(c).to_pylist() for c in range(6)), data, strict=True):
-                if key != cell:
-                    yield from (_batch([(*at_, s)]) for at_, s in sums.items())
-                    cell, k, sums = key, None, {}
-                if at_k != k:
-                    k, left = at_k, []
-                x = x.reshape(size, size)
-                if side == 0:
-                    left.append((at, trimmed(x)))  # copies: the batch's memory goes with the batch
-                    continue
-                for bi, y in left:
-                    if (bi, at) not in sums:
-                        sums[bi, at] = np.zeros((size, size))
-                    add_product(sums[bi, at], y, x)
-        yield from (_batch([(*at_, s)]) for at_, s in sums.items())
+            for k, at, (x, v) in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), stored_cells(t.column(2), size * size), strict=True):
+                if (k, at // band) != key:
+                    if some:
+                        yield piece(key, some)
+                    key, some = (k, at // band), []
+                row, column = x // size, x % size
+                some.append(((column if left else row) * side + at % band * size + (row if left else column), v.copy()))
+        if some:
+            yield piece(key, some)
+
+    schema = pa.schema([("k", pa.int64()), ("g", pa.int64()), ("p", pa.list_(pa.int32())), ("v", pa.list_(pa.float64()))])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _together(pieces(batches), schema)
+
+    lines = m.select(inner, other, "x")
+    if dealt:
+        lines = lines.repartition(inner).sortWithinPartitions(inner, other)
+    return lines.mapInArrow(run, "k long, g long, p array<int>, v array<double>").filter(F.size("p") > 0)
+
+
+def _multiply(sums: np.ndarray, side: int, size: int, left: list, right: list) -> None:
+    """Add the products of pieces (k, places, values) of lines to sums, a cell of side x side."""
+
+    def joined(pieces: list) -> tuple[np.ndarray, ...]:
+        n = [len(p) for _, p, _ in pieces]
+        place = np.concatenate([p for _, p, _ in pieces]).astype(np.int64)
+        line = np.repeat(np.array([k for k, _, _ in pieces], np.int64), n)
+        return line, line * size + place // side, place % side, np.concatenate([v if len(v) == m else np.full(m, v[0]) for m, (_, _, v) in zip(n, pieces, strict=True)])
+
+    (line, key, r, x), (other, at, c, y) = joined(left), joined(right)
+    if (at[1:] < at[:-1]).any():
+        order = np.argsort(at, kind="stable")
+        other, at, c, y = other[order], at[order], c[order], y[order]
+    low, high = np.searchsorted(at, key, "left"), np.searchsorted(at, key, "right")
+    width = high - low
+    lines, of = np.unique(line, return_inverse=True)
+    made = np.bincount(of, width, len(lines))
+    cells = np.bincount(of, minlength=len(lines)) + np.searchsorted(other, lines, "right") - np.searchsorted(other, lines, "left")
+    dense = made > USES * cells
+    for k in lines[dense].tolist():
+        mine, yours = line == k, slice(np.searchsorted(other, k, "left"), np.searchsorted(other, k, "right"))
+        (rows, to_row), (columns, to_column) = np.unique(r[mine], return_inverse=True), np.unique(c[yours], return_inverse=True)
+        a, b = np.zeros((len(rows), size)), np.zeros((size, len(columns)))
+        np.add.at(a, (to_row, key[mine] - k * size), x[mine])
+        np.add.at(b, (at[yours] - k * size, to_column), y[yours])
+        inner = np.flatnonzero(a.any(0) & b.any(1))
+        sums.reshape(side, side)[np.ix_(rows, columns)] += a[:, inner] @ b[inner]
+    kept = np.flatnonzero(~dense[of] & (width > 0))
+    low, width, r, x = low[kept], width[kept], r[kept] * side, x[kept]
+    ends = np.cumsum(width)
+    first = 0
+    while first < len(kept):
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + AT_ONCE, side="right")))
+        w = width[first:last]
+        to = np.repeat(low[first:last] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))
+        np.add.at(sums, np.repeat(r[first:last], w) + c[to], np.repeat(x[first:last], w) * y[to])
+        first = last
+
+
+def _cell_sums(batches: Iterator[pa.RecordBatch], band: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of each cell (gi, gj, gk) of the grid from rows (gi, gj, gk, k, side, places, values), sorted by these: pieces of the left (side 0) and of the right (1), and addends (2, k -1)."""
+    side, cell, sums, left = band * size, None, None, []
+
+    def blocks_of() -> Iterator[pa.RecordBatch]:
+        view = sums.reshape(side, side)
+        for row in range(band):
+            for column in range(band):
+                x = view[row * size : (row + 1) * size, column * size : (column + 1) * size]
+                if x.any():
+                    yield _batch([(cell[0] * band + row, cell[1] * band + column, np.ascontiguousarray(x))])
+                    x[:] = 0
+
+    for t in batches:
+        keys = list(zip(*(t.column(c).to_pylist() for c in range(5)), strict=True))
+        places, values = (t.column(c).flatten().to_numpy(zero_copy_only=False) for c in (5, 6))
+        p_end, v_end = (np.cumsum(np.asarray(t.column(c).value_lengths(), np.int64)).tolist() for c in (5, 6))
+        right = []
+        for at, (*of, k, which) in enumerate(keys):
+            if of != cell:
+                if right:
+                    _multiply(sums, side, size, left, right)
+                if cell is not None:
+                    yield from blocks_of()
+                cell, left, right = of, [], []
+                sums = np.zeros(side * side) if sums is None else sums
+            p, v = places[p_end[at - 1] if at else 0 : p_end[at]], values[v_end[at - 1] if at else 0 : v_end[at]]
+            if which == 2:
+                np.add.at(sums, p, v if len(v) == len(p) else np.full(len(p), v[0]))
+            elif which == 1:
+                right.append((k, p, v))
+            else:
+                left.append((k, p, v))
+        if right:
+            _multiply(sums, side, size, left, right)
+        left = [(k, p.copy(), v.copy()) for k, p, v in left if k == keys[-1][3]] if keys else left  # the next batch may have more of the last line's right side
+    if cell is not None:
+        yield from blocks_of()
+
+
+def dot(a: DataFrame, b: DataFrame, size: int, *, band: int | None = None, inner: int | None = None, plus: tuple[tuple[float, DataFrame], ...] = (), dealt: bool = True) -> DataFrame:
+    """The product on a grid: a cell of it takes a band of block rows of a and a band of block columns of b, and multiplies inside. plus: signed matrices that are added.
+
+    A band is as wide as SUMS sums allow; a grid of few cells also cuts the inner
+    index, and only then sums of blocks are added up after a shuffle. Blocks of a
+    line and band travel as one piece, with their cells only, to each cell that
+    has a partner for it, which the blocks' indices tell before any cells move:
+    with p bands a side each cell of a and b goes to p tasks at most. A task holds the sums
+    of its cell and the pieces of a batch; lines with few products for each of their
+    cells are multiplied cell by cell, others as dense matrices without empty rows and columns.
+    Blocks are never broadcast: Spark takes a mask made by Python for a few KB.
+    """
+    one_task = inner is None
+    if band is None or inner is None:
+        same = a is b
+        a = cut(a) if dealt else a
+        b = a if same else cut(b) if dealt else b
+        of_a, of_b = (m.agg(F.max("bi") + 1, F.max("bj") + 1).first() for m in (a, b))
+        rows, columns, lines = of_a[0] or 1, of_b[1] or 1, min(of_a[1] or 1, of_b[0] or 1)
+        for _, m in plus:
+            of_m = m.agg(F.max("bi") + 1, F.max("bj") + 1).first()
+            rows, columns = max(rows, of_m[0] or 1), max(columns, of_m[1] or 1)
+        band = min(max(1, math.isqrt(SUMS) // size), max(rows, columns)) if band is None else band
+        if inner is None:
+            parts = max(1, min(-(-lines // INNER), SHARED // (-(-rows // band) * -(-columns // band))))
+            inner, one_task = -(-lines // parts), parts == 1
     banded = lambda c, width: F.floor(F.col(c) / width).cast("long")
     columns = b.select(F.col("bi").alias("k"), banded("bj", band).alias("gj")).distinct()
     rows = a.select(F.col("bj").alias("k"), banded("bi", band).alias("gi")).distinct()
-    of_a = a.select(banded("bi", band).alias("gi"), F.col("bj").alias("k"), F.lit(0).alias("side"), F.col("bi").alias("at"), "x").join(columns.hint("shuffle_hash"), "k")
-    of_b = b.select(banded("bj", band).alias("gj"), F.col("bi").alias("k"), F.lit(1).alias("side"), F.col("bj").alias("at"), "x").join(rows.hint("shuffle_hash"), "k")
-    order = ["gi", "gj", "gk"]
-    met = of_a.select("gi", "gj", banded("k", inner).alias("gk"), "k", "side", "at", "x").unionByName(of_b.select("gi", "gj", banded("k", inner).alias("gk"), "k", "side", "at", "x"))
-    return summed(met.repartition(*order).sortWithinPartitions(*order, "k", "side", "at").mapInArrow(run, DDL), size * size)
+    of_a = _pieces(a, size, band, left=True, dealt=dealt).withColumnRenamed("g", "gi").join(columns.hint("shuffle_hash"), "k").withColumn("side", F.lit(0))
+    of_b = _pieces(b, size, band, left=False, dealt=dealt).withColumnRenamed("g", "gj").join(rows.hint("shuffle_hash"), "k").withColumn("side", F.lit(1))
+    order = ["gi", "gj", "gk", "k", "side"]
+    met = of_a.withColumn("gk", banded("k", inner)).select(*order, "p", "v").unionByName(of_b.withColumn("gk", banded("k", inner)).select(*order, "p", "v"))
+    for c, m in plus:
+        met = met.unionByName(_addends(m, size, band, float(c)).select(*order, "p", "v"))
+    found = met.repartition(*order[:3]).sortWithinPartitions(*order).mapInArrow(lambda t: _cell_sums(t, band, size), DDL)
+    return found if one_task else summed(found, size * size)
+
+
+def _addends(m: DataFrame, size: int, band: int, c: float) -> DataFrame:
+    """The blocks of c m as rows of the grid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for bi, bj, x in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), arrays(t.column(2), size * size), strict=True):
+                at = np.flatnonzero(x)
+                place = ((bi % band) * size + at // size) * (band * size) + (bj % band) * size + at % size
+                yield pa.RecordBatch.from_arrays([pa.array([bi // band]), pa.array([bj // band]), pa.array([place.astype(np.int32)]), pa.array([c * x[at]])], ["gi", "gj", "p", "v"])
+
+    rows = m.select("bi", "bj", "x").mapInArrow(run, "gi long, gj long, p array<int>, v array<double>").filter(F.size("p") > 0)
+    return rows.select("gi", "gj", F.lit(0).cast("long").alias("gk"), F.lit(-1).cast("long").alias("k"), F.lit(2).alias("side"), "p", "v")
 
 
 def dot_stored(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
     """The product of two matrices that are stored in buckets of the inner index (a of bj, b of bi; see sources.blockstore).
 
-    They meet bucket by bucket without an exchange. Products are added up
-    inside each task, then by block. What goes to tasks is each pair of blocks,
-    so this suits operands with few blocks a bucket or few block rows; dot moves
-    less for large square ones.
+    Lines are packed as their buckets have them, sorted, without an exchange of
+    blocks; what goes to tasks are pieces of lines, once for each cell of dot's grid that needs them.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def products() -> Iterator[tuple[int, int, np.ndarray]]:
-            for t in batches:
-                left, right = arrays(t.column(2), size * size), arrays(t.column(3), size * size)
-                for bi, bj, x, y in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), left, right, strict=True):
-                    out = np.zeros((size, size))
-                    add_product(out, trimmed(x.reshape(size, size)), y.reshape(size, size))
-                    yield bi, bj, out.ravel()
-
-        return _added(products())
-
-    left, right = a.alias("l"), b.alias("r")
-    pairs = left.join(right.hint("merge"), F.col("l.bj") == F.col("r.bi")).select(F.col("l.bi").alias("bi"), F.col("r.bj").alias("bj"), F.col("l.x").alias("left"), F.col("r.x").alias("right"))
-    return summed(pairs.mapInArrow(run, DDL), size * size)
+    return dot(a, b, size, dealt=False)
 
 
 def add(size: int, *terms: tuple[float, DataFrame]) -> DataFrame:

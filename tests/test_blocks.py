@@ -125,3 +125,33 @@ def test_a_block_row_needs_one_store(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(blockstore, "save", lambda *a, **k: (saved.append(a[2]), save(*a, **k)))
     catalogue.QUERIES["stored_block_row"](spark, sf_dir)
     assert saved == ["own"]
+
+
+def test_wide_cells_need_no_sums_after_them(spark, pair, monkeypatch):
+    """The grid's cells are as wide as sums may be, and one task makes a block, with what is added to it; a grid of few cells shares the inner index."""
+    a, b, x, y = pair
+    monkeypatch.setattr(blocks, "AT_ONCE", 5)
+    monkeypatch.setattr(blocks, "SUMS", 16 * 4 * 4)
+    twice = []
+    summed = blocks.summed
+    monkeypatch.setattr(blocks, "summed", lambda *of: (twice.append(1), summed(*of))[1])
+    c = np.zeros((37, 29))
+    c[3, 4], c[36, 28], c[9] = 2.0, 1.0, 1.0
+    z = blocks.to_blocks(coordinates(spark, c), 4)
+    for uses in (0, 32, 1 << 30):  # dense, as the cells are, one by one
+        monkeypatch.setattr(blocks, "USES", uses)
+        got = blocks.dot(x, y, 4, plus=((-2, z),))
+        assert np.allclose(dense(got, (37, 29), 4), a @ b - 2 * c) and not twice
+        rows = [(r["bi"], r["bj"]) for r in got.select("bi", "bj").collect()]
+        assert len(rows) == len(set(rows))
+    monkeypatch.setattr(blocks, "SUMS", 1 << 25)
+    monkeypatch.setattr(blocks, "INNER", 3)
+    assert np.allclose(dense(blocks.dot(x, y, 4, plus=((0.5, z),)), (37, 29), 4), a @ b + 0.5 * c) and twice
+
+
+def test_cells_listed_again_make_one_block(spark):
+    rows = [(1, 2, float(k % 3)) for k in range(40)] + [(5, 5, 1.0)] * 3
+    m = blocks.to_blocks(spark.createDataFrame(rows, "i long, j long, v double"), 3)
+    want = np.zeros((6, 6))
+    want[1, 2], want[5, 5] = sum(k % 3 for k in range(40)), 3
+    assert m.count() == 2 and np.allclose(dense(m, (6, 6), 3), want)
