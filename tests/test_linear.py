@@ -652,3 +652,22 @@ def test_labelled_edges_need_no_join(spark, sf_dir):
 
     plan = catalogue.QUERIES["planted_partition"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_samples_are_checked_by_their_steps(spark):
+    """Samples are never rows of a shuffle, and only cells without a path are lost, whatever step a walk says that it made."""
+    from meshvec.plans import catalogue
+
+    edge = [(1, a, b) for a, b in ((1, 2), (2, 3), (3, 4), (4, 5))]
+    step = spark.createDataFrame([*edge, *[(p, b, a) for p, a, b in edge]], "party int, src long, dst long")
+    rows = [(1, 2, 1, (1, 2)), (1, 3, 1, (2, 3)), (2, 4, 1, (2, 3)), (1, 4, 1, (3, 4)), (1, 4, 1, (1, 2)), (2, 4, 1, (9, 4)), (5, 1, 1, (2, 1))]
+    sampled = spark.createDataFrame([(i, j, 0.5, p, o) for i, j, p, o in rows], "i long, j long, v double, party int, origin struct<i: long, j: long>")
+    mass, lost = catalogue.checked_samples(sampled, step)
+    assert [tuple(r) for r in mass.collect()] == [(1, 3.5)]
+    assert sorted(tuple(r) for r in lost.collect()) == [(1, 1, 4), (1, 5, 1)]
+    assert catalogue.checked_samples(sampled.filter("i < 3 and j < 4"), step)[1].count() == 0
+    found = walks.path_samples(step.withColumn("w", F.lit(1.0)), window=2, per_edge=24, workers=2, parties=1, origin=True, summed=False)
+    assert "Aggregate [i" not in found._jdf.queryExecution().optimizedPlan().toString()
+    cells = lambda m: sorted((r["i"], r["j"], round(r["v"], 9)) for r in m.groupBy("i", "j").agg(F.sum("v").alias("v")).collect())
+    assert cells(found) == cells(walks.path_samples(step.withColumn("w", F.lit(1.0)), window=2, per_edge=24, workers=2, parties=1))
+    assert catalogue.checked_samples(found, step)[1].count() == 0
