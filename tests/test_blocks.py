@@ -155,3 +155,23 @@ def test_cells_listed_again_make_one_block(spark):
     want = np.zeros((6, 6))
     want[1, 2], want[5, 5] = sum(k % 3 for k in range(40)), 3
     assert m.count() == 2 and np.allclose(dense(m, (6, 6), 3), want)
+
+
+def test_masked_square_moves_no_dense_block(spark, monkeypatch):
+    """Window 2 under masks equals the plain square, over several cells of the grid; only blocks with the parties' own cells travel."""
+    n, size = 23, 4
+    monkeypatch.setattr(blocks, "SUMS", (2 * size) ** 2)
+    rng = np.random.default_rng(8)
+    own = [np.where(rng.random((n, n)) < 0.1, rng.random((n, n)), 0) for _ in range(2)]
+    own[0][9:], own[1][:, 15:] = 0, 0
+    ys = [x * 3 for x in own]
+    of = lambda m: blocks.to_blocks(coordinates(spark, m), size)
+    got = masks.masked_square_sum([of(x) for x in own], [of(y) for y in ys], 0.5, n, size=size, seed=4, least=1e-9)
+    cells = np.zeros((n, n))
+    rows = got.collect()
+    for r in rows:
+        cells[r["i"], r["j"]] += r["v"]
+    want = 0.5 * (sum(ys) + sum(own) @ sum(ys))
+    assert np.allclose(cells, want, atol=1e-8) and len(rows) == (np.abs(want) > 1e-9).sum()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan.splitlines()[0]  # what the tasks make of a block is the result
